@@ -6,9 +6,11 @@ dropped once their successor is written. A local temporary folder is taken only
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,19 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 1 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -31,6 +46,7 @@ class Scratch:
     """Tables of one run of an operator under a folder of its own."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/siftwell-{uuid.uuid4().hex}"
         self.made = 0
@@ -97,14 +113,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Words:
+class Ranges:
+    """64-bit hashes of any byte ranges of ``data``, from one running sum."""
+
+    def __init__(self, data: np.ndarray):
+        up, self._down = _pow(len(data) + 1)
+        self._sum = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[: len(data)], out=self._sum[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64) * _ODD[62])
+
+
+class Words(Ranges):
     """Words of several texts that lie one after another in ``data``; text i is ``bounds[i]:bounds[i+1]``.
 
-    ``start``, ``end``: byte range of each word; ``hash``: 64-bit hash of its lower-cased bytes; words of text i are
+    ``start``, ``end``: byte range of each word; ``hash``: 64-bit hash of its bytes, A-Z lowered; words of text i are
     ``first[i]:first[i+1]``.
     """
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray):
+        super().__init__(_LOWER[data])
         w = is_word[data]
         fresh = np.zeros(len(data) + 1, bool)
         fresh[bounds] = True
@@ -113,15 +142,8 @@ class Words:
         after = np.concatenate((w[1:], [False])) if len(w) else w
         self.end = np.flatnonzero(w & (~after | fresh[1:])) + 1
         self.first = np.searchsorted(self.start, bounds)
-        up, self._down = _pow(len(data) + 1)
-        self._sum = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=self._sum[1:])
         self.hash = self.of(self.start, self.end)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges."""
-        return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64) * _ODD[62])
-
 
 def texts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about ``most`` bytes (one row at least): (first row, end row, bytes, bounds).
