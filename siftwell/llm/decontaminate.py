@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ALNUM, Scratch, Words, texts
+from siftwell.llm.common import ALNUM, Scratch, Words, ship, texts
 from siftwell.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -186,6 +186,38 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, **options) -> DataFrame:
+    """``docs`` without contaminated rows. One pass without a join where the benchmark is one block, else by id."""
+    items = _only_block(benchmark, **options)
+    if items is None:
+        found = contamination(docs, benchmark, id_col, text_col, **options)
+        bad = found.filter((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).select(F.col("id").alias(id_col)).distinct()
+        return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    at, window = docs.columns.index(text_col), options.get("window", WINDOW)
+    shard_bytes = options.get("shard_bytes", SHARD_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(items, window)
+        for batch in batches:
+            good = np.ones(batch.num_rows, bool)
+            for i, j, data, bounds in texts(batch.column(at), shard_bytes):
+                words = Words(data, bounds, ALNUM)
+                n = np.diff(words.first)
+                hit = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in scan(words, phrases, j - i)[0]], np.int64)
+                good[i:j] = (hit == 0) | (100 * hit < percent * n)
+            yield batch.filter(pa.array(good))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _only_block(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", *, block_bytes: int = BLOCK_BYTES, **_) -> list[tuple[str | None, str]] | None:
+    """The items, if their texts fit in one block."""
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return [(r.item, r.text) for r in bench.collect()] if size <= block_bytes else None
+
+
 def cut(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the words of every span taken out of the text, for use where passages go and documents stay."""
 

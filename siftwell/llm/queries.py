@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import block_knn, decontaminate, html_extract, sharding, toxicity
+from siftwell.llm import block_knn, decontaminate, html_extract, licences, line_dedup, mixing, sharding, sstable, toxicity
 from siftwell.llm.minhash_dedup import near_duplicates
 
 
@@ -23,6 +24,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("text")
+
+
 def op5_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_knn.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % block_knn.EVERY == 0)
 
@@ -43,6 +60,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_sstable": op3_sstable,
+    "op4_licences": op4_licences,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_mixing": op8_mixing,
     "op5_block_knn": op5_block_knn,
     "op7_toxicity": op7_toxicity,
     "op9_html_extraction": op9_html_extraction,
