@@ -6,9 +6,10 @@ would need. Two sets meet if they share some A_i and some B_j; at similarity s t
 (1 - (1 - s**rows)**collections)**2: with 20 and 4, 0.9990 at the threshold 0.75 and over 0.99999 from 0.85.
 
 Exact copies (equal sets) are first collapsed to their smallest doc_id. Only keys A_i and B_j that another set shares are combined,
-which leaves the tables as they are. In a bucket each member is compared with the smallest one; where that leaves members of one
-bucket in different components, the pairs between those components are compared too, so no link that the tables offer is lost,
-and yet the copies of a large group are never paired with one another.
+which leaves the tables as they are. In a bucket each member is compared with the smallest one, its pivot. Where that leaves members
+of one pivot in different components, two of them can be linked only if their overlap within the pivot and what they share outside
+it are large enough together. Shared shingles outside the pivot are found by an equi-join, so only pairs that this exact bound allows
+are compared: no link that the tables offer is lost, and the copies of a large group are never paired with one another.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import _ODD, SPACED, Scratch, Words, keyed, longs, mix, texts
@@ -80,7 +81,14 @@ def _signatures(size: int, collections: int, rows: int):
     return run
 
 
-def _confirm(size: int, percent: int):
+#: A shingle that one in so many of a pivot's members has belongs to their reference set.
+COMMON = 8
+COMPARED = "a long, b long, both long, na long, nb long, rest array<long>"
+
+
+def _compare(size: int):
+    """Pairs of texts -> sizes of their sets and of the overlap, and the second's shingles that the first lacks."""
+
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
         for i, j, data, bounds in texts(column):
             sh, at = shingles(Words(data, bounds, SPACED), size)
@@ -89,12 +97,13 @@ def _confirm(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
+            counts, rest = np.zeros((3, batch.num_rows), np.int64), []
             for k, (x, y) in enumerate(zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked[k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
-            yield out.filter(pa.array(linked))
+                rest.append(np.setdiff1d(y, x, assume_unique=True))
+                counts[:, k] = len(y) - len(rest[-1]), len(x), len(y)
+            ends = np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), longs(np.concatenate([np.zeros(0, np.uint64), *rest])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, counts), lists], ["a", "b", "both", "na", "nb", "rest"])
 
     return run
 
@@ -128,9 +137,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = scratch.save(member.select(F.col("rep").alias("id")).distinct())
     wanted = scratch.save(keyed(source, ids, "id", "left_semi"))
     first = member.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = scratch.save(_confirmed(first, wanted, size, percent).unionByName(_one_id_several_sets(base)))
+    seen = scratch.save(_compared(first, wanted, size))
+    scratch.drop(member)
+    alike = f"both > 0 and 100 * both >= {percent} * (na + nb - both)"
+    links = scratch.save(seen.filter(alike).select("a", "b").unionByName(_one_id_several_sets(base)))
     found = components(links, scratch)
-    more = scratch.save(_confirmed(_between(member, found, percent), wanted, size, percent))
+    more = scratch.save(_compared(between(seen, found, percent, scratch), wanted, size).filter(alike).select("a", "b"))
+    scratch.drop(seen)
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch)
 
@@ -141,11 +154,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def _confirmed(pairs: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Texts travel, not sets: they are less than half as large."""
+def _compared(pairs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Pairs with their full sets compared. Texts travel, not sets: they are less than half as large."""
     x = wanted.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     y = wanted.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(size), COMPARED)
 
 
 def _one_id_several_sets(base: DataFrame) -> DataFrame:
@@ -154,13 +167,56 @@ def _one_id_several_sets(base: DataFrame) -> DataFrame:
     return base.select("id", F.col("rep").alias("a")).join(several, "id").select("a", "b")
 
 
-def _between(member: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket in different components that were not compared: one end lies outside the pivot's component.
-    Sizes that rule the similarity out are left out."""
-    label = found.select(F.col("id").alias("rep"), "component")
-    m = member.join(label, "rep", "left").select("bucket", "rep", "n", "pivot", F.coalesce("component", "rep").alias("comp"))
-    inner = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.max(F.when(F.col("rep") == F.col("pivot"), F.col("comp"))).alias("pc"))
-    m = m.filter("rep <> pivot").join(inner.filter("lo < hi and c > 2").select("bucket", "pc"), "bucket")
-    y = m.filter("comp <> pc").select("bucket", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-    both = m.join(y, "bucket").filter("comp <> yc and (comp = pc or rep < y)").filter(F.least("n", "yn") * 100 >= F.greatest("n", "yn") * percent)
-    return both.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
+def between(seen: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of members of one pivot, in different components, whose overlap may be large enough.
+
+    The members are measured against a reference set: the pivot's shingles and those that a share of its members have (a pivot may
+    itself be an edited copy). With b_x and b_y their overlaps with it and s the shingles they share outside it, two members overlap in
+    at most min(b_x, b_y) + s, and a member of n shingles needs at least need = percent * n / 100 - b outside. Of its shingles outside
+    only those count that another component's members have too. If they are fewer than it needs, it is out; else they are put in one
+    order, rare ones first, and whatever shares ``need`` of them shares one of all but the last need - 1, which alone are joined.
+    Pairs with s = 0 need both members to lie in the reference to ``percent`` in a hundred at least.
+    """
+    label = found.select("id", "component")
+    rows = seen.join(label.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left").join(label.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left")
+    rows = rows.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("both").alias("bx"), F.col("nb").alias("nx"), "rest", F.coalesce("cb", "b").alias("cx"), F.coalesce("ca", "a").alias("cp"))
+    open_ = rows.groupBy("p").agg(F.max(F.col("cx") != F.col("cp")).alias("o"), F.count("*").alias("c")).filter("o and c > 1").select("p")
+    rows = scratch.save(rows.join(open_, "p"))
+    single = rows.select("p", "x", "cx", F.explode("rest").alias("s"))
+    group = rows.groupBy("p").agg(F.count("*").alias("g"))
+    shared = single.groupBy("p", "s").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.count("*").alias("c")).filter("lo < hi").join(group, "p")
+    shared = scratch.save(shared.select("p", "s", "c", F.expr(f"c >= 4 and {COMMON} * c >= g").alias("common")))
+    held = scratch.save(single.drop("cx").join(shared, ["p", "s"]))
+    extra = held.groupBy("p", "x").agg(F.count_if("common").alias("more"))
+    plain = rows.drop("rest").join(extra, ["p", "x"], "left").withColumn("bx", F.col("bx") + F.coalesce("more", F.lit(0))).drop("more")
+    plain = scratch.save(plain)
+    member = Window.partitionBy("p", "x")
+    ranked = held.filter("not common").withColumns({"sx": F.count("*").over(member), "pos": F.row_number().over(member.orderBy("c", "s"))})
+    need = F.expr(f"greatest(1, ({percent} * nx + 99) div 100 - bx)")
+    single = scratch.save(ranked.select("p", "x", "s", "sx", "pos").join(plain, ["p", "x"]).filter(F.col("pos") <= F.col("sx") - need + 1).drop("pos"))
+
+    def other(frame: DataFrame) -> DataFrame:
+        return frame.filter("cx <> cp").withColumnsRenamed({"x": "y", "bx": "by", "nx": "ny", "cx": "cy", "sx": "sy"}).drop("cp")
+
+    apart = "cx <> cy and (cx = cp or x < y)"
+    enough = "100 * ({0}) >= {1} * (nx + ny - ({0}))"
+    some = single.join(other(single), ["p", "s"]).filter(apart).filter(enough.format("least(bx, by) + least(sx, sy)", percent))
+    inside = plain.filter(f"100 * bx >= {percent} * nx")
+    none = inside.join(other(inside), "p").filter(apart).filter(enough.format("least(bx, by)", percent))
+    pairs = some.select("x", "y").unionByName(none.select("x", "y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that are not kept. Rows that share an id are one document: of them one stays, the least by the hash of
+    its text. Rows with a null id all stay."""
+    scratch = Scratch(docs.sparkSession)
+    judged = scratch.save(near_duplicates(docs, id_col, text_col, **options).filter(F.col(id_col).isNotNull()).select(id_col, "kept"))
+    gone = scratch.save(judged.filter("not kept").select(id_col).distinct())
+    out = keyed(docs, gone, id_col, "left_anti").select(docs.columns)
+    twice = scratch.save(judged.filter("kept").groupBy(id_col).agg(F.count("*").alias("c")).filter("c > 1").select(id_col))
+    if twice.isEmpty():
+        return out
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.monotonically_increasing_id())
+    one = keyed(out, twice, id_col, "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(docs.columns)
+    return keyed(out, twice, id_col, "left_anti").select(docs.columns).unionByName(one)
