@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from siftwell.queries.registry import ORACLES, QUERIES
+from siftwell.queries import corpus, evaluation, retrieval  # noqa: E402,F401  (they register themselves)
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1 @@
+"""Structured Streaming forms of the usage log. An extension: evaluation itself runs on bounded tables."""
