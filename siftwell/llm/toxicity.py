@@ -35,8 +35,8 @@ POSITIVES, NEGATIVES, SAMPLE_CHARS = 4096, 12288, 8000
 PREFIXES = range(3, 10)
 BUCKETS = 22
 MOST_FEATURES = 8192
-LEAST_Z = 4.0
-LEAST_DOCS = 3
+LEAST_Z = 6.0
+LEAST_DOCS = 4
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +100,8 @@ def swapped(text: str, groups: tuple[tuple[str, ...], ...], shift: int = 1) -> s
     return None if out == text else out
 
 
-def fit(table: pa.Table, groups: tuple[tuple[str, ...], ...] = IDENTITY, *, strength: float = 10.0, l2: float = 1e-4, steps: int = 400) -> Model:
-    """``table(text, toxic)`` -> model. One class only, or no rows: a constant score, the share of toxic rows (0 with none)."""
+def fit(table: pa.Table, groups: tuple[tuple[str, ...], ...] = IDENTITY, *, strength: float = 10.0, l2: float = 1e-4, steps: int = 400, classes: tuple[int, int] | None = None) -> Model:
+    """``table(text, toxic)`` -> model. ``classes``: rows labelled 0 and 1 that the table is a sample of; scores are for their shares. One class only, or no rows: a constant score, the share of toxic rows (0 with none)."""
     column = lowered(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
     y = np.asarray(table.column("toxic").to_numpy(), np.float64)
     n, p = len(y), y.sum()
@@ -118,8 +118,9 @@ def fit(table: pa.Table, groups: tuple[tuple[str, ...], ...] = IDENTITY, *, stre
             counts[c] += np.bincount(bucket[cls == c], minlength=1 << BUCKETS).astype(np.int32)
 
     def z(b: np.ndarray, a: np.ndarray) -> np.ndarray:
-        odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - p - b + 0.5))
-        return np.where(a + b >= LEAST_DOCS, odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), 0)
+        """How many deviations the toxic texts with a feature lie from their share of all texts with it."""
+        rate, m = p / n, a + b
+        return np.where(m >= LEAST_DOCS, (a - m * rate) / np.sqrt(np.maximum(m, 1) * rate * (1 - rate)), 0)
 
     good = np.abs(z(counts[0], counts[1])) >= LEAST_Z
     rows, values = [], []
@@ -160,6 +161,8 @@ def fit(table: pa.Table, groups: tuple[tuple[str, ...], ...] = IDENTITY, *, stre
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
+    if classes and min(classes) > 0:
+        b += np.log(classes[1] / classes[0]) - np.log(p / (n - p))
     return Model(model.features, w, float(b), groups)
 
 
@@ -168,10 +171,16 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def learnable(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, toxic) of the labelled ids that are not held out."""
+    good = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(id_col))
+    return good.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, positives: int = POSITIVES, negatives: int = NEGATIVES, sample_chars: int = SAMPLE_CHARS) -> pa.Table:
     """At most ``positives`` + ``negatives`` labelled rows, none of them held out, of ``sample_chars`` characters at most each. Of
     several labels of an id the largest counts; labels other than 0 and 1 and null ids do not."""
-    known = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
+    known = learnable(labels, id_col)
     order = [F.xxhash64("id"), F.col("id")]
     ids = known.filter("toxic = 1").orderBy(*order).limit(positives).unionByName(known.filter("toxic = 0").orderBy(*order).limit(negatives))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= sample_chars)
@@ -180,7 +189,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[tuple[str, ...], ...] = IDENTITY, **options) -> Model:
-    return fit(training_sample(docs, labels, id_col, text_col, **options), groups)
+    counts = learnable(labels, id_col).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    return fit(training_sample(docs, labels, id_col, text_col, **options), groups, classes=tuple(counts))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
