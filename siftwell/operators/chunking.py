@@ -92,7 +92,7 @@ def heading_positions(text: Column) -> Column:
     lines = F.split(text, "\n")
     lengths = F.transform(lines, lambda x: F.length(x) + 1)
     ends = F.aggregate(lengths, F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = F.arrays_zip(F.slice(ends, 1, F.size(lines)).alias("pos"), lines.alias("title"))
+    rows = F.transform(lines, lambda x, i: F.named_struct(F.lit("pos"), F.get(ends, i), F.lit("title"), x))
     heads = F.filter(rows, lambda r: r["title"].rlike(HEADING))
     return F.transform(heads, lambda r: F.named_struct(F.lit("pos"), r["pos"], F.lit("title"), F.trim(F.regexp_extract(r["title"], HEADING, 2))))
 
