@@ -37,6 +37,7 @@ BUCKETS = 22
 MOST_FEATURES = 8192
 LEAST_Z = 6.0
 LEAST_DOCS = 4
+MARGIN = 0.25
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,20 +172,20 @@ def fit(table: pa.Table, groups: tuple[tuple[str, ...], ...] = IDENTITY, *, stre
 
 
 def cut(odds: np.ndarray, y: np.ndarray, share: tuple[float, float]) -> float:
-    """The middle of the gap between log-odds that divides the classes with the fewest errors, with ``share`` as the classes' weights; of
-    equal ones the widest gap. 0 if a class is missing or no gap does better than calling nothing toxic."""
+    """The log-odds that divide the classes with the fewest errors, with ``share`` as the classes' weights and MARGIN to spare on either side,
+    so that texts which differ by less, as counterfactuals do, are not told apart; the middle of the widest range that does so. 0 if a class
+    is missing or nothing does better than calling no text toxic."""
     if not 0 < y.sum() < len(y):
         return 0.0
-    order = np.argsort(-odds, kind="stable")
-    z, label = odds[order], y[order]
-    gain = np.cumsum(label) * share[1] - np.cumsum(1 - label) * share[0]
-    gap = np.append(z[:-1] - z[1:], 0)
-    gain[gap <= 0] = 0
+    grid = np.linspace(odds.min() - MARGIN, odds.max() + MARGIN, 4001)
+    over = lambda z, at: len(z) - np.searchsorted(np.sort(z), at, "left")
+    gain = over(odds[y == 1], grid + MARGIN) * share[1] - over(odds[y == 0], grid - MARGIN) * share[0]
     if gain.max() <= 0:
         return 0.0
     best = np.flatnonzero(gain >= gain.max() - 1e-9)
-    k = best[np.argmax(gap[best])]
-    return float((z[k] + z[k + 1]) / 2)
+    runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
+    run = max(runs, key=len)
+    return float((grid[run[0]] + grid[run[-1]]) / 2)
 
 
 def held_out(id_col: str):
