@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import block_knn, decontaminate, html_extract, licences, line_dedup, mixing, sharding, sstable, toxicity
+from siftwell.llm import block_knn, decontaminate, html_extract, licences, line_dedup, mixing, oracles, sharding, sstable, toxicity
 from siftwell.llm.minhash_dedup import near_duplicates
 
 
@@ -71,5 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": oracles.OP1,
+    "op2_decontamination": oracles.OP2,
+    "op5_block_knn": oracles.OP5,
+    "op6_line_dedup": oracles.OP6,
     "op10_sharding": sharding.sql("documents"),
 }

@@ -1,6 +1,7 @@
 """Near copies, decontamination, lines and licences against plain versions, with the cases that data may bring."""
 
 import random
+import re
 
 import pytest
 
@@ -108,8 +109,7 @@ def test_random_contamination(spark):
 
 
 def windows(line, chars=line_dedup.CHARS):
-    w = line.split(" ")
-    return {" ".join(w[i : i + 4])[:chars] for i in range(len(w))}
+    return {line[m.start() : m.start() + chars] for m in re.finditer(r"(?<![^ ])[^ ]", line)}
 
 
 def deduplicated(rows):
