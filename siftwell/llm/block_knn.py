@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ship
+from siftwell.llm.common import in_arrow
 
 K = 5
 EVERY = 50
@@ -148,7 +148,6 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     query with fewer candidates gets them all. No queries give no rows. Only the named columns are read.
     """
     spark = vectors.sparkSession
-    ship(spark)
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     asked = source.filter("q and id is not null and v is not null").select("id", "v")
     size = asked.agg(F.sum(8 * F.size("v") + 16)).first()[0] or 0
@@ -158,7 +157,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     for b in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()  # about block_bytes
         if block.num_rows:
-            found = candidates.mapInArrow(_pass(block, k), "query_id long, vec_id long, score double")
+            found = in_arrow(candidates, _pass(block, k), "query_id long, vec_id long, score double")
             heaps = found if heaps is None else heaps.unionByName(found)
     if heaps is None:
         heaps = spark.createDataFrame([], "query_id long, vec_id long, score double")

@@ -6,10 +6,12 @@ dropped once their successor is written. A local temporary folder is taken only
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 
 #: Rows of single-column keys that a broadcast may hold; beyond it the same join shuffles both sides.
 BROADCAST_KEYS = 1 << 20
+#: Rows of a batch that goes to a Python worker.
+BATCH = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 _shipped: set[str] = set()
@@ -34,6 +39,35 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for workers that live long beside a full heap: batches of BATCH rows unless the session says otherwise, and each
+    task gives its free memory back to the system when it ends."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own default
+        spark.conf.set(_BATCH, BATCH)
+    return df.mapInArrow(_freeing(run), schema)
+
+
+def _freeing(run: Callable) -> Callable:
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    global _powers
+    if len(_powers[0]) > 1 << 21:
+        _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -65,9 +99,10 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed(big: DataFrame, keys: DataFrame, column: str, how: str, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Semi or anti join on one key: the key side is counted (it is a scratch table, so that is a footer read) and broadcast only
-    up to ``limit`` rows, else both sides are shuffled."""
+def keyed(big: DataFrame, keys: DataFrame, column: str | list[str], how: str = "inner", limit: int = BROADCAST_KEYS) -> DataFrame:
+    """Join with a scratch table of narrow rows, one for each key. Its rows are counted (a read of footers) and broadcast only up to
+    ``limit``. Beyond it both sides are shuffled, and as the table is read from files and not aggregated in place, adaptive execution can
+    split the tasks of a key that holds many rows of ``big``."""
     small = keys.limit(limit + 1).count() <= limit
     return big.join(F.broadcast(keys) if small else keys, column, how)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ALNUM, Scratch, Words, ship, texts
+from siftwell.llm.common import ALNUM, Scratch, Words, in_arrow, texts
 from siftwell.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -156,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def scanned(frame: DataFrame, b: int) -> DataFrame:
         block = bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
         items = [(r.item, r.text) for r in block.collect()]  # block_bytes at most, but for a single larger text
-        return frame.mapInArrow(_scanner(items, window, shard_bytes), SCHEMA)
+        return in_arrow(frame, _scanner(items, window, shard_bytes), SCHEMA)
 
     if blocks == 1:
         return scanned(source, 0)
@@ -207,8 +207,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 good[i:j] = (hit == 0) | (100 * hit < percent * n)
             yield batch.filter(pa.array(good))
 
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def _only_block(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", *, block_bytes: int = BLOCK_BYTES, **_) -> list[tuple[str | None, str]] | None:
@@ -236,4 +235,4 @@ def cut(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
     found = contamination(docs, benchmark, id_col, text_col, **options).filter("n_hit > 0").select("id", "spans")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.join(found, "id").select("id", "text", "spans").mapInArrow(run, "id long, text string")
+    return in_arrow(source.join(found, "id").select("id", "text", "spans"), run, "id long, text string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ship
+from siftwell.llm.common import in_arrow
 
 #: Elements of HTML by how they take part.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -249,7 +249,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out = [main_text(p) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    ship(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    out = source.mapInArrow(run, "id long, url string, text string, n_chars long")
+    out = in_arrow(source, run, "id long, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

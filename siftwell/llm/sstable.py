@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Scratch, ship, texts
+from siftwell.llm.common import Scratch, in_arrow, texts
 from siftwell.llm.tokens import encoder
 
 END_ID = 2
@@ -237,12 +237,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, scratch: Scratch, id_col
     """Write ``docs`` as shards in ``folder`` (a URI that every executor reaches) and give back the manifest, a row per shard that is
     not empty. Shards follow one another in ascending id, nulls first; rows of one id may spread over shards, in the order of a hash
     of their texts, so an id that many rows share is not one task's work. ``tokenizer`` is a path that executors can read."""
-    ship(docs.sparkSession)
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     order = ["id", F.xxhash64("text")]
     dealt = source.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return scratch.save(dealt.mapInArrow(_write(folder, tokenizer, end_id), MANIFEST))
+    return scratch.save(in_arrow(dealt, _write(folder, tokenizer, end_id), MANIFEST))
 
 
 def _read() -> object:
@@ -263,14 +262,13 @@ def _read() -> object:
 
 def read(spark: SparkSession, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32, shard) of every document, from the files of a manifest; a task for each shard."""
-    ship(spark)
     begins = manifest.select("shard", "path", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("base"))
     rows = begins.collect()  # a row per shard
     if not rows:
         return spark.createDataFrame([], f"{id_col} long, start long, n_tokens long, ids_crc32 long, shard int")
     listed = spark.createDataFrame([(i, r.shard, r.path) for i, r in enumerate(rows)], "i long, shard int, path string")
     spread = spark.range(0, len(rows), 1, len(rows)).withColumnRenamed("id", "i").join(F.broadcast(listed), "i").select("shard", "path")
-    found = spread.mapInArrow(_read(), "shard int, id long, at long, n_tokens long, ids_crc32 long")
+    found = in_arrow(spread, _read(), "shard int, id long, at long, n_tokens long, ids_crc32 long")
     base = spark.createDataFrame([(r.shard, r.base) for r in rows], "shard int, base long")
     out = found.join(F.broadcast(base), "shard")
     return out.select(F.col("id").alias(id_col), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
