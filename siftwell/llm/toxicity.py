@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import _ODD, ALNUM, Words, in_arrow, mix, texts
+from siftwell.llm.common import _ODD, ALNUM, Words, in_arrow, mix, release, texts
 
 #: Terms of a row may stand for one another.
 IDENTITY: tuple[tuple[str, ...], ...] = (
@@ -212,7 +212,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[tuple[str, ...], ...] = IDENTITY, **options) -> Model:
     counts = learnable(labels, id_col).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    return fit(training_sample(docs, labels, id_col, text_col, **options), groups, classes=tuple(counts))
+    model = fit(training_sample(docs, labels, id_col, text_col, **options), groups, classes=tuple(counts))
+    release()  # the driver's memory, which the sample took
+    return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
