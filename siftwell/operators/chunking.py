@@ -48,20 +48,22 @@ def pack(parts: Column, size: int, overlap: int) -> Column:
 
 
 def chunk_texts(text: Column, strategy: str, size: int = 800, overlap: int = 120) -> Column:
-    """Array of chunk texts by strategy ``fixed``, ``paragraph`` or ``sentence``."""
+    """Array of chunk texts of a stripped text by strategy ``fixed``, ``paragraph`` or ``sentence``. Give it a column, not an expression: the
+    windows refer to it again and again."""
     if strategy == "fixed":
-        return windows(strip(text), size, overlap)
+        return windows(text, size, overlap)
     if strategy == "paragraph":
-        return pack(paragraphs(strip(text)), size, overlap)
+        return pack(paragraphs(text), size, overlap)
     if strategy == "sentence":
-        return pack(sentences(strip(text)), size, overlap)
+        return pack(sentences(text), size, overlap)
     raise ValueError(f"no chunking strategy {strategy!r}")
 
 
 def chunk_documents(docs: DataFrame, strategy: str = "fixed", size: int = 800, overlap: int = 120, headings: bool = False) -> DataFrame:
     """``docs(doc_path, text)`` -> chunk rows. With ``headings`` each chunk gets the last heading at or before the place where its first
     40 characters are first found from the previous chunk's place on."""
-    pieces = docs.filter("text is not null").withColumn("_parts", chunk_texts(F.col("text"), strategy, size, overlap))
+    whole = docs.filter("text is not null").withColumn("_text", strip(F.col("text")))
+    pieces = whole.withColumn("_parts", chunk_texts(F.col("_text"), strategy, size, overlap))
     heads = F.expr("cast(array() as array<struct<pos:int,title:string>>)")
     where = F.expr("cast(array() as array<int>)")
     if headings:
@@ -74,7 +76,7 @@ def chunk_documents(docs: DataFrame, strategy: str = "fixed", size: int = 800, o
             ),
             lambda acc: acc["at"],
         )
-    rows = pieces.select("doc_path", heads.alias("_heads"), where.alias("_where"), F.posexplode("_parts").alias("chunk_index", "content"))
+    rows = pieces.select("doc_path", heads.alias("_heads"), where.alias("_where"), F.posexplode_outer("_parts").alias("chunk_index", "content")).filter("content is not null")  # the inner form computes the parts twice, for a filter on their number
     at = F.get("_where", F.col("chunk_index"))
     before = F.filter("_heads", lambda h: h["pos"] <= at)
     title = F.when(at > 0, F.coalesce(F.try_element_at(before, F.lit(-1))["title"], F.lit(""))).otherwise(F.lit(""))

@@ -39,7 +39,8 @@ class LexicalIndex:
     def __init__(self, corpus: DataFrame):
         tokens = corpus.select("chunk_id", tokenize(F.coalesce("content", F.lit(""))).alias("t"))
         self.lengths = tokens.select("chunk_id", F.size("t").alias("dl"))
-        self.postings = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).persist()
+        words = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).filter("term is not null")
+        self.postings = words.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).persist()
         counts = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         idf = df.crossJoin(F.broadcast(counts)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
