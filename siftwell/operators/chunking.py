@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import paragraphs, sentences, strip
+from siftwell.session import ship
 
 HEADING = r"^(#{1,6})\s+(.*)$"
 TARGET, HARD_MAX, CUT_AT = 1100, 2200, 1600
@@ -234,6 +235,7 @@ def chunk_markdown(docs: DataFrame, target: int = TARGET, hard_max: int = HARD_M
             rows = [(f"{path}#{i}", path, i, c, h) for path, text in zip(batch["doc_path"], batch["text"], strict=True) if text for i, (c, h) in enumerate(markdown_chunks(text, target, hard_max))]
             yield pd.DataFrame(rows, columns=["chunk_id", "doc_path", "chunk_index", "content", "heading"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_path", "text").mapInPandas(run, CHUNK)
 
 

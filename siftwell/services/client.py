@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.session import ship
+
 RESULT = "id string, text string, model string, cost_usd double, input_tokens long, output_tokens long, duration_ms long, is_error boolean, error string"
 
 
@@ -66,6 +68,7 @@ def call(prompts: DataFrame, client: Client, model: str, system: str = "", *, tr
         within = rows.select("id").orderBy("id").limit(budget)
         over = rows.join(within, "id", "left_anti").select("id", F.lit("").alias("text"), F.lit(model).alias("model"), F.lit(0.0).alias("cost_usd"), *[F.lit(0).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "duration_ms")], F.lit(True).alias("is_error"), F.lit("over budget").alias("error"))
         rows = rows.join(within, "id", "left_semi")
+    ship(prompts.sparkSession)
     out = (rows.repartition(at_once) if at_once else rows).mapInPandas(run, RESULT)
     return out if over is None else out.unionByName(over)
 
@@ -109,4 +112,5 @@ def embed(texts: DataFrame, encoder, column: str = "text", batch: int = 64, pref
             yield pdf
 
     schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes) + ", vector array<float>"
+    ship(texts.sparkSession)
     return texts.mapInPandas(run, schema)

@@ -1,9 +1,25 @@
-"""Sessions for local runs; on a cluster the caller brings its own."""
+"""Sessions for local runs (on a cluster the caller brings its own), and this package on the executors."""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
 
 def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     return (
