@@ -36,10 +36,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Parts of class names and ids.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners adsense adslot menu menus nav navbar navigation breadcrumb breadcrumbs "
-    "sidebar sidebars sidenav rail widget widgets footer foot masthead topbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices popup "
+    "sidebar sidebars sidenav footer masthead topbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices popup "
     "modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations outbrain taboola login pagination pager toolbar skip".split()
 )
 HEADERS = frozenset(("header", "head"))
+#: Parts that say a name is about something else: ``has-sidebar`` is not a sidebar.
+ABOUT = frozenset(("has", "with", "no", "without", "free"))
 
 _ATTRS = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({'|'.join(RAW)})(?=[\s/>]){_ATTRS}>(?:.*?</\1(?=[\s/>])[^>]*+(?:>|\Z)|.*)|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRS})>", re.S | re.I)
@@ -62,7 +64,7 @@ class Node:
         self.children: dict[tuple, Node] = {}
 
 
-def _judge(tag: str, attrs: str, within: Node) -> tuple[str, bool, bool]:
+def _judge(tag: str, attrs: str, within: Node, by_name: bool) -> tuple[str, bool, bool]:
     """A path's label for an element, whether it names something that is not main text, and whether it names the main text."""
     drop = tag in DROPPED
     explicit = tag in ("article", "main")
@@ -72,6 +74,8 @@ def _judge(tag: str, attrs: str, within: Node) -> tuple[str, bool, bool]:
         names = f"{known.get('class', '')} {known.get('id', '')}"
         label = f"{tag}.{known.get('class', '')}#{known.get('id', '')}"
         parts = {p.lower() for p in _PART.findall(names)}
+        if not by_name or parts & ABOUT:
+            parts = set()
         role = known.get("role", "").lower()
         explicit |= role == "main" or known.get("itemprop", "") == "articleBody"
         whole = tag in ("html", "body", "article", "main")
@@ -92,8 +96,9 @@ def _inside(node: Node | None) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """(path, text, characters within links) of each block of text, in page order; text of dropped parts is left out."""
+def blocks(page: str, by_name: bool = True) -> list[tuple[Node, str, int]]:
+    """(path, text, characters within links) of each block of text, in page order; text of dropped parts is left out. ``by_name``: class
+    names and ids can drop a part."""
     root = Node(None, "", False, False)
     stack: list[tuple[str, Node, bool]] = [("", root, False)]
     open_: Counter[str] = Counter()
@@ -166,7 +171,7 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         if tag in CLOSES:
             close(*CLOSES[tag])
         here = stack[-1][1]
-        label, drop, explicit = _judge(tag, m[4], here)
+        label, drop, explicit = _judge(tag, m[4], here, by_name)
         plain = tag in INLINE and not drop
         if plain:
             node = here
@@ -193,7 +198,7 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 
 def main_text(page: str | None) -> str:
     """The text of the page's content blocks, in page order, a space between blocks; empty if there is none."""
-    found = blocks(page or "")
+    found = blocks(page or "") or blocks(page or "", by_name=False)
     if not found:
         return ""
     paths: dict[int, int] = {}
@@ -223,11 +228,11 @@ def main_text(page: str | None) -> str:
         top = max(named, key=lambda n: (below[id(n)], n.depth))
         return " ".join(t for n, t, _ in found if _under(n, top))
     top = max((n for k, n in nodes.items() if below[k] >= COVER * total), key=lambda n: n.depth)
+    if top.tag not in ("", "html", "body", "div", "section", "td") and top.parent is not None:
+        top = top.parent  # all paragraphs of a container have one path
     if top.tag in ("", "html", "body"):
         parents = {id(n.parent) for (n, _, _), c in zip(found, chosen, strict=True) if c}
         return " ".join(t for (n, t, k), c in zip(found, chosen.tolist(), strict=True) if c or (id(n.parent) in parents and n.tag not in ("", "html", "body", "div") and 2 * k <= len(t)))
-    if top.tag not in ("div", "section", "td") and top.parent is not None and top.parent.tag not in ("", "html", "body"):
-        top = top.parent
     return " ".join(t for n, t, k in found if _under(n, top) and (n.tag not in ("li", "ul", "ol") or 10 * k <= 9 * len(t)))
 
 

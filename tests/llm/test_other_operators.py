@@ -254,3 +254,24 @@ def test_pipeline_stage_by_stage(spark):
     assert ids(before) == ids(after)
     rows = pipeline.run(spark, d)
     assert Counter((r.doc_id, r.shard) for r in rows.collect()) == Counter((r.doc_id, r.shard) for r in steps["sharding"][1].collect())
+
+
+ARTICLE = "<h1>Title here</h1><p>First para, with words. And more, of them.</p><p>Short.</p><p>Third <a href='x'>link</a> para; it has marks, too.</p>"
+PLAIN = "Title here First para, with words. And more, of them. Short. Third link para; it has marks, too."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='layout has-sidebar'><div class='content'>{}</div><div class='sidebar'><p>Side, words. More of it, here.</p></div></div></body>",
+        "<body><div class='comment'>{}</div></body>",
+        "<body>{}<footer>f</footer></body>",
+        "<body><div id='menu'><a href=1>a</a> <a href=2>b</a></div><div id='main'>{}</div><div id='foot'>&copy; 2020</div></body>",
+        "<article>{}<section id='comments'><h2>Comments</h2><p>Great, thanks. Really, good.</p></section><aside>Related, stuff.</aside></article>",
+        "<div role='alert'>Notice, now. This is.</div><div class='wrap'><div class='notice'>Be warned, now.</div>{}<form><p>Name, mail.</p></form></div>",
+        "<table><tr><td><ul><li><a href=1>Home page</a><li><a href=2>About us</a></ul></td><td>{}</td></tr></table>",
+        "<article>{}<template><p>no</p></template><noscript><img src=x>no</noscript><!-- <p>no</p> --></article>",
+    ],
+)
+def test_layouts(page):
+    assert html_extract.main_text(page.format(ARTICLE)) == PLAIN
