@@ -94,27 +94,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     scratch = Scratch(docs.sparkSession)
     keyed = docs.withColumns({
-        "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-        "_n": tokens(F.col(text_col).cast("string")),
-        "_hd": F.xxhash64(F.col(id_col), F.col(text_col)),
+        "__siftwell_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
+        "__siftwell_n": tokens(F.col(text_col).cast("string")),
+        "__siftwell_hd": F.xxhash64(F.col(id_col), F.col(text_col)),
     })
-    facts = scratch.save(keyed.select(F.col("_source").alias("source"), F.col("_n").alias("n"), F.col("_hd").alias("hd")))
+    facts = scratch.save(keyed.select(F.col("__siftwell_source").alias("source"), F.col("__siftwell_n").alias("n"), F.col("__siftwell_hd").alias("hd")))
     sizes = scratch.save(facts.groupBy("source").agg(F.sum("n").alias("n")))
     a = exponent(sizes, entropy=entropy, repeat=repeat, budget=budget)
     count = sizes.select("source", F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_TOKENS))).cast("int").alias("blocks"))
     few = sizes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     small = (lambda f: F.broadcast(f)) if few else (lambda f: f)
     facts = facts.join(small(count), "source").withColumn("block", F.pmod(F.xxhash64("hd", F.lit("block")), F.col("blocks")).cast("int"))
-    decided = plan(facts, scratch, a, budget).join(count, "source").withColumnRenamed("source", "_source").withColumnsRenamed({c: f"_{c}" for c in ("weight", "whole", "cut_block", "last_block", "cut_doc", "blocks")}).drop("n", "goal", "left")
-    out = keyed.join(small(decided), "_source").withColumn("_block", F.pmod(F.xxhash64("_hd", F.lit("block")), F.col("_blocks")).cast("int"))
-    hb = F.xxhash64(F.col("_source"), F.col("_block"), F.lit("part"))
-    early = (hb < F.col("_cut_block")) | ((hb == F.col("_cut_block")) & (F.col("_block") < F.col("_last_block")))
-    inside = (F.col("_block") == F.col("_last_block")) & (F.col("_hd") <= F.col("_cut_doc"))
-    passes = F.col("_whole") + F.when(early | inside, 1).otherwise(0)
+    decided = plan(facts, scratch, a, budget).join(count, "source").withColumnRenamed("source", "__siftwell_source").withColumnsRenamed({c: f"__siftwell_{c}" for c in ("weight", "whole", "cut_block", "last_block", "cut_doc", "blocks")}).drop("n", "goal", "left")
+    out = keyed.join(small(decided), "__siftwell_source").withColumn("__siftwell_block", F.pmod(F.xxhash64("__siftwell_hd", F.lit("block")), F.col("__siftwell_blocks")).cast("int"))
+    hb = F.xxhash64(F.col("__siftwell_source"), F.col("__siftwell_block"), F.lit("part"))
+    early = (hb < F.col("__siftwell_cut_block")) | ((hb == F.col("__siftwell_cut_block")) & (F.col("__siftwell_block") < F.col("__siftwell_last_block")))
+    inside = (F.col("__siftwell_block") == F.col("__siftwell_last_block")) & (F.col("__siftwell_hd") <= F.col("__siftwell_cut_doc"))
+    passes = F.col("__siftwell_whole") + F.when(early | inside, 1).otherwise(0)
     names = ["n_tokens", "weight", "epoch", "block", "block_order"] if details else []
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    out = out.withColumn("_passes", passes.cast("int")).filter("_passes > 0").withColumn("_epoch", F.explode(F.expr("sequence(0, _passes - 1)")))
+    out = out.withColumn("__siftwell_passes", passes.cast("int")).filter("__siftwell_passes > 0").withColumn("__siftwell_epoch", F.explode(F.expr("sequence(0, __siftwell_passes - 1)")))
     if not details:
         return out.select(*kept)
-    shuffled = F.when(F.col("_epoch") == F.col("_whole"), hb).otherwise(F.xxhash64("_source", "_block", "_epoch"))
-    return out.select(*kept, F.col("_n").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), shuffled.alias("block_order"))
+    shuffled = F.when(F.col("__siftwell_epoch") == F.col("__siftwell_whole"), hb).otherwise(F.xxhash64("__siftwell_source", "__siftwell_block", "__siftwell_epoch"))
+    return out.select(*kept, F.col("__siftwell_n").alias("n_tokens"), F.col("__siftwell_weight").alias("weight"), F.col("__siftwell_epoch").alias("epoch"), F.col("__siftwell_block").alias("block"), shuffled.alias("block_order"))

@@ -54,11 +54,11 @@ def place(docs: DataFrame, key: str = "doc_id", *, shards: int | list[str] = SHA
     New columns replace columns of the same name. An empty table stays empty.
     """
     names = [f"shard-{i}" for i in range(shards)] if isinstance(shards, int) else shards
-    table = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(names, slots))), "_slot int, _shard int")
+    table = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(names, slots))), "__siftwell_slot int, __siftwell_shard int")
     kept = [c for c in docs.columns if c not in (slot_name, shard_name)]
-    keyed = docs.withColumn("_slot", slot_of(F.col(key), slots))
-    out = keyed.join(F.broadcast(table), "_slot")
-    added = [F.col("_shard").alias(shard_name)] + ([F.col("_slot").alias(slot_name)] if slot_name else [])
+    keyed = docs.withColumn("__siftwell_slot", slot_of(F.col(key), slots))
+    out = keyed.join(F.broadcast(table), "__siftwell_slot")
+    added = [F.col("__siftwell_shard").alias(shard_name)] + ([F.col("__siftwell_slot").alias(slot_name)] if slot_name else [])
     return out.select(*[F.col(f"`{c}`") for c in kept], *added)
 
 
