@@ -14,14 +14,14 @@ are compared: no link that the tables offer is lost, and the copies of a large g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import _ODD, SPACED, Scratch, Words, keyed, longs, mix, texts
+from siftwell.llm.common import _ODD, SPACED, Scratch, Words, in_arrow, keyed, longs, mix, texts
 from siftwell.llm.components import components
 
 SHINGLE = 5
@@ -117,21 +117,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = scratch.save(source.mapInArrow(_signatures(size, collections, rows), "id long, n long, one long, two long, keys array<long>"))
+    sig = scratch.save(in_arrow(source, _signatures(size, collections, rows), "id long, n long, one long, two long, keys array<long>"))
 
     # Equal sets: the smallest id stands for them. Counts are pre-aggregated before their shuffle.
     full = sig.filter("n > 0 and id is not null")
     same = full.groupBy("one", "two", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    base = scratch.save(full.join(same, ["one", "two", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "keys"))
+    base = scratch.save(keyed(full, scratch.save(same), ["one", "two", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "keys"))
 
     # Keys of either collection that several sets share; then the tables' keys, from pairs of them.
     single = base.filter("id = rep").select("rep", "n", F.posexplode("keys").alias("pos", "key")).select("rep", "n", (F.col("pos") >= collections).alias("second"), "key")
     shared = single.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
-    halves = single.join(shared, "key").groupBy("rep", "n").agg(F.collect_set(F.when(~F.col("second"), F.col("key"))).alias("a"), F.collect_set(F.when(F.col("second"), F.col("key"))).alias("b"))
+    halves = keyed(single, scratch.save(shared), "key").groupBy("rep", "n").agg(F.collect_set(F.when(~F.col("second"), F.col("key"))).alias("a"), F.collect_set(F.when(F.col("second"), F.col("key"))).alias("b"))
     keyed_pairs = halves.select("rep", "n", F.explode("a").alias("ka"), "b").select("rep", "n", "ka", F.explode("b").alias("kb"))
     tables = scratch.save(keyed_pairs.select("rep", "n", F.xxhash64("ka", "kb").alias("bucket")))
     pivots = tables.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("hi")).filter("pivot < hi").drop("hi")
-    member = scratch.save(tables.join(pivots, "bucket").select("bucket", "rep", "n", "pivot"))
+    member = scratch.save(keyed(tables, scratch.save(pivots), "bucket").select("bucket", "rep", "n", "pivot"))
     scratch.drop(tables)
 
     ids = scratch.save(member.select(F.col("rep").alias("id")).distinct())
@@ -141,14 +141,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(member)
     alike = f"both > 0 and 100 * both >= {percent} * (na + nb - both)"
     links = scratch.save(seen.filter(alike).select("a", "b").unionByName(_one_id_several_sets(base)))
-    found = components(links, scratch)
-    more = scratch.save(_compared(between(seen, found, percent, scratch), wanted, size).filter(alike).select("a", "b"))
-    scratch.drop(seen)
-    if not more.isEmpty():
-        found = components(links.unionByName(more), scratch)
+    found = all_links(seen, links, lambda pairs: _compared(pairs, wanted, size).filter(alike).select("a", "b"), percent, scratch)
 
     label = found.select(F.col("id").alias("rep"), "component")
-    out = base.select("id", "n", "rep").join(label, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = keyed(base.select("id", "n", "rep"), scratch.save(label), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     out = out.unionByName(sig.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
@@ -158,7 +154,7 @@ def _compared(pairs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Pairs with their full sets compared. Texts travel, not sets: they are less than half as large."""
     x = wanted.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     y = wanted.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(size), COMPARED)
+    return in_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb"), _compare(size), COMPARED)
 
 
 def _one_id_several_sets(base: DataFrame) -> DataFrame:
@@ -167,31 +163,58 @@ def _one_id_several_sets(base: DataFrame) -> DataFrame:
     return base.select("id", F.col("rep").alias("a")).join(several, "id").select("a", "b")
 
 
-def between(seen: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of members of one pivot, in different components, whose overlap may be large enough.
+def all_links(seen: DataFrame, links: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """Components of all members that pivots have seen: of the links with the pivots, of those with each pivot's middle member, and of the
+    pairs that may still be linked. ``compare`` gives (a, b) of the pairs of a frame that are similar enough."""
+    found = components(links, scratch)
+    for choose in (middle, between):
+        more = scratch.save(compare(choose(seen, found, percent, scratch)))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links, scratch)
+    return found
 
-    The members are measured against a reference set: the pivot's shingles and those that a share of its members have (a pivot may
-    itself be an edited copy). With b_x and b_y their overlaps with it and s the shingles they share outside it, two members overlap in
-    at most min(b_x, b_y) + s, and a member of n shingles needs at least need = percent * n / 100 - b outside. Of its shingles outside
-    only those count that another component's members have too. If they are fewer than it needs, it is out; else they are put in one
-    order, rare ones first, and whatever shares ``need`` of them shares one of all but the last need - 1, which alone are joined.
-    Pairs with s = 0 need both members to lie in the reference to ``percent`` in a hundred at least.
+
+def _measured(seen: DataFrame, found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members of pivots whose members lie in several components: (p, x, bx, nx, cx, cp) with bx the overlap with the reference set, and
+    their shingles outside it that another component's members have too, with counts: (p, x, s, c).
+
+    The reference set is the pivot's shingles and those that one in COMMON of its members has: a pivot may itself be an edited copy.
     """
     label = found.select("id", "component")
     rows = seen.join(label.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left").join(label.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left")
     rows = rows.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("both").alias("bx"), F.col("nb").alias("nx"), "rest", F.coalesce("cb", "b").alias("cx"), F.coalesce("ca", "a").alias("cp"))
-    open_ = rows.groupBy("p").agg(F.max(F.col("cx") != F.col("cp")).alias("o"), F.count("*").alias("c")).filter("o and c > 1").select("p")
+    open_ = rows.groupBy("p").agg(F.max(F.col("cx") != F.col("cp")).alias("o"), F.count("*").alias("g")).filter("o and g > 1").select("p", "g")
     rows = scratch.save(rows.join(open_, "p"))
-    single = rows.select("p", "x", "cx", F.explode("rest").alias("s"))
-    group = rows.groupBy("p").agg(F.count("*").alias("g"))
-    shared = single.groupBy("p", "s").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.count("*").alias("c")).filter("lo < hi").join(group, "p")
+    single = rows.select("p", "x", "cx", "g", F.explode("rest").alias("s"))
+    shared = single.groupBy("p", "s").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.count("*").alias("c"), F.max("g").alias("g")).filter("lo < hi")
     shared = scratch.save(shared.select("p", "s", "c", F.expr(f"c >= 4 and {COMMON} * c >= g").alias("common")))
-    held = scratch.save(single.drop("cx").join(shared, ["p", "s"]))
+    held = scratch.save(single.select("p", "x", "s").join(shared, ["p", "s"]))
     extra = held.groupBy("p", "x").agg(F.count_if("common").alias("more"))
-    plain = rows.drop("rest").join(extra, ["p", "x"], "left").withColumn("bx", F.col("bx") + F.coalesce("more", F.lit(0))).drop("more")
-    plain = scratch.save(plain)
+    plain = rows.drop("rest", "g").join(extra, ["p", "x"], "left").withColumn("bx", F.col("bx") + F.coalesce("more", F.lit(0))).drop("more")
+    return scratch.save(plain), held.filter("not common").drop("common")
+
+
+def middle(seen: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of each pivot's member that is nearest to the reference set with its members in other components."""
+    plain, _ = _measured(seen, found, scratch)
+    best = plain.groupBy("p").agg(F.max(F.struct((2 * F.col("bx") - F.col("nx")).alias("near"), F.col("x").alias("m"), F.col("cx").alias("cm"))).alias("t"))
+    pairs = plain.join(best.select("p", "t.m", "t.cm"), "p").filter("cx <> cm")
+    return pairs.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
+
+
+def between(seen: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of members of one pivot, in different components, whose overlap may be large enough.
+
+    With b_x and b_y their overlaps with the reference set and s the shingles they share outside it, two members overlap in at most
+    min(b_x, b_y) + s, and a member of n shingles needs at least need = percent * n / 100 - b outside. Of its shingles outside only those
+    count that another component's members have too. If they are fewer than it needs, it is out; else they are put in one order, rare
+    ones first, and whatever shares ``need`` of them shares one of all but the last need - 1, which alone are joined. Pairs with s = 0
+    need both members to lie in the reference to ``percent`` in a hundred at least.
+    """
+    plain, held = _measured(seen, found, scratch)
     member = Window.partitionBy("p", "x")
-    ranked = held.filter("not common").withColumns({"sx": F.count("*").over(member), "pos": F.row_number().over(member.orderBy("c", "s"))})
+    ranked = held.withColumns({"sx": F.count("*").over(member), "pos": F.row_number().over(member.orderBy("c", "s"))})
     need = F.expr(f"greatest(1, ({percent} * nx + 99) div 100 - bx)")
     single = scratch.save(ranked.select("p", "x", "s", "sx", "pos").join(plain, ["p", "x"]).filter(F.col("pos") <= F.col("sx") - need + 1).drop("pos"))
 
@@ -218,5 +241,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if twice.isEmpty():
         return out
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.monotonically_increasing_id())
-    one = keyed(out, twice, id_col, "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(docs.columns)
+    one = keyed(out, twice, id_col, "left_semi").withColumn("__siftwell_nth", F.row_number().over(order)).filter("__siftwell_nth = 1").select(docs.columns)
     return keyed(out, twice, id_col, "left_anti").select(docs.columns).unionByName(one)
