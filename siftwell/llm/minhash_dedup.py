@@ -185,7 +185,7 @@ def _measured(seen: DataFrame, found: DataFrame, scratch: Scratch) -> tuple[Data
     rows = seen.join(label.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left").join(label.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left")
     rows = rows.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("both").alias("bx"), F.col("nb").alias("nx"), "rest", F.coalesce("cb", "b").alias("cx"), F.coalesce("ca", "a").alias("cp"))
     open_ = rows.groupBy("p").agg(F.max(F.col("cx") != F.col("cp")).alias("o"), F.count("*").alias("g")).filter("o and g > 1").select("p", "g")
-    rows = scratch.save(rows.join(open_, "p"))
+    rows = scratch.save(keyed(rows, scratch.save(open_), "p"))
     single = rows.select("p", "x", "cx", "g", F.explode("rest").alias("s"))
     shared = single.groupBy("p", "s").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.count("*").alias("c"), F.max("g").alias("g")).filter("lo < hi")
     shared = scratch.save(shared.select("p", "s", "c", F.expr(f"c >= 4 and {COMMON} * c >= g").alias("common")))
@@ -199,7 +199,7 @@ def middle(seen: DataFrame, found: DataFrame, percent: int, scratch: Scratch) ->
     """Pairs (a, b) of each pivot's member that is nearest to the reference set with its members in other components."""
     plain, _ = _measured(seen, found, scratch)
     best = plain.groupBy("p").agg(F.max(F.struct((2 * F.col("bx") - F.col("nx")).alias("near"), F.col("x").alias("m"), F.col("cx").alias("cm"))).alias("t"))
-    pairs = plain.join(best.select("p", "t.m", "t.cm"), "p").filter("cx <> cm")
+    pairs = keyed(plain, scratch.save(best.select("p", "t.m", "t.cm")), "p").filter("cx <> cm")
     return pairs.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
 
 
