@@ -26,7 +26,7 @@ WINDOW = 13
 #: Of words of a document that are hit, so many in a hundred make it contaminated.
 PERCENT = 5
 BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Rows located at a time, so that a phrase of great frequency takes no more memory.
 LOCATE = 1 << 18
 
