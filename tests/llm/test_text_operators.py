@@ -147,6 +147,25 @@ def test_repeated_rows_are_one_document_of_lines(spark):
     assert out == [(0, 1, "c d"), (1, 1, "a b"), (1, 1, "a b"), (2, 0, "")]
 
 
+def all_windows(line, chars=line_dedup.CHARS):
+    """Shingles from word starts and from each ``chars``-th character of a word."""
+    return {line[k : k + chars] for m in re.finditer(r"[^ ]+", line) for k in range(*m.span(), chars)}
+
+
+def test_shingles_cover_every_character(spark):
+    rng = random.Random(8)
+    lines = ["", "  ", "a", " a  bc ", "x" * 16, "x" * 17, "ab " + "y" * 40 + " c", "\ta\tb\tc and\tmore of it\t", "\U00020000" * 17 + " a"]
+    lines += ["".join(rng.choice("ab \t\u4e2d\U00020000") * rng.choice((1, 1, 9)) for _ in range(rng.randrange(40))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i long, line string").select("i", line_dedup.windows("line").alias("w")).collect()
+    assert {r.i: set(r.w) for r in rows} == {i: all_windows(x) for i, x in enumerate(lines)}
+
+
+def test_lines_that_differ_late_in_a_word_stay(spark):
+    texts = ["https://www.example.com/a\nhttps://www.example.com/b", "See https://example.org/item/1\nSee https://example.org/item/2", "id-0000000000000000\tone\t1\nid-0000000000000000\ttwo\t2", "\u5929\u5730\u7384\u9ec3" * 4 + "\u5b87\u5b99\u6d2a\u8352\n" + "\u5929\u5730\u7384\u9ec3" * 4 + "\u65e5\u6708\u76c8\u6603"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.deduplicate(docs).collect()} == dict(enumerate(texts))
+
+
 LICENCES = {
     "Licensed under the Apache License, Version 2.0.": ["apache"], "Released under the MIT License.": ["mit"], "This work is licensed under the GNU General Public License, version 3.": ["gpl"], "Licensed under CC BY-NC 4.0.": ["cc-by-nc"],
     "All rights reserved.": ["proprietary"], "text\nLICENSED UNDER CC BY 4.0\nmore\nAll rights reserved.": ["cc-by", "proprietary"], "She lost her driving licence.": [], "Licensed under the Blorb Data Licence 3.": [], "no such words": [], "": [],
