@@ -166,6 +166,19 @@ def test_lines_that_differ_late_in_a_word_stay(spark):
     assert {r.doc_id: r.text for r in line_dedup.deduplicate(docs).collect()} == dict(enumerate(texts))
 
 
+def test_links_of_few_shingles_are_all_found(spark):
+    """Pairs of short lines of which one has a word more at the start."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(1500):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(16)) for _ in range(rng.randrange(3, 8))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([f"{i:016}", *words]))]
+    sets = {i: windows(t) for i, t in rows}
+    alike = {i + 1 for i in range(0, 3000, 2) if 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1])}
+    out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert alike == {r.doc_id for r in out.filter("n_kept = 0").collect()} and len(alike) == 1500
+
+
 LICENCES = {
     "Licensed under the Apache License, Version 2.0.": ["apache"], "Released under the MIT License.": ["mit"], "This work is licensed under the GNU General Public License, version 3.": ["gpl"], "Licensed under CC BY-NC 4.0.": ["cc-by-nc"],
     "All rights reserved.": ["proprietary"], "text\nLICENSED UNDER CC BY 4.0\nmore\nAll rights reserved.": ["cc-by", "proprietary"], "She lost her driving licence.": [], "Licensed under the Blorb Data Licence 3.": [], "no such words": [], "": [],
