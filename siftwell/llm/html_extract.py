@@ -4,7 +4,7 @@ Text nodes are grouped by their root-to-leaf tag path. A path's text ratio is it
 punctuation ratio its punctuation marks per node; both are smoothed over neighbouring nodes in page order with a Gaussian, fused into
 one score, and paths over a share of the scores' deviation are content. Content paths vote for a container, weighted by their text: the
 deepest element that holds most of it, where an <article> or <main> is preferred. All of the container is kept, so a short paragraph or
-a heading stays, but for parts whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert, form or reader
+a heading stays, and so do content outside it and other articles, but for parts whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert, form or reader
 comment, or that are not text.
 
 A page is parsed alone, so the operator is one pass without a shuffle. The parser is linear in the page's length.
@@ -48,6 +48,8 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+#: A block outside the container that begins so is the page's own notice.
+_NOTICE = re.compile(r"(?i)(?:©|\(c\)|copyright\b)[\s©]*\d{4}")
 _SOME = re.compile(r"(?i)\b(?:class|id|role|hidden|aria-hidden|style|itemprop)\b")
 
 SHARE = 0.3
@@ -226,14 +228,24 @@ def main_text(page: str | None) -> str:
     named = [n for k, n in nodes.items() if n.explicit and below[k] >= EXPLICIT * total]
     if named:
         top = max(named, key=lambda n: (below[id(n)], n.depth))
-        return " ".join(t for n, t, _ in found if _under(n, top))
+        # Other articles with content stay too, but for what only wraps this one.
+        tops = [top, *(n for k, n in nodes.items() if n.explicit and below[k] > 0 and not _under(top, n) and not _under(n, top))]
+        return " ".join(t for n, t, _ in found if any(_under(n, x) for x in tops))
     top = max((n for k, n in nodes.items() if below[k] >= COVER * total), key=lambda n: n.depth)
     if top.tag not in ("", "html", "body", "div", "section", "td") and top.parent is not None:
         top = top.parent  # all paragraphs of a container have one path
     if top.tag in ("", "html", "body"):
         parents = {id(n.parent) for (n, _, _), c in zip(found, chosen, strict=True) if c}
         return " ".join(t for (n, t, k), c in zip(found, chosen.tolist(), strict=True) if c or (id(n.parent) in parents and n.tag not in ("", "html", "body", "div") and 2 * k <= len(t)))
-    return " ".join(t for n, t, k in found if _under(n, top) and (n.tag not in ("li", "ul", "ol") or 10 * k <= 9 * len(t)))
+    # Content outside the container stays, with short blocks beside it.
+    outside = {id(n.parent) for (n, _, _), c in zip(found, chosen, strict=True) if c and not _under(n, top)}
+
+    def stays(n: Node, t: str, k: int, c: bool) -> bool:
+        if _under(n, top):
+            return n.tag not in ("li", "ul", "ol") or 10 * k <= 9 * len(t)
+        return 2 * k <= len(t) and not _NOTICE.match(t) and (c or (id(n.parent) in outside and n.tag not in ("", "html", "body", "div", "td")))
+
+    return " ".join(t for (n, t, k), c in zip(found, chosen.tolist(), strict=True) if stays(n, t, k, c))
 
 
 def _under(node: Node | None, top: Node) -> bool:

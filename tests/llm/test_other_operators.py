@@ -275,3 +275,20 @@ PLAIN = "Title here First para, with words. And more, of them. Short. Third link
 )
 def test_layouts(page):
     assert html_extract.main_text(page.format(ARTICLE)) == PLAIN
+
+
+LONG = "Many words stand here, and some more of them; a mark too. " * 6
+PART = "Part of it, with some words, and a mark; and then a few more."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id=content><section id=a><p>{0}</p></section><section id=b><p>{1}</p></section></div>",
+        "<div><div class=lead><p>{1}</p></div><div class=body><p>{0}</p></div></div>",
+        "<article class=one><p>{0}</p></article><article class=two><p>{1}</p></article>",
+    ],
+)
+def test_content_outside_the_largest_part_stays(page):
+    text = html_extract.main_text(page.format(LONG, PART))
+    assert PART in text and LONG.strip() in text
