@@ -1,7 +1,9 @@
 """Published arithmetic, edge cases and invariants."""
 
+import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import evalset as E
@@ -82,3 +84,18 @@ def test_plans_push_down_and_limit_groups(spark):
     v = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     assert "WindowGroupLimit" in R.vector_topk(v, q, 3)._jdf.queryExecution().toString()
+
+
+def test_bootstrap_queries_take_every_document(spark, tmp_path):
+    from siftwell.queries import evaluation
+
+    spark.range(400).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    d = [float(number(f"r{i}") % 101 - number(f"b{i}") % 101) for i in range(400) if i % 17 and i % 19]
+    rng = random.Random(0)
+    means = sorted(sum(rng.choice(d) for _ in d) / len(d) for _ in range(2000))
+    r = evaluation.bootstrap_ci_exact(spark, str(tmp_path)).first()
+    assert (r.n, r.low, r.high) == (len(d), means[50], means[1950])
+    means = sorted(sum(d[number(f"{i}:{j}") % len(d)] for j in range(len(d))) / len(d) for i in range(2000))
+    r = evaluation.bootstrap_ci_whole(spark, str(tmp_path)).first()
+    assert (r.n, r.low, r.high) == (len(d), pytest.approx(means[50], abs=1e-6), pytest.approx(means[1950], abs=1e-6))
