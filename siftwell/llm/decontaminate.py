@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ALNUM, Scratch, Words, in_arrow, texts
+from siftwell.llm.common import ALNUM, Scratch, Words, in_arrow, keyed, texts
 from siftwell.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -187,12 +187,14 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, **options) -> DataFrame:
-    """``docs`` without contaminated rows. One pass without a join where the benchmark is one block, else by id."""
+    """``docs`` without contaminated rows. One pass without a join where the benchmark is one block, else by row number."""
     items = _only_block(benchmark, **options)
     if items is None:
-        found = contamination(docs, benchmark, id_col, text_col, **options)
-        bad = found.filter((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).select(F.col("id").alias(id_col)).distinct()
-        return docs.join(bad, id_col, "left_anti").select(docs.columns)
+        scratch = Scratch(docs.sparkSession)
+        numbered = scratch.save(docs.withColumn("__siftwell_row", F.monotonically_increasing_id()))
+        found = contamination(numbered, benchmark, "__siftwell_row", text_col, **options)
+        bad = found.filter((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).select(F.col("id").alias("__siftwell_row"))
+        return keyed(numbered, scratch.save(bad), "__siftwell_row", "left_anti").select(docs.columns)
     at, window = docs.columns.index(text_col), options.get("window", WINDOW)
     shard_bytes = options.get("shard_bytes", SHARD_BYTES)
 

@@ -179,6 +179,15 @@ def test_links_of_few_shingles_are_all_found(spark):
     assert alike == {r.doc_id for r in out.filter("n_kept = 0").collect()} and len(alike) == 1500
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_clean_judges_rows_and_not_ids(spark, block_bytes):
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(13))) for i in range(4)], "item_id long, text string")
+    bad = " ".join(f"w2x{k}" for k in range(13))
+    docs = spark.createDataFrame([(None, bad), (None, "clean one"), (1, bad), (1, "clean two"), (2, None)], "doc_id long, text string")
+    out = decontaminate.clean(docs, bench, block_bytes=block_bytes)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(None, "clean one"), (1, "clean two"), (2, None)], key=repr)
+
+
 LICENCES = {
     "Licensed under the Apache License, Version 2.0.": ["apache"], "Released under the MIT License.": ["mit"], "This work is licensed under the GNU General Public License, version 3.": ["gpl"], "Licensed under CC BY-NC 4.0.": ["cc-by-nc"],
     "All rights reserved.": ["proprietary"], "text\nLICENSED UNDER CC BY 4.0\nmore\nAll rights reserved.": ["cc-by", "proprietary"], "She lost her driving licence.": [], "Licensed under the Blorb Data Licence 3.": [], "no such words": [], "": [],
