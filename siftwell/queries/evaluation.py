@@ -9,7 +9,7 @@ from siftwell.operators import evalset as E
 from siftwell.operators import metrics as M
 from siftwell.operators import retrieval as R
 from siftwell.queries import retrieval as Q
-from siftwell.queries.registry import query, table, values
+from siftwell.queries.registry import ORACLES, query, table, values
 from siftwell.services import client
 from siftwell.streaming import usage
 
@@ -33,6 +33,12 @@ def recall_at_k(spark, sf_dir):
     return M.recall_at_k(ranks, gold(spark, sf_dir))
 
 
+@query(Q.whole(ORACLES["recall_at_k"]))
+def recall_at_k_whole(spark, sf_dir):
+    ranks = R.bm25_topk(Q.corpus(spark, sf_dir), Q.questions(spark, sf_dir), 10).withColumn("method", F.lit("bm25"))
+    return M.recall_at_k(ranks, gold(spark, sf_dir))
+
+
 @query(f"""WITH {Q.VECTORS.format('q.vec_id % 10 = 0 AND e.vec_id <> q.vec_id')}, top AS ({Q.rank_sql('dense', 10)}), best AS (SELECT q.vec_id, min(rank) FILTER (e.label = q.label) AS best FROM embeddings q LEFT JOIN top ON query_id = q.vec_id
     LEFT JOIN embeddings e ON e.vec_id = chunk_id WHERE q.vec_id % 10 = 0 GROUP BY q.vec_id) SELECT count(*) AS n, {', '.join(RECALL.format(k) for k in M.KS)} FROM best""")
 def recall_at_k_dense(spark, sf_dir):

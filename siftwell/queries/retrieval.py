@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell.operators import retrieval as R
-from siftwell.queries.registry import query, table
+from siftwell.queries.registry import ORACLES, query, table
 
 K = 10
 
@@ -106,6 +106,18 @@ def rerank_topk(spark, sf_dir):
     return R.rerank(pool.join(q, "query_id").join(c, "chunk_id"), K)
 
 
+def whole(sql: str) -> str:
+    """The SQL of shortened questions for whole ones."""
+    return sql.replace(SHORT.replace("text", "b.text"), "b.text").replace(SHORT, "text")
+
+
+@query(whole(ORACLES["rerank_topk"]))
+def rerank_topk_whole(spark, sf_dir):
+    q, c = questions(spark, sf_dir), corpus(spark, sf_dir)
+    pool = R.bm25_topk(c, q, R.RERANK_POOL)
+    return R.rerank(pool.join(q, "query_id").join(c, "chunk_id"), K)
+
+
 POOLED = f"""{BOTH}, places AS (SELECT query_id, chunk_id, rank AS place FROM d50 WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, 10000000 + rank FROM l50 WHERE rank <= 20),
     pool AS (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY min(place)) - 1)::int AS position FROM places GROUP BY query_id, chunk_id)"""
 
