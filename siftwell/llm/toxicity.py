@@ -6,14 +6,17 @@ a penalty on the squared change of the score's log-odds between a sentence and i
 evidence by itself.
 
 The model is fitted on a bounded sample of labelled rows, at most ``positives`` and ``negatives`` of them, each of at most
-``sample_chars`` characters, taken by a hash of the id. Scoring reads every whole text in one pass without a shuffle.
+``sample_chars`` characters, taken by a hash of the id. One executor task fits it: the sample is its input, features are counted run by
+run, and one row with at most MOST_FEATURES weights comes back (features are those whose share of toxic texts lies LEAST_Z deviations
+or more from the sample's, and of more than MOST_FEATURES the clearest). Scoring reads every whole text in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import _ODD, ALNUM, Words, in_arrow, mix, release, texts
+from siftwell.llm.common import _ODD, ALNUM, Words, in_arrow, mix, texts
 
 #: Terms of a row may stand for one another.
 IDENTITY: tuple[tuple[str, ...], ...] = (
@@ -58,11 +61,13 @@ class Model:
     features: np.ndarray
     weights: np.ndarray
     bias: float
-    groups: tuple[tuple[str, ...], ...] = field(default=IDENTITY)
 
-    def __post_init__(self) -> None:
-        self._seen = np.zeros(1 << BUCKETS, bool)
-        self._seen[self.features >> np.uint64(64 - BUCKETS)] = True
+    @cached_property
+    def _seen(self) -> np.ndarray:
+        """Buckets of features, made where texts are scored so that it does not travel."""
+        seen = np.zeros(1 << BUCKETS, bool)
+        seen[self.features >> np.uint64(64 - BUCKETS)] = True
+        return seen
 
     def hits(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Distinct (text number, feature number) pairs, as rows."""
@@ -101,14 +106,52 @@ def swapped(text: str, groups: tuple[tuple[str, ...], ...], shift: int = 1) -> s
     return None if out == text else out
 
 
+def _class_counts(column: pa.Array, y: np.ndarray, promising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, counts): the features of promising buckets, sorted, and in how many texts of either class each occurs."""
+    found, counts = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
+    for i, _, data, bounds in texts(column):
+        doc, h = features(data, bounds)
+        at = promising[h >> np.uint64(64 - BUCKETS)]
+        doc, h = doc[at], h[at]
+        order = np.lexsort((doc, h))
+        doc, h = doc[order], h[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        doc, h = doc[first], h[first]
+        every, back = np.unique(np.concatenate((found, h)), return_inverse=True)
+        new = np.zeros((2, len(every)), np.int64)
+        new[:, back[: len(found)]] = counts
+        for c in (0, 1):
+            new[c] += np.bincount(back[len(found) :][y[i + doc] == c], minlength=len(every))
+        found, counts = every, new
+    return found, counts
+
+
+def _pairs(column: pa.Array, model: Model, groups: tuple[tuple[str, ...], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Texts that name a group, next to their counterfactuals: (row, feature, -1 or 1) of the features on either side, and the rows' number."""
+    row, col, val, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
+    for i, j, _, _ in texts(column):
+        some = [(t, s) for t in column.slice(i, j - i).to_pylist() if t for s in [swapped(t, groups)] if s is not None]
+        for k, sign in ((0, -1.0), (1, 1.0)):
+            for a, _, data, bounds in texts(pa.array([q[k] for q in some], pa.string())):
+                hit = model.hits(data, bounds)
+                row.append(hit[:, 0] + m + a)
+                col.append(hit[:, 1])
+                val.append(np.full(len(hit), sign))
+        m += len(some)
+    return np.concatenate(row), np.concatenate(col), np.concatenate(val), m
+
+
 def fit(table: pa.Table, groups: tuple[tuple[str, ...], ...] = IDENTITY, *, strength: float = 10.0, l2: float = 1e-5, steps: int = 600, classes: tuple[int, int] | None = None) -> Model:
-    """``table(text, toxic)`` -> model. ``classes``: rows labelled 0 and 1 that the table is a sample of; scores are for their shares. One class only, or no rows: a constant score, the share of toxic rows (0 with none)."""
-    column = lowered(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
+    """``table(text, toxic)`` -> model. ``classes``: rows labelled 0 and 1 that the table is a sample of; scores are for their shares. One
+    class only, or no rows: a constant score, the share of toxic rows (0 with none). Texts are read in runs of about a megabyte, so beside
+    the table only counts and the features that are kept take memory."""
+    column = lowered(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())).fill_null("")
     y = np.asarray(table.column("toxic").to_numpy(), np.float64)
     n, p = len(y), y.sum()
     empty = np.zeros(0, np.uint64)
     if not 0 < p < n:
-        return Model(empty, np.zeros(0), 50.0 if n and p == n else -50.0, groups)
+        return Model(empty, np.zeros(0), 50.0 if n and p == n else -50.0)
     # Document counts of features by class: first in hashed buckets, then of the features of promising buckets.
     counts = np.zeros((2, 1 << BUCKETS), np.int32)
     for i, _, data, bounds in texts(column):
@@ -116,39 +159,23 @@ def fit(table: pa.Table, groups: tuple[tuple[str, ...], ...] = IDENTITY, *, stre
         pair = np.unique((doc.astype(np.uint64) << np.uint64(BUCKETS)) | (h >> np.uint64(64 - BUCKETS)))
         bucket, cls = (pair & np.uint64((1 << BUCKETS) - 1)).astype(np.int64), y[i + (pair >> np.uint64(BUCKETS)).astype(np.int64)]
         for c in (0, 1):
-            counts[c] += np.bincount(bucket[cls == c], minlength=1 << BUCKETS).astype(np.int32)
+            np.add.at(counts[c], bucket[cls == c], 1)
 
     def z(b: np.ndarray, a: np.ndarray) -> np.ndarray:
         """How many deviations the toxic texts with a feature lie from their share of all texts with it."""
         rate, m = p / n, a + b
         return np.where(m >= LEAST_DOCS, (a - m * rate) / np.sqrt(np.maximum(m, 1) * rate * (1 - rate)), 0)
 
-    good = np.abs(z(counts[0], counts[1])) >= LEAST_Z
-    rows, values = [], []
-    for i, _, data, bounds in texts(column):
-        doc, h = features(data, bounds)
-        at = good[h >> np.uint64(64 - BUCKETS)]
-        rows.append(doc[at] + i)
-        values.append(h[at])
-    found, slot = np.unique(np.concatenate(values), return_inverse=True)
-    pair = np.unique(np.concatenate(rows) * max(1, len(found)) + slot)
-    doc, slot = np.divmod(pair, max(1, len(found)))
-    exact = np.abs(z(np.bincount(slot[y[doc] == 0], minlength=len(found)), np.bincount(slot[y[doc] == 1], minlength=len(found))))
+    good = np.concatenate([np.abs(z(counts[0][k : k + (1 << 18)], counts[1][k : k + (1 << 18)])) >= LEAST_Z for k in range(0, 1 << BUCKETS, 1 << 18)])
+    del counts
+    found, by_class = _class_counts(column, y, good)
+    exact = np.abs(z(by_class[0], by_class[1]))
     best = np.sort(np.argsort(-exact, kind="stable")[: min(MOST_FEATURES, int((exact >= LEAST_Z).sum()))])
     if not len(best):
-        return Model(empty, np.zeros(0), float(np.log(p / (n - p))), groups)
-    model = Model(found[best], np.zeros(len(best)), float(np.log(p / (n - p))), groups)
-
-    def matrix(col: pa.Array) -> np.ndarray:
-        return np.concatenate([model.hits(data, bounds) + [i, 0] for i, _, data, bounds in texts(col)] or [np.zeros((0, 2), np.int64)])
-
-    x = matrix(column)
-    pairs = [(t, s) for t in column.to_pylist() if t for s in [swapped(t, groups)] if s is not None]
-    m = len(pairs)
-    here, there = (matrix(pa.array([q[k] for q in pairs], pa.string())) for k in (0, 1))
-    d_row = np.concatenate((here[:, 0], there[:, 0]))
-    d_col = np.concatenate((here[:, 1], there[:, 1]))
-    d_val = np.concatenate((-np.ones(len(here)), np.ones(len(there))))
+        return Model(empty, np.zeros(0), float(np.log(p / (n - p))))
+    model = Model(found[best], np.zeros(len(best)), float(np.log(p / (n - p))))
+    x = np.concatenate([model.hits(data, bounds) + [i, 0] for i, _, data, bounds in texts(column)])
+    d_row, d_col, d_val, m = _pairs(column, model, groups)
 
     # Every fifth row is kept from the fit and sets where the score passes 0.5.
     fold = np.arange(n) % 5 == 4
@@ -168,7 +195,7 @@ def fit(table: pa.Table, groups: tuple[tuple[str, ...], ...] = IDENTITY, *, stre
         w, b = w - step[:-1], b - step[-1]
     share = (classes[0] / (n - p), classes[1] / p) if classes and min(classes) > 0 else (1.0, 1.0)
     b -= cut((np.bincount(x[:, 0], w[x[:, 1]], n) + b)[fold], y[fold], share)
-    return Model(model.features, w, float(b), groups)
+    return Model(model.features, w, float(b))
 
 
 def cut(odds: np.ndarray, y: np.ndarray, share: tuple[float, float]) -> float:
@@ -199,22 +226,33 @@ def learnable(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return good.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, positives: int = POSITIVES, negatives: int = NEGATIVES, sample_chars: int = SAMPLE_CHARS) -> pa.Table:
-    """At most ``positives`` + ``negatives`` labelled rows, none of them held out, of ``sample_chars`` characters at most each. Of
-    several labels of an id the largest counts; labels other than 0 and 1 and null ids do not."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, positives: int = POSITIVES, negatives: int = NEGATIVES, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(id, text, toxic): at most ``positives`` + ``negatives`` labelled rows, none of them held out, of ``sample_chars`` characters at
+    most each. Of several labels of an id the largest counts, of several texts of an id the least; labels other than 0 and 1 and null ids
+    do not."""
     known = learnable(labels, id_col)
     order = [F.xxhash64("id"), F.col("id")]
     ids = known.filter("toxic = 1").orderBy(*order).limit(positives).unionByName(known.filter("toxic = 0").orderBy(*order).limit(negatives))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= sample_chars)
-    rows = source.join(F.broadcast(ids), "id").dropDuplicates(["id"]).select("id", "text", "toxic").toArrow()
-    return rows.sort_by("id").select(["text", "toxic"])
+    return source.join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[tuple[str, ...], ...] = IDENTITY, **options) -> Model:
-    counts = learnable(labels, id_col).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    model = fit(training_sample(docs, labels, id_col, text_col, **options), groups, classes=tuple(counts))
-    release()  # the driver's memory, which the sample took
-    return model
+    """The model, fitted by one executor task over the bounded sample; the driver gets its weights alone."""
+    shares = learnable(labels, id_col).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    classes = (shares[0], shares[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if rows:
+            model = fit(pa.Table.from_batches(rows).sort_by("id"), groups, classes=classes)
+            yield pa.RecordBatch.from_arrays([pa.array([model.features.view(np.int64)], pa.list_(pa.int64())), pa.array([model.weights], pa.list_(pa.float64())), pa.array([model.bias])], ["features", "weights", "bias"])
+
+    sample = training_sample(docs, labels, id_col, text_col, **options)
+    found = in_arrow(sample.coalesce(1), run, "features array<long>, weights array<double>, bias double").first()
+    if found is None:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
+    return Model(np.array(found.features, np.int64).view(np.uint64), np.array(found.weights, np.float64), found.bias)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

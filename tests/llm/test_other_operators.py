@@ -137,7 +137,7 @@ def test_toxicity_without_labels_and_odd_rows(spark):
     assert toxicity.accepted(docs.withColumn("id", F.lit(1)), model).count() == 5
     assert toxicity.scored(docs.limit(0), model).count() == 0
     odd = spark.createDataFrame([(1, None), (1, 1), (2, 5), (None, 1)], "doc_id long, toxic int")
-    assert toxicity.training_sample(docs, odd).num_rows <= 1
+    assert toxicity.training_sample(docs, odd).count() <= 1
 
 
 def mixed(spark, rows, **options):
