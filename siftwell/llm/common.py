@@ -1,7 +1,8 @@
 """What the operators share: scratch tables in the cluster's shared folder, size-checked joins, vectorised word hashes.
 
 Scratch tables are Parquet in the folder named by ``spark.checkpoint.dir``: they cut lineage, outlive a lost executor and can be
-dropped once their successor is written. A local temporary folder is taken only where that setting is absent (tests).
+dropped once their successor is written; ``dropping`` drops what operators left when their results have been written. A local temporary
+folder is taken only where that setting is absent and the master is local (tests).
 """
 
 from __future__ import annotations
@@ -19,16 +20,18 @@ from pyspark.sql import functions as F
 
 from siftwell.session import ship
 
-#: Rows of single-column keys that a broadcast may hold; beyond it the same join shuffles both sides.
-BROADCAST_KEYS = 1 << 20
+#: Bytes of fixed-width rows that a broadcast may hold; beyond it the same join shuffles both sides.
+BROADCAST_BYTES = 16 << 20
+_WIDTHS = {"bigint": 8, "double": 8, "int": 4, "boolean": 1}
 #: Rows of a batch that goes to a Python worker.
 BATCH = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` for workers that live long beside a full heap: batches of BATCH rows unless the session says otherwise, and each
-    task gives its free memory back to the system when it ends."""
+    """``mapInArrow`` for workers that live long beside a full heap: each task gives its free memory back to the system when it ends, and
+    batches are of BATCH rows. The plan reads that size from the session when it runs, so it is set there, once, if it is still Spark's
+    default; a size that the session chose itself is left alone."""
     spark = df.sparkSession
     ship(spark)
     if spark.conf.get(_BATCH) == "10000":  # Spark's own default
@@ -56,13 +59,19 @@ def release() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Where scratch tables go; an error off a local master if the session names no shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="siftwell-")
     return base.rstrip("/")
 
 
+_own: dict[str, str] = {}
+_folders: list[Scratch] = []
+
+
 class Scratch:
     """Tables of one run of an operator under a folder of its own."""
 
@@ -71,6 +80,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/siftwell-{uuid.uuid4().hex}"
         self.made = 0
+        _folders.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -82,16 +92,39 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def close(self) -> None:
+        """Drop all of its tables."""
+        self._delete(self.folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def dropping() -> Iterator[None]:
+    """Scratch tables that operators make within are dropped at its end: by then their results must have been written."""
+    before = len(_folders)
+    try:
+        yield
+    finally:
+        while len(_folders) > before:
+            _folders.pop().close()
+
+
+def fits(keys: DataFrame, limit: int | None = None) -> bool:
+    """Whether a frame of fixed-width columns, whose rows are counted, takes ``limit`` bytes at most."""
+    rows = (BROADCAST_BYTES if limit is None else limit) // sum(_WIDTHS[t] for _, t in keys.dtypes)
+    return keys.limit(rows + 1).count() <= rows
 
 
-def keyed(big: DataFrame, keys: DataFrame, column: str | list[str], how: str = "inner", limit: int = BROADCAST_KEYS) -> DataFrame:
+def keyed(big: DataFrame, keys: DataFrame, column: str | list[str], how: str = "inner", limit: int | None = None) -> DataFrame:
     """Join with a scratch table of narrow rows, one for each key. Its rows are counted (a read of footers) and broadcast only up to
-    ``limit``. Beyond it both sides are shuffled, and as the table is read from files and not aggregated in place, adaptive execution can
-    split the tasks of a key that holds many rows of ``big``."""
-    small = keys.limit(limit + 1).count() <= limit
-    return big.join(F.broadcast(keys) if small else keys, column, how)
+    ``limit`` bytes. Beyond it both sides are shuffled, and as the table is read from files and not aggregated in place, adaptive execution
+    can split the tasks of a key that holds many rows of ``big``."""
+    return big.join(F.broadcast(keys) if fits(keys, limit) else keys, column, how)
 
 
 # ------------------------------------------------------------------------------------------------ vectorised word hashes

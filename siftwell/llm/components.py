@@ -41,3 +41,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         nxt = step.select(F.col("id").alias("component"), F.col("p").alias("_next"))
         out = out.join(nxt, "component", "left").select("id", F.coalesce("_next", "component").alias("component"))
     return scratch.save(out)
+
+
+def extended(found: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components ``found(id, component)`` after the edges ``more(a, b)`` are added to theirs: the edges are taken between components, so
+    what was united before is not gone over again."""
+    ends = scratch.save(more.select("a", "b"))
+    to_a = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    to_b = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    edges = ends.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    step = components(edges, scratch).select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    alone = ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct().join(found, "id", "left_anti")
+    every = found.unionByName(alone.select("id", F.col("id").alias("component")))
+    return scratch.save(every.join(step, "component", "left").select("id", F.coalesce("_to", "component").alias("component")))

@@ -7,22 +7,25 @@ would need. Two sets meet if they share some A_i and some B_j; at similarity s t
 
 Exact copies (equal sets) are first collapsed to their smallest doc_id. Only keys A_i and B_j that another set shares are combined,
 which leaves the tables as they are. In a bucket each member is compared with the smallest one, its pivot. Where that leaves members
-of one pivot in different components, two of them can be linked only if their overlap within the pivot and what they share outside
-it are large enough together. Shared shingles outside the pivot are found by an equi-join, so only pairs that this exact bound allows
-are compared: no link that the tables offer is lost, and the copies of a large group are never paired with one another.
+of one pivot in different components, ``pivots`` finds the pairs of them that may still be linked by how they differ from the group's
+majority: no link that the tables offer is lost, and a large group is not paired with itself.
+
+A task holds about a megabyte of text at a time (one text at least): beside it some 60 bytes a byte of text, so a text of 20 MB takes
+about 1.2 GB of a worker. Texts are not cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import _ODD, SPACED, Scratch, Words, in_arrow, keyed, longs, mix, texts
-from siftwell.llm.components import components
+from siftwell.llm.common import Scratch, in_arrow, keyed, longs, mix, texts
+from siftwell.llm.pivots import all_links
+from siftwell.llm.sets import Minhashes, alike, compared, differences, word_shingles
 
 SHINGLE = 5
 PERCENT = 75
@@ -30,33 +33,13 @@ COLLECTIONS = 20
 ROWS = 4
 
 
-def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's shingles with repeats, and where each text's begin (one more at the end)."""
-    h, first = words.hash, words.first
-    n = np.diff(first)
-    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
-    at = np.concatenate(([0], np.cumsum(count)))
-    total = int(at[-1])
-    doc = np.repeat(np.arange(len(n)), count)
-    pos = first[doc] + (np.arange(total) - at[doc])
-    end = first[doc + 1] if total else pos
-    out = np.minimum(n[doc], size).astype(np.uint64) * _ODD[61]
-    for j in range(size):
-        inside = pos + j < end
-        out += np.where(inside, h[np.minimum(pos + j, len(h) - 1)] * _ODD[j], np.uint64(0)) if total else out
-    return mix(out), at
-
-
 def _signatures(size: int, collections: int, rows: int):
-    rng = np.random.default_rng(7)
-    odd = rng.integers(1, 2**63, (2 * collections * rows,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    fold = rng.integers(1, 2**63, (rows,), dtype=np.uint64) | np.uint64(1)
-    tag = rng.integers(1, 2**63, (2 * collections,), dtype=np.uint64)
+    shingler, minhashes = word_shingles(size), Minhashes(2 * collections, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, bounds in texts(batch.column(1)):
-                sh, at = shingles(Words(data, bounds, SPACED), size)
+                sh, at = shingler(data, bounds)
                 n = np.zeros(j - i, np.int64)
                 one = np.zeros(j - i, np.uint64)
                 two = np.zeros(j - i, np.uint64)
@@ -65,14 +48,7 @@ def _signatures(size: int, collections: int, rows: int):
                         u = np.unique(sh[at[d] : at[d + 1]])
                         n[d], one[d], two[d] = len(u), u.sum(), mix(u).sum()
                 full = np.flatnonzero(np.diff(at))
-                keys = np.zeros((len(full), 2 * collections), np.uint64)
-                if len(full):
-                    starts, buf = at[full], np.empty_like(sh)
-                    for k in range(2 * collections):
-                        for r in range(rows):
-                            np.multiply(sh, odd[k * rows + r], out=buf)
-                            keys[:, k] += mix(np.minimum.reduceat(buf, starts)) * fold[r]
-                    keys = mix(keys + tag)
+                keys = minhashes.of(sh, at[full]) if len(full) else np.zeros(0, np.uint64)
                 where = np.zeros(j - i + 1, np.int32)
                 where[full + 1] = 2 * collections
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(where, dtype=np.int32)), longs(keys.ravel()))
@@ -81,33 +57,6 @@ def _signatures(size: int, collections: int, rows: int):
     return run
 
 
-#: A shingle that one in so many of a pivot's members has belongs to their reference set.
-COMMON = 8
-COMPARED = "a long, b long, both long, na long, nb long, rest array<long>"
-
-
-def _compare(size: int):
-    """Pairs of texts -> sizes of their sets and of the overlap, and the second's shingles that the first lacks."""
-
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for i, j, data, bounds in texts(column):
-            sh, at = shingles(Words(data, bounds, SPACED), size)
-            for d in range(j - i):
-                yield np.unique(sh[at[d] : at[d + 1]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, rest = np.zeros((3, batch.num_rows), np.int64), []
-            for k, (x, y) in enumerate(zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)):
-                rest.append(np.setdiff1d(y, x, assume_unique=True))
-                counts[:, k] = len(y) - len(rest[-1]), len(x), len(y)
-            ends = np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), longs(np.concatenate([np.zeros(0, np.uint64), *rest])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, counts), lists], ["a", "b", "both", "na", "nb", "rest"])
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: (id_col long, n_shingles long, component_id long, kept boolean).
 
@@ -137,11 +86,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = scratch.save(member.select(F.col("rep").alias("id")).distinct())
     wanted = scratch.save(keyed(source, ids, "id", "left_semi"))
     first = member.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    seen = scratch.save(_compared(first, wanted, size))
+    shingler = word_shingles(size)
+    seen = scratch.save(compared(first, wanted, shingler))
     scratch.drop(member)
-    alike = f"both > 0 and 100 * both >= {percent} * (na + nb - both)"
-    links = scratch.save(seen.filter(alike).select("a", "b").unionByName(_one_id_several_sets(base)))
-    found = all_links(seen, links, lambda pairs: _compared(pairs, wanted, size).filter(alike).select("a", "b"), percent, scratch)
+    links = scratch.save(seen.filter(alike(percent)).select("a", "b").unionByName(_one_id_several_sets(base)))
+    found = all_links(seen, links, lambda pairs: compared(pairs, wanted, shingler).filter(alike(percent)).select("a", "b"), lambda pairs: differences(pairs, wanted, shingler), percent, scratch)
+    scratch.drop(wanted, seen)
 
     label = found.select(F.col("id").alias("rep"), "component")
     out = keyed(base.select("id", "n", "rep"), scratch.save(label), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
@@ -150,86 +100,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def _compared(pairs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Pairs with their full sets compared. Texts travel, not sets: they are less than half as large."""
-    x = wanted.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    y = wanted.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return in_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb"), _compare(size), COMPARED)
-
-
 def _one_id_several_sets(base: DataFrame) -> DataFrame:
     """Links between the sets that rows of one id have, if the ids repeat."""
     several = base.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).filter("b < hi").select("id", "b")
     return base.select("id", F.col("rep").alias("a")).join(several, "id").select("a", "b")
 
 
-def all_links(seen: DataFrame, links: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
-    """Components of all members that pivots have seen: of the links with the pivots, of those with each pivot's middle member, and of the
-    pairs that may still be linked. ``compare`` gives (a, b) of the pairs of a frame that are similar enough."""
-    found = components(links, scratch)
-    for choose in (middle, between):
-        more = scratch.save(compare(choose(seen, found, percent, scratch)))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links, scratch)
-    return found
-
-
-def _measured(seen: DataFrame, found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Members of pivots whose members lie in several components: (p, x, bx, nx, cx, cp) with bx the overlap with the reference set, and
-    their shingles outside it that another component's members have too, with counts: (p, x, s, c).
-
-    The reference set is the pivot's shingles and those that one in COMMON of its members has: a pivot may itself be an edited copy.
-    """
-    label = found.select("id", "component")
-    rows = seen.join(label.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left").join(label.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left")
-    rows = rows.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("both").alias("bx"), F.col("nb").alias("nx"), "rest", F.coalesce("cb", "b").alias("cx"), F.coalesce("ca", "a").alias("cp"))
-    open_ = rows.groupBy("p").agg(F.max(F.col("cx") != F.col("cp")).alias("o"), F.count("*").alias("g")).filter("o and g > 1").select("p", "g")
-    rows = scratch.save(keyed(rows, scratch.save(open_), "p"))
-    single = rows.select("p", "x", "cx", "g", F.explode("rest").alias("s"))
-    shared = single.groupBy("p", "s").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.count("*").alias("c"), F.max("g").alias("g")).filter("lo < hi")
-    shared = scratch.save(shared.select("p", "s", "c", F.expr(f"c >= 4 and {COMMON} * c >= g").alias("common")))
-    held = scratch.save(single.select("p", "x", "s").join(shared, ["p", "s"]))
-    extra = held.groupBy("p", "x").agg(F.count_if("common").alias("more"))
-    plain = rows.drop("rest", "g").join(extra, ["p", "x"], "left").withColumn("bx", F.col("bx") + F.coalesce("more", F.lit(0))).drop("more")
-    return scratch.save(plain), held.filter("not common").drop("common")
-
-
-def middle(seen: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of each pivot's member that is nearest to the reference set with its members in other components."""
-    plain, _ = _measured(seen, found, scratch)
-    best = plain.groupBy("p").agg(F.max(F.struct((2 * F.col("bx") - F.col("nx")).alias("near"), F.col("x").alias("m"), F.col("cx").alias("cm"))).alias("t"))
-    pairs = keyed(plain, scratch.save(best.select("p", "t.m", "t.cm")), "p").filter("cx <> cm")
-    return pairs.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
-
-
-def between(seen: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of members of one pivot, in different components, whose overlap may be large enough.
-
-    With b_x and b_y their overlaps with the reference set and s the shingles they share outside it, two members overlap in at most
-    min(b_x, b_y) + s, and a member of n shingles needs at least need = percent * n / 100 - b outside. Of its shingles outside only those
-    count that another component's members have too. If they are fewer than it needs, it is out; else they are put in one order, rare
-    ones first, and whatever shares ``need`` of them shares one of all but the last need - 1, which alone are joined. Pairs with s = 0
-    need both members to lie in the reference to ``percent`` in a hundred at least.
-    """
-    plain, held = _measured(seen, found, scratch)
-    member = Window.partitionBy("p", "x")
-    ranked = held.withColumns({"sx": F.count("*").over(member), "pos": F.row_number().over(member.orderBy("c", "s"))})
-    need = F.expr(f"greatest(1, ({percent} * nx + 99) div 100 - bx)")
-    single = scratch.save(ranked.select("p", "x", "s", "sx", "pos").join(plain, ["p", "x"]).filter(F.col("pos") <= F.col("sx") - need + 1).drop("pos"))
-
-    def other(frame: DataFrame) -> DataFrame:
-        return frame.filter("cx <> cp").withColumnsRenamed({"x": "y", "bx": "by", "nx": "ny", "cx": "cy", "sx": "sy"}).drop("cp")
-
-    apart = "cx <> cy and (cx = cp or x < y)"
-    enough = "100 * ({0}) >= {1} * (nx + ny - ({0}))"
-    some = single.join(other(single), ["p", "s"]).filter(apart).filter(enough.format("least(bx, by) + least(sx, sy)", percent))
-    inside = plain.filter(f"100 * bx >= {percent} * nx")
-    none = inside.join(other(inside), "p").filter(apart).filter(enough.format("least(bx, by)", percent))
-    pairs = some.select("x", "y").unionByName(none.select("x", "y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that are not kept. Rows that share an id are one document: of them one stays, the least by the hash of
     its text. Rows with a null id all stay."""

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import BROADCAST_KEYS, Scratch
+from siftwell.llm.common import BROADCAST_BYTES, Scratch
 
 REPEAT = 2.0
 BLOCKS = 4096
@@ -76,11 +76,16 @@ def plan(facts: DataFrame, scratch: Scratch, a: float, budget: int | None) -> Da
     walked = blocks.join(sources.select("source", "left").filter("left > 0"), "source").withColumn("hb", block_hash("source", "block")).withColumn("upto", F.sum("bn").over(order))
     cut = walked.filter("upto > left").groupBy("source").agg(F.min(F.struct("hb", "block", (F.col("left") - F.col("upto") + F.col("bn")).alias("room"))).alias("c")).select("source", F.col("c.hb").alias("cut_block"), F.col("c.block").alias("block"), F.col("c.room").alias("room"))
     cut = scratch.save(cut)
-    last = facts.join(F.broadcast(cut) if cut.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else cut, ["source", "block"]).groupBy("source", "room", "hd").agg(F.sum("n").alias("dn"))
+    last = facts.join(F.broadcast(cut) if _bytes(cut) <= BROADCAST_BYTES else cut, ["source", "block"]).groupBy("source", "room", "hd").agg(F.sum("n").alias("dn"))
     docs = last.withColumn("upto", F.sum("dn").over(Window.partitionBy("source").orderBy("hd"))).filter("upto <= room").groupBy("source").agg(F.max("hd").alias("cut_doc"))
     return scratch.save(sources.join(cut.drop("room").withColumnRenamed("block", "last_block"), "source", "left").join(docs, "source", "left"))
 
 
+def _bytes(sources: DataFrame) -> int:
+    """About what a table of a row a source takes: its names, and ten numbers."""
+    return sources.agg(F.sum(F.octet_length("source") + 80)).first()[0] or 0
+
+
 def block_hash(source: str, block: str) -> Column:
     return F.xxhash64(F.col(source), F.col(block), F.lit("part"))
 
@@ -102,7 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = scratch.save(facts.groupBy("source").agg(F.sum("n").alias("n")))
     a = exponent(sizes, entropy=entropy, repeat=repeat, budget=budget)
     count = sizes.select("source", F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_TOKENS))).cast("int").alias("blocks"))
-    few = sizes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    few = _bytes(sizes) <= BROADCAST_BYTES
     small = (lambda f: F.broadcast(f)) if few else (lambda f: f)
     facts = facts.join(small(count), "source").withColumn("block", F.pmod(F.xxhash64("hd", F.lit("block")), F.col("blocks")).cast("int"))
     decided = plan(facts, scratch, a, budget).join(count, "source").withColumnRenamed("source", "__siftwell_source").withColumnsRenamed({c: f"__siftwell_{c}" for c in ("weight", "whole", "cut_block", "last_block", "cut_doc", "blocks")}).drop("n", "goal", "left")
