@@ -36,8 +36,8 @@ SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITIO
 
 OP6 = r"""WITH RECURSIVE ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
 fl AS (SELECT * FROM ln WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')), dl AS (SELECT line, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM fl)),
-ch AS (SELECT id, line, unnest(range(1, length(line) + 1)) AS i FROM dl),
-s AS (SELECT DISTINCT id, substr(line, i, 16) AS sh FROM ch WHERE substr(line, i, 1) <> ' ' AND (i = 1 OR substr(line, i - 1, 1) = ' ')),
+ch AS (SELECT id, line, unnest(range(1, greatest(length(line) - 6, 1) + 1)) AS i FROM dl),
+s AS (SELECT DISTINCT id, CASE WHEN length(line) < 7 THEN line ELSE substr(line, i, 7) END AS sh FROM ch),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.id < b.id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT id, id AS c FROM dl UNION SELECT e.b AS id, r.c FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(c) AS comp FROM r GROUP BY id),

@@ -1,11 +1,13 @@
 """Near copies, decontamination, lines and licences against plain versions, with the cases that data may bring."""
 
+import itertools
 import random
-import re
 
+import pyarrow as pa
 import pytest
 
 from siftwell.llm import decontaminate, licences, line_dedup, minhash_dedup
+from siftwell.llm import sets as shingle_sets
 from siftwell.llm.common import Scratch
 from siftwell.llm.components import components
 from tests.llm import plain
@@ -109,7 +111,7 @@ def test_random_contamination(spark):
 
 
 def windows(line, chars=line_dedup.CHARS):
-    return {line[m.start() : m.start() + chars] for m in re.finditer(r"(?<![^ ])[^ ]", line)}
+    return {line[k : k + chars] for k in range(max(1, len(line) - chars + 1))}
 
 
 def deduplicated(rows):
@@ -147,36 +149,95 @@ def test_repeated_rows_are_one_document_of_lines(spark):
     assert out == [(0, 1, "c d"), (1, 1, "a b"), (1, 1, "a b"), (2, 0, "")]
 
 
-def all_windows(line, chars=line_dedup.CHARS):
-    """Shingles from word starts and from each ``chars``-th character of a word."""
-    return {line[k : k + chars] for m in re.finditer(r"[^ ]+", line) for k in range(*m.span(), chars)}
-
-
-def test_shingles_cover_every_character(spark):
+def test_shingles_cover_every_character():
     rng = random.Random(8)
     lines = ["", "  ", "a", " a  bc ", "x" * 16, "x" * 17, "ab " + "y" * 40 + " c", "\ta\tb\tc and\tmore of it\t", "\U00020000" * 17 + " a"]
     lines += ["".join(rng.choice("ab \t\u4e2d\U00020000") * rng.choice((1, 1, 9)) for _ in range(rng.randrange(40))) for _ in range(300)]
-    rows = spark.createDataFrame(list(enumerate(lines)), "i long, line string").select("i", line_dedup.windows("line").alias("w")).collect()
-    assert {r.i: set(r.w) for r in rows} == {i: all_windows(x) for i, x in enumerate(lines)}
-
-
-def test_lines_that_differ_late_in_a_word_stay(spark):
-    texts = ["https://www.example.com/a\nhttps://www.example.com/b", "See https://example.org/item/1\nSee https://example.org/item/2", "id-0000000000000000\tone\t1\nid-0000000000000000\ttwo\t2", "\u5929\u5730\u7384\u9ec3" * 4 + "\u5b87\u5b99\u6d2a\u8352\n" + "\u5929\u5730\u7384\u9ec3" * 4 + "\u65e5\u6708\u76c8\u6603"]
+    sets = list(shingle_sets.sets_of(pa.array(lines), shingle_sets.char_shingles(line_dedup.CHARS)))
+    hashes = {}
+    for line, found in zip(lines, sets, strict=True):
+        assert len(found) == (len(windows(line)) if line else 0)
+        for w in windows(line) if line else ():
+            (one,) = next(shingle_sets.sets_of(pa.array([w]), shingle_sets.char_shingles(line_dedup.CHARS)))
+            assert hashes.setdefault(w, one) == one and one in found
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def test_lines_with_a_common_beginning_stay(spark):
+    texts = ["https://example.com/articles/one\nhttps://example.com/articles/two-entirely-different", "id-0000000000000000\tone\tred\nid-0000000000000000\ttwo\tblue", "\u5929\u5730\u7384\u9ec3" * 4 + "\u5b87\u5b99\u6d2a\u8352" * 4 + "\n" + "\u5929\u5730\u7384\u9ec3" * 4 + "\u65e5\u6708\u76c8\u6603" * 4]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.deduplicate(docs).collect()} == dict(enumerate(texts))
 
 
-def test_links_of_few_shingles_are_all_found(spark):
-    """Pairs of short lines of which one has a word more at the start."""
-    rng = random.Random(12)
+@pytest.mark.parametrize("union", [4, 8, 16, 64])
+def test_recall_of_lines_at_the_threshold(spark, union):
+    """Pairs of lines whose sets share three of four shingles, the least that links them."""
+    rng = random.Random(union)
+    letters = [chr(0x4E00 + i) for i in range(5000)]
     rows = []
-    for i in range(1500):
-        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(16)) for _ in range(rng.randrange(3, 8))]
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([f"{i:016}", *words]))]
+    for i in range(1000):
+        line = "".join(rng.sample(letters, union * 3 // 4 + 6))
+        rows += [(2 * i, line), (2 * i + 1, "".join(rng.sample(letters, union // 4)) + line)]
     sets = {i: windows(t) for i, t in rows}
-    alike = {i + 1 for i in range(0, 3000, 2) if 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1])}
+    assert all(len(sets[i] | sets[i + 1]) == union and 4 * len(sets[i] & sets[i + 1]) == 3 * union for i in range(0, 2000, 2))
     out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert alike == {r.doc_id for r in out.filter("n_kept = 0").collect()} and len(alike) == 1500
+    gone = {r.doc_id for r in out.filter("n_kept = 0").collect()}
+    assert gone <= set(range(1, 2000, 2)) and len(gone) >= 990
+
+
+def test_many_lines_that_go_and_long_lines(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghijklmnop \u00e9") for _ in range(300_000))
+    many = "\n".join(["kept once", *(f"{'again and again':>30}" if k % 2 else f"line number {'one two three four five six seven eight nine ten'.split()[k % 10]} {rng.random()}" for k in range(4000))])
+    rows = [(1, long), (2, many), (3, long[:-5] + "xyzzy"), (4, many)]
+    found = {r.doc_id: r for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].n_kept == 1 and found[3].n_kept == 0 and found[4].n_kept == 0
+    assert found[2].text.split("\n").count(f"{'again and again':>30}") == 1 and found[2].n_kept == len(found[2].text.split("\n"))
+
+
+def paragraphs_of_one_page(n, seed=1):
+    """n distinct documents that each keep seven of a page's ten paragraphs, in order."""
+    rng = random.Random(seed)
+    page = [prose(rng, 60) for _ in range(10)]
+    kept = rng.sample(list(itertools.combinations(range(10), 7)), n)
+    return [(i, "\n".join(page[k] for k in ks)) for i, ks in enumerate(kept)]
+
+
+@pytest.mark.parametrize("n", [30, 60, 119])
+def test_a_group_of_one_page_is_not_paired_with_itself(spark, monkeypatch, n):
+    rows, pairs = paragraphs_of_one_page(n), []
+    inner = minhash_dedup.compared
+
+    def counted(frame, *args):
+        pairs.append(frame.count())
+        return inner(frame, *args)
+
+    monkeypatch.setattr(minhash_dedup, "compared", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert found == plain.near(rows)
+    # Members meet their pivots, of which each has a bounded number; nothing else is compared.
+    assert sum(pairs[1:]) <= n and pairs[0] <= 20 * n
+
+
+def test_groups_of_edited_templates_equal_brute_force(spark):
+    """Pivots that are themselves odd, members within and beyond the template, and links between members alone."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(6):
+        page = prose(rng, 160).split()
+        for k in range(40):
+            words = list(page)
+            for _ in range(rng.choice((0, 1, 3, 6))):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(0, 12)] = prose(rng, rng.randrange(0, 14)).split()
+            rows.append((1000 * g + k, " ".join(words)))
+        for k in range(3):  # an edited copy of a member that is far from the rest
+            words = (page[40:] + prose(rng, 30).split())[k:]
+            rows += [(1000 * g + 100 + k, " ".join(words)), (1000 * g + 200 + k, edited(rng, " ".join(words), 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert found == plain.near(rows)
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])
