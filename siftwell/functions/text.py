@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Element names and directives that the cleaners take out.
@@ -37,6 +37,15 @@ def provenance(path: Column, heading: Column) -> Column:
     return F.concat(path, F.when(F.coalesce(heading, F.lit("")) != "", F.concat(F.lit(" § "), heading)).otherwise(F.lit("")))
 
 
+def derived_id(tool: Column, number: Column) -> Column:
+    return F.concat(tool, F.lit("#"), number.cast("string"))
+
+
+def short_name(tool: Column) -> Column:
+    """The part of a collection's name after its owner (``owner__name``), without a build's suffix; a name without an owner as it is."""
+    return F.regexp_replace(F.coalesce(F.try_element_at(F.split(tool, "__"), F.lit(2)), tool), "_(?:mech|wide)$", "")
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
 
@@ -102,3 +111,16 @@ def in_paths(path: Column, prefixes: list[str], suffixes: list[str], skip_parts:
     some = lambda options, test: F.coalesce(*[F.when(test(F.lit(o)), True) for o in options], F.lit(False))
     clean = ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(p) for p in skip_parts]))
     return some(suffixes, lambda o: F.endswith(path, o)) & some(prefixes, lambda o: F.startswith(path, o)) & clean
+
+
+def content_hash(rows: DataFrame, group: str, key: str, text: str, block: int = 4096) -> DataFrame:
+    """(group, content_hash): the first 12 digits of a sha256 over each group's texts in the order of a whole-numbered key. Texts are hashed
+    first, then what falls into one ``block`` of keys, then the blocks: a task sees digests, of one block or of one group's blocks."""
+
+    def folded(order: str, digest: str) -> Column:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda x: x[digest])
+        return F.sha2(F.array_join(parts, "").cast("binary"), 256)
+
+    texts = rows.select(group, key, F.expr(f"`{key}` div {block}").alias("_block"), F.sha2(F.col(text).cast("binary"), 256).alias("_h"))
+    blocks = texts.groupBy(group, "_block").agg(folded(key, "_h").alias("_h"))
+    return blocks.groupBy(group).agg(F.substring(folded("_block", "_h"), 1, 12).alias("content_hash"))

@@ -5,24 +5,24 @@ Scores are rounded to six digits before ranking and ties go to the smaller id, s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions import kernels
 from siftwell.functions.text import provenance, shorten, tokenize, word_set
-from siftwell.functions.vectors import dot, minmax
+from siftwell.functions.vectors import minmax
+from siftwell.session import ship
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 POOL, RERANK_POOL = 50, 30
-#: Rows of questions that a broadcast may hold; beyond it joins shuffle.
-SMALL = 100_000
-
-
-def small(frame: DataFrame) -> DataFrame:
-    """The frame with a broadcast hint if its rows, counted first, are few."""
-    return F.broadcast(frame) if frame.limit(SMALL + 1).count() <= SMALL else frame
+#: Questions that travel to the corpus at a time.
+BLOCK = 4096
 
 
 def ranked(scored: DataFrame, k: int | None, partition: str = "query_id", item: str = "chunk_id", score: str = "score") -> DataFrame:
@@ -32,56 +32,66 @@ def ranked(scored: DataFrame, k: int | None, partition: str = "query_id", item:
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-class LexicalIndex:
-    """Postings, lengths and statistics of a corpus ``(chunk_id, content)`` for BM25. The postings are kept, as every question needs them;
-    statistics are one row."""
-
-    def __init__(self, corpus: DataFrame):
-        tokens = corpus.select("chunk_id", tokenize(F.coalesce("content", F.lit(""))).alias("t"))
-        self.lengths = tokens.select("chunk_id", F.size("t").alias("dl"))
-        words = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).filter("term is not null")
-        self.postings = words.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).persist()
-        counts = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        idf = df.crossJoin(F.broadcast(counts)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        floor = idf.agg((F.lit(EPSILON) * F.avg("idf")).alias("low"))
-        self.idf = idf.crossJoin(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf")).alias("idf"))
-
-    def scores(self, questions: DataFrame) -> DataFrame:
-        """(query_id, chunk_id, score) of all chunks that share a word with a question. Postings are cut to the questions' words before
-        anything is joined; a repeated word counts each time."""
-        words = questions.select("query_id", F.explode(tokenize("question")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        words = small(words.join(self.idf, "term"))
-        tf = F.col("tf")
-        part = F.col("qtf") * F.col("idf") * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-        return self.postings.join(words, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-
-    def top(self, questions: DataFrame, k: int, zero_filled: bool = False) -> DataFrame:
-        """``zero_filled``: every chunk takes part, those without a shared word with score 0. Only the smallest ids can fill,
-        so the corpus is not paired with the questions as a whole."""
-        scored = self.scores(questions)
-        if zero_filled:
-            first = scored.select("query_id", "chunk_id")
-            fill = small(questions.select("query_id")).crossJoin(self._fill(scored, k))
-            scored = scored.unionByName(fill.join(first, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0)))
-        return ranked(scored, k)
-
-    def _fill(self, scored: DataFrame, k: int) -> DataFrame:
-        """Ids that may fill: as many of the smallest as the question with most scored chunks has, and k more."""
-        most = scored.groupBy("query_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-        return self.lengths.select("chunk_id").orderBy("chunk_id").limit(int(most) + k)
+def _blocks(questions: DataFrame, most: int = BLOCK) -> Iterator[pa.Table]:
+    """The questions, about ``most`` at a time: a pass over the corpus for each block, one block on the driver at once."""
+    blocks = max(1, -(-questions.count() // most))
+    for i in range(blocks):
+        part = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        yield part.toArrow()
+
+
+def _merged(parts: list[DataFrame], k: int) -> DataFrame:
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return ranked(every, k)
+
+
+def _given(corpus: DataFrame, questions: DataFrame) -> str:
+    return f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {dict(corpus.dtypes)['chunk_id']}, score double"
 
 
 def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int, zero_filled: bool = False) -> DataFrame:
-    return LexicalIndex(corpus).top(questions, k, zero_filled)
+    """BM25 top k of ``corpus(chunk_id, content)`` for ``questions(query_id, question)``; a repeated word of a question counts each time.
+    ``zero_filled``: every chunk takes part, those without a shared word with score 0.
+
+    Two passes over the corpus: document counts of all words, which the statistics need and which are combined before their shuffle, and
+    the scores. For these only the numbers of the questions' words travel; a task adds up a tile of chunks times questions and keeps k a
+    question, so postings are never shuffled and a frequent word makes no rows.
+    """
+    spark = corpus.sparkSession
+    ship(spark)
+    tokens = corpus.select("chunk_id", tokenize(F.coalesce("content", F.lit(""))).alias("t"))
+    df = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).persist()
+    try:
+        size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("length")).first()
+        idf = F.log(F.lit(size.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        floor = (df.agg(F.avg(idf)).first()[0] or 0.0) * EPSILON
+        parts = []
+        for block in _blocks(questions.select("query_id", F.coalesce(tokenize(F.col("question")), F.expr("cast(array() as array<string>)")).alias("words"))):
+            names, words = block.column(0).combine_chunks(), block.column(1).combine_chunks()
+            asked = pc.unique(words.flatten())
+            rows = spark.createDataFrame(pa.table({"term": asked})).join(df, "term").select("term", F.when(idf < 0, F.lit(floor)).otherwise(idf).alias("idf")).toArrow()
+            terms = rows.column(0).to_pylist()
+            number = np.asarray(pc.fill_null(pc.index_in(words.flatten(), pa.array(terms, pa.string())), -1)).astype(np.int64)
+            question = np.repeat(np.arange(len(names)), np.asarray(words.value_lengths()))
+            pairs = np.stack((number, question), axis=1)[number >= 0]
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            run = kernels.lexical(names, terms, np.asarray(rows.column(1).to_numpy(), np.float64), pairs, size.length or 1.0, k, DIGITS, K1, B, zero_filled)
+            parts.append(tokens.mapInArrow(run, _given(corpus, questions)))
+    finally:
+        df.unpersist()
+    return _merged(parts, k)
 
 
 def vector_topk(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """Exact dense top k: ``corpus(chunk_id, vector)``, ``questions(query_id, vector)``, vectors of unit length. The questions are the
-    side that travels; each task keeps its own k before the shuffle (a group limit)."""
-    asked = small(questions.select("query_id", F.col("vector").alias("_q")))
-    scored = corpus.select("chunk_id", "vector").crossJoin(asked).select("query_id", "chunk_id", dot(F.col("vector"), F.col("_q")).alias("score"))
-    return ranked(scored, k)
+    """Exact dense top k: ``corpus(chunk_id, vector)``, ``questions(query_id, vector)``, vectors of unit length. A block of questions travels to
+    the corpus, a task multiplies tiles and keeps its own k a question. Vectors that are null, hold a null or are of another length than
+    the question's take no part."""
+    ship(corpus.sparkSession)
+    source = corpus.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
+    parts = [source.mapInArrow(kernels.dense(block, k, DIGITS), _given(corpus, questions)) for block in _blocks(questions.select("query_id", F.col("vector").cast("array<double>").alias("vector")))]
+    return _merged(parts, k)
 
 
 def normalize_scores(rows: DataFrame) -> DataFrame:
