@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import question_text, strip, word_set
+from siftwell.functions.text import question_text, strip, tokenize, word_set
 from siftwell.functions.verdicts import in_range
 from siftwell.operators.metrics import rate
-from siftwell.operators.retrieval import vector_topk
+from siftwell.operators.order import numbered
+from siftwell.operators.retrieval import ranked, vector_topk
 
 #: Least characters of questions and answers of the two prefilters, similarity threshold and gold chunks of a question.
 CURATE = (40, 100)
@@ -41,14 +42,20 @@ def is_substantive(text: Column) -> Column:
 
 
 def systematic_sample(rows: DataFrame, m: int, order: str) -> DataFrame:
-    """Every step-th row in an order, step = max(1, n div m), and the first m of those. The row number needs one ordered pass over the keys
-    alone; rows are joined back by key."""
+    """Every step-th row in an order, step = max(1, n div m), and the first m of those. Only keys are numbered; rows are joined back by key."""
     step = max(1, rows.count() // m) if m else 1
-    at = rows.select(order).withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
-    picked = at.filter((F.col("_at") % step == 0) & (F.col("_at") < step * m)).select(order)
+    picked = numbered(rows.select(order), order, "_at").filter((F.col("_at") % step == 0) & (F.col("_at") < step * m)).select(order)
     return rows.join(picked, order, "left_semi").orderBy(order).limit(m)
 
 
+def systematic_sample_by(rows: DataFrame, m: int, group: str, order: str) -> DataFrame:
+    """The same within each group; a group is a collection's questions, of which a task holds the keys."""
+    w = Window.partitionBy(group)
+    at = rows.select(group, order).withColumns({"_at": F.row_number().over(w.orderBy(order)) - 1, "_step": F.greatest(F.lit(1), F.floor(F.count("*").over(w) / m))})
+    picked = at.filter((F.col("_at") % F.col("_step") == 0) & (F.col("_at") < F.col("_step") * m)).select(group, order)
+    return rows.join(picked, [group, order], "left_semi")
+
+
 def ab_assignment(key: Column) -> Column:
     """True where the sha256 of a key is even: the base answer is then shown as A."""
     return F.conv(F.right(F.sha2(key.cast("binary"), 256), F.lit(1)), 16, 10).cast("int") % 2 == 0
@@ -63,14 +70,30 @@ def ab_unswap(rows: DataFrame) -> DataFrame:
     return rows.withColumns(new).drop("a_score", "b_score", "a_correct", "b_correct")
 
 
-def eval_set_by_similarity(answers: DataFrame, chunks: DataFrame, tau: float = TAU, most: int = GOLD) -> DataFrame:
+def eval_set_by_similarity(answers: DataFrame, chunks: DataFrame, tau: float = TAU, most: int = GOLD, own: bool = False) -> DataFrame:
     """``answers(query_id, vector)``, ``chunks(chunk_id, vector)`` -> (query_id, gold_chunk_ids, gold_top_sim): the ``most`` nearest chunks
-    with a cosine of ``tau`` or more; questions without one are left out."""
-    top = vector_topk(chunks, answers, most).filter(F.col("score") >= tau)
+    with a cosine of ``tau`` or more; questions without one are left out. ``own``: the answers are among the chunks, by id, and none is
+    gold of itself."""
+    top = vector_topk(chunks, answers, most + 1 if own else most)
+    if own:
+        top = ranked(top.filter("query_id <> chunk_id"), most)
+    top = top.filter(F.col("score") >= tau)
     gold = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"])
     return top.groupBy("query_id").agg(gold.alias("gold_chunk_ids"), F.max("score").alias("gold_top_sim"))
 
 
+def holders(passages: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks ``corpus(chunk_id, content)`` that hold a whole passage of ``passages(query_id, passage)`` as it is written.
+    All words of a passage but its first and last are whole words of whatever holds it, so chunks meet passages by the longest of these, an
+    equi-join, before texts are looked through; passages of under three words, which have none, are looked for in every chunk."""
+    inner = F.expr("transform(slice(w, 2, greatest(size(w) - 2, 0)), x -> struct(length(x) as n, x as x))")
+    asked = passages.filter("passage is not null").withColumn("w", tokenize(F.col("passage"))).withColumn("anchor", F.array_max(inner)["x"]).drop("w")
+    words = corpus.select("chunk_id", "content", F.explode(word_set(F.col("content"))).alias("anchor"))
+    met = words.join(asked.filter("anchor is not null"), "anchor").filter(F.contains("content", "passage")).select("query_id", "chunk_id")
+    short = corpus.crossJoin(asked.filter("anchor is null").drop("anchor")).filter(F.contains("content", "passage")).select("query_id", "chunk_id")
+    return met.unionByName(short).distinct()
+
+
 def curated(verdicts: DataFrame, pool: DataFrame) -> DataFrame:
     """``verdicts(query_id, keep, gold_indices)`` over ``pool(query_id, chunk_id, position)`` -> (query_id, gold_chunk_ids) of the
     questions that are kept and name one candidate at least."""

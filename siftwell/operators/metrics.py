@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import hash_number
+from siftwell.operators.order import numbered
 
 KS = (1, 3, 5, 10)
 DEAD_ZONE = 5
@@ -90,13 +91,13 @@ def bootstrap_ci(rows: DataFrame, key: str = "id", iters: int = RESAMPLES) -> Da
     Draw j of resample i takes the row number md5("i:j") mod n, so any engine draws alike, resamples are spread over tasks and the rows
     are joined by number.
     """
-    numbered = rows.filter("diff is not null").withColumn("at", F.row_number().over(Window.orderBy(key)) - 1).select("at", "diff").persist()
-    n = numbered.count()
+    good = rows.filter("diff is not null").select(key, "diff")
+    n = good.count()
     if not n:
         return rows.agg(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    draws = rows.sparkSession.range(iters).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    draws = rows.sparkSession.range(iters * n).select(F.expr(f"id div {n}").alias("i"), (F.col("id") % n).alias("j"))
     draws = draws.select("i", (hash_number(F.concat_ws(":", "i", "j")) % n).alias("at"))
-    means = draws.join(numbered, "at").groupBy("i").agg(F.avg("diff").alias("m"))
+    means = draws.join(numbered(good, key).select("at", "diff"), "at").groupBy("i").agg(F.avg("diff").alias("m"))
     order = F.array_sort(F.collect_list("m"))
     return means.agg(F.lit(n).cast("long").alias("n"), F.element_at(order, int(0.025 * iters) + 1).alias("low"), F.element_at(order, int(0.975 * iters) + 1).alias("high"))
 

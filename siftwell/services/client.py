@@ -7,6 +7,7 @@ a call that fails to the end is a row with ``is_error``. A budget caps the rows
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,6 +55,37 @@ class OverlapJudge:
         return Reply(json.dumps({"a_score": score["a"], "b_score": score["b"], "a_correct": score["a"] >= 50, "b_correct": score["b"] >= 50, "preferred": better, "reason": "word overlap"}))
 
 
+def _word_set(text: str) -> set[str]:
+    return set(re.findall("[a-z0-9_]+", text.lower()))
+
+
+@dataclass(frozen=True)
+class OverlapReader:
+    """A stand-in for a judge of candidates. A prompt is JSON with ``question`` and ``candidates``; a candidate supports the question if it has
+    ``least`` in a hundred of the question's words, and is enough by itself from ``enough``."""
+
+    least: int = 50
+    enough: int = 80
+
+    def complete(self, prompt: str, system: str, model: str) -> Reply:
+        given = json.loads(prompt)
+        asked = _word_set(given["question"])
+        share = [100 * len(asked & _word_set(c.get("content") or "")) / max(1, len(asked)) for c in given["candidates"]]
+        at = [i for i, x in enumerate(share) if x >= self.least]
+        alone = max(share, default=0) >= self.enough
+        return Reply(json.dumps({"supporting": at, "sufficient": alone, "keep": bool(at), "gold_indices": at, "supporting_ranks": at, "single_chunk_sufficient": alone, "reason": "word overlap"}))
+
+
+@dataclass(frozen=True)
+class FirstWords:
+    """A stand-in for a generator: asks for the first five words of a chunk, answers with its first 80 characters, and calls chunks whose number
+    of words is divisible by three of no use."""
+
+    def complete(self, prompt: str, system: str, model: str) -> Reply:
+        words = re.findall("[a-z0-9_]+", prompt.lower())
+        return Reply(json.dumps({"usable": len(words) % 3 != 0, "question": " ".join(words[:5]), "reference": prompt[:80]}))
+
+
 def call(prompts: DataFrame, client: Client, model: str, system: str = "", *, tries: int = 5, pause_s: float = 1.5, budget: int | None = None, at_once: int | None = None) -> DataFrame:
     """``prompts(id, prompt)`` -> RESULT rows. ``at_once`` caps the calls that run at a time (one a task). With a budget only the first
     that many ids, in order, are called, and the rest come back as errors that say so."""
