@@ -87,10 +87,9 @@ def tokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("words"))
 
 
-@query("SELECT source, sha256(string_agg(text, '' ORDER BY doc_id))[1:12] AS content_hash FROM documents GROUP BY source")
+@query("""SELECT source, sha256(string_agg(h, '' ORDER BY block))[1:12] AS content_hash FROM (SELECT source, doc_id // 4096 AS block, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL) GROUP BY source""")
 def content_hash(spark, sf_dir):
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.substring(F.sha2(F.array_join(parts, "").cast("binary"), 256), 1, 12).alias("content_hash"))
+    return X.content_hash(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
 @query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
@@ -149,7 +148,18 @@ comment */}
 <note>Mind</note> <PyObject module="only.module" /> end'), (2, 'plain')) AS t(id, text)"""
 
 
-@query()
+def mdx_sql() -> str:
+    front = f"CASE WHEN starts_with(text, '---') AND instr(substr(text, 4), chr(10) || '---') > 0 THEN substr(text, instr(substr(text, 4), chr(10) || '---') + 7) ELSE text END"
+    steps = [("(?s)\\{/\\*.*?\\*/\\}", ""), ("(?m)^import\\s+.*?from\\s+[''\"].*?[''\"];?\\s*$", "")]
+    steps += [(f"(?s)<PyObject\\b[^>]*?\\b{a}\\s*=\\s*[\"''{{]([^\"''}}]+)[\"''}}][^>]*?/>", "`\\1`") for a in ("object", "module", "decorator")]
+    steps += [("(?s)<PyObject\\b[^>]*?/>", "``"), (f"(?i)<(?:{X.JSX_TAGS})\\b[^>]*>", ""), (f"(?i)</(?:{X.JSX_TAGS})>", "")]
+    for pattern, to in steps:
+        front = f"regexp_replace({front}, '{pattern}', '{to}', 'g')"
+    gap = f"regexp_replace({front}, '{chr(10)}{{3,}}', chr(10) || chr(10), 'g')"
+    return f"SELECT id, {STRIP.format(gap)} AS body FROM {MDX}"
+
+
+@query(mdx_sql())
 def clean_mdx(spark, sf_dir):
     return values(spark, MDX).select("id", X.clean_mdx(F.col("text")).alias("body"))
 
@@ -194,18 +204,22 @@ def fence_parity(spark, sf_dir):
     return chunking.lines_of(md(spark))
 
 
-@query(f"""WITH l AS ({LINES.format(MD)}), h AS (SELECT *, NOT in_fence AND regexp_matches(line, '^#{{1,3}}\\s+.*$') AS is_h FROM l),
+SECTIONS = """WITH l AS ({0}), h AS (SELECT *, NOT in_fence AND regexp_matches(line, '^#{{1,3}}\\s+.*$') AS is_h FROM l),
     s AS (SELECT *, sum(is_h::int) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section_no FROM h)
-    SELECT id AS doc_path, section_no::bigint AS section_no, coalesce(max(CASE WHEN is_h THEN trim(regexp_extract(line, '^#+\\s+(.*)$', 1)) END), '') AS heading, {STRIP.format("string_agg(line, chr(10) ORDER BY n)")} AS body
-    FROM s GROUP BY id, section_no HAVING body <> ''""")
+    SELECT id AS doc_path, section_no::bigint AS section_no, coalesce(max(CASE WHEN is_h THEN trim(regexp_extract(line, '^#+\\s+(.*)$', 1)) END), '') AS heading, STRIPPED AS body
+    FROM s GROUP BY id, section_no HAVING body <> ''""".replace("STRIPPED", STRIP.format("string_agg(line, chr(10) ORDER BY n)").replace("{", "{{").replace("}", "}}"))
+BLOCKS = """WITH l AS ({0}), m AS (SELECT *, starts_with(ltrim(line), '```') AS mark, NOT in_fence AND NOT starts_with(ltrim(line), '```') AND trim(line) = '' AS blank FROM l),
+    b AS (SELECT *, NOT blank AND ((mark AND in_fence) OR coalesce(lag(blank) OVER w, true) OR (lag(mark) OVER w AND NOT lag(in_fence) OVER w)) AS begins FROM m WINDOW w AS (PARTITION BY id ORDER BY n)),
+    c AS (SELECT *, sum(begins::int) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) - 1 AS block_no FROM b WHERE NOT blank)
+    SELECT id AS doc_path, block_no::bigint AS block_no, string_agg(line, chr(10) ORDER BY n) AS block FROM c GROUP BY id, block_no"""
+
+
+@query(SECTIONS.format(LINES.format(MD)))
 def split_sections(spark, sf_dir):
     return chunking.sections(md(spark))
 
 
-@query(f"""WITH l AS ({LINES.format(MD)}), m AS (SELECT *, starts_with(ltrim(line), '```') AS mark, NOT in_fence AND NOT starts_with(ltrim(line), '```') AND trim(line) = '' AS blank FROM l),
-    b AS (SELECT *, NOT blank AND ((mark AND in_fence) OR coalesce(lag(blank) OVER w, true) OR (lag(mark) OVER w AND NOT lag(in_fence) OVER w)) AS begins FROM m WINDOW w AS (PARTITION BY id ORDER BY n)),
-    c AS (SELECT *, sum(begins::int) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) - 1 AS block_no FROM b WHERE NOT blank)
-    SELECT id AS doc_path, block_no::bigint AS block_no, string_agg(line, chr(10) ORDER BY n) AS block FROM c GROUP BY id, block_no""")
+@query(BLOCKS.format(LINES.format(MD)))
 def split_blocks(spark, sf_dir):
     return chunking.blocks(md(spark))
 
@@ -219,21 +233,82 @@ def nearest_heading(spark, sf_dir):
     return chunking.nearest_heading(values(spark, PLACES), values(spark, HEADS))
 
 
-@query()
-def chunk_paragraph(spark, sf_dir):
-    return chunking.chunk_documents(docs_of(spark, sf_dir), "paragraph")
+def windows_sql(x: str) -> str:
+    return f"list_filter(list_transform(range(0, greatest(0, ceil((length({x}) - 800) / 680.0)::bigint) + 1), lambda k: {STRIP.format(f'substr({x}, (k * 680 + 1)::bigint, 800)')}), lambda c: c <> '')"
 
 
-@query()
+def packed_sql(parts: str, source: str) -> str:
+    """The fold that packs ``parts``, a list, of each row of ``source(doc_path, s)``."""
+    both = "CASE WHEN a.buf = '' THEN e.buf ELSE a.buf || chr(10) || chr(10) || e.buf END"
+    flushed = "CASE WHEN a.buf = '' THEN a.done ELSE list_append(a.done, a.buf) END"
+    step = f"""CASE WHEN length({both}) <= 800 THEN {{'done': a.done, 'buf': {both}}} WHEN length(e.buf) <= 800 THEN {{'done': {flushed}, 'buf': e.buf}}
+        ELSE {{'done': list_concat({flushed}, {windows_sql('e.buf')}), 'buf': ''}} END"""
+    return f"""WITH src AS ({source}), parts AS (SELECT doc_path, list_filter(list_transform({parts}, lambda x: {STRIP.format('x')}), lambda x: x <> '') AS p FROM src),
+    f AS (SELECT doc_path, list_reduce(list_prepend({{'done': []::varchar[], 'buf': ''}}, list_transform(p, lambda x: {{'done': []::varchar[], 'buf': x}})), lambda a, e: {step}) AS r FROM parts),
+    c AS (SELECT doc_path, CASE WHEN r.buf = '' THEN r.done ELSE list_append(r.done, r.buf) END AS chunks FROM f)
+    SELECT doc_path || '#' || (i - 1) AS chunk_id, doc_path, (i - 1)::int AS chunk_index, chunks[i] AS content, '' AS heading FROM (SELECT doc_path, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM c)"""
+
+
+SENTENCES = f"string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+BUNDLES = "SELECT (doc_id // 8)::varchar AS doc_path, string_agg(coalesce(text, ''), chr(10) || ' ' || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY ALL"
+
+
+def bundles(spark, sf_dir):
+    """Eight documents as one of as many paragraphs and more, as documents have no blank lines."""
+    rows = table(spark, sf_dir, "documents").groupBy((F.expr("doc_id div 8")).cast("string").alias("doc_path"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    return rows.agg(F.array_join(texts, "\n \n").alias("text"))
+
+
+@query(packed_sql(SENTENCES, f"SELECT concat_ws('/', source, doc_id) AS doc_path, {STRIP.format('text')} AS s FROM documents"))
 def chunk_sentence(spark, sf_dir):
     return chunking.chunk_documents(docs_of(spark, sf_dir), "sentence")
 
 
+@query(packed_sql("regexp_split_to_array(s, '\\n\\s*\\n')", f"SELECT doc_path, {STRIP.format('text')} AS s FROM ({BUNDLES})"))
+def chunk_paragraph(spark, sf_dir):
+    return chunking.chunk_documents(bundles(spark, sf_dir), "paragraph")
+
+
+#: A conversation as a page: a heading for each turn, every fifth text in a code fence that opens with a line like a heading.
+PAGES = """(SELECT conv_id AS id, string_agg(CASE WHEN turn % 4 = 3 THEN '#### ' ELSE repeat('#', (turn % 3 + 1)::int) || ' ' END || 'Turn ' || turn || ' of the ' || role || chr(10) || chr(10)
+    || CASE WHEN turn % 5 = 2 THEN '```' || chr(10) || '# no heading' || chr(10) || chr(10) || text || chr(10) || '```' ELSE replace(text, '. ', '.' || chr(10) || chr(10)) END, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
+
+
+def conversation_pages(spark, sf_dir):
+    level = F.when(F.col("turn") % 4 == 3, F.lit("#### ")).otherwise(F.concat(F.expr("repeat('#', cast(turn % 3 + 1 as int))"), F.lit(" ")))
+    fence = F.concat(F.lit("```\n# no heading\n\n"), F.col("text"), F.lit("\n```"))
+    body = F.when(F.col("turn") % 5 == 2, fence).otherwise(F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n")))
+    part = F.concat(level, F.lit("Turn "), F.col("turn").cast("string"), F.lit(" of the "), F.col("role"), F.lit("\n\n"), body)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda x: x["part"])
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_path")).agg(F.array_join(parts, "\n\n").alias("text"))
+
+
+@query(f"SELECT id AS doc_path, n::int AS line_no, line, in_fence FROM ({LINES.format(PAGES)})")
+def fence_parity_pages(spark, sf_dir):
+    return chunking.lines_of(conversation_pages(spark, sf_dir))
+
+
+@query(SECTIONS.format(LINES.format(PAGES)))
+def split_sections_pages(spark, sf_dir):
+    return chunking.sections(conversation_pages(spark, sf_dir))
+
+
+@query(BLOCKS.format(LINES.format(PAGES)))
+def split_blocks_pages(spark, sf_dir):
+    return chunking.blocks(conversation_pages(spark, sf_dir))
+
+
 @query()
 def chunk_markdown(spark, sf_dir):
     return chunking.chunk_markdown(docs_of(spark, sf_dir))
 
 
+@query()
+def chunk_markdown_pages(spark, sf_dir):
+    return chunking.chunk_markdown(conversation_pages(spark, sf_dir).withColumn("doc_path", F.col("doc_path").cast("string")))
+
+
 @query("""WITH RECURSIVE p AS (SELECT id, list_filter(list_transform(string_split_regex(text, chr(10) || '\\s*' || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM (VALUES (1, 'aaaa
 
 bbbb

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import hash_number
 from siftwell.operators import evalset as E
 from siftwell.operators import metrics as M
 from siftwell.operators import retrieval as R
+from siftwell.plans import evaluate as P
 from siftwell.queries import retrieval as Q
 from siftwell.queries.registry import ORACLES, query, table, values
 from siftwell.services import client
+from siftwell.session import shared_folder
 from siftwell.streaming import usage
 
 GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
@@ -18,9 +22,7 @@ GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark J
 
 def gold(spark, sf_dir):
     """Documents that hold a question's whole passage."""
-    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    pairs = d.crossJoin(F.broadcast(b.withColumnRenamed("text", "passage")))
-    return pairs.filter(F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    return E.holders(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), Q.corpus(spark, sf_dir))
 
 
 RECALL = "round(avg(CASE WHEN best <= {0} THEN 1.0::double ELSE 0.0::double END), 3) AS recall_at_{0}"
@@ -39,6 +41,20 @@ def recall_at_k_whole(spark, sf_dir):
     return M.recall_at_k(ranks, gold(spark, sf_dir))
 
 
+@query(f"""WITH {Q.HYBRID}, {GOLD}, h10 AS ({Q.rank_sql('hybrid', 10)}), tops AS (SELECT 'vector' AS method, query_id, chunk_id, rank FROM d50 WHERE rank <= 10 UNION ALL SELECT 'bm25', query_id, chunk_id, rank FROM l50 WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM h10),
+    best AS (SELECT g.query_id, m.method, min(t.rank) AS best FROM gold g CROSS JOIN (SELECT DISTINCT method FROM tops) m LEFT JOIN tops t ON t.query_id = g.query_id AND t.chunk_id = g.chunk_id AND t.method = m.method GROUP BY ALL)
+    SELECT method, count(*) AS n, {', '.join(RECALL.format(k) for k in M.KS)} FROM best GROUP BY method""")
+def recall_at_k_methods(spark, sf_dir):
+    """All three methods at once; vectors stand in for the questions' and the documents' own."""
+    dense, lexical = Q.both(spark, sf_dir)
+    lists = {"vector": dense.filter("rank <= 10"), "bm25": lexical.filter("rank <= 10"), "hybrid": R.hybrid_topk(dense, lexical, 10)}
+    every = None
+    for name, rows in lists.items():
+        rows = rows.select("query_id", "chunk_id", "rank", F.lit(name).alias("method"))
+        every = rows if every is None else every.unionByName(rows)
+    return M.recall_at_k(every, gold(spark, sf_dir))
+
+
 @query(f"""WITH {Q.VECTORS.format('q.vec_id % 10 = 0 AND e.vec_id <> q.vec_id')}, top AS ({Q.rank_sql('dense', 10)}), best AS (SELECT q.vec_id, min(rank) FILTER (e.label = q.label) AS best FROM embeddings q LEFT JOIN top ON query_id = q.vec_id
     LEFT JOIN embeddings e ON e.vec_id = chunk_id WHERE q.vec_id % 10 = 0 GROUP BY q.vec_id) SELECT count(*) AS n, {', '.join(RECALL.format(k) for k in M.KS)} FROM best""")
 def recall_at_k_dense(spark, sf_dir):
@@ -155,6 +171,62 @@ ONE = "round(avg(CASE WHEN {0} THEN 1.0::double ELSE 0.0::double END), 3) AS {1}
 def claim_coverage(spark, sf_dir):
     return M.claim_coverage(claims(spark, sf_dir))
 
+SHARE = "100 * len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_]+')), list_distinct(regexp_extract_all(lower(CASE WHEN length(d.text) > {0} THEN substr(d.text, 1, {0}) || ' …' ELSE d.text END), '[a-z0-9_]+')))) / greatest(1, len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_]+'))))"
+
+
+def read_sql(chars: int, pool: str = "(SELECT * FROM pool WHERE position < 40)") -> str:
+    """What the stand-in reader finds: ``cand(query_id, chunk_id, idx, share)``."""
+    return f"cand AS (SELECT p.query_id, p.chunk_id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.position) - 1 AS idx, {SHARE.format(chars)} AS share FROM {pool} p JOIN benchmark b ON b.item_id = p.query_id JOIN documents d ON d.doc_id = p.chunk_id)"
+
+
+def folder(spark) -> str:
+    return f"{shared_folder(spark)}/siftwell-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {Q.POOLED}, {read_sql(550)}, supp AS (SELECT c.query_id, min(r.rank - 1) AS best, count(*) AS c FROM cand c LEFT JOIN d50 r USING (query_id, chunk_id) WHERE share >= 50 GROUP BY c.query_id),
+    rows AS (SELECT item_id, c IS NOT NULL AS in_corpus, best FROM benchmark LEFT JOIN supp ON query_id = item_id) SELECT count(*) AS n, {', '.join(ONE.format(f'best < {k}', f'coverage_at_{k}') for k in M.KS)}, {ONE.format('in_corpus', 'in_corpus_rate')},
+    round(1 - avg(CASE WHEN in_corpus THEN 1.0::double ELSE 0.0::double END), 3) AS corpus_gap_rate, {ONE.format('in_corpus AND (best IS NULL OR best >= 5)', 'present_but_ranked_below5')} FROM rows""")
+def claim_coverage_judged(spark, sf_dir):
+    """From questions to the metric: pools, prompts, a stand-in judge's replies, their ranks."""
+    at = folder(spark)
+    dense, lexical = (P.written(x, f"{at}/{n}") for n, x in zip(("dense", "bm25"), Q.both(spark, sf_dir), strict=True))
+    pool = R.candidate_pool(dense, lexical, per_list=20, most=40)
+    return M.claim_coverage(P.claim_rows(Q.questions(spark, sf_dir), pool, dense, Q.chunk_rows(spark, sf_dir), client.OverlapReader(), at))
+
+
+@query(f"""WITH {Q.POOLED}, {read_sql(600)}, s AS (SELECT query_id, min(idx) FILTER (share >= 50) AS first, max(share) >= 80 AS alone FROM cand GROUP BY query_id)
+    SELECT item_id AS query_id, CASE WHEN first IS NULL THEN 'a_corpus_gap' WHEN first < 5 THEN 'b_gold_mislabel' WHEN alone THEN 'd_embedding' ELSE 'c_chunking' END AS category FROM benchmark LEFT JOIN s ON query_id = item_id WHERE item_id % 3 = 1""")
+def triage_judged(spark, sf_dir):
+    """The questions whose (made up) verdict is that they are not covered, not those without one, by what the stand-in judge finds."""
+    q = F.col("query_id")
+    covered = Q.questions(spark, sf_dir).select("query_id", F.when(q % 3 == 0, True).when(q % 3 == 1, False).alias("covered"))
+    return P.triage(covered, Q.questions(spark, sf_dir), Q.pool(spark, sf_dir), Q.chunk_rows(spark, sf_dir), client.OverlapReader(), folder(spark)).select("query_id", "category")
+
+
+@query(f"""WITH {Q.BOTH}, {Q.ANSWER}, places AS (SELECT query_id, chunk_id, rank AS place FROM answer UNION ALL SELECT query_id, chunk_id, 10000000 + rank FROM d50 WHERE rank <= 5 UNION ALL SELECT query_id, chunk_id, 20000000 + rank FROM l50 WHERE rank <= 5),
+    pool AS (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY min(place)) - 1)::int AS position FROM places GROUP BY query_id, chunk_id), {read_sql(500, 'pool')}
+    SELECT query_id, string_agg(chunk_id::varchar, ',' ORDER BY idx) AS gold_chunk_ids FROM cand JOIN benchmark ON item_id = query_id WHERE share >= 50 AND length(text) + 1 >= 40 AND length(text) >= 100 GROUP BY query_id""")
+def curation_judged(spark, sf_dir):
+    """From questions to an evaluation set: the length filter, three pools, the stand-in judge, valid indices."""
+    rows = Q.questions(spark, sf_dir).select("query_id", F.lit("").alias("title"), "question", F.col("question").alias("answer"))
+    out = P.curation(rows, P.written(Q.curated_pool(spark, sf_dir), f"{folder(spark)}/pool"), Q.chunk_rows(spark, sf_dir), client.OverlapReader(), folder(spark))
+    return out.select("query_id", F.array_join(F.col("gold_chunk_ids").cast("array<string>"), ",").alias("gold_chunk_ids"))
+
+
+@query("""WITH s AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS pos, greatest(1, count(*) OVER () // 40) AS step FROM documents WHERE length(text) BETWEEN 300 AND 2000 AND length(text) - length(replace(text, ' ', '')) > 40 AND length(text) - length(replace(text, chr(10), '')) < 60),
+    g AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM s WHERE pos % step = 0 AND pos < 40 * step)
+    SELECT doc_id::varchar AS id, doc_id AS chunk_id, array_to_string(w[1:5], ' ') AS question, substr(text, 1, 80) AS reference FROM g WHERE len(w) % 3 <> 0 AND len(w) > 0 ORDER BY doc_id LIMIT 20""")
+def synthetic_judged(spark, sf_dir):
+    """A synthetic evaluation set: a sample of substantive chunks, a stand-in generator's replies, the first 20 that are of use."""
+    return P.synthetic(Q.corpus(spark, sf_dir), 20, client.FirstWords(), folder(spark))
+
+
+@query()
+def familiarity_probe(spark, sf_dir):
+    """Collections (sources) by how well a stand-in model answers 14 questions of each without documents."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("candidate"), F.col("doc_id").alias("number"), F.col("text").alias("question"), F.col("text").alias("reference"))
+    return P.familiarity(rows, client.Echo(), client.OverlapJudge(), folder(spark))
+
 
 @query("""SELECT doc_id, CASE WHEN a THEN x ELSE y END AS base_score, CASE WHEN a THEN y ELSE x END AS rag_score, CASE p WHEN 'A' THEN CASE WHEN a THEN 'base' ELSE 'rag' END WHEN 'B' THEN CASE WHEN a THEN 'rag' ELSE 'base' END ELSE p END AS preferred
     FROM (SELECT doc_id, substr(sha256(doc_id::varchar), 64, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS a, doc_id % 101 AS x, doc_id % 97 AS y, ['A', 'B', 'tie', '?'][doc_id % 4 + 1] AS p FROM documents)""")
@@ -178,10 +250,9 @@ def synthetic_sample(spark, sf_dir):
     return E.systematic_sample(good, 40, "doc_id")
 
 
-@query(f"""WITH {Q.VECTORS.format('q.vec_id % 10 = 0 AND e.vec_id % 10 <> 0')}, top AS ({Q.rank_sql('dense', 3)}) SELECT query_id, string_agg(chunk_id::varchar, ',' ORDER BY rank) AS gold_chunk_ids, max(score) AS gold_top_sim FROM top WHERE score >= 0.3::double GROUP BY query_id""")
+@query(f"""WITH {Q.VECTORS.format('q.vec_id % 10 = 0 AND e.vec_id <> q.vec_id')}, top AS ({Q.rank_sql('dense', 3)}) SELECT query_id, string_agg(chunk_id::varchar, ',' ORDER BY rank) AS gold_chunk_ids, max(score) AS gold_top_sim FROM top WHERE score >= 0.3::double GROUP BY query_id""")
 def eval_set_by_similarity(spark, sf_dir):
-    chunks = Q.vectors(spark, sf_dir).filter("chunk_id % 10 <> 0")
-    out = E.eval_set_by_similarity(Q.asked(spark, sf_dir, "vec_id % 10 = 0"), chunks, tau=0.3)
+    out = E.eval_set_by_similarity(Q.asked(spark, sf_dir, "vec_id % 10 = 0"), Q.vectors(spark, sf_dir), tau=0.3, own=True)
     return out.withColumn("gold_chunk_ids", F.array_join(F.col("gold_chunk_ids").cast("array<string>"), ","))
 
 

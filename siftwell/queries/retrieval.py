@@ -131,14 +131,22 @@ def candidate_pool(spark, sf_dir):
     return pool(spark, sf_dir)
 
 
-@query(f"""WITH {BOTH}, answer AS (SELECT vec_id AS query_id, (vec_id + r) % 500 AS chunk_id, r AS rank FROM embeddings, range(1, 6) AS x(r) WHERE vec_id IN (SELECT item_id FROM benchmark)),
+ANSWER = f"""near AS (SELECT q.vec_id - 1 AS query_id, e.vec_id AS chunk_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id - 1 IN (SELECT item_id FROM benchmark)),
+    answer AS ({rank_sql('near', 5)})"""
+
+
+def curated_pool(spark, sf_dir):
+    """The answer's nearest chunks first, then the question's, then BM25's. The vector after a question's stands in for its answer's."""
+    q = questions(spark, sf_dir).select("query_id")
+    ids = asked(spark, sf_dir, "true").withColumn("query_id", F.col("query_id") - 1).join(q, "query_id", "left_semi")
+    return R.candidate_pool(R.vector_topk(vectors(spark, sf_dir), ids, 5), *both(spark, sf_dir), per_list=5)
+
+
+@query(f"""WITH {BOTH}, {ANSWER},
     places AS (SELECT query_id, chunk_id, rank AS place FROM answer UNION ALL SELECT query_id, chunk_id, 10000000 + rank FROM d50 WHERE rank <= 5 UNION ALL SELECT query_id, chunk_id, 20000000 + rank FROM l50 WHERE rank <= 5)
     SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY min(place)) - 1)::int AS position FROM places GROUP BY query_id, chunk_id""")
 def curation_pool(spark, sf_dir):
-    q = questions(spark, sf_dir).select("query_id")
-    ids = asked(spark, sf_dir, "true").join(q, "query_id", "left_semi").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
-    answer = ids.withColumn("chunk_id", (F.col("query_id") + F.col("rank")) % 500)
-    return R.candidate_pool(answer, *both(spark, sf_dir), per_list=5)
+    return curated_pool(spark, sf_dir)
 
 
 def chunk_rows(spark, sf_dir):
