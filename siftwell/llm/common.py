@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from siftwell.session import ship
+from siftwell.session import shared_folder, ship
 
 #: Bytes of fixed-width rows that a broadcast may hold; beyond it the same join shuffles both sides.
 BROADCAST_BYTES = 16 << 20
@@ -36,13 +36,18 @@ def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     ship(spark)
     if spark.conf.get(_BATCH) == "10000":  # Spark's own default
         spark.conf.set(_BATCH, BATCH)
-    return df.mapInArrow(_freeing(run), schema)
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    # Columns go by number on the way: a name with a dot in it is not one that mapInArrow finds.
+    inner = StructType([StructField(f"_{i}", f.dataType) for i, f in enumerate(fields)])
+    given = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return given.mapInArrow(_freeing(run, [f.name for f in inner]), inner).toDF(*[f.name for f in fields])
 
 
-def _freeing(run: Callable) -> Callable:
+def _freeing(run: Callable, names: list[str]) -> Callable:
     def wrapped(batches):
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield pa.RecordBatch.from_arrays(batch.columns, names)
         finally:
             release()
 
@@ -58,17 +63,6 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where scratch tables go; an error off a local master if the session names no shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-    return base.rstrip("/")
-
-
-_own: dict[str, str] = {}
 _folders: list[Scratch] = []
 
 

@@ -98,24 +98,28 @@ def candidates(profile: DataFrame, items: DataFrame, sets: DataFrame, percent: i
     """Pairs (a, b) of members in different components that share an element early enough for the overlap that they need, and that have
     that overlap.
 
-    Of a pair, the member with the smaller S needs an overlap by its own and the group's largest S, the other one by its own alone; what
-    the pair itself needs, its two positions are held against once they have met.
+    What a member needs at least follows from its own and the group's largest S; what a pair needs, its two positions are held against once
+    they have met. Most of a group's members are usually in one component already, and none of these need meet another: only the rest
+    bring their first elements, and of the others those come in that hold one of these elements.
     """
-    groups = profile.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("s").alias("sm")).filter("lo < hi").select("p", "sm")
-    rows = keyed(profile, scratch.save(groups), "p")
+    sizes = profile.groupBy("p", "c").agg(F.count("*").alias("n"), F.max("s").alias("s"))
+    groups = sizes.groupBy("p").agg(F.max(F.struct("n", "c")).alias("t"), F.max("s").alias("sm"), F.count("*").alias("several")).filter("several > 1").select("p", F.col("t.c").alias("main"), "sm")
+    rows = scratch.save(keyed(profile.drop("n"), scratch.save(groups), "p"))
     member = Window.partitionBy("p", "x")
     upto = F.coalesce(F.sum("w").over(member.orderBy("k", "e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = items.withColumns({"upto": upto, "sh": F.sum("w").over(member)}).join(rows, ["p", "x"])
-    needs = "greatest(1, ceil(-({0}) / {1}))"
-    far = placed.filter(F.expr(f"upto <= sh - {needs.format('s + sm', 2 * (100 + percent))}"))
-    near = placed.filter(F.expr(f"upto <= sh - {needs.format('s', 100 + percent)}"))
-    far, near = (scratch.save(f.select("p", "e", "x", "c", "s", "upto", "sh")) for f in (far, near))
-    near = near.withColumnsRenamed({"x": "y", "c": "cy", "s": "sy", "upto": "upto_y", "sh": "sh_y"})
-    both = needs.format("s + sy", 2 * (100 + percent))
-    met = far.join(near, ["p", "e"]).filter("c <> cy and (s < sy or (s = sy and x < y))").filter(f"upto <= sh - {both} and upto_y <= sh_y - {both}")
-    met = met.select("p", "x", "y", (F.col("s") + F.col("sy")).alias("ss")).distinct()
+    placed = scratch.save(items.withColumns({"upto": upto, "sh": F.sum("w").over(member)}).drop("w", "k"))
+    needs = f"greatest(1, ceil(-({{0}}) / {2 * (100 + percent)}))"
+    early = F.expr(f"upto <= sh - {needs.format('s + sm')}")
+    rest = rows.filter("c <> main").drop("main")
+    few = scratch.save(placed.join(rest, ["p", "x"]).filter(early).drop("sm"))
+    held = keyed(placed, scratch.save(few.select("p", "e").distinct()), ["p", "e"], "left_semi")
+    many = held.join(rows.filter("c = main").drop("main"), ["p", "x"]).filter(early).drop("sm")
+    other = few.unionByName(many).withColumnsRenamed({"x": "y", "c": "cy", "s": "sy", "upto": "upto_y", "sh": "sh_y"})
+    both = needs.format("s + sy")
+    met = few.join(scratch.save(other), ["p", "e"]).filter("c <> cy").filter(f"upto <= sh - {both} and upto_y <= sh_y - {both}")
+    met = met.select("p", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("s") + F.col("sy")).alias("ss")).distinct()
     met = met.join(sets, ["p", "x"]).join(sets.withColumnsRenamed({"x": "y", "es": "ey"}), ["p", "y"])
     most = (1 << WEIGHT_BITS) - 1
     weight = f"aggregate(array_intersect(es, ey), 0L, (acc, e) -> acc + if(e & {most} = {most}, {1 << 40}L, e & {most}))"
     met = met.filter(F.expr(f"{2 * (100 + percent)} * ({weight}) >= -ss"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

@@ -18,7 +18,7 @@ from siftwell.llm.common import _ODD, SPACED, Ranges, Words, in_arrow, longs, mi
 Shingler = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _places(n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of texts of n units, the whole text where there are fewer than ``size``: (text, place of the first unit within all units,
     number of units, where each text's begin)."""
     count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
@@ -33,7 +33,7 @@ def word_shingles(size: int) -> Shingler:
 
     def run(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = Words(data, bounds, SPACED)
-        _, pos, units, at = _places(np.diff(words.first), size)
+        _, pos, units, at = windows_of(np.diff(words.first), size)
         out = units.astype(np.uint64) * _ODD[61]
         for j in range(size):
             if len(out):
@@ -49,7 +49,7 @@ def char_shingles(size: int) -> Shingler:
     def run(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = np.flatnonzero((data & 0xC0) != 0x80)
         n = np.diff(np.searchsorted(begin, bounds))
-        _, pos, units, at = _places(n, size)
+        _, pos, units, at = windows_of(n, size)
         edges = np.append(begin, len(data))
         return Ranges(data).of(edges[pos], edges[pos + units]), at
 
