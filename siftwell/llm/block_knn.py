@@ -5,8 +5,9 @@ differs from the cosine by at most ``ea + eb + ea*eb``, where e is the length of
 unit vectors q and x is q'.x' + q'.(x-x') + (q-q').x, and |q'| <= 1 + eq. So per query the k-th largest lower bound so far discards
 every candidate whose upper bound is under it, and only the rest are recomputed in double precision: results are exact.
 
-Queries are taken in blocks of at most ``block_bytes`` (their number is counted first) that travel to the candidates' tasks, a pass
-over the candidates for each block, so nothing but heaps of k rows a query and task is shuffled. Work is queries times candidates.
+Queries are taken in blocks of about ``block_bytes`` (their bytes are summed first). One block at a time travels to the candidates' tasks,
+and where there are several, its heaps are written before the next is taken, so the driver never holds more than a block. Nothing but
+heaps of k rows a query and task is shuffled. Work is queries times candidates.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import in_arrow
+from siftwell.llm.common import Scratch, in_arrow
 
 K = 5
 EVERY = 50
@@ -103,11 +104,10 @@ class Queries:
                 continue
             score = cosines(self.rows[s][i], rows[j], self.norm[s][i], n[j])
             for qi, c, v in zip((i + a).tolist(), score.tolist(), (-ids[j]).tolist(), strict=True):
-                heap = self.best[qi]
+                heap = self.best[qi]  # a row that repeats is a candidate each time, as it is for the floor
                 if len(heap) < self.k:
-                    if (c, v) not in heap:
-                        heapq.heappush(heap, (c, v))
-                elif (c, v) > heap[0] and (c, v) not in heap:
+                    heapq.heappush(heap, (c, v))
+                elif (c, v) > heap[0]:
                     heapq.heapreplace(heap, (c, v))
             for qi in np.unique(i + a):
                 if len(self.best[qi]) == self.k:
@@ -124,8 +124,7 @@ def _pass(block: pa.Table, k: int):
         sets: dict[int, Queries] = {}
         column = [block.column(c).combine_chunks() for c in (0, 1)]
         for ids, rows in matrices(*column):
-            ids, first = np.unique(ids, return_index=True)
-            sets[rows.shape[1]] = Queries(ids, rows[first], k)
+            sets[rows.shape[1]] = Queries(ids, rows, k)
         for batch in batches:
             for ids, rows in matrices(batch.column(0), batch.column(1)):
                 if rows.shape[1] in sets:
@@ -144,22 +143,27 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     """(query_id long, rank int from 1, vec_id long, score double): each query row's k nearest rows by cosine, ties to the smaller id.
 
     Rows that are null, zero or hold a null or non-finite component, and null ids, take no part. Only vectors of the same length are
-    compared. Rows that share the query's id are its own; a candidate id that repeats is listed once for each different score. A
-    query with fewer candidates gets them all. No queries give no rows. Only the named columns are read.
+    compared. Every row but the query's own is a candidate, repeated rows each time; rows that share the query's id are its own. Of
+    several usable query rows of one id the least vector, by its components, asks. A query with fewer candidates gets them all. No queries
+    give no rows. Only the named columns are read.
     """
     spark = vectors.sparkSession
+    scratch = Scratch(spark)
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
-    asked = source.filter("q and id is not null and v is not null").select("id", "v")
+    usable = F.expr("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    asked = source.filter("q").filter(usable).groupBy("id").agg(F.min("v").alias("v"))
+    asked = scratch.save(asked)
     size = asked.agg(F.sum(8 * F.size("v") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     candidates = source.select("id", "v")
-    heaps = None
+    found = []
     for b in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()  # about block_bytes
         if block.num_rows:
-            found = in_arrow(candidates, _pass(block, k), "query_id long, vec_id long, score double")
-            heaps = found if heaps is None else heaps.unionByName(found)
-    if heaps is None:
-        heaps = spark.createDataFrame([], "query_id long, vec_id long, score double")
+            heaps = in_arrow(candidates, _pass(block, k), "query_id long, vec_id long, score double")
+            found.append(heaps if blocks == 1 else scratch.save(heaps))
+    heaps = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for f in found:
+        heaps = f if f is found[0] else heaps.unionByName(f)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return heaps.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

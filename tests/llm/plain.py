@@ -74,8 +74,8 @@ def cosine_nearest(rows, every, k=5):
 
     norm = lambda v: math.sqrt(seq(v, v))
     out = {}
-    for q, v in good:
-        if q % every == 0:
-            found = {(i, seq(v, w) / (norm(v) * norm(w))) for i, w in good if i != q and len(w) == len(v)}
+    for q in {i for i, _ in good if i % every == 0}:
+        v = min(w for i, w in good if i == q)
+        if found := [(i, seq(v, w) / (norm(v) * norm(w))) for i, w in good if i != q and len(w) == len(v)]:
             out[q] = sorted(found, key=lambda x: (-x[1], x[0]))[:k]
     return out
