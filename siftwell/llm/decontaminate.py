@@ -1,12 +1,14 @@
 """Benchmark decontamination: an FM-index per training shard answers which benchmark phrases the shard holds, and where.
 
-A shard is a run of rows of about ``shard_bytes`` of text. Words are looked up in the vocabulary of the phrases; a word outside it
-ends any phrase, so stretches of known words that are too short for the shortest phrase are left out of the index and the rest are
-set apart by a break symbol. Every distinct phrase is searched backward through the wavelet ranks, its occurrences are located from
+A shard is a run of rows of about ``shard_bytes`` of text (one row at least; texts are not cut). The index is of the shard's words as far as
+a phrase can hold them: words are looked up in the vocabulary of the phrases, and as a word outside it ends any phrase, stretches of
+known words that are too short for the shortest phrase are left out and the rest are set apart by a break symbol. No occurrence is lost
+by that, and the index is often a small part of the shard. Every distinct phrase is searched backward through the wavelet ranks, its occurrences are located from
 sampled suffix positions, and their spans are merged.
 
-The benchmark travels to the shards in blocks of at most ``block_bytes`` of its text (its size is counted first): one block is
-one pass over the documents, without a shuffle; the spans of several blocks are merged by document and position.
+The benchmark travels to the shards in blocks of about ``block_bytes`` of its text (its size is counted first, and equal rows count once;
+a single larger text is a block). A block's phrases are laid out once, on the driver, as arrays, at about ten bytes for a byte of text. One
+block is one pass over the documents, without a shuffle; the spans of several blocks are merged by row of the documents and position.
 """
 
 from __future__ import annotations
@@ -19,43 +21,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ALNUM, Scratch, Words, in_arrow, keyed, texts
+from siftwell.llm.common import _ODD, ALNUM, Scratch, Words, in_arrow, keyed, mix, texts
 from siftwell.llm.fm_index import FMIndex
+from siftwell.llm.sets import windows_of
 
 WINDOW = 13
 #: Of words of a document that are hit, so many in a hundred make it contaminated.
 PERCENT = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 #: Rows located at a time, so that a phrase of great frequency takes no more memory.
 LOCATE = 1 << 18
 
 SPANS = "array<struct<start:long,end:long>>"
+ROW, SPANS_COL = "__siftwell_row", "__siftwell_spans"
 SCHEMA = f"id long, n_words long, n_hit long, spans {SPANS}, items array<string>"
 
 
 class Phrases:
-    """Distinct windows of benchmark items as rows of symbol numbers, with the items of each."""
+    """Distinct windows of benchmark items as rows of symbol numbers, right-aligned, with the items of each (``of[at[p]:at[p+1]]``)."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
-        ids = [i for i, _ in items]
-        col = pa.array([t for _, t in items], pa.string())
-        found: dict[bytes, set[int]] = {}
-        for i, j, data, bounds in texts(col):
+        self.names = [None if x is None else str(x) for x, _ in items]
+        column = pa.array([t for _, t in items], pa.string())
+        hashes, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        rows, sizes = [np.zeros((0, window), np.uint64)], [np.zeros(0, np.int64)]
+        for i, _, data, bounds in texts(column):
             words = Words(data, bounds, ALNUM)
-            for d in range(j - i):
-                h = words.hash[words.first[d] : words.first[d + 1]]
-                for k in range(max(1, len(h) - window + 1) if len(h) else 0):
-                    found.setdefault(h[k : k + window].tobytes(), set()).add(i + d)
-        self.names = [None if x is None else str(x) for x in ids]
-        rows = [np.frombuffer(k, np.uint64) for k in found]
-        self.items = [np.array(sorted(v), np.int64) for v in found.values()]
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.vocabulary = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
-        self.matrix = np.zeros((len(rows), window), np.int64)
-        for r, row in enumerate(rows):  # 1 is the break, words are from 2
-            self.matrix[r, window - len(row) :] = np.searchsorted(self.vocabulary, row) + 2
-        self.shortest = int(self.lengths.min()) if rows else 0
+            doc, pos, units, _ = windows_of(np.diff(words.first), window)
+            matrix = np.zeros((len(pos), window), np.uint64)
+            for j in range(window):
+                inside = np.flatnonzero(j < units)
+                matrix[inside, window - units[inside] + j] = words.hash[pos[inside] + j]
+            key = mix(mix((matrix * np.multiply.accumulate(np.full(window, _ODD[0]))).sum(1)) + units.astype(np.uint64))
+            _, first = np.unique(key, return_index=True)
+            hashes.append(key)
+            item.append(doc + i)
+            rows.append(matrix[first])
+            sizes.append(units[first])
+        every, all_rows, all_sizes = np.concatenate(hashes), np.concatenate(rows), np.concatenate(sizes)
+        number = np.unique(every)
+        firsts = np.concatenate([np.zeros(0, np.uint64), *(np.unique(h) for h in hashes)])  # the keys of ``rows``, in their order
+        _, chosen = np.unique(firsts, return_index=True)
+        table, self.lengths = all_rows[chosen], all_sizes[chosen]
+        filled = np.arange(window)[None, :] >= window - self.lengths[:, None]
+        self.vocabulary = np.unique(table[filled])
+        self.matrix = np.where(filled, np.searchsorted(self.vocabulary, table) + 2, 0).astype(np.int32)  # 1 is the break, words are from 2
+        pair = np.unique(np.stack((np.searchsorted(number, every), np.concatenate(item)), axis=1), axis=0)
+        self.at, self.of = np.searchsorted(pair[:, 0], np.arange(len(number) + 1)), pair[:, 1]
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+
+    def items(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``phrases``, item) for each item of each of them."""
+        n = self.at[phrases + 1] - self.at[phrases]
+        which = np.repeat(np.arange(len(phrases)), n)
+        return which, self.of[self.at[phrases][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
 
 
 def scan(words: Words, phrases: Phrases, shard_docs: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -93,7 +113,7 @@ def scan(words: Words, phrases: Phrases, shard_docs: int) -> tuple[list[np.ndarr
         return spans, items
     # Occurrences in runs of bounded length: (document, item) pairs are unique, covered words are marked.
     cover = np.zeros(total + 1, np.int64)
-    pairs: set[tuple[int, int]] = set()
+    pairs = np.zeros((0, 2), np.int64)
     counts = hi[hit] - lo[hit]
     ends = np.cumsum(counts)
     for a in range(0, int(ends[-1]), LOCATE):
@@ -105,22 +125,19 @@ def scan(words: Words, phrases: Phrases, shard_docs: int) -> tuple[list[np.ndarr
         np.add.at(cover, where, 1)
         np.add.at(cover, where + phrases.lengths[phrase], -1)
         doc = np.searchsorted(words.first, where, "right") - 1
-        for d, p in np.unique(np.stack((doc, phrase)), axis=1).T:
-            pairs.update((int(d), int(x)) for x in phrases.items[p])
+        met = np.unique(np.stack((doc, phrase), axis=1), axis=0)
+        place, item = phrases.items(met[:, 1])
+        pairs = np.unique(np.concatenate((pairs, np.stack((met[place, 0], item), axis=1))), axis=0)
     covered = np.cumsum(cover[:-1]) > 0
-    by: dict[int, list[int]] = {}
-    for d, x in pairs:
-        by.setdefault(d, []).append(x)
-    for d, xs in by.items():
+    for d in np.unique(pairs[:, 0]).tolist():
         c = np.concatenate(([False], covered[words.first[d] : words.first[d + 1]], [False]))
         spans[d] = np.flatnonzero(c[1:] != c[:-1]).reshape(-1, 2)
-        items[d] = np.array(sorted(xs), np.int64)
+        items[d] = pairs[slice(*np.searchsorted(pairs[:, 0], (d, d + 1))), 1]
     return spans, items
 
 
-def _scanner(items: list[tuple[str | None, str]], window: int, shard_bytes: int):
+def _scanner(phrases: Phrases, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(items, window)
         for batch in batches:
             for i, j, data, bounds in texts(batch.column(1), shard_bytes):
                 words = Words(data, bounds, ALNUM)
@@ -149,14 +166,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    bench, blocks = _blocks(benchmark, item_col, item_text, block_bytes)
 
     def scanned(frame: DataFrame, b: int) -> DataFrame:
-        block = bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        items = [(r.item, r.text) for r in block.collect()]  # block_bytes at most, but for a single larger text
-        return in_arrow(frame, _scanner(items, window, shard_bytes), SCHEMA)
+        return in_arrow(frame, _scanner(_phrases(bench, blocks, b, window), shard_bytes), SCHEMA)
 
     if blocks == 1:
         return scanned(source, 0)
@@ -186,20 +199,31 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, **options) -> DataFrame:
-    """``docs`` without contaminated rows. One pass without a join where the benchmark is one block, else by row number."""
-    items = _only_block(benchmark, **options)
-    if items is None:
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The distinct items with a text, and how many blocks they are dealt to."""
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null").distinct()
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return bench, max(1, -(-size // block_bytes))
+
+
+def _phrases(bench: DataFrame, blocks: int, b: int, window: int) -> Phrases:
+    block = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+    return Phrases([(r.item, r.text) for r in block.collect()], window)  # about block_bytes
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, percent: int = PERCENT, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``docs`` without contaminated rows, all columns kept. Rows are judged one by one, whatever their ids: repeated and null ids change
+    nothing. One pass without a join where the benchmark is one block, else by row number."""
+    bench, blocks = _blocks(benchmark, item_col, item_text, block_bytes)
+    if blocks > 1:
         scratch = Scratch(docs.sparkSession)
-        numbered = scratch.save(docs.withColumn("__siftwell_row", F.monotonically_increasing_id()))
-        found = contamination(numbered, benchmark, "__siftwell_row", text_col, **options)
-        bad = found.filter((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).select(F.col("id").alias("__siftwell_row"))
-        return keyed(numbered, scratch.save(bad), "__siftwell_row", "left_anti").select(docs.columns)
-    at, window = docs.columns.index(text_col), options.get("window", WINDOW)
-    shard_bytes = options.get("shard_bytes", SHARD_BYTES)
+        numbered = scratch.save(docs.withColumn(ROW, F.monotonically_increasing_id()))
+        found = contamination(numbered, benchmark, ROW, text_col, item_col, item_text, window=window, block_bytes=block_bytes, shard_bytes=shard_bytes)
+        bad = found.filter((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).select(F.col("id").alias(ROW))
+        return keyed(numbered, scratch.save(bad), ROW, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    at, phrases = docs.columns.index(text_col), _phrases(bench, 1, 0, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(items, window)
         for batch in batches:
             good = np.ones(batch.num_rows, bool)
             for i, j, data, bounds in texts(batch.column(at), shard_bytes):
@@ -212,29 +236,27 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return in_arrow(docs, run, docs.schema)
 
 
-def _only_block(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", *, block_bytes: int = BLOCK_BYTES, **_) -> list[tuple[str | None, str]] | None:
-    """The items, if their texts fit in one block."""
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return [(r.item, r.text) for r in bench.collect()] if size <= block_bytes else None
-
-
 def cut(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the words of every span taken out of the text, for use where passages go and documents stay."""
+    """``docs``, every row and column, with the words of every span taken out of the text (from the first word's first byte to the last one's
+    last), for use where passages go and documents stay. Rows without a hit, and null texts, are as they were."""
+    scratch = Scratch(docs.sparkSession)
+    numbered = scratch.save(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    found = contamination(numbered, benchmark, ROW, text_col, **options).filter("n_hit > 0").select(F.col("id").alias(ROW), F.col("spans").alias(SPANS_COL))
+    at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
-                parts, last = [], 0
-                for s in spans:
-                    parts.append(raw[last : words.start[s["start"]]])
-                    last = words.end[s["end"] - 1]
-                out.append(None if text is None else b"".join([*parts, raw[last:]]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
-
-    found = contamination(docs, benchmark, id_col, text_col, **options).filter("n_hit > 0").select("id", "spans")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return in_arrow(source.join(found, "id").select("id", "text", "spans"), run, "id long, text string")
+            out = batch.column(at).to_pylist()
+            for k, spans in enumerate(batch.column(width).to_pylist()):
+                if spans:
+                    raw = out[k].encode()
+                    words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
+                    edges = [0, *(x for s in spans for x in (words.start[s["start"]], words.end[s["end"] - 1])), len(raw)]
+                    out[k] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
+            columns = list(batch.columns[:width])
+            columns[at] = pa.array(out, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    joined = numbered.join(found, ROW, "left").select(*[F.col(f"`{c}`") for c in docs.columns], SPANS_COL)
+    return in_arrow(joined, run, docs.schema)
