@@ -1,19 +1,21 @@
 """Licence statements by a trained paragraph classifier, scored with DataFrame functions alone.
 
-A paragraph is a line. Features are word n-grams of one to three words that hold an anchor word (a word of licences), so a paragraph
-without one has no features and is not a statement; the scan skips it on that ground. A multinomial logistic regression over the sparse
-features tells families apart; two more classes are ``unknown`` (a licence of no known family) and ``none`` (licence words, but no
-statement). Its probabilities are calibrated with a temperature fitted on held-out statements, and a family is only given when its
-probability reaches ``least`` and one of its templates is contained in the paragraph to ``cover``; a statement that fails either is
-``unknown``.
-
-Training is on the driver, on a few thousand statements made from the fixed phrases below: the model's size does not depend on the
-data, and its table of weights (some thousand rows) is what the scan broadcasts.
+Paragraphs lie between blank lines. Where a text has none, or a block's lines are too long or too complete to be wrapped ones, each line is
+a paragraph. A sparse multinomial logistic regression over the paragraph's distinct words and pairs of words tells the licence families
+apart; two more classes are ``unknown`` (a licence of no known family) and ``none`` (no statement, whatever it mentions). Probabilities are
+calibrated: a temperature and the offsets of these two classes are fitted on folds that leave out whole families, which must then be
+unknown, and whole frames of statements. A family is only given when its probability reaches ``least`` and a template confirms it: a name of
+the family, or one of its licences' texts, of which the paragraph has ``cover`` of the words, or which has them of the paragraph.
+
+Training is on the driver, on a few thousand sentences made from the fixed values in ``licence_texts``: the model's size does not depend on
+the data. Most paragraphs are told to be ``none`` by a bound: words are looked up in sets by the most that they can speak for a licence,
+and where the sum of these bounds cannot outweigh the bias, no class but ``none`` can come out. Only the rest are scored.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from dataclasses import dataclass
 from functools import cache
@@ -22,54 +24,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of licences.
-ANCHORS = (
-    "license licence licensed licenced licenses licences licensing sublicense sublicensed copyright copyrighted copyleft reserved permission permissions warranty warranties redistribute redistribution "
-    "redistributions gnu gpl gplv2 gplv3 lgpl lgplv3 agpl agplv3 apache mozilla mpl bsd creative commons cc cc0 spdx unlicense domain isc eula proprietary eclipse epl lizenz lizenziert licencia licenciado"
-).split()
-
-#: Names of each family's licences, and sentences of their texts.
-NAMES: dict[str, tuple[str, ...]] = {
-    "apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0", "Apache Software License"),
-    "mit": ("MIT License", "MIT licence", "MIT/X11 license", "Expat license"),
-    "bsd": ("BSD License", "BSD 3-Clause License", "BSD-2-Clause license", "New BSD License", "Simplified BSD License", "three-clause BSD licence"),
-    "gpl": ("GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL", "GPL-3.0-or-later", "GPLv3", "GPLv2 license", "GNU General Public License"),
-    "lgpl": ("GNU Lesser General Public License", "GNU Lesser General Public License, version 3", "LGPL-2.1", "LGPLv3", "GNU LGPL"),
-    "agpl": ("GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL-3.0", "AGPLv3", "GNU AGPL"),
-    "mpl": ("Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL-2.0", "MPL 2.0"),
-    "epl": ("Eclipse Public License 2.0", "Eclipse Public License", "EPL-2.0"),
-    "isc": ("ISC License", "ISC licence"),
-    "cc-by": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC-BY-4.0", "Creative Commons Attribution License"),
-    "cc-by-sa": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-3.0", "Creative Commons Attribution-ShareAlike License"),
-    "cc-by-nc": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial License"),
-    "public-domain": ("CC0 1.0 Universal", "CC0", "public domain dedication", "Unlicense", "Creative Commons Zero"),
-}
-SENTENCES: dict[str, tuple[str, ...]] = {
-    "apache": ("you may not use this file except in compliance with the License", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions in binary form must reproduce the above copyright notice"),
-    "gpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",),
-    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",),
-    "agpl": ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License",),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
-    "public-domain": ("This is free and unencumbered software released into the public domain", "This work is in the public domain", "dedicated to the public domain"),
-    "proprietary": ("All rights reserved", "All rights reserved.", "Copyright 2024 Example Inc. All rights reserved.", "Copyright (c) The Authors, all rights reserved", "Proprietary and confidential. All rights reserved.", "Unauthorized copying of this file is strictly prohibited, proprietary and confidential", "This software is proprietary and may not be copied without permission"),
-}
-FRAMES = (
-    "{}", "{}.", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "Distributed under the {}.", "Published under {}.",
-    "This project is distributed under the terms of the {}", "License: {}", "SPDX-License-Identifier: {}", "Available under the {}, see the LICENSE file.", "Code is covered by the {}.", "Copyright 2020 the authors. Licensed under the {}.", "Dieses Werk steht unter der Lizenz {}.", "Ce projet est sous licence {}.", "Este proyecto tiene la licencia {}.",
-)
-UNHEARD = ("Acme Source License 1.0", "Zorb Community Licence", "Fooware License", "Northwind Data License, version 3", "Quux Non-Production License", "Open Widget Licence 2.1", "Sample Model License", "Brandname Research License", "Custom Terms License", "Elbonian Software Licence", "House License Agreement", "Internal Use License")
-PLAIN = (
-    "She lost her driving licence on the way home.", "The license plate was covered with mud.", "Permission denied when opening the file.", "He asked for permission to leave early.", "The warranty of the fridge expired in May.",
-    "Copyright law differs between countries.", "The apache landed its helicopter on the roof.", "A creative solution was found by the students.", "The house of commons met in the evening.", "She is a domain expert in chemistry.",
-    "The table was reserved for two.", "Seats are reserved for members.", "A gnu crossed the river.", "A solar eclipse was seen in the north.", "The email was sent to cc readers as well.", "They set the permissions of the folder.", "Redistribution of wealth was debated.",
-    "The domain of the function is open.", "Fishing licences are sold at the harbour.", "The pub lost its licence to serve drinks.", "No permission is needed to enter the park.", "The warranties were printed on the box.", "The copyright of the song was sold twice.", "Mozilla posted a job.", "They own proprietary technology and other assets.",
-)
+from siftwell.llm.licence_texts import FRAMES, MENTIONS, NAMES, PLAIN, TEXTS, UNHEARD
+
 UNKNOWN, NONE = "unknown", "none"
-LEAST, COVER = 0.6, 0.6
+FAMILIES = tuple(sorted({*NAMES, *TEXTS}))
+CLASSES = (*FAMILIES, UNKNOWN, NONE)
+LEAST, COVER = 0.5, 0.6
+#: Characters of a line from which it is not a wrapped one.
+WRAP = 120
+#: How much more ``unknown`` and ``none`` weigh in the fit than a family.
+MANY = 5.0
+#: Words of a paragraph from which a text can confirm it by holding it.
+FRAGMENT = 6
+FOLDS = 3
+#: Weights under this are dropped, features seen once too.
+SPARSE = 0.02
+#: Upper ends of the classes by which words are bounded.
+LEVELS = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, math.inf)
 _WORD = "[a-z0-9]+"
+_BLANKS = r"[ \t\r\f\x0B]"
 
 
 def _words(text: str) -> list[str]:
@@ -77,124 +50,241 @@ def _words(text: str) -> list[str]:
 
 
 def _grams(words: list[str]) -> set[str]:
-    known = set(ANCHORS)
-    return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1) if known & set(words[i : i + n])}
+    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+
+
+@dataclass(frozen=True)
+class Row:
+    """A training sentence: its class, the family it is of (or None) and the number of its frame."""
+
+    label: str
+    text: str
+    family: str | None
+    frame: int
+
+
+def invented(count: int = 48) -> list[str]:
+    """Names of licences that there are not: what a statement says without a name that is known."""
+    rng = random.Random(5)
+    syllables = "ka lo mir ten vu sha bre dol fi gan hex jo pru qua rit sol tam wen yor zil".split()
+    tails = ("License", "Licence", "Public License", "License, version 2", "License 1.0", "", "2.0", "Software License", "Agreement")
+    return [f"{''.join(rng.choice(syllables) for _ in range(rng.randrange(2, 4))).capitalize()} {tails[k % len(tails)]}".strip() for k in range(count)]
+
+
+def sentences() -> list[Row]:
+    """All training sentences. Texts come whole and in pieces, as they are found where they are wrapped; empty ones stand for paragraphs without
+    a word that the model knows."""
+    rows = [Row(c, f.format(n), c, k) for c, names in NAMES.items() for n in names for k, f in enumerate(FRAMES)]
+    rows += [Row(UNKNOWN, f.format(n), None, k) for n in (*UNHEARD, *invented()) for k, f in enumerate(FRAMES[1:], 1)]
+    rows += [Row(NONE, "", None, k) for k in range(200)]
+    rows += [Row(NONE, w, None, k) for k, s in enumerate(PLAIN) for w in s.split()[::2]]
+    rows += [Row(NONE, f.format(names[k % len(names)]), None, k) for names in [*NAMES.values(), UNHEARD] for k, f in enumerate(MENTIONS)]
+    rows += [Row(NONE, s, None, k) for k, s in enumerate(PLAIN) for _ in range(4)]
+    rows += [Row(NONE, f"{a} {b}", None, k) for k, (a, b) in enumerate(zip(PLAIN, PLAIN[7:] + PLAIN[:7], strict=True))]
+    for c, texts in TEXTS.items():
+        k = 0
+        for t in texts:
+            words = t.split()
+            pieces = [t] * 4 + [" ".join(words[i : i + 14]) for i in range(0, len(words), 7) if len(words[i : i + 14]) >= 8 and len(words) > 20]
+            for p in pieces:
+                rows.append(Row(c, p, c, k))
+                k += 1
+        if c != "proprietary":
+            rows.append(Row(c, " ".join(texts), c, k))
+    return rows
 
 
 @dataclass(frozen=True)
 class Model:
-    classes: list[str]
-    features: dict[str, np.ndarray]
+    features: dict[str, int]
+    weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    templates: list[tuple[str, list[str]]]
 
+    def odds(self, texts: list[str]) -> np.ndarray:
+        """Log-odds of the classes, calibrated."""
+        out = np.tile(self.bias, (len(texts), 1))
+        for r, t in enumerate(texts):
+            at = [self.features[g] for g in sorted(_grams(_words(t))) if g in self.features]
+            out[r] += self.weights[at].sum(0)
+        return out / self.temperature
 
-@cache
-def train(steps: int = 300, l2: float = 3e-4) -> Model:
-    """The classifier from the fixed phrases. Every fifth statement is held out of the fit and sets the temperature."""
-    rows = [(c, f.format(n)) for c, names in NAMES.items() for n in names for f in FRAMES]
-    rows += [(c, s) for c, ss in SENTENCES.items() for s in ss for _ in range(6)]
-    rows += [(c, f"{p} {s}") for c, ss in SENTENCES.items() for s in ss for p in ("Note:", "//", "*", "This file:")]
-    rows += [(UNKNOWN, f.format(n)) for n in UNHEARD for f in FRAMES[2:]]
-    rows += [(NONE, s) for s in PLAIN for _ in range(8)] + [(NONE, f"{a} {b}") for a in PLAIN[::3] for b in PLAIN[1::3]]
-    classes = sorted({c for c, _ in rows} - {UNKNOWN, NONE}) + [UNKNOWN, NONE]
-    grams = [_grams(_words(t)) for _, t in rows]
-    names = sorted({g for s in grams for g in s})
-    number = {g: i for i, g in enumerate(names)}
-    y = np.array([classes.index(c) for c, _ in rows])
-    x = np.zeros((len(rows), len(names)), np.float32)
+
+def _fit(rows: list[Row], steps: int = 160, l2: float = 2e-4) -> Model:
+    grams = [_grams(_words(r.text)) for r in rows]
+    seen: dict[str, int] = {}
+    for s in grams:
+        for g in s:
+            seen[g] = seen.get(g, 0) + 1
+    number = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n > 1))}
+    x = np.zeros((len(rows), len(number)), np.float32)
     for r, s in enumerate(grams):
-        x[r, [number[g] for g in s]] = 1
-    held = np.arange(len(rows)) % 5 == 4
-    w, b = np.zeros((len(names), len(classes))), np.zeros(len(classes))
-    xt, yt = x[~held], np.eye(len(classes))[y[~held]]
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    for _ in range(steps):
-        t += 1
-        z = xt @ w + b
+        x[r, [number[g] for g in s if g in number]] = 1
+    y = np.zeros((len(rows), len(CLASSES)), np.float32)
+    y[np.arange(len(rows)), [CLASSES.index(r.label) for r in rows]] = 1
+    # Classes weigh alike, but for the two that stand for many.
+    share = np.array([MANY if c in (UNKNOWN, NONE) else 1.0 for c in CLASSES]) / np.maximum(y.sum(0), 1)
+    each = (y * share).sum(1, keepdims=True).astype(np.float32)
+    each /= each.sum()
+    w, b = np.zeros((len(number), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32)
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
+    for t in range(1, steps + 1):
+        z = x @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = xt.T @ (p - yt) / len(yt) + l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        b -= 0.1 * (p - yt).mean(0)
-    z = x[held] @ w + b
+        error = (p / p.sum(1, keepdims=True) - y) * each
+        g, gb = x.T @ error + l2 * w, error.sum(0)
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        rate = 0.1 * min(1.0, 2 * (1 - t / (steps + 1)))
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-7)
+    kept = np.flatnonzero(np.abs(w).max(1) >= SPARSE)
+    names = list(number)
+    return Model({names[i]: k for k, i in enumerate(kept)}, w[kept].astype(np.float64).round(4), b.astype(np.float64).round(4), 1.0)
+
+
+def left_out(rows: list[Row], fold: int) -> list[tuple[Row, str]]:
+    """The rows that a fold keeps from its fit, with the class that they should get: all of a third of the families, which are then unknown,
+    and a third of the frames of the rest."""
+    away = set(FAMILIES[fold::FOLDS])
+    return [(r, UNKNOWN if r.family in away else r.label) for r in rows if r.family in away or r.frame % FOLDS == fold]
+
 
-    def loss(temperature: float) -> float:
-        s = z / temperature
-        return float((np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(len(s)), y[held]]).mean())
+def out_of_fold() -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds, number of the right class) of all rows that some fold left out, by that fold's fit."""
+    rows, odds, right = sentences(), [], []
+    for fold in range(FOLDS):
+        out = left_out(rows, fold)
+        ids = {id(r) for r, _ in out}
+        odds.append(_fit([r for r in rows if id(r) not in ids]).odds([r.text for r, _ in out]))
+        right += [CLASSES.index(c) for _, c in out]
+    return np.concatenate(odds), np.array(right)
 
-    best = min((k / 10 for k in range(5, 51)), key=loss)
-    templates = [(c, sorted(set(_words(n)))) for c, ns in NAMES.items() for n in ns] + [(c, sorted(set(_words(s)))) for c, ss in SENTENCES.items() for s in ss]
-    return Model(classes, {g: w[i].round(6) for g, i in number.items()}, b.round(6), best, templates)
+
+def calibrated(odds: np.ndarray, right: np.ndarray) -> tuple[float, float]:
+    """(temperature, offset of unknown) of the least mean log loss."""
+    best, found, u = math.inf, (1.0, 0.0), CLASSES.index(UNKNOWN)
+    for t in (0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0):
+        for a in np.arange(-2, 2.01, 0.25):
+            z = odds.copy()
+            z[:, u] += a
+            z = z / t - (z / t).max(1, keepdims=True)
+            loss = float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), right]).mean())
+            if loss < best:
+                best, found = loss, (t, float(a))
+    return found
+
+
+@cache
+def train() -> Model:
+    """The calibrated classifier, fitted on all sentences."""
+    temperature, unknown = calibrated(*out_of_fold())
+    model = _fit(sentences())
+    bias = model.bias.copy()
+    bias[CLASSES.index(UNKNOWN)] += unknown
+    if not bias.argmax() == CLASSES.index(NONE):
+        raise ValueError("a paragraph without a known word must be none")
+    return Model(model.features, model.weights, bias, temperature)
+
+
+@cache
+def templates() -> list[tuple[str, list[str], bool]]:
+    """(family, distinct words, whether it is a text) of every name and text."""
+    return [(c, sorted(set(_words(n))), False) for c, ns in NAMES.items() for n in ns] + [(c, sorted(set(_words(t))), True) for c, ts in TEXTS.items() for t in ts]
+
+
+def levels(model: Model) -> tuple[float, list[tuple[float, list[str]]]]:
+    """How far the bias of ``none`` lies over the others', and the words that speak for another class by the most that one of them can."""
+    none = CLASSES.index(NONE)
+    others = [k for k in range(len(CLASSES)) if k != none]
+    gain = (model.weights[:, others] - model.weights[:, [none]]).max(1)
+    gap = float(model.bias[none] - model.bias[others].max())
+    out, low = [], 0.0
+    for high in LEVELS:
+        words = [f for f, i in model.features.items() if low < gain[i] <= high]
+        if words:
+            out.append((float(max(gain[model.features[f]] for f in words)), words))
+        low = high
+    return gap, out
 
 
 def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def paragraphs(text: Column) -> Column:
+    """A text's paragraphs, those of white space too. A block between blank lines is one if it has several lines of which none is over WRAP
+    characters and fewer than half (without the last) end a sentence."""
+    ends = lambda b: F.regexp_count(b, F.lit(rf"[.!?][\"')\]]*{_BLANKS}*\n"))
+    one = lambda b: ~b.rlike(rf"[^\n]{{{WRAP + 1}}}") & (2 * ends(b) < F.regexp_count(b, F.lit("\n")))
+    blocks = F.split(text, rf"\n(?:{_BLANKS}*\n)+")
+    return F.when(text.rlike(rf"\n{_BLANKS}*\n"), F.flatten(F.transform(blocks, lambda b: F.when(one(b), F.array(b)).otherwise(F.split(b, "\n"))))).otherwise(F.split(text, "\n"))
+
+
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 def statements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: float = LEAST, cover: float = COVER) -> DataFrame:
-    """(row, id, line int from 0, paragraph, family, probability, template) for each paragraph that is a statement; ``row`` numbers the
-    rows of ``docs`` within one run of the query, so that documents that share an id stay apart."""
+    """(row, id, line int from 0, paragraph, family, probability, template) for each paragraph that is a statement; ``line`` is the paragraph's
+    number, ``row`` a hash of id and text, so that documents that share an id, or have none, stay apart."""
     spark = docs.sparkSession
     model = train()
-    anchor = rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(ANCHORS)})(?![A-Za-z0-9])"
+    gap, bounds = levels(model)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    some = source.filter(F.col("text").rlike(anchor)).select("id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).filter(F.col("paragraph").rlike(anchor)).distinct()
-    w = F.regexp_extract_all(_lower(F.col("paragraph")), F.lit(_WORD), F.lit(0))
-    some = some.select("*", w.alias("words"))
-    two = F.expr("transform(sequence(0, greatest(size(words) - 2, 0)), i -> concat_ws(' ', slice(words, i + 1, 2)))")
-    three = F.expr("transform(sequence(0, greatest(size(words) - 3, 0)), i -> concat_ws(' ', slice(words, i + 1, 3)))")
-    key = ["row", "id", "line"]
-    grams = some.select(*key, F.explode(F.array_distinct(F.concat("words", two, three))).alias("gram"))
-    table = spark.createDataFrame([(g, [float(x) for x in ws]) for g, ws in model.features.items()], "gram string, w array<double>")
-    scores = grams.join(F.broadcast(table), "gram").groupBy(*key).agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(model.classes))])
-    z = [(F.col(f"z{k}") + float(model.bias[k])) / model.temperature for k in range(len(model.classes))]
-    top = F.greatest(*z)
+    some = source.filter("text is not null").withColumn("row", F.xxhash64("id", "text")).select("id", "row", F.posexplode(paragraphs(F.col("text"))).alias("line", "paragraph"))
+    some = some.withColumn("words", F.regexp_extract_all(_lower(F.col("paragraph")), F.lit(_WORD), F.lit(0)))
+    pairs = F.expr("zip_with(words, slice(words, 2, size(words)), (a, b) -> if(b is null, a, concat(a, ' ', b)))")
+    some = some.withColumn("grams", F.array_distinct(F.concat("words", pairs)))
+    # The bound: a word counts the most that its level allows.
+    every = [w for _, words in bounds for w in words]
+    some = some.withColumn("speaking", F.expr(f"filter(grams, g -> g in ({_in(every)}))")).filter(F.size("speaking") > 0)
+    most = " + ".join(f"{high!r}D * size(filter(speaking, g -> g in ({_in(words)})))" for high, words in bounds)
+    some = some.filter(F.expr(f"{most} > {gap!r}D")).select("row", "id", "line", "paragraph", "words", "grams").distinct()
+    key = ["row", "line"]
+    table = spark.createDataFrame([(g, [float(x) for x in model.weights[i]]) for g, i in model.features.items()], "gram string, w array<double>")
+    grams = some.select(*key, F.explode("grams").alias("gram"))
+    scores = grams.join(F.broadcast(table), "gram").groupBy(*key).agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(CLASSES))])
+    z = [(F.col(f"z{k}") + float(model.bias[k])) / model.temperature for k in range(len(CLASSES))]
     total = sum((F.exp(c - F.col("top")) for c in z[1:]), F.exp(z[0] - F.col("top")))
-    name = F.coalesce(*[F.when(c == F.col("top"), F.lit(n)) for c, n in zip(z, model.classes, strict=True)])
-    told = scores.withColumn("top", top).select(*key, name.alias("said"), (1 / total).alias("probability")).filter(F.col("said") != NONE)
-    known = spark.createDataFrame(model.templates, "said string, template array<string>")
-    part = F.size(F.array_intersect("words", "template")) / F.size("template")
-    checked = told.join(some, key).join(F.broadcast(known), "said", "left").groupBy(*key, "paragraph", "said", "probability").agg(F.max(F.struct(part.alias("cover"), F.array_join("template", " ").alias("template"))).alias("best"))
+    name = F.coalesce(*[F.when(c == F.col("top"), F.lit(n)) for c, n in zip(z, CLASSES, strict=True)])
+    told = scores.withColumn("top", F.greatest(*z)).select(*key, name.alias("said"), (1 / total).alias("probability")).filter(F.col("said") != NONE)
+    known = spark.createDataFrame(templates(), "said string, template array<string>, whole boolean")
+    both, own = F.size(F.array_intersect("words", "template")), F.size(F.array_distinct("words"))
+    part = both / F.size("template")
+    part = F.when(F.col("whole") & (own >= FRAGMENT), F.greatest(part, both / own)).otherwise(part)
+    checked = told.join(some.drop("grams"), key).join(F.broadcast(known), "said", "left").groupBy(*key, "id", "paragraph", "said", "probability").agg(F.max(F.struct(part.alias("cover"), F.array_join("template", " ").alias("template"))).alias("best"))
     sure = (F.col("said") != UNKNOWN) & (F.col("probability") >= least) & (F.col("best.cover") >= cover)
-    return checked.select(*key, "paragraph", F.when(sure, F.col("said")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"), F.when(sure, F.col("best.template")).alias("template"))
+    return checked.select("row", "id", "line", "paragraph", F.when(sure, F.col("said")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"), F.when(sure, F.col("best.template")).alias("template"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id_col, n_paragraphs long, n_licence long, n_unknown long, families array<string>), one row per row of ``docs``.
 
-    n_paragraphs counts lines that are not blank; families are distinct and sorted, without ``unknown``. Null and empty texts have no
-    paragraphs. A null id keeps its row. Only the named columns are read. An empty table gives no rows.
+    n_paragraphs counts paragraphs that are not blank; families are distinct and sorted, without ``unknown``. Null and empty texts have no
+    paragraphs. A null id keeps its row; rows equal in id and text get the same result. Only the named columns are read. An empty table
+    gives no rows. Texts are read whole; a paragraph's words are in memory at once, some 100 bytes for each.
     """
     found = statements(docs, id_col, text_col, **options)
-    by = found.groupBy("id", "row").agg(F.count("*").alias("n_licence"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"), F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))).alias("families"))
-    lines = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"\S[^\n]*")), F.lit(0)).cast("long")
-    every = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("row"), lines.alias("n_paragraphs"))
-    on = (every.id.eqNullSafe(by.id)) & (every.row == by.row)
-    joined = every.join(by, on, "left")
+    by = found.groupBy("row").agg(F.count("*").alias("n_licence"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"), F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))).alias("families"))
+    text = F.col(text_col).cast("string")
+    count = F.coalesce(F.size(F.filter(paragraphs(text), lambda p: p.rlike(r"\S"))), F.lit(0)).cast("long")
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.when(text.isNull(), F.lit(0).cast("long")).otherwise(count).alias("n_paragraphs"))
+    joined = every.join(by, "row", "left")
     zero = F.lit(0).cast("long")
-    return joined.select(every.id.alias(id_col), "n_paragraphs", F.coalesce("n_licence", zero).alias("n_licence"), F.coalesce("n_unknown", zero).alias("n_unknown"), F.coalesce("families", F.expr("cast(array() as array<string>)")).alias("families"))
-
-
-def brute(text: str | None, least: float = LEAST, cover: float = COVER) -> tuple[int, int, int, list[str]]:
-    """The same for one text in plain Python; tests compare the two."""
-    model, count, unknown, families = train(), 0, 0, set()
-    lines = (text or "").split("\n")
-    for line in lines:
-        words = _words(line)
-        grams = [model.features[g] for g in _grams(words) if g in model.features]
-        if not set(words) & set(ANCHORS) or not grams:
-            continue
-        z = (sum(grams) + model.bias) / model.temperature
-        k = int(z.argmax())
-        if model.classes[k] == NONE:
-            continue
-        count += 1
-        best = max((len(set(words) & set(t)) / len(t) for c, t in model.templates if c == model.classes[k]), default=0)
-        if model.classes[k] != UNKNOWN and 1 / math.fsum(np.exp(z - z.max())) >= least and best >= cover:
-            families.add(model.classes[k])
-        else:
-            unknown += 1
-    return sum(bool(re.search(r"[^ \t\n\x0B\f\r]", x)) for x in lines), count, unknown, sorted(families)
+    return joined.select(F.col("id").alias(id_col), "n_paragraphs", F.coalesce("n_licence", zero).alias("n_licence"), F.coalesce("n_unknown", zero).alias("n_unknown"), F.coalesce("families", F.expr("cast(array() as array<string>)")).alias("families"))
+
+
+def family_of(paragraph: str, least: float = LEAST, cover: float = COVER) -> tuple[str, float]:
+    """(family, ``unknown`` or ``none``, probability) of one paragraph in plain Python."""
+    odds = train().odds([paragraph])[0]
+    k = int(odds.argmax())
+    p = 1 / math.fsum(np.exp(odds - odds.max()))
+    if CLASSES[k] in (UNKNOWN, NONE):
+        return CLASSES[k], p
+    own = set(_words(paragraph))
+    best = 0.0
+    for family, words, whole in templates():
+        if family == CLASSES[k]:
+            both = len(own & set(words))
+            best = max(best, both / len(words), both / len(own) if whole and len(own) >= FRAGMENT else 0.0)
+    return (CLASSES[k] if p >= least and best >= cover else UNKNOWN), p
