@@ -1,13 +1,16 @@
 """Main text of web pages by tag-path ratios.
 
-Text nodes are grouped by their root-to-leaf tag path. A path's text ratio is its characters outside links per node and its
-punctuation ratio its punctuation marks per node; both are smoothed over neighbouring nodes in page order with a Gaussian, fused into
-one score, and paths over a share of the scores' deviation are content. Content paths vote for a container, weighted by their text: the
-deepest element that holds most of it, where an <article> or <main> is preferred. All of the container is kept, so a short paragraph or
-a heading stays, and so do content outside it and other articles, but for parts whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert, form or reader
-comment, or that are not text.
-
-A page is parsed alone, so the operator is one pass without a shuffle. The parser is linear in the page's length.
+Text nodes are grouped by their root-to-leaf tag path (tags with class and id). A path's text ratio is its characters outside links per
+node and its punctuation ratio its punctuation marks per node. Both are smoothed over neighbouring nodes in page order with a Gaussian
+and fused into one score, which a prior lowers for paths through elements whose class or id names a menu, header, footer, sidebar,
+notice, advert or reader comment. Paths that score SHARE of the mean (weighted by text) or more are content, if they are not short ones
+that only their neighbours lift; headings may be.
+
+Content paths also vouch for what belongs to them: the short blocks, lists and tables in the same article (the nearest <article>, <main> or the
+like above a content path, else its parent), unless a name or links tell against them. Parts are left out before any score only by their element,
+role or because they are hidden.
+
+A page is parsed alone, so the operator is one pass without a shuffle; time is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -33,13 +36,20 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: A start tag closes an open element of these, up to the scope that ends the search.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Parts of class names and ids.
+#: Parts of class names and ids that name something beside the main text, if no part of the name is about something else.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners adsense adslot menu menus nav navbar navigation breadcrumb breadcrumbs "
-    "sidebar sidebars sidenav footer masthead topbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices popup "
+    "sidebar sidebars sidenav footer masthead topbar comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices popup "
     "modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations outbrain taboola login pagination pager toolbar skip".split()
 )
+#: Parts that leave the rest of a name what it is: ``comment-list``, but not ``social-science``.
+PLAIN = frozenset(
+    "list lists box wrapper wrap container block blocks section area inner outer widget widgets bar top bottom left right item items link links button buttons group row col column main primary secondary "
+    "site page post posts article articles form unit slot zone panel module content text body holder global user reader the by of to and in me this media icons stories story reading thread respond title".split()
+)
 HEADERS = frozenset(("header", "head"))
+#: Names that count on an <article> itself.
+ASIDE = frozenset("ad ads advert advertisement promo sponsored comment comments reply replies related".split())
 #: Parts that say a name is about something else: ``has-sidebar`` is not a sidebar.
 ABOUT = frozenset(("has", "with", "no", "without", "free"))
 
@@ -52,56 +62,63 @@ _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 _NOTICE = re.compile(r"(?i)(?:©|\(c\)|copyright\b)[\s©]*\d{4}")
 _SOME = re.compile(r"(?i)\b(?:class|id|role|hidden|aria-hidden|style|itemprop)\b")
 
-SHARE = 0.3
-COVER = 0.8
-EXPLICIT = 0.25
+SHARE, OWN = 0.1, 0.15
+#: What the score of a path through a named part is multiplied by.
+PRIOR = 0.02
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements under which blocks of different parts of a page meet.
+PAGE = frozenset(("", "html", "body"))
 
 
 class Node:
-    __slots__ = ("parent", "tag", "drop", "explicit", "depth", "children")
+    """A tag path: ``drop`` for parts that are left out, ``explicit`` for an element that names the main text, ``article`` the nearest
+    such path from here up, ``prior`` for the names along the path."""
 
-    def __init__(self, parent: Node | None, tag: str, drop: bool, explicit: bool):
+    __slots__ = ("parent", "tag", "drop", "explicit", "article", "prior", "depth", "children")
+
+    def __init__(self, parent: Node | None, tag: str, drop: bool, explicit: bool, named: bool):
         self.parent, self.tag, self.drop, self.explicit = parent, tag, drop, explicit
+        self.article: Node | None = self if explicit else parent.article if parent else None
+        self.prior = (parent.prior if parent else 1.0) * (PRIOR if named and (parent is None or parent.prior == 1.0) else 1.0)
         self.depth = parent.depth + 1 if parent else 0
-        self.children: dict[tuple, Node] = {}
+        self.children: dict[str, Node] = {}
+
+
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether one of the names of a class or id is about something in ``names`` and nothing else."""
+    for name in value.split():
+        parts = {p.lower() for p in _PART.findall(name)}
+        if parts & names and parts <= names | PLAIN | NAMES:
+            return True
+    return False
 
 
-def _judge(tag: str, attrs: str, within: Node, by_name: bool) -> tuple[str, bool, bool]:
-    """A path's label for an element, whether it names something that is not main text, and whether it names the main text."""
-    drop = tag in DROPPED
+def _judge(tag: str, attrs: str, within: Node) -> tuple[str, bool, bool, bool]:
+    """A path's label for an element, whether its element, role or state leaves it out, whether it holds the main text by what it is, and
+    whether its class or id names something beside the main text."""
+    drop, named = tag in DROPPED, False
     explicit = tag in ("article", "main")
     label = tag
     if attrs and _SOME.search(attrs):
         known = {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(attrs)}
         names = f"{known.get('class', '')} {known.get('id', '')}"
         label = f"{tag}.{known.get('class', '')}#{known.get('id', '')}"
-        parts = {p.lower() for p in _PART.findall(names)}
-        if not by_name or parts & ABOUT:
-            parts = set()
         role = known.get("role", "").lower()
         explicit |= role == "main" or known.get("itemprop", "") == "articleBody"
-        whole = tag in ("html", "body", "article", "main")
-        drop |= not whole and bool(parts & NAMES) or role in ROLES or "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower()
-        header = bool(parts & HEADERS) and not whole
-    else:
-        header = False
-    if (header or tag == "header") and not _inside(within):
+        drop |= role in ROLES or "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower()
+        if tag == "article":
+            named = _named(names, ASIDE)
+            explicit &= not named
+        elif tag not in ("html", "body", "main"):
+            named = _named(names, NAMES) or (within.article is None and _named(names, HEADERS))
+    if tag == "header" and within.article is None:
         drop = True
-    return label, drop, explicit
-
-
-def _inside(node: Node | None) -> bool:
-    while node:
-        if node.explicit:
-            return True
-        node = node.parent
-    return False
+    return label, drop, explicit, named
 
 
-def blocks(page: str, by_name: bool = True) -> list[tuple[Node, str, int]]:
-    """(path, text, characters within links) of each block of text, in page order; text of dropped parts is left out. ``by_name``: class
-    names and ids can drop a part."""
-    root = Node(None, "", False, False)
+def blocks(page: str) -> list[tuple[Node, str, int]]:
+    """(path, text, characters within links) of each block of text, in page order; text of dropped parts is left out."""
+    root = Node(None, "", False, False, False)
     stack: list[tuple[str, Node, bool]] = [("", root, False)]
     open_: Counter[str] = Counter()
     out: list[tuple[Node, str, int]] = []
@@ -173,16 +190,15 @@ def blocks(page: str, by_name: bool = True) -> list[tuple[Node, str, int]]:
         if tag in CLOSES:
             close(*CLOSES[tag])
         here = stack[-1][1]
-        label, drop, explicit = _judge(tag, m[4], here, by_name)
-        plain = tag in INLINE and not drop
+        label, drop, explicit, named = _judge(tag, m[4], here)
+        plain = tag in INLINE and not drop and not named
         if plain:
             node = here
         else:
             flush()
-            key = (label, drop, explicit)
-            node = here.children.get(key)
+            node = here.children.get(label)
             if node is None:
-                node = here.children[key] = Node(here, tag, drop or here.drop, explicit)
+                node = here.children[label] = Node(here, tag, drop or here.drop, explicit, named)
         if m[4].rstrip().endswith("/") and tag not in INLINE and tag not in CLOSES_P and "-" in tag:
             continue
         stack.append((tag, node, plain))
@@ -198,62 +214,67 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(values, 1, mode="edge"), kernel / kernel.sum(), "valid")
 
 
+def scores(which: np.ndarray, chars: np.ndarray, punct: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The score of each path: ``which`` path a node is of, a node's characters outside links and punctuation marks, a path's prior."""
+    count = np.bincount(which)
+    text_ratio = _smooth((np.bincount(which, chars) / count)[which])
+    punct_ratio = _smooth((np.bincount(which, punct) / count)[which])
+    return np.bincount(which, text_ratio * (1 + punct_ratio)) / count * prior
+
+
 def main_text(page: str | None) -> str:
     """The text of the page's content blocks, in page order, a space between blocks; empty if there is none."""
-    found = blocks(page or "") or blocks(page or "", by_name=False)
+    found = blocks(page or "")
     if not found:
         return ""
-    paths: dict[int, int] = {}
-    which = np.array([paths.setdefault(id(n), len(paths)) for n, _, _ in found])
+    number: dict[int, int] = {}
+    which = np.array([number.setdefault(id(n), len(number)) for n, _, _ in found])
+    paths: list[Node] = list({id(n): n for n, _, _ in found}.values())
     chars = np.array([len(t) - k for _, t, k in found], float)
     punct = np.array([len(_PUNCT.findall(t)) for _, t, _ in found], float)
-    count = np.bincount(which)
-    text_ratio = _smooth((np.bincount(which, chars) / count)[which])
-    punct_ratio = _smooth((np.bincount(which, punct) / count)[which])
-    fused = text_ratio * (1 + punct_ratio)
-    score = (np.bincount(which, fused) / count)[which]
-    chosen = score >= SHARE * score.std()
-    mass = np.where(chosen, chars, 0)
-    total = mass.sum()
-    if total <= 0:
+    prior = np.array([n.prior for n in paths])
+    score = scores(which, chars, punct, prior)
+    text = np.bincount(which, chars)
+    ratio = text / np.bincount(which) * prior
+    mass = text * prior
+    if not mass.sum():
         return ""
-    # Containers by the mass below them.
-    below: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    for (n, _, _), v in zip(found, mass.tolist(), strict=True):
-        while n:
-            nodes[id(n)] = n
-            below[id(n)] = below.get(id(n), 0.0) + v
+    heading = np.array([n.tag in HEADINGS for n in paths])
+    mean = lambda v: (v * mass).sum() / mass.sum()
+    chosen = (score >= SHARE * mean(score)) & (heading | (ratio >= OWN * mean(ratio)))
+    # What content paths vouch for: their article, else what they lie in; of the page itself only blocks that text consists of.
+    least = min((n.prior for n, c in zip(paths, chosen.tolist(), strict=True) if c), default=1.0)
+    body = [n for n, c, h in zip(paths, chosen.tolist(), heading.tolist(), strict=True) if c and not h]
+    regions = {id(n.article or n.parent or n) for n in body}
+    member: dict[int, tuple[bool, bool]] = {}  # path -> (within a region, within an article that is one)
+
+    def place(n: Node) -> tuple[bool, bool]:
+        chain = []
+        while n is not None and id(n) not in member:
+            chain.append(n)
             n = n.parent
-    named = [n for k, n in nodes.items() if n.explicit and below[k] >= EXPLICIT * total]
-    if named:
-        top = max(named, key=lambda n: (below[id(n)], n.depth))
-        # Other articles with content stay too, but for what only wraps this one.
-        tops = [top, *(n for k, n in nodes.items() if n.explicit and below[k] > 0 and not _under(top, n) and not _under(n, top))]
-        return " ".join(t for n, t, _ in found if any(_under(n, x) for x in tops))
-    top = max((n for k, n in nodes.items() if below[k] >= COVER * total), key=lambda n: n.depth)
-    if top.tag not in ("", "html", "body", "div", "section", "td") and top.parent is not None:
-        top = top.parent  # all paragraphs of a container have one path
-    if top.tag in ("", "html", "body"):
-        parents = {id(n.parent) for (n, _, _), c in zip(found, chosen, strict=True) if c}
-        return " ".join(t for (n, t, k), c in zip(found, chosen.tolist(), strict=True) if c or (id(n.parent) in parents and n.tag not in ("", "html", "body", "div") and 2 * k <= len(t)))
-    # Content outside the container stays, with short blocks beside it.
-    outside = {id(n.parent) for (n, _, _), c in zip(found, chosen, strict=True) if c and not _under(n, top)}
-
-    def stays(n: Node, t: str, k: int, c: bool) -> bool:
-        if _under(n, top):
-            return n.tag not in ("li", "ul", "ol") or 10 * k <= 9 * len(t)
-        return 2 * k <= len(t) and not _NOTICE.match(t) and (c or (id(n.parent) in outside and n.tag not in ("", "html", "body", "div", "td")))
-
-    return " ".join(t for (n, t, k), c in zip(found, chosen.tolist(), strict=True) if stays(n, t, k, c))
-
-
-def _under(node: Node | None, top: Node) -> bool:
-    while node is not None and node.depth >= top.depth:
-        if node is top:
-            return True
-        node = node.parent
-    return False
+        at = member[id(n)] if n is not None else (False, False)
+        for x in reversed(chain):
+            if id(x) in regions and x.tag not in PAGE:
+                at = (True, at[1] or x.article is not None)
+            member[id(x)] = at
+        return at
+
+    out = []
+    for (n, t, k), c in zip(found, chosen[which].tolist(), strict=True):
+        within, article = place(n)
+        if not within and (_NOTICE.match(t) or 2 * k > len(t)):
+            continue
+        if not c and n.prior >= least:
+            if article:
+                c = True
+            elif within:
+                c = n.tag not in ("li", "ul", "ol", "dd", "dt") or 10 * k <= 9 * len(t)
+            else:
+                c = n.parent is not None and id(n.parent) in regions and n.tag not in (*PAGE, "div", "td")
+        if c:
+            out.append(t)
+    return " ".join(out)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
