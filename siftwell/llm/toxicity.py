@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
         if rows:
-            model = fit(pa.Table.from_batches(rows).sort_by("id"), groups, classes=classes)
+            model = fit(pa.Table.from_batches(rows).rename_columns(["id", "text", "toxic"]).sort_by("id"), groups, classes=classes)
             yield pa.RecordBatch.from_arrays([pa.array([model.features.view(np.int64)], pa.list_(pa.int64())), pa.array([model.weights], pa.list_(pa.float64())), pa.array([model.bias])], ["features", "weights", "bias"])
 
     sample = training_sample(docs, labels, id_col, text_col, **options)

@@ -84,6 +84,21 @@ def test_nearest_equal_brute_force(spark, block_bytes):
     assert found == plain.cosine_nearest(rows, 50)
 
 
+@pytest.mark.parametrize("partitions", [1, 6])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_nearest_with_repeated_rows(spark, partitions, block_bytes):
+    rng = random.Random(2)
+    near, far = [1.0, 0.1, 0.0], [0.5, 0.5, 0.25]
+    rows = [(0, [1.0, 0.0, 0.0]), (0, [0.0, 1.0, 0.0]), (50, [0.0, 0.0, 0.0]), (50, [1.0, 1.0, 1.0])]
+    rows += [(7, near)] * 3 + [(8, near)] * 3 + [(i, far) for i in range(10, 18)] + [(20, [rng.random() for _ in range(3)])] * 2
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(partitions)
+    found = {}
+    for r in block_knn.nearest(df, F.col("vec_id") % 50 == 0, block_bytes=block_bytes).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found == plain.cosine_nearest(rows, 50) and len(found[0]) == 5
+
+
 def test_few_or_no_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in block_knn.nearest(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1)]
@@ -292,3 +307,121 @@ PART = "Part of it, with some words, and a mark; and then a few more."
 def test_content_outside_the_largest_part_stays(page):
     text = html_extract.main_text(page.format(LONG, PART))
     assert PART in text and LONG.strip() in text
+
+
+@pytest.mark.parametrize(
+    "page, kept, lost",
+    [
+        ("<article><p>{0}</p><section class='discussion'><p>{1}</p></section></article>", [LONG, PART], []),
+        ("<article><p>{0}</p><div class='social-science'><p>{1}</p></div></article>", [LONG, PART], []),
+        ("<article><p>{0}</p><div class='related-work-overview'><p>{1}</p></div></article>", [LONG, PART], []),
+        ("<article><p>{0}</p><div class='share-buttons'><p>{1}</p></div><section class='comment-list'><p>{1}</p></section></article>", [LONG], [PART]),
+        ("<article><p>{0}</p></article><article class='comment'><p>{1}</p></article>", [LONG], [PART]),
+        ("<div class='post'><h2>Part one</h2><p>{0}</p><h2>Part two</h2><p>{1}</p><table><tr><td>cell</td></tr></table></div><div class='related-posts'><p>{2}</p></div>", ["Part one", LONG, "Part two", PART, "cell"], ["Other news"]),
+        ("<div><div class='teaser-box-x9'>Short words</div><div class='body'><p>{0}</p><p>{1}</p></div></div>", [LONG, PART], ["Short words"]),
+        ("<main><p>{0}</p><pre>x = 1\n  y = 2</pre><ul><li><a href=1>a cited page</a></li></ul></main>", [LONG, "x = 1 y = 2", "a cited page"], []),
+        ("<body><div class='banner'><p>{0}</p><p>{1}</p></div></body>", [LONG, PART], []),
+    ],
+)
+def test_names_are_a_prior_only(page, kept, lost):
+    text = html_extract.main_text(page.format(LONG, PART, "Other news, of today. And more."))
+    assert all(" ".join(k.split()) in text for k in kept) and not any(x in text for x in lost)
+
+
+def test_path_scores_equal_a_plain_version():
+    """The smoothed and fused ratios, from their definition."""
+    rng = random.Random(4)
+    for _ in range(30):
+        n, paths = rng.randrange(1, 60), rng.randrange(1, 8)
+        which = [rng.randrange(paths) for _ in range(n)]
+        which = [sorted(set(which)).index(w) for w in which]
+        chars, punct = [float(rng.randrange(400)) for _ in range(n)], [float(rng.randrange(9)) for _ in range(n)]
+        prior = [rng.choice((1.0, html_extract.PRIOR)) for _ in set(which)]
+        mean = lambda v, w: sum(x for x, k in zip(v, which) if k == w) / which.count(w)  # noqa: E731, B023
+        weight = {-1: math.exp(-0.5), 0: 1.0, 1: math.exp(-0.5)}
+
+        def smooth(v, i):
+            return sum(weight[d] * v[min(max(i + d, 0), n - 1)] for d in weight) / sum(weight.values())  # noqa: B023
+
+        text, marks = [mean(chars, w) for w in which], [mean(punct, w) for w in which]
+        fused = [smooth(text, i) * (1 + smooth(marks, i)) for i in range(n)]
+        want = [mean(fused, w) * prior[w] for w in range(len(prior))]
+        got = html_extract.scores(np.array(which), np.array(chars), np.array(punct), np.array(prior))
+        assert got == pytest.approx(want)
+
+
+def test_nesting_is_linear():
+    import time
+
+    seconds = []
+    for n in (4000, 32_000):
+        began = time.perf_counter()
+        assert len(html_extract.main_text("<div>a sentence, here." * n)) == 18 * n - 1
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 40 * max(seconds[0], 0.02)
+
+
+def test_mixing_takes_the_rows_that_its_blocks_say(spark, monkeypatch):
+    """Which rows stand in which pass, from the hashes: whole passes, then blocks in the order of their hash, then rows in the order of theirs."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 40)
+    rng = random.Random(6)
+    rows = [(i, " ".join(["word"] * rng.randrange(1, 9)), "big" if i % 4 else f"s{i % 3}") for i in range(500)] + [(1000, None, None), (1001, "", "none")]
+    out = Counter((r.doc_id, r.epoch) for r in mixed(spark, rows, repeat=2.0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n = {r.doc_id: r.n for r in df.select("doc_id", mixing.tokens(F.col("text")).alias("n")).collect()}
+    sources = {}
+    for i, _, s in rows:
+        sources.setdefault(s or "", []).append(i)
+    total = {s: sum(n[i] for i in ids) for s, ids in sources.items()}
+    whole = {s: t for s, t in total.items() if t}
+    every, most, least = sum(whole.values()), max(whole.values()), min(whole.values())
+    a = 1 - math.log(2) / math.log(most / least)
+    want = Counter()
+    hashed = df.select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.xxhash64("doc_id", "text").alias("hd"))
+    block = F.pmod(F.xxhash64("hd", F.lit("block")), F.lit(1).cast("long"))
+    for s, ids in sources.items():
+        if not total[s]:
+            want.update({(i, 0): 1 for i in ids})
+            continue
+        goal = round(most * (total[s] / most) ** a)
+        passes, left = divmod(goal, total[s])
+        want.update({(i, e): 1 for i in ids for e in range(passes)})
+        count = max(1, -(-total[s] // 40))
+        block = F.pmod(F.xxhash64("hd", F.lit("block")), F.lit(count)).cast("int")
+        placed = hashed.filter(F.col("s") == s).withColumn("block", block).withColumn("hb", mixing.block_hash("s", "block")).collect()
+        by = {}
+        for r in placed:
+            by.setdefault((r.hb, r.block), []).append((r.hd, r.doc_id))
+        for key in sorted(by):
+            size = sum(n[i] for _, i in by[key])
+            if size <= left:
+                want.update({(i, passes): 1 for _, i in by[key]})
+                left -= size
+                continue
+            for _, i in sorted(by[key]):
+                if n[i] > left:
+                    break
+                want[i, passes] = 1
+                left -= n[i]
+            break
+    assert every and out == want
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null, empty, long and repeated rows, clashing columns, and no rows at all, through every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    phrase = " ".join(f"w{k}" for k in range(20))
+    long = " ".join(f"x{k % 977}y{k % 31}" for k in range(60_000))
+    rows = [(1, "", "s", 5), (2, None, "s", 5), (None, "no id here", None, 5), (None, "no id here", "", 5), (3, long, "t", 5), (4, long, "t", 5), (5, phrase, "t", 5), (6, "plain words of no note", "s", 5), (6, "plain words of no note", "s", 5)]
+    schema = "doc_id long, text string, source string, shard int, slot int, id string, `n` string, epoch int, component string"
+    for name, data in (("odd", [(*r, 1, "i", "n", 2, "c") for r in rows]), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, phrase), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        out = pipeline.run(spark, d)
+        assert sorted(out.columns) == sorted(x.split()[0].strip("`") for x in schema.split(", "))
+        found = Counter(r.doc_id for r in out.collect())
+        assert set(found) == ({1, 2, 3, 6, None} if data else set())
+        if data:
+            assert found[None] >= 2 and {r.shard for r in out.collect()} != {5}
