@@ -1,5 +1,7 @@
 """Model calls, traces, embedding, the question-and-answer source, and the stream of usage."""
 
+import base64
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -79,3 +81,43 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = lambda df: sorted((str(r.window_start), r.model, r.calls, round(r.cost, 2)) for r in df.collect())
     assert rows(usage.follow(spark, str(tmp_path / "e"), "usage_now")) == rows(usage.windowed_usage(events))
     assert events.filter(F.col("ts").isNull()).count() == 0
+
+
+TREE = {"a/b": [("docs/x.md", "blob"), ("docs/Y.MDX", "blob"), ("src/z.md", "blob"), ("docs", "tree"), ("docs/n.txt", "blob")], "c/d": []}
+
+
+def files_of(repo, sha):
+    if sha is None:
+        return [{"path": p, "type": t, "sha": f"s{i}"} for i, (p, t) in enumerate(TREE[repo])]
+    return {"content": base64.b64encode(f"bytes of {sha}".encode()).decode(), "encoding": "base64"} if sha == "s0" else {"content": f"text of {sha}", "encoding": "utf-8"}
+
+
+def facts_of(repo):
+    if repo == "x/down":
+        raise RuntimeError("no answer")
+    return None if repo == "x/none" else {"name": repo, "enabled": repo != "x/off", "answered": {"x/a": 5, "x/b": 9}.get(repo), "stars": 1}
+
+
+def test_repository_files_and_byte_sink(spark, tmp_path):
+    spark.dataSource.register(service.FileSource)
+    rows = spark.read.format("repository_files").options(fetcher="tests.test_services:files_of", repos="a/b,c/d", prefixes="docs/", pause_s=0).load()
+    content = service.file_bytes(rows)
+    assert sorted((r.path, bytes(r.content)) for r in content.collect()) == [("docs/Y.MDX", b"text of s1"), ("docs/x.md", b"bytes of s0")]
+    folder = str(tmp_path / "out")
+    (tmp_path / "out" / "docs").mkdir(parents=True)
+    (tmp_path / "out" / "docs" / "x.md").write_bytes(b"already th.")
+    kept = (tmp_path / "out" / "docs" / "x.md").stat().st_mtime_ns
+    for _ in range(2):
+        listed = sorted(files.write_files(content, folder).collect())
+        assert [(r.path, r.n_bytes) for r in listed] == [("docs/Y.MDX", 10), ("docs/x.md", 11)]
+        assert listed[0].sha256 == hashlib.sha256(b"text of s1").hexdigest()
+    assert (tmp_path / "out" / "docs" / "x.md").stat().st_mtime_ns == kept and (tmp_path / "out" / "docs" / "Y.MDX").read_bytes() == b"text of s1"
+    assert not list((tmp_path / "out" / "docs").glob("*.part"))
+
+
+def test_repository_facts_keep_errors_as_a_column(spark):
+    spark.dataSource.register(service.FactSource)
+    rows = spark.read.format("repository_facts").options(fetcher="tests.test_services:facts_of", repos="x/a,x/down,x/b,x/none,x/off", pause_s=0, tries=2).load()
+    out = service.ranked_facts(rows).collect()
+    assert [r.repo for r in out] == ["x/b", "x/a", "x/down", "x/none", "x/off"]
+    assert [r.repo for r in out if r.error] == ["x/down"] and "no answer" in out[2].error
