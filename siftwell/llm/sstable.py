@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -198,6 +198,8 @@ def open_shard(path: str) -> Reader:
     return Reader(fs.open_input_file(name), fs.get_file_info(name).size)
 
 
+#: Bytes of text of a shard, and of one of a table that has too few to keep the cluster busy.
+SHARD_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
 MANIFEST = "shard int, path string, first long, last long, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -208,9 +210,9 @@ def _write(folder: str, tokenizer: str, end_id: int | None):
         most = max(enc.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
         fs, base = FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name, temp = f"{base}/{shard:06d}.sst", f"{base}/.{shard:06d}-{uuid.uuid4().hex}"
+        name = f"{shard:06d}-{uuid.uuid4().hex}.sst"  # of this attempt: the manifest has the one that counts
         first = last = None
-        with fs.open_output_stream(temp) as stream:
+        with fs.open_output_stream(f"{base}/{name}") as stream:
             writer = Writer(stream, 2 if most < 1 << 16 else 4)
             for batch in batches:
                 keys = batch.column(0).to_pylist()
@@ -223,11 +225,10 @@ def _write(folder: str, tokenizer: str, end_id: int | None):
                     first, last = keys[0] if first is None else first, keys[-1]
             writer.close()
         if not writer.docs:
-            fs.delete_file(temp)
+            fs.delete_file(f"{base}/{name}")
             return
-        fs.move(temp, name)  # the same name and bytes from every attempt
-        size = fs.get_file_info(name).size
-        row = [shard, f"{folder}/{shard:06d}.sst", first, last, writer.docs, writer.ids, size]
+        size = fs.get_file_info(f"{base}/{name}").size
+        row = [shard, f"{folder}/{name}", first, last, writer.docs, writer.ids, size]
         yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.string()), *(pa.array([x], pa.int64()) for x in row[2:])], ["shard", "path", "first", "last", "n_docs", "n_tokens", "n_bytes"])
 
     return run
@@ -236,14 +237,34 @@ def _write(folder: str, tokenizer: str, end_id: int | None):
 def write(docs: DataFrame, folder: str, tokenizer: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", *, end_id: int | None = END_ID, shards: int | None = None) -> DataFrame:
     """Write ``docs`` as shards in ``folder`` (a URI that every executor reaches) and give back the manifest, a row per shard that is
     not empty. Shards follow one another in ascending id, nulls first; rows of one id may spread over shards, in the order of a hash
-    of their texts, so an id that many rows share is not one task's work. ``tokenizer`` is a path that executors can read."""
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of their texts, so an id that many rows share is not one task's work. ``tokenizer`` is a path that executors can read.
+
+    Files are named by task and attempt, and the manifest, which Spark commits, lists those that count: a task that ran twice, or died after
+    writing, leaves a file that no reader opens (``sweep`` deletes such). Unless ``shards`` is given there is one for SHARD_BYTES of text, and
+    for small tables as many as keep the cluster busy."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    n = shards or _shards(source)
     order = ["id", F.xxhash64("text")]
     dealt = source.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return scratch.save(in_arrow(dealt, _write(folder, tokenizer, end_id), MANIFEST))
 
 
+def _shards(source: DataFrame) -> int:
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // SHARD_BYTES), min(-(-size // LEAST_BYTES), 4 * cores))
+
+
+def sweep(manifest: DataFrame, folder: str) -> int:
+    """Delete the shard files in ``folder`` that its manifest does not list; how many there were. For use when nothing writes there."""
+    fs, base = FileSystem.from_uri(folder)
+    listed = {r.path.rsplit("/", 1)[-1] for r in manifest.select("path").collect()}
+    gone = [x.path for x in fs.get_file_info(FileSelector(base)) if x.path.endswith(".sst") and x.base_name not in listed]
+    for path in gone:
+        fs.delete_file(path)
+    return len(gone)
+
+
 def _read() -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
