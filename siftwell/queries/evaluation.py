@@ -12,7 +12,7 @@ from siftwell.operators import metrics as M
 from siftwell.operators import retrieval as R
 from siftwell.plans import evaluate as P
 from siftwell.queries import retrieval as Q
-from siftwell.queries.registry import ORACLES, query, table, values
+from siftwell.queries.registry import query, table, values
 from siftwell.services import client
 from siftwell.session import shared_folder
 from siftwell.streaming import usage
@@ -28,15 +28,9 @@ def gold(spark, sf_dir):
 RECALL = "round(avg(CASE WHEN best <= {0} THEN 1.0::double ELSE 0.0::double END), 3) AS recall_at_{0}"
 
 
-@query(f"""WITH {Q.bm25_sql(Q.SHORT)}, {GOLD}, top AS ({Q.rank_sql('bm25', 10)}), best AS (SELECT g.query_id, min(t.rank) AS best FROM gold g LEFT JOIN top t USING (query_id, chunk_id) GROUP BY g.query_id)
+@query(f"""WITH {Q.bm25_sql()}, {GOLD}, top AS ({Q.rank_sql('bm25', 10)}), best AS (SELECT g.query_id, min(t.rank) AS best FROM gold g LEFT JOIN top t USING (query_id, chunk_id) GROUP BY g.query_id)
     SELECT 'bm25' AS method, count(*) AS n, {', '.join(RECALL.format(k) for k in M.KS)} FROM best""")
 def recall_at_k(spark, sf_dir):
-    ranks = R.bm25_topk(Q.corpus(spark, sf_dir), Q.short_questions(spark, sf_dir), 10).withColumn("method", F.lit("bm25"))
-    return M.recall_at_k(ranks, gold(spark, sf_dir))
-
-
-@query(Q.whole(ORACLES["recall_at_k"]))
-def recall_at_k_whole(spark, sf_dir):
     ranks = R.bm25_topk(Q.corpus(spark, sf_dir), Q.questions(spark, sf_dir), 10).withColumn("method", F.lit("bm25"))
     return M.recall_at_k(ranks, gold(spark, sf_dir))
 
@@ -101,17 +95,11 @@ def ablation_summary(spark, sf_dir):
     return M.ablation_summary(scored(spark, sf_dir))
 
 
-@query(f"""WITH {SCORED}, v AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, rag_score - base_score AS diff FROM scored WHERE {VALID} AND id < 300), n AS (SELECT count(*) AS n FROM v),
-    m AS (SELECT i, avg(diff) AS m FROM (SELECT i, ('0x' || substr(md5(i || ':' || j), 1, 8))::bigint % n AS pos FROM n, range(2000) AS a(i), range(300) AS b(j) WHERE j < n) JOIN v USING (pos) GROUP BY i),
+@query(f"""WITH {SCORED}, v AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, rag_score - base_score AS diff FROM scored WHERE {VALID}), n AS (SELECT count(*) AS n FROM v),
+    m AS (SELECT i, avg(diff) AS m FROM (SELECT i, ('0x' || substr(md5(i || ':' || j), 1, 8))::bigint % n AS pos FROM n, range(2000) AS a(i), (SELECT pos AS j FROM v)) JOIN v USING (pos) GROUP BY i),
     o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m) SELECT (SELECT n FROM n) AS n, round(max(m) FILTER (r = 50), 6) AS low, round(max(m) FILTER (r = 1950), 6) AS high FROM o""")
 def bootstrap_ci_hash(spark, sf_dir):
-    rows = M.valid_pairs(scored(spark, sf_dir)).filter("id < 300")
-    return M.bootstrap_ci(rows).select("n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
-
-
-@query()
-def bootstrap_ci_whole(spark, sf_dir):
-    """Over every scored document; ``bootstrap_ci_hash`` is the part of it that its SQL is about."""
+    """Over every scored document."""
     return M.bootstrap_ci(M.valid_pairs(scored(spark, sf_dir))).select("n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell.operators import retrieval as R
-from siftwell.queries.registry import ORACLES, query, table
+from siftwell.queries.registry import query, table
 
 K = 10
 
@@ -18,11 +18,6 @@ def questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def short_questions(spark, sf_dir):
-    """The first five words of each: whole passages are found by any ranking."""
-    return questions(spark, sf_dir).withColumn("question", F.substring_index("question", " ", 5))
-
-
 def bm25_sql(question: str = "text") -> str:
     """Common table expressions up to ``bm25(query_id, chunk_id, score)``, every score that is not zero."""
     return f"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),
@@ -54,14 +49,6 @@ def bm25_topk(spark, sf_dir):
     return R.bm25_topk(corpus(spark, sf_dir), questions(spark, sf_dir), K)
 
 
-SHORT = "array_to_string(string_split(text, ' ')[1:5], ' ')"
-
-
-@query(f"WITH {bm25_sql(SHORT)} {rank_sql('bm25', K)}")
-def bm25_topk_short(spark, sf_dir):
-    return R.bm25_topk(corpus(spark, sf_dir), short_questions(spark, sf_dir), K)
-
-
 @query(f"""WITH {bm25_sql()}, filled AS (SELECT q.item_id AS query_id, d.doc_id AS chunk_id, coalesce(b.score, 0) AS score FROM benchmark q CROSS JOIN documents d LEFT JOIN bm25 b ON b.query_id = q.item_id AND b.chunk_id = d.doc_id)
     {rank_sql('filled', 50)}""")
 def bm25_topk_zero_filled(spark, sf_dir):
@@ -96,23 +83,12 @@ def minmax_norm(spark, sf_dir):
     return rows.select("query_id", "chunk_id", F.round("norm", 6).alias("norm"))
 
 
-@query(f"""WITH {bm25_sql(SHORT)}, pool AS ({rank_sql('bm25', 30)}), s AS (SELECT query_id, chunk_id, rank AS pool_rank, list_distinct(regexp_extract_all(lower({SHORT.replace('text', 'b.text')}), '[a-z0-9_]+')) AS q,
+@query(f"""WITH {bm25_sql()}, pool AS ({rank_sql('bm25', 30)}), s AS (SELECT query_id, chunk_id, rank AS pool_rank, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_]+')) AS q,
     list_distinct(regexp_extract_all(lower(substr(d.text, 1, 1200)), '[a-z0-9_]+')) AS c FROM pool JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = chunk_id),
     r AS (SELECT query_id, chunk_id, pool_rank, round(100.0::double * len(list_intersect(q, c)) / nullif(len(q), 0), 6) AS score FROM s)
     SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_rank)::int AS rank FROM r) WHERE rank <= {K}""")
 def rerank_topk(spark, sf_dir):
-    q, c = short_questions(spark, sf_dir), corpus(spark, sf_dir)
-    pool = R.bm25_topk(c, q, R.RERANK_POOL)
-    return R.rerank(pool.join(q, "query_id").join(c, "chunk_id"), K)
-
-
-def whole(sql: str) -> str:
-    """The SQL of shortened questions for whole ones."""
-    return sql.replace(SHORT.replace("text", "b.text"), "b.text").replace(SHORT, "text")
-
-
-@query(whole(ORACLES["rerank_topk"]))
-def rerank_topk_whole(spark, sf_dir):
+    """The scorer reads a content's first 1,200 characters, as the reranker does."""
     q, c = questions(spark, sf_dir), corpus(spark, sf_dir)
     pool = R.bm25_topk(c, q, R.RERANK_POOL)
     return R.rerank(pool.join(q, "query_id").join(c, "chunk_id"), K)

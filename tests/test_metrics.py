@@ -97,5 +97,5 @@ def test_bootstrap_queries_take_every_document(spark, tmp_path):
     r = evaluation.bootstrap_ci_exact(spark, str(tmp_path)).first()
     assert (r.n, r.low, r.high) == (len(d), means[50], means[1950])
     means = sorted(sum(d[number(f"{i}:{j}") % len(d)] for j in range(len(d))) / len(d) for i in range(2000))
-    r = evaluation.bootstrap_ci_whole(spark, str(tmp_path)).first()
+    r = evaluation.bootstrap_ci_hash(spark, str(tmp_path)).first()
     assert (r.n, r.low, r.high) == (len(d), pytest.approx(means[50], abs=1e-6), pytest.approx(means[1950], abs=1e-6))
