@@ -425,3 +425,53 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert set(found) == ({1, 2, 3, 6, None} if data else set())
         if data:
             assert found[None] >= 2 and {r.shard for r in out.collect()} != {5}
+
+
+def test_scores_follow_from_the_weights():
+    """A text's score is the logistic of the bias and the weights of the words and word beginnings that it holds, each once."""
+    import re
+
+    import pyarrow as pa
+
+    def plain_features(text):
+        out = set()
+        for word in re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode()):
+            out.add(("word", word))
+            out |= {("begins", word[:n]) for n in range(3, 10) if len(word) > n}
+        return out
+
+    rng = random.Random(1)
+    words = ["alpha", "alphabet", "été", "a", "xy", "longerword1", "漢字仮名", "Alpha", "BETA"]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randrange(8))) for _ in range(200)] + ["", "alpha" * 5000]
+    told = sorted({f for t in rows for f in plain_features(t)})
+    hashes = {}
+    for kind, piece in told:
+        data = np.frombuffer(piece if kind == "word" else piece + b"zzz", np.uint8)
+        _, h = toxicity.features(data, np.array([0, len(data)]))
+        hashes[kind, piece] = int(h[0]) if kind == "word" else int(h[1:][len(piece) - 3])
+    known = told[::2]
+    weight = {f: rng.uniform(-2, 2) for f in known}
+    order = sorted(known, key=lambda f: hashes[f])
+    model = toxicity.Model(np.array([hashes[f] for f in order], np.uint64), np.array([weight[f] for f in order]), -0.5)
+    want = [1 / (1 + math.exp(0.5 - sum(weight.get(f, 0) for f in plain_features(t)))) for t in rows]
+    assert model.scores(pa.array([*rows, None])) == pytest.approx([*want, 1 / (1 + math.exp(0.5))])
+
+
+def test_scratch_tables_are_dropped(spark):
+    from siftwell.llm.common import dropping
+    from siftwell.llm.minhash_dedup import near_duplicates
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
+    with dropping():
+        scratch = Scratch(spark)
+        rows = near_duplicates(docs).collect()
+        table = scratch.save(docs)
+        assert table.count() == 3
+    from pathlib import Path
+
+    assert len(rows) == 3 and not Path(scratch.folder.removeprefix("file:")).exists()
+    base = Path(scratch.folder.removeprefix("file:")).parent
+    with dropping():
+        before = set(base.iterdir())
+        near_duplicates(docs).collect()
+    assert set(base.iterdir()) <= before
