@@ -41,6 +41,11 @@ def is_substantive(text: Column) -> Column:
     return F.length(text).between(300, 2000) & (count(" ") > 40) & (count("\n") < 60)
 
 
+def head(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows in an order that is said."""
+    return rows.orderBy(order).limit(n)
+
+
 def systematic_sample(rows: DataFrame, m: int, order: str) -> DataFrame:
     """Every step-th row in an order, step = max(1, n div m), and the first m of those. Only keys are numbered; rows are joined back by key."""
     step = max(1, rows.count() // m) if m else 1

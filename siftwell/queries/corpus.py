@@ -10,7 +10,7 @@ from siftwell.functions import vectors as V
 from siftwell.functions import verdicts as J
 from siftwell.operators import chunking, evalset, metrics
 from siftwell.queries.registry import query, table, values
-from siftwell.sources import code
+from siftwell.sources import code, service
 
 STRIP = "regexp_replace(regexp_replace({0}, '^[\\s\\x{{A0}}\\x{{3000}}]+', ''), '[\\s\\x{{A0}}\\x{{3000}}]+$', '')"
 
@@ -24,6 +24,42 @@ def scan_documents(spark, sf_dir):
     return docs_of(spark, sf_dir).filter(F.length("text") >= 40).select("doc_path", F.length("text").alias("chars"))
 
 
+@query("SELECT vec_id, i::int AS dim, round(embedding[i + 1]::double / sqrt(list_sum([x::double * x::double for x in embedding])), 6) AS v FROM embeddings, range(64) AS r(i)")
+def normalize_vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.normalized(F.col("embedding"))).alias("dim", "v")).withColumn("v", F.round("v", 6))
+
+
+@query("""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<div class="([^"]*)"', 1) AS class FROM pages""")
+def tag_attributes(spark, sf_dir):
+    """The attributes of each page's first html and div tags."""
+    tag = lambda name: X.attributes(F.regexp_extract("html", f"<{name}([^>]*)>", 1))
+    return table(spark, sf_dir, "pages").select("page_id", F.try_element_at(tag("html"), F.lit("lang")).alias("lang"), F.try_element_at(tag("div"), F.lit("class")).alias("class"))
+
+
+@query("SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 10")
+def head_limit(spark, sf_dir):
+    return evalset.head(table(spark, sf_dir, "benchmark"), 10, "item_id")
+
+
+@query("SELECT source || '__' || lang || CASE WHEN doc_id % 2 = 0 THEN '_mech' ELSE '' END || '#' || doc_id AS id, lang AS tool FROM documents")
+def derived_names(spark, sf_dir):
+    tool = F.concat(F.col("source"), F.lit("__"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "_mech").otherwise(""))
+    return table(spark, sf_dir, "documents").select(X.derived_id(tool, F.col("doc_id")).alias("id"), X.short_name(tool).alias("tool"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: " + STRIP.format("x") + "), lambda x: x <> ''), '|') AS parts FROM documents")
+def split_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.sentences(F.col("text")), "|").alias("parts"))
+
+
+@query("SELECT page_id, to_base64(encode(url)) AS encoded, url FROM pages")
+def base64_round_trip(spark, sf_dir):
+    coded = F.base64(F.col("url").cast("binary"))
+    rows = table(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), F.col("page_id").cast("string").alias("path"), coded.alias("content"), F.lit("base64").alias("encoding"))
+    back = service.file_bytes(rows).select(F.col("path").cast("long").alias("page_id"), F.base64("content").alias("encoded"), F.col("content").cast("string").alias("url"))
+    return back
+
+
 @query("SELECT vec_id, len(embedding)::int AS dims, label FROM embeddings")
 def scan_embeddings(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dims"), "label")
@@ -344,13 +380,18 @@ class K:
 '''
 
 
-@query()
+#: The page of PY, worked out by hand.
+API = '# Module api/pkg/mod.py\n\nA module docstring that is long enough to be kept by the extractor.\n\n## f(a, b, *args, c, **kw)\n\nDoes f.\n\n## class K\n\n### K.m(self, x)\n\nMethod doc.'
+
+
+@query(f"SELECT 'api/pkg/mod.py' AS doc_path, '{API}' AS text")
 def extract_api_docs(spark, sf_dir):
     rows = [("pkg/mod.py", PY), ("pkg/tests/t.py", PY), ("pkg/bad.py", "def (:"), ("pkg/short.py", "x = 1")]
     return code.extract_api_docs(spark.createDataFrame(rows, "path string, text string"))
 
 
-@query()
+@query("""WITH s AS (SELECT string_split(E'import z\\n# start_a\\n    one\\n    two\\n# end_a\\nthree', chr(10)) AS l), b AS (SELECT array_to_string([substr(x, 5) for x in l[list_position([contains(x, 'start_a') for x in l], true) + 1 : list_position([contains(x, 'end_a') for x in l], true) - 1]], chr(10)) AS body FROM s)
+    SELECT 'a' AS doc_path, 'See ```python' || chr(10) || body || chr(10) || '``` and ```' || chr(10) || '# (code example: none.py)' || chr(10) || '```' AS text FROM b UNION ALL SELECT 'b', 'nothing'""")
 def expand_includes(spark, sf_dir):
     docs = [("a", 'See <CodeExample path="x/y.py" startAfter="start_a" endBefore="end_a" /> and <CodeExample path="none.py" />'), ("b", "nothing")]
     return code.expand_includes(spark.createDataFrame(docs, "doc_path string, text string"), spark.createDataFrame([("x/y.py", "import z\n# start_a\n    one\n    two\n# end_a\nthree")], "path string, text string"))

@@ -35,6 +35,18 @@ def recall_at_k(spark, sf_dir):
     return M.recall_at_k(ranks, gold(spark, sf_dir))
 
 
+@query(f"""WITH {Q.bm25_sql()}, {GOLD}, top AS ({Q.rank_sql('bm25', 5)}), r AS (SELECT query_id, list(chunk_id) AS ids FROM top GROUP BY query_id), g AS (SELECT query_id, list(chunk_id) AS gold_ids FROM gold GROUP BY query_id)
+    SELECT count(*) AS n, round(avg(CASE WHEN list_has_any(ids, gold_ids) THEN 1.0::double ELSE 0.0::double END), 3) AS hit_rate FROM g LEFT JOIN r USING (query_id)""")
+def gold_hit_rate(spark, sf_dir):
+    found = R.bm25_topk(Q.corpus(spark, sf_dir), Q.questions(spark, sf_dir), 5).groupBy("query_id").agg(F.collect_list("chunk_id").alias("ids"))
+    return E.gold_hit_rate(found, gold(spark, sf_dir).groupBy("query_id").agg(F.collect_list("chunk_id").alias("gold_ids")))
+
+
+@query("SELECT query_id, chunk_id FROM (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))")
+def passage_holders(spark, sf_dir):
+    return gold(spark, sf_dir)
+
+
 @query(f"""WITH {Q.HYBRID}, {GOLD}, h10 AS ({Q.rank_sql('hybrid', 10)}), tops AS (SELECT 'vector' AS method, query_id, chunk_id, rank FROM d50 WHERE rank <= 10 UNION ALL SELECT 'bm25', query_id, chunk_id, rank FROM l50 WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM h10),
     best AS (SELECT g.query_id, m.method, min(t.rank) AS best FROM gold g CROSS JOIN (SELECT DISTINCT method FROM tops) m LEFT JOIN tops t ON t.query_id = g.query_id AND t.chunk_id = g.chunk_id AND t.method = m.method GROUP BY ALL)
     SELECT method, count(*) AS n, {', '.join(RECALL.format(k) for k in M.KS)} FROM best GROUP BY method""")
