@@ -49,10 +49,17 @@ def all_links(seen: DataFrame, links: DataFrame, compare: Pairs, differ: Pairs,
 
 
 def _open_members(seen: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(p, x, n, c, g): the members x of each pivot p, itself included, if they lie in several components; c the component, g their number."""
-    rows = seen.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("nb").alias("n")).unionByName(seen.select(F.col("a").alias("p"), F.col("a").alias("x"), F.col("na").alias("n")).distinct())
-    label = found.select(F.col("id").alias("x"), "component")
-    rows = scratch.save(rows.join(label, "x", "left").select("p", "x", "n", F.coalesce("component", "x").alias("c")))
+    """(p, x, n, c, g): the members x of a group that lie in several components; c the component, g the group's size. A group has the members of all
+    pivots that are in one component, these included, and goes by the least of its pivots, p: a member that met many pivots of a large component
+    is in it once."""
+    label = found.select("id", "component")
+    of = lambda rows, column, name: rows.join(label.withColumnsRenamed({"id": column, "component": name}), column, "left").withColumn(name, F.coalesce(name, column))
+    pivots = scratch.save(of(seen.select(F.col("a").alias("p"), F.col("na").alias("n")).distinct(), "p", "cp"))
+    least = scratch.save(pivots.groupBy("cp").agg(F.min("p").alias("q")))
+    named = scratch.save(keyed(pivots, least, "cp").select("p", "q", "n"))
+    met = seen.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("nb").alias("n")).join(named.select("p", "q"), "p").select("q", "x", "n")
+    rows = met.unionByName(named.select("q", F.col("p").alias("x"), "n")).distinct().withColumnRenamed("q", "p")
+    rows = scratch.save(of(rows, "x", "c").select("p", "x", "n", "c"))
     several = rows.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("g")).filter("lo < hi").select("p", "g")
     return scratch.save(keyed(rows, scratch.save(several), "p"))
 
