@@ -83,7 +83,8 @@ def _profiles(members: DataFrame, differ: Pairs, percent: int, scratch: Scratch)
     scratch.drop(single)
     classes = classes.drop("e").withColumnRenamed("cl", "e")
     own = held.groupBy("p", "x").agg(F.collect_list("e").alias("own"), F.sum(F.when(F.col("turned"), F.col("w")).otherwise(0)).alias("ow"))
-    turned = classes.filter("turned").groupBy("p").agg(F.collect_list("e").alias("all"), F.sum("w").alias("aw"))
+    # Written, and not grouped in place, so that adaptive execution can split a large group's members.
+    turned = scratch.save(classes.filter("turned").groupBy("p").agg(F.collect_list("e").alias("all"), F.sum("w").alias("aw")))
     none = F.expr("cast(array() as array<bigint>)")
     state = members.join(own, ["p", "x"], "left").join(turned, "p", "left").join(whole, ["p", "x"], "left")
     state = state.withColumns({"own": F.coalesce("own", none), "all": F.coalesce("all", none), "d": F.coalesce("d", F.lit(0)) + F.coalesce("aw", F.lit(0)) - 2 * F.coalesce("ow", F.lit(0))})
