@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,8 +38,6 @@ def test_tokens_round_trip(spark):
 def test_tokens_of_random_unicode():
     from siftwell.llm.common import texts
     from siftwell.llm.tokens import Encoder
-    import pyarrow as pa
-
     rng = random.Random(2)
     alphabet = [*"ab1 '\n\t!strevdml", "é", "漢", "٣", "😀", "　", "—", "²", "\x85", "\x1c"]
     rows = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(2000)]
@@ -120,8 +119,6 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_group_mentions_are_not_toxic_by_themselves():
-    import pyarrow as pa
-
     rng = random.Random(9)
     neutral = ["walk", "tree", "house", "music", "water", "bread", "letter", "garden", "street", "window"]
     rows = []
@@ -260,6 +257,9 @@ def test_pipeline_stage_by_stage(spark):
         docs = steps[name][1]
         assert name == "sharding" or docs.columns == columns
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    before, after = steps["toxicity"]
+    model, texts = toxicity.train(before, spark.read.parquet(f"{d}/labels.parquet")), before.select("doc_id", "text").collect()
+    assert ids(after) == {r.doc_id for r, x in zip(texts, model.scores(pa.array([r.text for r in texts], pa.string())), strict=True) if x < 0.5}
     before, after = steps["minhash_dedup"]
     judged = plain.near([(r.doc_id, r.text) for r in before.collect()])
     assert ids(after) == {i for i, x in judged.items() if x[2]}
@@ -431,8 +431,6 @@ def test_scores_follow_from_the_weights():
     """A text's score is the logistic of the bias and the weights of the words and word beginnings that it holds, each once."""
     import re
 
-    import pyarrow as pa
-
     def plain_features(text):
         out = set()
         for word in re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode()):
