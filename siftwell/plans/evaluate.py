@@ -61,6 +61,7 @@ def curation(questions: DataFrame, pool: DataFrame, chunks: DataFrame, judge: cl
     with a candidate at least. ``pool`` is of the answer's and the question's nearest chunks and of BM25's."""
     good = evalset.prefilter_curate(questions)
     asked = good.select("query_id", question_text(F.col("title"), F.col("question"), " ").alias("question"))
+    pool = pool.join(chunks.select("chunk_id"), "chunk_id", "left_semi")  # what the judge's indices count
     rows = judged_pools(asked, pool, chunks, judge, f"{folder}/curation", budget=budget)
     verdicts = rows.select("query_id", F.coalesce(J.flag(F.col("reply"), "keep"), F.lit(False)).alias("keep"), J.indices(F.col("reply"), "gold_indices", F.size("ids")).alias("gold_indices"))
     return evalset.curated(verdicts, pool)
