@@ -118,3 +118,12 @@ PLAIN = (
     "Use this function to modify the list in place.", "The code of the building was changed by the owner.", "The project was released last week after a long delay.", "It is available in three colours.", "The terms of the agreement were discussed at length.", "Commercial traffic was stopped at the border.", "An attribution of the painting is still missing.",
     "The boost in sales surprised the management.", "The university in the city has a good reputation.", "She studied at MIT and worked in Berlin.", "Distributed systems fail in many ways.", "This page was last edited on a Monday.", "The package was delivered under the wrong name.", "Open the window and the door.", "Provided that it rains, the harvest will be good.",
 )
+
+#: Words that say nothing by themselves, nor next to one another.
+FUNCTION = frozenset(
+    "the a an of and or to in is it its this that these those by for with on from be been are was were as at not no but if so than then there here we you he she they i his her their our your all any each some such other "
+    "may can will shall must do does did has have had into out up over under after before between more most only own same which who whom what when where how "
+    "der die das den dem des ein eine einer und oder zu im in ist es von mit auf aus für nicht als auch bei nach "
+    "le la les un une des du de et ou est en dans pour par sur au aux ce cette que qui ne pas avec il elle "
+    "el los las una del y o es por con para se su que al lo como sin".split()
+)

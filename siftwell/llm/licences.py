@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.licence_texts import FRAMES, MENTIONS, NAMES, PLAIN, TEXTS, UNHEARD
+from siftwell.llm.licence_texts import FRAMES, FUNCTION, MENTIONS, NAMES, PLAIN, TEXTS, UNHEARD
 
 UNKNOWN, NONE = "unknown", "none"
 FAMILIES = tuple(sorted({*NAMES, *TEXTS}))
@@ -38,9 +38,9 @@ MANY = 5.0
 FRAGMENT = 6
 FOLDS = 3
 #: Weights under this are dropped, features seen once too.
-SPARSE = 0.02
+SPARSE = 0.03
 #: Upper ends of the classes by which words are bounded.
-LEVELS = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, math.inf)
+LEVELS = (0.25, 0.5, 1.0, 2.0, 4.0, math.inf)
 _WORD = "[a-z0-9]+"
 _BLANKS = r"[ \t\r\f\x0B]"
 
@@ -50,7 +50,8 @@ def _words(text: str) -> list[str]:
 
 
 def _grams(words: list[str]) -> set[str]:
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+    """Distinct words and pairs of words, but for those of function words alone."""
+    return {w for w in words if w not in FUNCTION} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a not in FUNCTION or b not in FUNCTION}
 
 
 @dataclass(frozen=True)
@@ -193,16 +194,28 @@ def templates() -> list[tuple[str, list[str], bool]]:
 
 
 def levels(model: Model) -> tuple[float, list[tuple[float, list[str]]]]:
-    """How far the bias of ``none`` lies over the others', and the words that speak for another class by the most that one of them can."""
+    """How far the bias of ``none`` lies over the others', and single words by the most that one occurrence can speak for another class: by
+    itself, and by the best of the pairs that are counted with it (a pair with its first word that is not a function word)."""
     none = CLASSES.index(NONE)
     others = [k for k in range(len(CLASSES)) if k != none]
-    gain = (model.weights[:, others] - model.weights[:, [none]]).max(1)
+    gain = np.maximum((model.weights[:, others] - model.weights[:, [none]]).max(1), 0)
     gap = float(model.bias[none] - model.bias[others].max())
+    alone: dict[str, float] = {}
+    paired: dict[str, float] = {}
+    for f, i in model.features.items():
+        words = f.split(" ")
+        if len(words) == 1:
+            alone[f] = float(gain[i])
+        else:
+            w = words[0] if words[0] not in FUNCTION else words[1]
+            paired[w] = max(paired.get(w, 0.0), float(gain[i]))
+    # A word stands in two pairs; both may be counted with it, if what comes before it is a function word.
+    most = {w: alone.get(w, 0.0) + 2 * paired.get(w, 0.0) for w in alone.keys() | paired.keys()}
     out, low = [], 0.0
     for high in LEVELS:
-        words = [f for f, i in model.features.items() if low < gain[i] <= high]
+        words = sorted(w for w, x in most.items() if low < x <= high)
         if words:
-            out.append((float(max(gain[model.features[f]] for f in words)), words))
+            out.append((max(most[w] for w in words), words))
         low = high
     return gap, out
 
@@ -233,13 +246,13 @@ def statements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     some = source.filter("text is not null").withColumn("row", F.xxhash64("id", "text")).select("id", "row", F.posexplode(paragraphs(F.col("text"))).alias("line", "paragraph"))
     some = some.withColumn("words", F.regexp_extract_all(_lower(F.col("paragraph")), F.lit(_WORD), F.lit(0)))
-    pairs = F.expr("zip_with(words, slice(words, 2, size(words)), (a, b) -> if(b is null, a, concat(a, ' ', b)))")
-    some = some.withColumn("grams", F.array_distinct(F.concat("words", pairs)))
     # The bound: a word counts the most that its level allows.
     every = [w for _, words in bounds for w in words]
-    some = some.withColumn("speaking", F.expr(f"filter(grams, g -> g in ({_in(every)}))")).filter(F.size("speaking") > 0)
+    some = some.withColumn("speaking", F.expr(f"filter(words, g -> g in ({_in(every)}))")).filter(F.size("speaking") > 0)
     most = " + ".join(f"{high!r}D * size(filter(speaking, g -> g in ({_in(words)})))" for high, words in bounds)
-    some = some.filter(F.expr(f"{most} > {gap!r}D")).select("row", "id", "line", "paragraph", "words", "grams").distinct()
+    some = some.filter(F.expr(f"{most} > {gap!r}D")).select("row", "id", "line", "paragraph", "words").dropDuplicates(["row", "line"])
+    pairs = F.expr("zip_with(words, slice(words, 2, size(words)), (a, b) -> if(b is null, a, concat(a, ' ', b)))")
+    some = some.withColumn("grams", F.array_distinct(F.concat("words", pairs)))
     key = ["row", "line"]
     table = spark.createDataFrame([(g, [float(x) for x in model.weights[i]]) for g, i in model.features.items()], "gram string, w array<double>")
     grams = some.select(*key, F.explode("grams").alias("gram"))
