@@ -44,3 +44,35 @@ r AS (SELECT id, id AS c FROM dl UNION SELECT e.b AS id, r.c FROM r JOIN e ON e.
 o AS (SELECT doc_id, no, row_number() OVER (PARTITION BY comp ORDER BY doc_id, no) AS nth FROM fl JOIN dl USING (line) JOIN m USING (id)),
 k AS (SELECT doc_id, count(nth) AS n_lines, count(*) FILTER (nth = 1) AS n_kept, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (nth IS NULL OR nth = 1), '') AS text FROM ln LEFT JOIN o USING (doc_id, no) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0)::bigint AS n_lines, coalesce(n_kept, 0)::bigint AS n_kept, k.text FROM documents LEFT JOIN k USING (doc_id)"""
+
+
+def _op11() -> str:
+    """The repair as a fold over a conversation's letters. A state's best is its cost in seven digits and then its letters, ``~`` if it cannot be
+    reached, so the least string is the best; ``+`` stands for an insertion that may be made."""
+    plus = lambda e, cost, letter: f"CASE WHEN {e} = '~' THEN '~' ELSE lpad((substr({e}, 1, 7)::int + {cost})::varchar, 7, '0') || substr({e}, 8) || '{letter}' END"
+    a = [f"a[{i}]" for i in range(1, 5)]
+    stays = "(upper(x[1]) = x[1])::int"
+    when = lambda condition, e: f"CASE WHEN {condition} THEN {e} ELSE '~' END"
+    insert = f"[{a[0]}, {a[1]}, least({a[2]}, {', '.join(plus(a[i], 2, 'I') for i in (0, 1, 3))}), least({a[3]}, {plus(a[2], 2, 'I')})]"
+    reroled = lambda i: when("x[1] <> 'x'", plus(a[i], f"2 + {stays}", "R"))
+    kept = lambda i, role: when(f"lower(x[1]) = '{role}'", plus(a[i], stays, "K"))
+    gone = [plus(e, 3, "D") for e in a]
+    turn = f"[{gone[0]}, least({gone[1]}, {kept(0, 's')}), least({gone[2]}, {', '.join(f(i) for i in (0, 1, 3) for f in (reroled, lambda i: kept(i, 'u')))}), least({gone[3]}, {reroled(2)}, {kept(2, 'a')})]"
+    crc = "list_reduce([4294967295] || flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(k, '')]), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+    return f"""WITH given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS k FROM conversations),
+kinds AS (SELECT *, xor({crc}, 4294967295) % 20 AS kind FROM given),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS position, regexp_replace(text, '[ \t\n\x0B\f\r]+$', '') AS ending FROM damaged),
+faulty AS (SELECT *, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY position) || role[1] AS pair, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY position) > 1 THEN 'duplicate' WHEN ending[-1] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+lettered AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(initial) ELSE initial END AS letter FROM (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial FROM faulty)),
+folded AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+list_reduce([['0000000', '~', '~', '~']] || flatten([[['+'], ['+'], [l]] for l in list(letter ORDER BY position)]) || [['+'], ['+']], lambda a, x: CASE WHEN x[1] = '+' THEN {insert} ELSE {turn} END) AS ends FROM lettered GROUP BY conv_id),
+answers AS (SELECT *, substr(least(ends[1], ends[4]), 1, 7)::bigint AS cost, substr(least(ends[1], ends[4]), 8) AS audit FROM folded),
+edits AS (SELECT conv_id, place, audit[place] AS edit, length(replace(audit[:place], 'I', '')) - 1 AS position, length(replace(audit[:place], 'D', '')) AS nth, length(audit) - length(ltrim(audit, 'D')) AS skipped, audit FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS place FROM answers)),
+told AS (SELECT e.*, l.role AS was, l.text, max(e.place = e.skipped + 1 AND edit = 'K' AND l.initial = 's') OVER (PARTITION BY e.conv_id) AS system FROM edits e LEFT JOIN lettered l ON l.conv_id IS NOT DISTINCT FROM e.conv_id AND l.position = e.position AND e.edit <> 'I'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN was WHEN (nth - system::int) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY place) AS body FROM told WHERE edit <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate, coalesce(truncated, 0)::bigint AS truncated, coalesce(illegal, 0)::bigint AS illegal, coalesce(cost, 0)::bigint AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN answers a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+OP11 = _op11()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import block_knn, decontaminate, html_extract, licences, line_dedup, mixing, oracles, sharding, sstable, toxicity
+from siftwell.llm import block_knn, conversations, decontaminate, html_extract, licences, line_dedup, mixing, oracles, packing, runs, sharding, sstable, toxicity
 from siftwell.llm.minhash_dedup import near_duplicates
 
 
@@ -57,6 +57,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontamination": op2_decontamination,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_sharding": op10_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_packing": op12_packing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -76,4 +91,5 @@ ORACLES: dict[str, str] = {
     "op5_block_knn": oracles.OP5,
     "op6_line_dedup": oracles.OP6,
     "op10_sharding": sharding.sql("documents"),
+    "op11_conversation_repair": oracles.OP11,
 }

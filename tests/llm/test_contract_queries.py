@@ -6,7 +6,7 @@ import pytest
 from siftwell.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
