@@ -65,39 +65,47 @@ def chunk_documents(docs: DataFrame, strategy: str = "fixed", size: int = 800, o
     40 characters are first found from the previous chunk's place on."""
     whole = docs.filter("text is not null").withColumn("_text", strip(F.col("text")))
     pieces = whole.withColumn("_parts", chunk_texts(F.col("_text"), strategy, size, overlap))
-    heads = F.expr("cast(array() as array<struct<pos:int,title:string>>)")
-    where = F.expr("cast(array() as array<int>)")
     if headings:
-        heads = heading_positions(F.col("text"))
-        where = F.aggregate(
-            "_parts", F.struct(F.expr("cast(array() as array<int>)").alias("at"), F.lit(1).alias("from")),
-            lambda acc, p: F.struct(
-                F.concat(acc["at"], F.array(_find(F.substring(p, 1, 40), F.col("text"), acc["from"]))).alias("at"),
-                F.greatest(acc["from"], _find(F.substring(p, 1, 40), F.col("text"), acc["from"])).alias("from"),
-            ),
-            lambda acc: acc["at"],
-        )
-    rows = pieces.select("doc_path", heads.alias("_heads"), where.alias("_where"), F.posexplode_outer("_parts").alias("chunk_index", "content")).filter("content is not null")  # the inner form computes the parts twice, for a filter on their number
-    at = F.get("_where", F.col("chunk_index"))
-    before = F.filter("_heads", lambda h: h["pos"] <= at)
-    title = F.when(at > 0, F.coalesce(F.try_element_at(before, F.lit(-1))["title"], F.lit(""))).otherwise(F.lit(""))
-    heading = title if headings else F.lit("")
-    return rows.select(F.concat_ws("#", "doc_path", "chunk_index").alias("chunk_id"), "doc_path", "chunk_index", "content", heading.alias("heading"))
-
-
-def _find(part: Column, text: Column, start: Column) -> Column:
-    """1-based place of a part from ``start`` on, 0 if it is not there."""
-    return F.call_function("locate", part, text, start)
-
-
-def heading_positions(text: Column) -> Column:
-    """Array of (1-based character position, title) of Markdown headings, in order."""
-    lines = F.split(text, "\n")
-    lengths = F.transform(lines, lambda x: F.length(x) + 1)
-    ends = F.aggregate(lengths, F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = F.transform(lines, lambda x, i: F.named_struct(F.lit("pos"), F.get(ends, i), F.lit("title"), x))
-    heads = F.filter(rows, lambda r: r["title"].rlike(HEADING))
-    return F.transform(heads, lambda r: F.named_struct(F.lit("pos"), r["pos"], F.lit("title"), F.trim(F.regexp_extract(r["title"], HEADING, 2))))
+        return _under_headings(pieces.select("doc_path", "text", "_parts"))
+    rows = pieces.select("doc_path", F.posexplode_outer("_parts").alias("chunk_index", "content")).filter("content is not null")  # the inner form computes the parts twice, for a filter on their number
+    return rows.select(F.concat_ws("#", "doc_path", "chunk_index").alias("chunk_id"), "doc_path", "chunk_index", "content", F.lit("").alias("heading"))
+
+
+def heading_positions(text: str) -> list[tuple[int, str]]:
+    """(character position from 0, title) of a text's Markdown headings, in order."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line.startswith("#") and (found := _HEAD.match(line)):
+            out.append((at, found[2].strip()))
+        at += len(line) + 1
+    return out
+
+
+def headings_of(text: str, parts: list[str]) -> list[str]:
+    """The heading of each part: places of parts and of headings both ascend, so they are merged in one pass. A part that is not found has none."""
+    heads, out = heading_positions(text), []
+    start = h = 0
+    for part in parts:
+        at = text.find(part[:40], start)
+        if at >= 0:
+            start = at
+            while h < len(heads) and heads[h][0] <= at:
+                h += 1
+        out.append(heads[h - 1][1] if at >= 0 and h else "")
+    return out
+
+
+def _under_headings(pieces: DataFrame) -> DataFrame:
+    """Chunk rows of ``pieces(doc_path, text, parts)``. Where a part is found hangs on where the one before it was, and a fold of built-in functions would copy its array for
+    each of them, so a document's parts are placed in Arrow batches, in time that grows with the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f"{path}#{i}", path, i, part, head) for path, text, parts in batch.itertuples(index=False) for i, (part, head) in enumerate(zip(parts, headings_of(text, list(parts)), strict=True))]
+            yield pd.DataFrame(rows, columns=["chunk_id", "doc_path", "chunk_index", "content", "heading"])
+
+    ship(pieces.sparkSession)
+    return pieces.select(F.col("doc_path").cast("string"), "text", "_parts").mapInPandas(run, CHUNK)
 
 
 def nearest_heading(chunks: DataFrame, headings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import hash_number
 from siftwell.operators.order import numbered
+from siftwell.operators.selection import order_statistic
 
 KS = (1, 3, 5, 10)
 DEAD_ZONE = 5
@@ -119,12 +120,10 @@ def bootstrap_ci_exact(rows: DataFrame, group: str, key: str = "id", iters: int
 
 
 def latency_p95(rows: DataFrame, by: str, value: str = "value") -> DataFrame:
-    """n, mean and nearest-rank 95th percentile (the value at index int(0.95 (n - 1)) of the sorted ones) per group, by ranks rather
-    than by an array of all values."""
-    w = Window.partitionBy(by)
-    at = rows.filter(F.col(value).isNotNull()).withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(value)) - 1})
-    hit = F.col("_i") == F.floor(F.lit(0.95) * (F.col("_n") - 1))
-    return at.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 1).alias("mean_ms"), F.round(F.max(F.when(hit, F.col(value))), 1).alias("p95_ms"))
+    """n, mean and nearest-rank 95th percentile (the value at index int(0.95 (n - 1)) of the sorted ones) per group; null and not finite values are no
+    measurements."""
+    found = order_statistic(rows, by, value, lambda n: F.floor(F.lit(0.95) * (n - 1)))
+    return found.select(F.col(f"`{by}`"), "n", F.round("mean", 1).alias("mean_ms"), F.round(F.col(f"`{value}`"), 1).alias("p95_ms"))
 
 
 def usage_rollup(rows: DataFrame, model: str = "model", cost: str = "cost_usd") -> DataFrame:

@@ -28,6 +28,12 @@ def retrieve(method: str, chunks: DataFrame, questions: DataFrame, k: int, alpha
     raise ValueError(f"no retrieval method {method!r}")
 
 
+def reranked(ranks: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, scorer=retrieval.overlap_score) -> DataFrame:
+    """Ranked rows scored anew against their questions, the k best of them."""
+    pool = ranks.select("query_id", "chunk_id", "rank").join(questions.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
+    return retrieval.rerank(pool, k, scorer)
+
+
 def recall(chunks: DataFrame, questions: DataFrame, gold: DataFrame, methods: tuple[str, ...] = ("vector", "bm25", "hybrid")) -> DataFrame:
     """recall@k of each method."""
     every = None
@@ -114,13 +120,17 @@ def familiarity(questions: DataFrame, model: client.Client, judge: client.Client
     return evalset.selection_rank(picked.join(scores, "id", "left").select("candidate", F.coalesce("said", F.col("base_score").isNotNull()).alias("docs_answerable"), "base_score"))
 
 
-def run_metrics(questions: DataFrame, chunks: DataFrame, gold: DataFrame, model: client.Client, judge: client.Client, reader: client.Client, folder: str) -> dict[str, DataFrame]:
+def run_metrics(questions: DataFrame, chunks: DataFrame, gold: DataFrame, model: client.Client, judge: client.Client, reader: client.Client, folder: str, rerank: bool = False) -> dict[str, DataFrame]:
     """The chain over one collection: claim coverage, recall of each method, and the ablation in both variants, by name. ``chunks`` also hold vectors,
-    ``questions(query_id, question, reference, vector)``; ``reader`` judges pools. Ranks are made once and written."""
-    dense = written(retrieve("vector", chunks, questions, retrieval.POOL), f"{folder}/dense")
+    ``questions(query_id, question, reference, vector)``; ``reader`` judges pools. Ranks are made once and written. ``rerank``: the dense ranks
+    of claim coverage and of the ablation are those of a reranked pool."""
+    plain = written(retrieve("vector", chunks, questions, retrieval.POOL), f"{folder}/dense")
+    dense = plain
+    if rerank:
+        dense = written(reranked(plain.filter(F.col("rank") <= retrieval.RERANK_POOL), questions, chunks, retrieval.RERANK_POOL), f"{folder}/reranked")
     lexical = written(retrieve("bm25", chunks, questions, retrieval.POOL), f"{folder}/bm25")
-    hybrid = retrieval.hybrid_topk(dense, lexical, max(metrics.KS))
-    ranks = [r.filter(F.col("rank") <= max(metrics.KS)).withColumn("method", F.lit(m)) for m, r in (("vector", dense), ("bm25", lexical), ("hybrid", hybrid))]
+    hybrid = retrieval.hybrid_topk(plain, lexical, max(metrics.KS))
+    ranks = [r.filter(F.col("rank") <= max(metrics.KS)).withColumn("method", F.lit(m)) for m, r in (("vector", plain), ("bm25", lexical), ("hybrid", hybrid))]
     pool = retrieval.candidate_pool(dense, lexical, per_list=20, most=40)
     top = dense.filter("rank <= 5")
     out = {"claim_coverage": metrics.claim_coverage(claim_rows(questions, pool, dense, chunks, reader, folder)), "recall": metrics.recall_at_k(ranks[0].unionByName(ranks[1]).unionByName(ranks[2]), gold)}

@@ -335,6 +335,18 @@ def split_blocks_pages(spark, sf_dir):
     return chunking.blocks(conversation_pages(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE pages AS (SELECT id::varchar AS id, text, {STRIP.format('text')} AS s FROM {PAGES}), parts AS (SELECT id, text, {windows_sql('s')} AS c FROM pages),
+    walk AS (SELECT id, text, c, 0 AS i, 1::bigint AS start, 0::bigint AS pos FROM parts UNION ALL
+        SELECT id, text, c, i + 1, CASE WHEN strpos(substr(text, start), left(c[i + 1], 40)) > 0 THEN start + strpos(substr(text, start), left(c[i + 1], 40)) - 1 ELSE start END,
+        CASE WHEN strpos(substr(text, start), left(c[i + 1], 40)) > 0 THEN start + strpos(substr(text, start), left(c[i + 1], 40)) - 1 END FROM walk WHERE i < len(c)),
+    heads AS (SELECT id, pos, trim(regexp_extract(line, '^(#{{1,6}})\\s+(.*)$', 2)) AS title FROM (SELECT id, line, 1 + coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+        FROM (SELECT id::varchar AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {PAGES})) WHERE regexp_matches(line, '^#{{1,6}}\\s+.*$'))
+    SELECT w.id || '#' || (i - 1) AS chunk_id, w.id AS doc_path, (i - 1)::int AS chunk_index, w.c[i] AS content, coalesce((SELECT arg_max(h.title, h.pos) FROM heads h WHERE h.id = w.id AND h.pos <= w.pos), '') AS heading FROM walk w WHERE i > 0""")
+def chunk_headings(spark, sf_dir):
+    """Fixed chunks of whole conversations under the headings that they begin in."""
+    return chunking.chunk_documents(conversation_pages(spark, sf_dir), headings=True)
+
+
 @query()
 def chunk_markdown(spark, sf_dir):
     return chunking.chunk_markdown(docs_of(spark, sf_dir))

@@ -11,9 +11,11 @@ from siftwell.operators import evalset as E
 from siftwell.operators import metrics as M
 from siftwell.operators import retrieval as R
 from siftwell.plans import evaluate as P
+from siftwell.plans import resumable
 from siftwell.queries import retrieval as Q
 from siftwell.queries.registry import query, table, values
 from siftwell.services import client
+from siftwell.sources import files
 from siftwell.session import shared_folder
 from siftwell.streaming import usage
 
@@ -31,14 +33,14 @@ RECALL = "round(avg(CASE WHEN best <= {0} THEN 1.0::double ELSE 0.0::double END)
 @query(f"""WITH {Q.bm25_sql()}, {GOLD}, top AS ({Q.rank_sql('bm25', 10)}), best AS (SELECT g.query_id, min(t.rank) AS best FROM gold g LEFT JOIN top t USING (query_id, chunk_id) GROUP BY g.query_id)
     SELECT 'bm25' AS method, count(*) AS n, {', '.join(RECALL.format(k) for k in M.KS)} FROM best""")
 def recall_at_k(spark, sf_dir):
-    ranks = R.bm25_topk(Q.corpus(spark, sf_dir), Q.questions(spark, sf_dir), 10).withColumn("method", F.lit("bm25"))
+    ranks = Q.bm25(spark, sf_dir, 10).withColumn("method", F.lit("bm25"))
     return M.recall_at_k(ranks, gold(spark, sf_dir))
 
 
 @query(f"""WITH {Q.bm25_sql()}, {GOLD}, top AS ({Q.rank_sql('bm25', 5)}), r AS (SELECT query_id, list(chunk_id) AS ids FROM top GROUP BY query_id), g AS (SELECT query_id, list(chunk_id) AS gold_ids FROM gold GROUP BY query_id)
     SELECT count(*) AS n, round(avg(CASE WHEN list_has_any(ids, gold_ids) THEN 1.0::double ELSE 0.0::double END), 3) AS hit_rate FROM g LEFT JOIN r USING (query_id)""")
 def gold_hit_rate(spark, sf_dir):
-    found = R.bm25_topk(Q.corpus(spark, sf_dir), Q.questions(spark, sf_dir), 5).groupBy("query_id").agg(F.collect_list("chunk_id").alias("ids"))
+    found = Q.bm25(spark, sf_dir, 5).groupBy("query_id").agg(F.collect_list("chunk_id").alias("ids"))
     return E.gold_hit_rate(found, gold(spark, sf_dir).groupBy("query_id").agg(F.collect_list("chunk_id").alias("gold_ids")))
 
 
@@ -313,3 +315,121 @@ def judged_answers(spark, sf_dir):
 
     o = J.reply_object(F.col("text"))
     return client.call(prompts, client.OverlapJudge(), "stand-in").select("id", J.number(o, "a_score").alias("a_score"), J.number(o, "b_score").alias("b_score"), J.string(o, "preferred").alias("preferred"), "is_error")
+
+
+WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9_]+'))"
+SHORT = "substr(text, 1, 60)"
+
+
+def short_questions(spark, sf_dir):
+    """The first 60 characters of an item ask for the whole of it; vectors stand in for the questions' own."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("question"), F.col("text").alias("reference"))
+    return items.join(Q.asked(spark, sf_dir, "true"), "query_id", "left")
+
+
+@query(f"""WITH w AS (SELECT item_id, {WORDS.format('substr(text, 1, 3000)')} AS ref, {WORDS.format("string_split(" + SHORT + ", chr(10))[1]")} AS base FROM benchmark),
+    r AS (SELECT *, 100 * len(list_intersect(ref, base)) // greatest(1, len(ref)) AS b, 100 * list_contains(ref, 'context')::int // greatest(1, len(ref)) AS g FROM w)
+    SELECT count(*) AS n, 0::bigint AS n_invalid, round(avg(b::double), 1) AS base_mean_score, round(avg(g::double), 1) AS rag_mean_score, round(avg((g - b)::double), 1) AS mean_lift, count(*) FILTER (g - b > 5) AS rag_wins,
+    count(*) FILTER (abs(g - b) <= 5) AS ties, count(*) FILTER (g - b < -5) AS rag_losses, count(*) FILTER (g > b) AS rag_preferred, count(*) FILTER (g < b) AS base_preferred, count(*) FILTER (g = b) AS tie_preferred,
+    round(avg((b >= 50)::int::double), 3) AS base_correct_rate, round(avg((g >= 50)::int::double), 3) AS rag_correct_rate, 3 * count(*) + 3 * count(*) FILTER (len(ref) % 3 = 0) AS calls, count(*) FILTER (len(ref) % 3 = 0) AS n_rerun FROM r""")
+def ablation_resumed(spark, sf_dir):
+    """A run whose judge fails on every third reference, by its words, taken up again with one that does not: the summary of all rows, the calls of both runs, and the rows that were
+    asked again. Stand-ins answer with the first line of their prompts."""
+    at, q, chunks = folder(spark), short_questions(spark, sf_dir), Q.chunk_rows(spark, sf_dir).join(Q.vectors(spark, sf_dir), "chunk_id")
+    gold = Q.questions(spark, sf_dir).select("query_id", F.col("query_id").alias("chunk_id"))
+    first = resumable.ablation(q, chunks, gold, client.Echo(), NotAtOnce(fails_on=3), at)
+    rows = resumable.resume(q, chunks, gold, client.Echo(), client.WordShare(), at)
+    calls = resumable.usage(spark, at).filter("is_total = 1").first().calls
+    again = first.filter("base_score is null").count()
+    return M.ablation_summary(rows).withColumns({"calls": F.lit(calls), "n_rerun": F.lit(again).cast("long")})
+
+
+class NotAtOnce(client.WordShare):
+    """A judge whose failures are not tried again: it says something that is not a verdict."""
+
+    def complete(self, prompt: str, system: str, model: str) -> client.Reply:
+        try:
+            return super().complete(prompt, system, model)
+        except RuntimeError as error:
+            return client.Reply(str(error))
+
+
+PRIOR = "prior AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN item_id % 8 = 0 END AS covered FROM benchmark WHERE item_id % 4 < 2)"
+
+
+@query(f"""WITH {Q.bm25_sql()}, {GOLD}, {PRIOR}, top AS ({Q.rank_sql('bm25', 5)}), ctx AS (SELECT query_id, string_agg('[' || rank || '] (' || {Q.PLACE} || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN documents ON doc_id = chunk_id GROUP BY query_id),
+    w AS (SELECT item_id, {WORDS.format('substr(text, 1, 3000)')} AS ref, {WORDS.format("substr(coalesce(context, ''), 1, 9000)")} AS ctx FROM benchmark LEFT JOIN ctx ON query_id = item_id),
+    j AS (SELECT w.item_id, coalesce(p.covered, 100 * len(list_intersect(ref, ctx)) // greatest(1, len(ref)) >= 95) AS covered, CASE WHEN p.covered IS NULL THEN EXISTS (SELECT 1 FROM top JOIN gold USING (query_id, chunk_id) WHERE query_id = w.item_id) ELSE false END AS gold_hit FROM w LEFT JOIN prior p USING (item_id))
+    SELECT count(*) AS n, count(covered) AS n_valid, count(*) - count(covered) AS n_invalid, round(avg(covered::int::double), 3) AS coverage, round(avg(gold_hit::int::double) FILTER (covered IS NOT NULL), 3) AS exact_recall FROM j""")
+def coverage_judged(spark, sf_dir):
+    """From questions to strict coverage: BM25's five best chunks, a stand-in judge, and (made up) prior rows of which those with a verdict stay."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.col("text").alias("reference"))
+    i = F.col("query_id")
+    prior = q.filter(i % 4 < 2).select("query_id", F.when(i % 4 == 0, i % 8 == 0).alias("covered"), F.lit("earlier").alias("reason"), F.lit(False).alias("gold_hit"))
+    at = folder(spark)
+    ranks = P.written(Q.bm25(spark, sf_dir, 5), f"{at}/ranks")
+    return M.coverage_summary(resumable.coverage(q, ranks, gold(spark, sf_dir), Q.chunk_rows(spark, sf_dir), client.WordShare(), at, prior))
+
+
+@query(f"""WITH {Q.BOTH}, s AS (SELECT query_id, chunk_id, rank AS pool_rank, {WORDS.format('b.text')} AS q, {WORDS.format('substr(d.text, 1, 1200)')} AS c FROM d50 JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 30),
+    r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(100.0::double * len(list_intersect(q, c)) / nullif(len(q), 0), 6) DESC, pool_rank) AS rank FROM s),
+    places AS (SELECT query_id, chunk_id, rank AS place FROM r WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, 10000000 + rank FROM l50 WHERE rank <= 20),
+    pool AS (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY min(place)) - 1)::int AS position FROM places GROUP BY query_id, chunk_id),
+    {read_sql(550)}, supp AS (SELECT c.query_id, min(r.rank - 1) AS best, count(*) AS c FROM cand c LEFT JOIN r USING (query_id, chunk_id) WHERE share >= 50 GROUP BY c.query_id),
+    rows AS (SELECT item_id, c IS NOT NULL AS in_corpus, best FROM benchmark LEFT JOIN supp ON query_id = item_id) SELECT count(*) AS n, {', '.join(ONE.format(f'best < {k}', f'coverage_at_{k}') for k in M.KS)}, {ONE.format('in_corpus', 'in_corpus_rate')},
+    round(1 - avg(CASE WHEN in_corpus THEN 1.0::double ELSE 0.0::double END), 3) AS corpus_gap_rate, {ONE.format('in_corpus AND (best IS NULL OR best >= 5)', 'present_but_ranked_below5')} FROM rows""")
+def claim_coverage_reranked(spark, sf_dir):
+    """Claim coverage whose dense ranks are those of a reranked pool of 30."""
+    at, chunks = folder(spark), Q.chunk_rows(spark, sf_dir)
+    dense, lexical = Q.both(spark, sf_dir)
+    dense = P.written(P.reranked(dense.filter("rank <= 30"), Q.questions(spark, sf_dir), chunks, 30), f"{at}/dense")
+    pool = R.candidate_pool(dense, P.written(lexical, f"{at}/bm25"), per_list=20, most=40)
+    return M.claim_coverage(P.claim_rows(Q.questions(spark, sf_dir), pool, dense, chunks, client.OverlapReader(), at))
+
+
+#: Results of a collection come from the balances of its customers.
+RESULTS = """r AS (SELECT n_nationkey AS k, n_name AS repo, CASE WHEN n_regionkey % 2 = 0 THEN 'forum' ELSE 'synthetic' END AS eval_mode, count(c_custkey) AS n, count(*) FILTER (c_acctbal > 0) AS good, count(*) FILTER (c_acctbal > 5000) AS best FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)"""
+
+
+def result_files(spark, sf_dir) -> str:
+    """Result files of the collections (nations), written under a folder; some collections lack some of them."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    counts = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("k"), F.col("n_name").alias("repo"))
+    r = counts.agg(F.count("c_custkey").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("good"), F.count_if(F.col("c_acctbal") > 5000).alias("best"))
+    k, share = F.col("k"), lambda x: F.col(x) / F.greatest(F.col("n"), F.lit(1)).cast("double")
+    five = lambda x: F.create_map(F.lit("1"), F.lit(0.0), F.lit("5"), x)
+
+    def kind(name, keep, content):
+        return r.filter(keep).select(F.format_string(name, "repo").alias("path"), F.to_json(content).cast("binary").alias("content"))
+
+    def summary(lift):
+        return F.struct(F.struct(F.col("good").cast("double").alias("base_mean_score"), F.col("best").cast("double").alias("rag_mean_score"), lift.cast("double").alias("mean_lift"), F.array(lift - 1.5, lift + 1.5).alias("lift_ci95"), F.col("best").alias("rag_wins"), k.cast("long").alias("ties"), (F.col("n") - F.col("best")).alias("rag_losses")).alias("summary"))
+
+    rows = kind("analyze_%s.json", k % 4 != 0, F.struct(five(share("good")).alias("coverage_at"), F.when(k % 3 != 0, 1 - share("good")).alias("corpus_gap_rate")))
+    rows = rows.unionByName(kind("recall_%s.json", k % 2 == 0, F.struct(F.create_map(F.lit("vector"), F.struct(five(share("best")).alias("recall_at"))).alias("results"))))
+    rows = rows.unionByName(kind("ablation_%s_fallback.json", k % 5 != 0, summary(F.col("best") - F.col("good")))).unionByName(kind("ablation_%s.json", k % 6 != 0, summary(F.col("good") - F.col("best"))))
+    probe = r.filter(k % 3 != 0).agg(F.map_from_entries(F.collect_list(F.struct("repo", F.struct(F.col("n").cast("double").alias("base_mean_score"))))).alias("base_probe"))  # a row a collection
+    rows = rows.unionByName(probe.select(F.lit("selection.json").alias("path"), F.to_json(F.struct("base_probe")).cast("binary").alias("content")))
+    at = folder(spark)
+    files.write_files(rows, at)
+    return at
+
+
+def result_sql() -> str:
+    share = lambda x: f"{x} / greatest(n, 1)::double"
+    loose, strict = "k % 5 <> 0", "k % 6 <> 0"
+    rows = [("claim_coverage_at5", "k % 4 <> 0", share("good"), "'analyze_' || repo || '.json'"), ("corpus_gap", "k % 4 <> 0 AND k % 3 <> 0", f"1 - {share('good')}", "'analyze_' || repo || '.json'"), ("recall_at5_vector", "k % 2 = 0", share("best"), "'recall_' || repo || '.json'")]
+    values = {"lift": "best - good", "ci95_low": "best - good - 1.5::double", "ci95_high": "best - good + 1.5::double", "base_mean": "good", "rag_mean": "best", "wins": "best", "ties": "k", "losses": "n - best"}
+    rows += [(f"fallback_{m}", loose, v, "'ablation_' || repo || '_fallback.json'") for m, v in values.items()] + [("strict_lift", strict, "good - best", "'ablation_' || repo || '.json'")]
+    probed = "eval_mode = 'forum' AND k % 3 <> 0"
+    told = " UNION ALL ".join(f"SELECT repo, '{m}' AS measure, CASE WHEN {c} THEN ({v})::double END AS value, CASE WHEN {c} THEN {f} END AS file FROM r" for m, c, v, f in rows)
+    base = f"SELECT repo, 'base_familiarity' AS measure, CASE WHEN {probed} THEN n WHEN {loose} THEN good END::double AS value, CASE WHEN {probed} THEN 'selection.json' WHEN {loose} THEN 'ablation_' || repo || '_fallback.json' END AS file FROM r"
+    return f"WITH {RESULTS} SELECT repo, measure, round(value, 6) AS value, file FROM ({told} UNION ALL {base})"
+
+
+@query(result_sql())
+def synthesis_files(spark, sf_dir):
+    """Every collection's numbers from the result files that there are, with the file that each came from."""
+    at = result_files(spark, sf_dir)
+    collections = table(spark, sf_dir, "nation").select(F.col("n_name").alias("repo"), F.when(F.col("n_regionkey") % 2 == 0, "forum").otherwise("synthetic").alias("eval_mode"))
+    return resumable.synthesis(collections, at).withColumn("value", F.round("value", 6))

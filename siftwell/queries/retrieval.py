@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftwell.operators import inverted
 from siftwell.operators import retrieval as R
 from siftwell.queries.registry import query, table
 
@@ -18,6 +19,11 @@ def questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+def bm25(spark, sf_dir, k: int):
+    """From the stored index of the documents, which the first call builds: others read no text."""
+    return inverted.topk(inverted.stored(corpus(spark, sf_dir)), questions(spark, sf_dir), k)
+
+
 def bm25_sql(question: str = "text") -> str:
     """Common table expressions up to ``bm25(query_id, chunk_id, score)``, every score that is not zero."""
     return f"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),
@@ -46,6 +52,12 @@ def asked(spark, sf_dir, condition: str):
 
 @query(f"WITH {bm25_sql()} {rank_sql('bm25', K)}")
 def bm25_topk(spark, sf_dir):
+    return bm25(spark, sf_dir, K)
+
+
+@query(f"WITH {bm25_sql()} {rank_sql('bm25', K)}")
+def bm25_topk_scan(spark, sf_dir):
+    """Without an index: two passes over the texts."""
     return R.bm25_topk(corpus(spark, sf_dir), questions(spark, sf_dir), K)
 
 
@@ -69,7 +81,7 @@ HYBRID = f"""{BOTH}, a AS (SELECT query_id, chunk_id, {NORM} AS s FROM d50 WINDO
 def both(spark, sf_dir):
     q = questions(spark, sf_dir)
     dense = R.vector_topk(vectors(spark, sf_dir), asked(spark, sf_dir, "true").join(q.select("query_id"), "query_id", "left_semi"), R.POOL)
-    return dense, R.bm25_topk(corpus(spark, sf_dir), q, R.POOL)
+    return dense, bm25(spark, sf_dir, R.POOL)
 
 
 @query(f"WITH {HYBRID} {rank_sql('hybrid', K)}")
@@ -79,7 +91,7 @@ def hybrid_topk(spark, sf_dir):
 
 @query(f"WITH {bm25_sql()}, l50 AS ({rank_sql('bm25', 50)}) SELECT query_id, chunk_id, round({NORM}, 6) AS norm FROM l50 WINDOW w AS (PARTITION BY query_id)")
 def minmax_norm(spark, sf_dir):
-    rows = R.normalize_scores(R.bm25_topk(corpus(spark, sf_dir), questions(spark, sf_dir), R.POOL))
+    rows = R.normalize_scores(bm25(spark, sf_dir, R.POOL))
     return rows.select("query_id", "chunk_id", F.round("norm", 6).alias("norm"))
 
 
@@ -90,7 +102,7 @@ def minmax_norm(spark, sf_dir):
 def rerank_topk(spark, sf_dir):
     """The scorer reads a content's first 1,200 characters, as the reranker does."""
     q, c = questions(spark, sf_dir), corpus(spark, sf_dir)
-    pool = R.bm25_topk(c, q, R.RERANK_POOL)
+    pool = bm25(spark, sf_dir, R.RERANK_POOL)
     return R.rerank(pool.join(q, "query_id").join(c, "chunk_id"), K)
 
 
@@ -137,7 +149,7 @@ PLACE = "concat_ws('/', source, doc_id) || CASE WHEN doc_id % 3 = 0 THEN ' § '
 @query(f"""WITH {bm25_sql()}, top AS ({rank_sql('bm25', 5)}) SELECT query_id, string_agg('[' || rank || '] (' || {PLACE} || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
     FROM top JOIN documents ON doc_id = chunk_id GROUP BY query_id""")
 def build_context(spark, sf_dir):
-    return R.build_context(R.bm25_topk(corpus(spark, sf_dir), questions(spark, sf_dir), 5), chunk_rows(spark, sf_dir))
+    return R.build_context(bm25(spark, sf_dir, 5), chunk_rows(spark, sf_dir))
 
 
 @query(f"""WITH {POOLED} SELECT query_id, string_agg('[' || position || '] (' || {PLACE} || ')' || chr(10) || CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || ' …' ELSE text END, chr(10) || chr(10) ORDER BY position) AS prompt

@@ -76,6 +76,24 @@ class OverlapReader:
         return Reply(json.dumps({"supporting": at, "sufficient": alone, "keep": bool(at), "gold_indices": at, "supporting_ranks": at, "single_chunk_sufficient": alone, "reason": "word overlap"}))
 
 
+@dataclass(frozen=True)
+class WordShare:
+    """A stand-in for a judge of two answers and of coverage, in whole numbers: a score is the share, of 100, of the reference's words that an answer has; the reference is covered
+    if the chunks have ``least`` in a hundred of its words. It fails on references whose number of words is divisible by ``fails_on``."""
+
+    least: int = 95
+    fails_on: int = 0
+
+    def complete(self, prompt: str, system: str, model: str) -> Reply:
+        given = json.loads(prompt)
+        wanted = _word_set(given["reference"])
+        if self.fails_on and len(wanted) % self.fails_on == 0:
+            raise RuntimeError("out of service")
+        a, b, c = (100 * len(wanted & _word_set(given.get(k, ""))) // max(1, len(wanted)) for k in ("a", "b", "chunks"))
+        better = "tie" if a == b else "A" if a > b else "B"
+        return Reply(json.dumps({"a_score": a, "b_score": b, "a_correct": a >= 50, "b_correct": b >= 50, "preferred": better, "covered": c >= self.least, "reason": "shared words"}), 0.001, 1, 1)
+
+
 @dataclass(frozen=True)
 class FirstWords:
     """A stand-in for a generator: asks for the first five words of a chunk, answers with its first 80 characters, and calls chunks whose number
