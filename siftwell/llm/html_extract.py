@@ -2,13 +2,14 @@
 
 Text nodes are grouped by their root-to-leaf tag path (tags with class and id). A path's text ratio is its characters outside links per
 node and its punctuation ratio its punctuation marks per node. Both are smoothed over neighbouring nodes in page order with a Gaussian
-and fused into one score, which a prior lowers for paths through elements whose class or id names a menu, header, footer, sidebar,
-notice, advert or reader comment. Paths that score SHARE of the mean (weighted by text) or more are content, if they are not short ones
-that only their neighbours lift; headings may be.
+and fused into one score. The score of a path is fused in turn with that of the part that it lies in: a path of an article (the nearest <article>, <main> or the like),
+or of the element that holds paragraphs of content, scores what the best of these scores, by its share of text outside links. A prior
+lowers the score of paths through elements whose class or id names a menu, header, footer, sidebar, notice, advert or reader comment; in an article it is mild
+for names that may as well be about the subject (related, cookie, skip).
 
-Content paths also vouch for what belongs to them: the short blocks, lists and tables in the same article (the nearest <article>, <main> or the
-like above a content path, else its parent), unless a name or links tell against them. Parts are left out before any score only by their element,
-role or because they are hidden.
+Paths that score SHARE of the mean (weighted by text) or more are content. Outside an article a path that only its neighbours lift is not, but
+for headings and, on pages without an article, sentences. Parts are left out before any score only by their element, role or because they are
+hidden.
 
 A page is parsed alone, so the operator is one pass without a shuffle; time is linear in the page's length.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +30,28 @@ from siftwell.llm.common import in_arrow
 
 #: Elements of HTML by how they take part.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style title textarea noscript iframe template xmp noembed noframes svg math object canvas select".split()
+RAW = "script style title textarea noscript iframe template xmp noembed noframes svg object canvas select".split()
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head nav footer aside form button dialog menu fieldset label datalist option audio video map".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+#: Elements that stand in the middle of a sentence where they are within a block of text, and are controls elsewhere.
+CONTROLS = frozenset(("button", "label"))
+TEXTUAL = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 figcaption caption blockquote pre summary".split())
+#: The source of a formula, which its marks say already.
+FORMULA_SOURCE = frozenset(("annotation", "annotation-xml"))
+#: Parts of lists, tables and figures, which belong to what these stand in.
+NESTED = frozenset("li ul ol dl dt dd table tbody thead tfoot tr td th caption figure figcaption blockquote pre p h1 h2 h3 h4 h5 h6".split())
 #: A start tag closes an open element of these, up to the scope that ends the search.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Parts of class names and ids that name something beside the main text, if no part of the name is about something else.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners adsense adslot menu menus nav navbar navigation breadcrumb breadcrumbs "
-    "sidebar sidebars sidenav footer masthead topbar comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices popup "
+    "sidebar sidebars sidenav footer foot copyright colophon masthead topbar comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices popup "
     "modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations outbrain taboola login pagination pager toolbar skip".split()
 )
+#: Of these, names that by themselves may be about the subject of an article that they stand in.
+WEAK = frozenset("skip related recommended recommendations cookie cookies".split())
 #: Parts that leave the rest of a name what it is: ``comment-list``, but not ``social-science``.
 PLAIN = frozenset(
     "list lists box wrapper wrap container block blocks section area inner outer widget widgets bar top bottom left right item items link links button buttons group row col column main primary secondary "
@@ -58,13 +68,11 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
-#: A block outside the container that begins so is the page's own notice.
-_NOTICE = re.compile(r"(?i)(?:©|\(c\)|copyright\b)[\s©]*\d{4}")
 _SOME = re.compile(r"(?i)\b(?:class|id|role|hidden|aria-hidden|style|itemprop)\b")
 
 SHARE, OWN = 0.1, 0.15
-#: What the score of a path through a named part is multiplied by.
-PRIOR = 0.02
+#: What the score of a path through a named part is multiplied by, and through one of a weak name in an article.
+PRIOR, WEAK_PRIOR = 0.02, 0.3
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements under which blocks of different parts of a page meet.
 PAGE = frozenset(("", "html", "body"))
@@ -76,10 +84,10 @@ class Node:
 
     __slots__ = ("parent", "tag", "drop", "explicit", "article", "prior", "depth", "children")
 
-    def __init__(self, parent: Node | None, tag: str, drop: bool, explicit: bool, named: bool):
+    def __init__(self, parent: Node | None, tag: str, drop: bool, explicit: bool, prior: float):
         self.parent, self.tag, self.drop, self.explicit = parent, tag, drop, explicit
         self.article: Node | None = self if explicit else parent.article if parent else None
-        self.prior = (parent.prior if parent else 1.0) * (PRIOR if named and (parent is None or parent.prior == 1.0) else 1.0)
+        self.prior = min(prior, parent.prior) if parent else prior
         self.depth = parent.depth + 1 if parent else 0
         self.children: dict[str, Node] = {}
 
@@ -93,10 +101,10 @@ def _named(value: str, names: frozenset[str]) -> bool:
     return False
 
 
-def _judge(tag: str, attrs: str, within: Node) -> tuple[str, bool, bool, bool]:
+def _judge(tag: str, attrs: str, within: Node) -> tuple[str, bool, bool, float]:
     """A path's label for an element, whether its element, role or state leaves it out, whether it holds the main text by what it is, and
-    whether its class or id names something beside the main text."""
-    drop, named = tag in DROPPED, False
+    the prior that its class and id give it."""
+    drop, prior = tag in DROPPED or tag in FORMULA_SOURCE, 1.0
     explicit = tag in ("article", "main")
     label = tag
     if attrs and _SOME.search(attrs):
@@ -107,18 +115,22 @@ def _judge(tag: str, attrs: str, within: Node) -> tuple[str, bool, bool, bool]:
         explicit |= role == "main" or known.get("itemprop", "") == "articleBody"
         drop |= role in ROLES or "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower()
         if tag == "article":
-            named = _named(names, ASIDE)
-            explicit &= not named
+            prior = PRIOR if _named(names, ASIDE) else 1.0
+            explicit &= prior == 1.0
         elif tag not in ("html", "body", "main"):
-            named = _named(names, NAMES) or (within.article is None and _named(names, HEADERS))
+            if within.article is not None:
+                others = " ".join(x for x in names.split() if x.lower() not in WEAK)
+                prior = PRIOR if _named(others, NAMES) else WEAK_PRIOR if _named(names, WEAK) else 1.0
+            elif _named(names, NAMES) or _named(names, HEADERS):
+                prior = PRIOR
     if tag == "header" and within.article is None:
         drop = True
-    return label, drop, explicit, named
+    return label, drop, explicit, prior
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
     """(path, text, characters within links) of each block of text, in page order; text of dropped parts is left out."""
-    root = Node(None, "", False, False, False)
+    root = Node(None, "", False, False, 1.0)
     stack: list[tuple[str, Node, bool]] = [("", root, False)]
     open_: Counter[str] = Counter()
     out: list[tuple[Node, str, int]] = []
@@ -190,15 +202,18 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         if tag in CLOSES:
             close(*CLOSES[tag])
         here = stack[-1][1]
-        label, drop, explicit, named = _judge(tag, m[4], here)
-        plain = tag in INLINE and not drop and not named
+        label, drop, explicit, prior = _judge(tag, m[4], here)
+        if tag in CONTROLS and here.tag in TEXTUAL and not here.drop:
+            drop = False
+        formula = tag == "math" or bool(open_["math"])
+        plain = (tag in INLINE or formula or tag in CONTROLS) and not drop and prior == 1.0
         if plain:
             node = here
         else:
             flush()
             node = here.children.get(label)
             if node is None:
-                node = here.children[label] = Node(here, tag, drop or here.drop, explicit, named)
+                node = here.children[label] = Node(here, tag, drop or here.drop, explicit, prior)
         if m[4].rstrip().endswith("/") and tag not in INLINE and tag not in CLOSES_P and "-" in tag:
             continue
         stack.append((tag, node, plain))
@@ -222,6 +237,17 @@ def scores(which: np.ndarray, chars: np.ndarray, punct: np.ndarray, prior: np.nd
     return np.bincount(which, text_ratio * (1 + punct_ratio)) / count * prior
 
 
+def _nearest(n: Node | None, is_one: Callable[[Node], bool], known: dict[int, Node | None]) -> Node | None:
+    """The nearest path from here up of which something holds; what is found is kept, so a page of any depth is climbed once."""
+    chain = []
+    while n is not None and id(n) not in known and not is_one(n):
+        chain.append(n)
+        n = n.parent
+    found = None if n is None else known.get(id(n), n)
+    known.update((id(x), found) for x in chain)
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The text of the page's content blocks, in page order, a space between blocks; empty if there is none."""
     found = blocks(page or "")
@@ -230,51 +256,48 @@ def main_text(page: str | None) -> str:
     number: dict[int, int] = {}
     which = np.array([number.setdefault(id(n), len(number)) for n, _, _ in found])
     paths: list[Node] = list({id(n): n for n, _, _ in found}.values())
-    chars = np.array([len(t) - k for _, t, k in found], float)
+    size = np.array([len(t) for _, t, _ in found], float)
+    chars = size - np.array([k for _, _, k in found], float)
     punct = np.array([len(_PUNCT.findall(t)) for _, t, _ in found], float)
     prior = np.array([n.prior for n in paths])
     score = scores(which, chars, punct, prior)
-    text = np.bincount(which, chars)
-    ratio = text / np.bincount(which) * prior
+    count, text = np.bincount(which), np.bincount(which, chars)
     mass = text * prior
     if not mass.sum():
         return ""
-    heading = np.array([n.tag in HEADINGS for n in paths])
     mean = lambda v: (v * mass).sum() / mass.sum()
-    chosen = (score >= SHARE * mean(score)) & (heading | (ratio >= OWN * mean(ratio)))
-    # What content paths vouch for: their article, else what they lie in; of the page itself only blocks that text consists of.
-    least = min((n.prior for n, c in zip(paths, chosen.tolist(), strict=True) if c), default=1.0)
-    body = [n for n, c, h in zip(paths, chosen.tolist(), heading.tolist(), strict=True) if c and not h]
-    regions = {id(n.article or n.parent or n) for n in body}
-    member: dict[int, tuple[bool, bool]] = {}  # path -> (within a region, within an article that is one)
-
-    def place(n: Node) -> tuple[bool, bool]:
-        chain = []
-        while n is not None and id(n) not in member:
-            chain.append(n)
-            n = n.parent
-        at = member[id(n)] if n is not None else (False, False)
-        for x in reversed(chain):
-            if id(x) in regions and x.tag not in PAGE:
-                at = (True, at[1] or x.article is not None)
-            member[id(x)] = at
-        return at
-
-    out = []
-    for (n, t, k), c in zip(found, chosen[which].tolist(), strict=True):
-        within, article = place(n)
-        if not within and (_NOTICE.match(t) or 2 * k > len(t)):
-            continue
-        if not c and n.prior >= least:
-            if article:
-                c = True
-            elif within:
-                c = n.tag not in ("li", "ul", "ol", "dd", "dt") or 10 * k <= 9 * len(t)
-            else:
-                c = n.parent is not None and id(n.parent) in regions and n.tag not in (*PAGE, "div", "td")
-        if c:
-            out.append(t)
-    return " ".join(out)
+    least, ratio = SHARE * mean(score), text / count * prior
+    own = ratio >= OWN * mean(ratio)
+    free = text / np.bincount(which, size)  # the share of a path's text outside links
+    heading = np.array([n.tag in HEADINGS for n in paths])
+    # What content scores lends its part a score.
+    parts: dict[int, float] = {}
+    for n, s in zip(paths, np.where((score >= least) & own & ~heading, score, 0.0).tolist(), strict=True):
+        part = n.article or n.parent
+        if s and part is not None:
+            parts[id(part)] = max(parts.get(id(part), 0.0), s)
+    article = any(n.article is not None and id(n.article) in parts for n in paths)
+    sentence = (np.bincount(which, punct) >= count) & (free >= 0.5) & (not article)
+    alone = np.where(own | heading | sentence, score, 0.0)
+    holders: dict[int, Node | None] = {}
+    outer: dict[int, Node | None] = {}
+
+    def part_of(n: Node) -> Node | None:
+        """The part that a path shares with content: its article, else what holds it, or what the list, table or figure stands in that it is of.
+        What lies directly under the page is a part for paragraphs, lists and tables only."""
+        if n.article is not None:
+            return n.article
+        at = _nearest(n, lambda x: id(x) in parts, holders)
+        if at is not None and at.tag not in PAGE:
+            return at
+        at = _nearest(n, lambda x: x.tag not in NESTED, outer)
+        return at if at is not n else None
+
+    lent = [parts.get(id(part), 0.0) if (part := part_of(n)) is not None else 0.0 for n in paths]
+    # In an article links are part of the text, as in lists of it; a weak name is belied by text.
+    linked = np.where([n.article is not None and n.prior == 1.0 for n in paths], 1.0, np.where(free >= 0.5, free, 0.0))
+    chosen = np.maximum(alone, np.array(lent) * linked * prior) >= least
+    return " ".join(t for (_, t, _), c in zip(found, chosen[which].tolist(), strict=True) if c)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -216,6 +216,79 @@ def test_main_text(before, wrap):
     assert html_extract.main_text(PAGE % (before, wrap.format(BODY))) == TEXT
 
 
+@pytest.mark.parametrize(
+    "page, kept, lost",
+    [
+        # outside an article, and on pages without one
+        ("<article><p>{0}</p></article><p>Copyright 1976 reform, as passed by Congress, changed what an author may keep of the work; it has marks.</p>", ["Copyright 1976 reform"], []),
+        ("<body><p>{0}</p><p><a href=1>A paragraph that is a link for more than half</a> of it.</p></body>", ["A paragraph that is a link for more than half of it."], []),
+        ("<body><div class=a><p>{0}</p><p>{1}</p></div><div class=c><p>Short end.</p></div></body>", ["Short end."], []),
+        ("<body><p>{0}</p><ul><li>One</li><li>Two</li></ul><p>{1}</p></body>", ["One Two"], []),
+        ("<body><p>{0}</p><table><tr><td>cell</td></tr></table><p>{1}</p></body>", ["cell"], []),
+        ("<body><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul><p>{0}</p><p>{1}</p></body>", [], ["Home", "News"]),
+        ("<body><div><a href=1>Home</a> <a href=2>News</a></div><div><p>{0}</p><p>{1}</p></div><div>Log in</div></body>", [], ["Home", "News"]),
+        # what stands in the middle of a sentence
+        ("<article><p>{0}</p><p>Press <button>OK</button> now.</p></article>", ["Press OK now."], []),
+        ("<article><p>{0}</p><p>The <label>term</label> here.</p></article>", ["The term here."], []),
+        ("<article><p>{0}</p><p>So <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1 source</annotation></math> holds.</p></article>", ["So x=1 holds."], ["source"]),
+        ("<article><p>{0}</p><div><button>Share it</button></div></article>", [], ["Share it"]),
+        # names in an article
+        ("<article><p>{0}</p><p class=skip>Skip step.</p></article>", ["Skip step."], []),
+        ("<article><p>{0}</p><div class=cookie><p>{1}</p></div></article>", ["Part of it"], []),
+        ("<article><p>{0}</p><section class=related><p>{1}</p></section></article>", ["Part of it"], []),
+        ("<article><p>{0}</p><section class=related><ul><li><a href=1>Other story one</a><li><a href=2>Other story two</a></ul></section></article>", [], ["Other story"]),
+        ("<article><p>{0}</p><section class=related-posts><p>{1}</p></section></article>", [], ["Part of it"]),
+        ("<div class=cookie><p>{1}</p></div><article><p>{0}</p></article>", [], ["Part of it"]),
+        ("<article><p>{0}</p><div class=comments><p>{1}</p></div><div class=ad>{1}</div></article>", [], ["Part of it"]),
+    ],
+)
+def test_scores_choose_and_names_are_a_prior(page, kept, lost):
+    text = html_extract.main_text(page.format(LONG, PART))
+    assert LONG.strip() in text
+    assert all(k in text for k in kept) and not any(x in text for x in lost), text
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for tag in ("div", "blockquote", "section"):
+        page = "".join(f"<{tag} class=k{i % 7}>words of it, here." for i in range(6000))
+        began = time.perf_counter()
+        assert html_extract.main_text(page).count("words") == 6000
+        assert time.perf_counter() - began < 10
+
+
+def test_pages_of_the_table_equal_a_plain_version():
+    """The generated pages hold their main text in an article; a plain whole-page parser of these takes what is in it."""
+    import html.parser
+
+    import duckdb
+
+    class Plain(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag not in ("b", "a"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            if tag not in ("b", "a"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    for (page,) in duckdb.execute("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        plain_page = Plain()
+        plain_page.feed(page)
+        assert html_extract.main_text(page) == " ".join(x for b in plain_page.blocks if (x := " ".join(b.split())))
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain text only, no tags."), (4, "u", "<p>unclosed <a href='x"), (5, "u", "<div>" * 20_000 + "deep text, here." + "</div>" * 10), (6, "u", "<nav>only menu</nav>"), (6, "u", "<nav>only menu</nav>"), (None, "u", "<article><p>x</p></article>")]
     out = {r.page_id: r for r in html_extract.extract(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text long")).collect()}
