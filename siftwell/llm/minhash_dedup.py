@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import Scratch, in_arrow, keyed, longs, mix, texts
@@ -106,16 +106,27 @@ def _one_id_several_sets(base: DataFrame) -> DataFrame:
     return base.select("id", F.col("rep").alias("a")).join(several, "id").select("a", "b")
 
 
+_ROW = "__siftwell_row"
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that are not kept. Rows that share an id are one document: of them one stays, the least by the hash of
-    its text. Rows with a null id all stay."""
+    """``docs`` without the rows that are near copies of one that stays: of each component the row with the smallest id, of rows that share that id the
+    least by the hash of its text. Rows are judged, not ids: texts that differ stay though they have one id, and repeated rows are copies. Rows with
+    a null id, and null and wordless texts, are copies of nothing and all stay.
+
+    Where ids repeat, rows are numbered in a written table. A component's row is a minimum over narrow columns, combined before its shuffle, so an id that
+    very many rows have, or a component of very many, is no task's to hold."""
     scratch = Scratch(docs.sparkSession)
-    judged = scratch.save(near_duplicates(docs, id_col, text_col, **options).filter(F.col(id_col).isNotNull()).select(id_col, "kept"))
-    gone = scratch.save(judged.filter("not kept").select(id_col).distinct())
-    out = keyed(docs, gone, id_col, "left_anti").select(docs.columns)
-    twice = scratch.save(judged.filter("kept").groupBy(id_col).agg(F.count("*").alias("c")).filter("c > 1").select(id_col))
-    if twice.isEmpty():
-        return out
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.monotonically_increasing_id())
-    one = keyed(out, twice, id_col, "left_semi").withColumn("__siftwell_nth", F.row_number().over(order)).filter("__siftwell_nth = 1").select(docs.columns)
-    return keyed(out, twice, id_col, "left_anti").select(docs.columns).unionByName(one)
+    named = docs.select(F.col(id_col).alias("id")).filter("id is not null")
+    if named.groupBy("id").count().filter("count > 1").isEmpty():
+        judged = near_duplicates(docs, id_col, text_col, **options).filter(F.col(id_col).isNotNull() & ~F.col("kept"))
+        return keyed(docs, scratch.save(judged.select(id_col)), id_col, "left_anti").select(docs.columns)
+    number = F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())
+    rows = scratch.save(docs.withColumn(_ROW, number))
+    judged = scratch.save(near_duplicates(rows, _ROW, text_col, **options).filter(F.col(_ROW).isNotNull()).select(F.col(_ROW).alias("row"), F.col("component_id").alias("component")))
+    several = scratch.save(judged.groupBy("component").agg(F.count("*").alias("c")).filter("c > 1").select("component"))
+    copies = scratch.save(keyed(judged, several, "component").select(F.col("row").alias(_ROW), "component"))
+    facts = rows.select(_ROW, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(_ROW).alias("row")).alias("place"))
+    first = keyed(facts, copies, _ROW).groupBy("component").agg(F.min("place").alias("first"))
+    gone = scratch.save(copies.join(scratch.save(first.select(F.col("first.row").alias(_ROW))), _ROW, "left_anti").select(_ROW))
+    return keyed(rows, gone, _ROW, "left_anti").select(docs.columns)

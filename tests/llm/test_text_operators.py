@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from siftwell.llm import decontaminate, licences, line_dedup, minhash_dedup
 from siftwell.llm import sets as shingle_sets
 from siftwell.llm.common import Scratch
@@ -60,10 +62,24 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     assert out == [(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (9, 9, True)]
     assert [(r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).filter("doc_id is null").collect()] == [(None, True)] * 2
     stay = minhash_dedup.representatives(docs).collect()
-    assert sorted(r.doc_id for r in stay if r.doc_id is not None) == [1, 9]
+    assert sorted((r.doc_id, r.text[0]) for r in stay if r.doc_id is not None) == [(1, "a"), (1, "p"), (9, "x")]
     assert sum(r.doc_id is None for r in stay) == 2
 
 
+def test_rows_are_judged_where_an_id_holds_most_of_them(spark):
+    rows = [((0 if k % 5 else i), t) for k, (i, t) in enumerate(family())] + [(0, None), (0, ""), (0, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(4)
+    links = plain.near([(k, t) for k, (_, t) in enumerate(rows)])
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(links[k][1], []).append((i, k))
+    stay = minhash_dedup.representatives(docs).collect()
+    assert len(stay) == len(groups)
+    assert {links[r.place][1]: r.doc_id for r in stay} == {g: min(v)[0] for g, v in groups.items()}
+    again = minhash_dedup.representatives(docs.withColumn("doc_id", F.col("place").cast("long")))
+    assert {r.place for r in again.collect()} == set(groups)
+
+
 def test_components_of_paths_stars_and_rings(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + i, 200 + (i + 1) % 30) for i in range(30)] + [(300, 300)]
