@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays. Null and empty texts are copies of nothing and stay, as do rows
-    with a null id; rows that share an id are one document, of which one row stays."""
+    """Of each component of near copies the row with the smallest doc_id stays. Null and empty texts are copies of nothing and stay, as do rows
+    with a null id; rows that share an id are each judged by their own text."""
     return minhash_dedup.representatives(docs)
 
 
