@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import question_text, strip, tokenize, word_set
 from siftwell.functions.verdicts import in_range
 from siftwell.operators.metrics import rate
-from siftwell.operators.order import numbered
+from siftwell.operators.order import numbered, numbered_by
 from siftwell.operators.retrieval import ranked, vector_topk
+from siftwell.session import ship
 
 #: Least characters of questions and answers of the two prefilters, similarity threshold and gold chunks of a question.
 CURATE = (40, 100)
@@ -54,9 +58,8 @@ def systematic_sample(rows: DataFrame, m: int, order: str) -> DataFrame:
 
 
 def systematic_sample_by(rows: DataFrame, m: int, group: str, order: str) -> DataFrame:
-    """The same within each group; a group is a collection's questions, of which a task holds the keys."""
-    w = Window.partitionBy(group)
-    at = rows.select(group, order).withColumns({"_at": F.row_number().over(w.orderBy(order)) - 1, "_step": F.greatest(F.lit(1), F.floor(F.count("*").over(w) / m))})
+    """The same within each group."""
+    at = numbered_by(rows.select(group, order), group, order, "_at", "_size").withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_size") / m)))
     picked = at.filter((F.col("_at") % F.col("_step") == 0) & (F.col("_at") < F.col("_step") * m)).select(group, order)
     return rows.join(picked, [group, order], "left_semi")
 
@@ -87,16 +90,54 @@ def eval_set_by_similarity(answers: DataFrame, chunks: DataFrame, tau: float = T
     return top.groupBy("query_id").agg(gold.alias("gold_chunk_ids"), F.max("score").alias("gold_top_sim"))
 
 
+#: Bytes of short passages that travel to the corpus at a time.
+PASSAGE_BYTES = 8 << 20
+
+
 def holders(passages: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of the chunks ``corpus(chunk_id, content)`` that hold a whole passage of ``passages(query_id, passage)`` as it is written.
-    All words of a passage but its first and last are whole words of whatever holds it, so chunks meet passages by the longest of these, an
-    equi-join, before texts are looked through; passages of under three words, which have none, are looked for in every chunk."""
+    """(query_id, chunk_id) of the chunks ``corpus(chunk_id, content)`` that hold a whole passage of ``passages(query_id, passage)`` as it is written; an empty passage is held
+    by none. All words of a passage but its first and last are whole words of whatever holds it, so chunks meet passages by the longest of these, by ids alone; texts
+    are fetched for the pairs that meet. Passages of under three words have no such word: they are looked for in one pass over the
+    corpus by an automaton of all of them, or of PASSAGE_BYTES at a time."""
     inner = F.expr("transform(slice(w, 2, greatest(size(w) - 2, 0)), x -> struct(length(x) as n, x as x))")
-    asked = passages.filter("passage is not null").withColumn("w", tokenize(F.col("passage"))).withColumn("anchor", F.array_max(inner)["x"]).drop("w")
-    words = corpus.select("chunk_id", "content", F.explode(word_set(F.col("content"))).alias("anchor"))
-    met = words.join(asked.filter("anchor is not null"), "anchor").filter(F.contains("content", "passage")).select("query_id", "chunk_id")
-    short = corpus.crossJoin(asked.filter("anchor is null").drop("anchor")).filter(F.contains("content", "passage")).select("query_id", "chunk_id")
-    return met.unionByName(short).distinct()
+    asked = passages.filter("passage <> ''").withColumn("w", tokenize(F.col("passage"))).withColumn("anchor", F.array_max(inner)["x"]).drop("w")
+    words = corpus.select("chunk_id", F.explode(word_set(F.col("content"))).alias("anchor"))
+    met = words.join(asked.filter("anchor is not null").select("query_id", "anchor"), "anchor").select("query_id", "chunk_id").distinct()
+    whole = met.join(asked.select("query_id", "passage"), "query_id").join(corpus.select("chunk_id", "content"), "chunk_id")
+    out = whole.filter(F.contains("content", "passage")).select("query_id", "chunk_id")
+    short = asked.filter("anchor is null").select("query_id", "passage")
+    size = short.agg(F.coalesce(F.sum(F.octet_length("passage") + 16), F.lit(0))).first()[0]
+    blocks = -(-size // PASSAGE_BYTES)
+    for i in range(blocks):
+        part = short.filter(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i).toArrow()
+        out = out.unionByName(_search(part, corpus))
+    return out.distinct()
+
+
+def _search(passages: pa.Table, corpus: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks that hold one of a block of passages."""
+    ids = passages.column(0).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, of = ahocorasick.Automaton(), {}
+        for k, passage in enumerate(passages.column(1).to_pylist()):
+            of.setdefault(passage, []).append(k)
+        for passage in of:
+            automaton.add_word(passage, passage)
+        automaton.make_automaton()
+        for batch in batches:
+            row, which = [], []
+            for i, content in enumerate(batch.column(1).to_pylist()):
+                for passage in {p for _, p in automaton.iter(content or "")}:
+                    row += [i] * len(of[passage])
+                    which += of[passage]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), batch.column(0).take(pa.array(row, pa.int64()))], ["query_id", "chunk_id"])
+
+    ship(corpus.sparkSession)
+    name = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}[ids.type]
+    return corpus.select("chunk_id", "content").mapInArrow(run, f"query_id {name}, chunk_id {dict(corpus.dtypes)['chunk_id']}")
 
 
 def curated(verdicts: DataFrame, pool: DataFrame) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import hash_number
 from siftwell.operators.order import numbered
 from siftwell.operators.selection import order_statistic
+from siftwell.session import ship
 
 KS = (1, 3, 5, 10)
 DEAD_ZONE = 5
@@ -86,11 +89,11 @@ def ablation_summary(rows: DataFrame, by: tuple[str, ...] = (), zone: float = DE
     return rows.groupBy(*by).agg(*values) if by else rows.agg(*values)
 
 
-def bootstrap_ci(rows: DataFrame, key: str = "id", iters: int = RESAMPLES) -> DataFrame:
+def bootstrap_ci_hash(rows: DataFrame, key: str = "id", iters: int = RESAMPLES) -> DataFrame:
     """``rows(key, diff)`` -> n, low, high: order statistics int(0.025 iters) and int(0.975 iters) of the means of ``iters`` resamples.
 
     Draw j of resample i takes the row number md5("i:j") mod n, so any engine draws alike, resamples are spread over tasks and the rows
-    are joined by number.
+    are joined by number. That shuffles ``iters`` times the rows: ``bootstrap_ci`` is for many rows.
     """
     good = rows.filter("diff is not null").select(key, "diff")
     n = good.count()
@@ -103,6 +106,50 @@ def bootstrap_ci(rows: DataFrame, key: str = "id", iters: int = RESAMPLES) -> Da
     return means.agg(F.lit(n).cast("long").alias("n"), F.element_at(order, int(0.025 * iters) + 1).alias("low"), F.element_at(order, int(0.975 * iters) + 1).alias("high"))
 
 
+def split_counts(counts: np.ndarray, n: int, first: int, end: int, seed: int, block: int) -> np.ndarray:
+    """How often each resample draws from the rows ``first:end`` of n, by halving the rows from all of them down to these: the draws of a half are binomial, given
+    the whole's, and come from a generator of the half's own, so whoever walks down to a range of rows finds the same. ``counts``: draws of each
+    resample; ``block``: rows of the ranges that are walked down to, a multiple of which ``first`` is."""
+    low, high = 0, n
+    while high - low > block:
+        middle = low + block * max(1, (high - low) // block // 2)
+        left = np.random.default_rng([seed, low, high]).binomial(counts, (middle - low) / (high - low))
+        if first < middle:
+            counts, high = left, middle
+        else:
+            counts, low = counts - left, middle
+    assert (low, high) == (first, end)
+    return counts
+
+
+def block_sums(diff: np.ndarray, n: int, first: int, seed: int, block: int, iters: int) -> np.ndarray:
+    """The sum that each resample draws from a block of rows: its draws of the block fall on the block's rows alike."""
+    counts = split_counts(np.full(iters, n), n, first, first + len(diff), seed, block)
+    rng, even = np.random.default_rng([seed, first]), np.full(len(diff), 1 / len(diff))
+    return np.array([rng.multinomial(c, even) @ diff for c in counts])
+
+
+def bootstrap_ci(rows: DataFrame, key: str = "id", iters: int = RESAMPLES, seed: int = 0, block: int = 1024) -> DataFrame:
+    """``rows(key, diff)`` -> n, low, high: order statistics int(0.025 iters) and int(0.975 iters) of the means of ``iters`` resamples of n rows each, with
+    replacement. A resample's draws are split between blocks of rows (``split_counts``), so a task draws for its own blocks and gives ``iters`` sums a block; no draw is
+    shuffled, and the work is that of n times iters draws. The same seed gives the same interval however the rows lie."""
+    good = rows.filter("diff is not null").select(key, F.col("diff").cast("double").alias("diff"))
+    n = good.count()
+    if not n:
+        return rows.agg(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("at")
+        sums = block_sums(part["diff"].to_numpy(), n, part["at"][0].as_py(), seed, block, iters)
+        return pa.table({"i": pa.array(np.arange(iters)), "s": pa.array(sums)})
+
+    ship(rows.sparkSession)
+    dealt = numbered(good, key).select(F.expr(f"at div {block}").alias("block"), "at", "diff")
+    means = dealt.groupBy("block").applyInArrow(run, "i long, s double").groupBy("i").agg((F.sum("s") / n).alias("m"))
+    order = F.array_sort(F.collect_list("m"))  # ``iters`` values
+    return means.agg(F.lit(n).cast("long").alias("n"), F.element_at(order, int(0.025 * iters) + 1).alias("low"), F.element_at(order, int(0.975 * iters) + 1).alias("high"))
+
+
 def bootstrap_ci_exact(rows: DataFrame, group: str, key: str = "id", iters: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """The interval that Python's generator gives for a seed, with the rows of a group in order of their key. A group is one task's work:
     this is for evaluation sets, not for data of any size."""

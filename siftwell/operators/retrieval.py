@@ -22,7 +22,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 POOL, RERANK_POOL = 50, 30
 #: Questions that travel to the corpus at a time.
-BLOCK = 4096
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
+#: Chunks of a cell of the grid, where questions are more than a block.
+CELL = 1 << 15
 
 
 def ranked(scored: DataFrame, k: int | None, partition: str = "query_id", item: str = "chunk_id", score: str = "score") -> DataFrame:
@@ -32,9 +34,11 @@ def ranked(scored: DataFrame, k: int | None, partition: str = "query_id", item:
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def _blocks(questions: DataFrame, most: int = BLOCK) -> Iterator[pa.Table]:
-    """The questions, about ``most`` at a time: a pass over the corpus for each block, one block on the driver at once."""
-    blocks = max(1, -(-questions.count() // most))
+def _blocks(questions: DataFrame, size: Column) -> Iterator[pa.Table]:
+    """The questions, about BLOCK of them and BLOCK_BYTES at a time by the ``size`` in bytes of each: a pass over the corpus for each block, one block on the
+    driver at once."""
+    n, total = questions.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-int(total) // BLOCK_BYTES))
     for i in range(blocks):
         part = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         yield part.toArrow()
@@ -68,7 +72,7 @@ def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int, zero_filled: bool
         idf = F.log(F.lit(size.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         floor = (df.agg(F.avg(idf)).first()[0] or 0.0) * EPSILON
         parts = []
-        for block in _blocks(questions.select("query_id", F.coalesce(tokenize(F.col("question")), F.expr("cast(array() as array<string>)")).alias("words"))):
+        for block in _blocks(questions.select("query_id", F.coalesce(tokenize(F.col("question")), F.expr("cast(array() as array<string>)")).alias("words")), 12 * F.size("words") + 64):
             names, words = block.column(0).combine_chunks(), block.column(1).combine_chunks()
             asked = pc.unique(words.flatten())
             rows = spark.createDataFrame(pa.table({"term": asked})).join(df, "term").select("term", F.when(idf < 0, F.lit(floor)).otherwise(idf).alias("idf")).toArrow()
@@ -85,13 +89,28 @@ def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int, zero_filled: bool
 
 
 def vector_topk(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """Exact dense top k: ``corpus(chunk_id, vector)``, ``questions(query_id, vector)``, vectors of unit length. A block of questions travels to
-    the corpus, a task multiplies tiles and keeps its own k a question. Vectors that are null, hold a null or are of another length than
-    the question's take no part."""
-    ship(corpus.sparkSession)
+    """Exact dense top k: ``corpus(chunk_id, vector)``, ``questions(query_id, vector)``, vectors of unit length. Vectors that are null, hold a null or are of another length than
+    the question's take no part.
+
+    Questions of a block's size travel to the corpus, which is not shuffled: a task multiplies tiles and keeps its own k a question. More of
+    them make a grid of slices of questions and cells of CELL chunks, which meet by key; a cell keeps k a question of its slice."""
+    spark = corpus.sparkSession
+    ship(spark)
     source = corpus.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
-    parts = [source.mapInArrow(kernels.dense(block, k, DIGITS), _given(corpus, questions)) for block in _blocks(questions.select("query_id", F.col("vector").cast("array<double>").alias("vector")))]
-    return _merged(parts, k)
+    asked = questions.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(16 + 8 * F.size("vector")), F.lit(0))).first()
+    slices = max(1, -(-n // BLOCK), -(-int(size) // BLOCK_BYTES))
+    if slices == 1:
+        return ranked(source.mapInArrow(kernels.dense(asked.toArrow(), k, DIGITS), _given(corpus, questions)), k)
+    cells = max(1, -(-corpus.count() // CELL))
+    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(slices)).alias("slice"), F.expr(f"explode(sequence(0L, {cells - 1}L))").alias("cell"), "query_id", "vector")
+    right = source.select(F.expr(f"explode(sequence(0L, {slices - 1}L))").alias("slice"), F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).alias("cell"), "chunk_id", "vector")
+
+    def run(mine: pa.Table, chunks: pa.Table) -> pa.Table:
+        found = list(kernels.dense(mine.select(["query_id", "vector"]), k, DIGITS)(iter(chunks.select(["chunk_id", "vector"]).to_batches())))
+        return pa.Table.from_batches(found) if found else pa.table({"query_id": mine["query_id"].slice(0, 0), "chunk_id": chunks["chunk_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    return ranked(left.groupBy("slice", "cell").cogroup(right.groupBy("slice", "cell")).applyInArrow(run, _given(corpus, questions)), k)
 
 
 def normalize_scores(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import verdicts as J
 from siftwell.functions.text import provenance, question_text, shorten
 from siftwell.operators import evalset, metrics, retrieval
+from siftwell.operators.order import numbered
 from siftwell.services import client
 
 STRICT = "Answer only from the context. Say so if it does not hold the answer."
@@ -97,13 +98,30 @@ def triage(covered: DataFrame, questions: DataFrame, pool: DataFrame, chunks: Da
 
 def synthetic(chunks: DataFrame, n: int, generator: client.Client, folder: str, budget: int | None = None) -> DataFrame:
     """``chunks(chunk_id, content)`` -> (id, chunk_id, question, reference): of a systematic sample of 2 n substantive chunks, what the generator
-    makes of the first n, by chunk, that it can use."""
+    makes of the first n, by chunk, that it can use.
+
+    The sample is called in waves in the order of its chunks, the first of n calls, later ones of as many as the share of accepted replies so far asks for, until n are
+    accepted, the sample ends or ``budget`` calls are made: the rows are those of calling them all."""
     good = chunks.filter(evalset.is_substantive(F.col("content")))
-    sample = evalset.systematic_sample(good, 2 * n, "chunk_id")
-    replies = written(client.call(sample.select(F.col("chunk_id").alias("id"), F.col("content").alias("prompt")), generator, "generate", budget=budget), f"{folder}/synthetic")
-    o = J.reply_object(F.col("text"))
-    made = replies.select("id", J.flag(o, "usable").alias("usable"), J.string(o, "question").alias("question"), J.string(o, "reference").alias("reference"))
-    usable = evalset.usable_synthetic(sample.select("chunk_id", F.col("chunk_id").cast("string").alias("id")).join(made, "id"))
+    sample = written(numbered(evalset.systematic_sample(good, 2 * n, "chunk_id"), "chunk_id", "_at"), f"{folder}/sample")
+    most = min(sample.count(), 2 * n if budget is None else budget)
+    done = accepted = wave = 0
+    usable = None
+    while done < most and accepted < n:
+        missing = n - accepted
+        size = n if not done else -(-missing * done // accepted) if accepted else 2 * n
+        upto = min(most, done + max(1, size))
+        part = sample.filter((F.col("_at") >= done) & (F.col("_at") < upto))
+        replies = written(client.call(part.select(F.col("chunk_id").alias("id"), F.col("content").alias("prompt")), generator, "generate"), f"{folder}/synthetic/wave={wave}")
+        o = J.reply_object(F.col("text"))
+        made = replies.select("id", J.flag(o, "usable").alias("usable"), J.string(o, "question").alias("question"), J.string(o, "reference").alias("reference"))
+        found = evalset.usable_synthetic(part.select("chunk_id", F.col("chunk_id").cast("string").alias("id")).join(made, "id"))
+        found = written(found, f"{folder}/usable/wave={wave}")
+        usable = found if usable is None else usable.unionByName(found)
+        accepted, done, wave = accepted + found.count(), upto, wave + 1
+    if usable is None:
+        none = F.lit(None).cast("string")
+        return sample.limit(0).select(F.col("chunk_id").cast("string").alias("id"), "chunk_id", none.alias("question"), none.alias("reference"))
     return usable.orderBy("chunk_id").limit(n).select("id", "chunk_id", "question", "reference")
 
 

@@ -114,12 +114,19 @@ def ablation_summary(spark, sf_dir):
     o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m) SELECT (SELECT n FROM n) AS n, round(max(m) FILTER (r = 50), 6) AS low, round(max(m) FILTER (r = 1950), 6) AS high FROM o""")
 def bootstrap_ci_hash(spark, sf_dir):
     """Over every scored document."""
-    return M.bootstrap_ci(M.valid_pairs(scored(spark, sf_dir))).select("n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return M.bootstrap_ci_hash(M.valid_pairs(scored(spark, sf_dir))).select("n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    """Over every scored document, draws split between blocks of rows."""
+    return M.bootstrap_ci(M.valid_pairs(scored(spark, sf_dir)))
 
 
 @query()
 def bootstrap_ci_exact(spark, sf_dir):
-    rows = M.valid_pairs(scored(spark, sf_dir)).withColumn("tool", F.lit("all"))
+    """Over every evaluation set; 50 scored documents are one."""
+    rows = M.valid_pairs(scored(spark, sf_dir)).withColumn("tool", F.expr("id div 50"))
     return M.bootstrap_ci_exact(rows, "tool")
 
 
@@ -139,6 +146,15 @@ def usage_windows(spark, sf_dir):
     return usage.windowed_usage(table(spark, sf_dir, "events")).withColumn("cost", F.round("cost", 2))
 
 
+@query("SELECT event_type AS model, count(*) AS calls, round(sum(value), 2) AS cost_usd FROM events GROUP BY event_type")
+def usage_ledger(spark, sf_dir):
+    """A stream of calls whose batches are each written once, with totals from the batches' own sums."""
+    at = folder(spark)
+    calls = spark.readStream.schema(usage.EVENTS).parquet(usage.as_folder(spark, f"{sf_dir}/events.parquet", at)).select(F.col("event_type").alias("model"), F.col("value").alias("cost_usd"))
+    usage.append_traces(calls, f"{at}/traces", f"{at}/checkpoint").awaitTermination()
+    return usage.ledger_totals(spark, f"{at}/traces").withColumn("cost_usd", F.round("cost_usd", 2))
+
+
 @query("SELECT * FROM (VALUES (1, 0), (2, 4), (3, NULL), (4, 5)) AS t(id, best)")
 def best_rank(spark, sf_dir):
     rows = values(spark, "(VALUES (1, array(3, 0, 19)), (2, array(4)), (3, cast(array() as array<int>)), (4, array(5, 9))) AS t(id, ranks)")

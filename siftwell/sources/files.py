@@ -22,7 +22,7 @@ def scan_documents(spark: SparkSession, folder: str, suffixes: tuple[str, ...] =
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace("path", rf"^.*?\Q{root}\E/", "")
-    out = files.select(path.alias("doc_path"), F.col("content").cast("string").alias("text"))
+    out = files.select(path.alias("doc_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return out.filter(F.length("text") >= min_chars)
 
 

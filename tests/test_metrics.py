@@ -91,11 +91,58 @@ def test_bootstrap_queries_take_every_document(spark, tmp_path):
 
     spark.range(400).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
     number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
-    d = [float(number(f"r{i}") % 101 - number(f"b{i}") % 101) for i in range(400) if i % 17 and i % 19]
-    rng = random.Random(0)
-    means = sorted(sum(rng.choice(d) for _ in d) / len(d) for _ in range(2000))
-    r = evaluation.bootstrap_ci_exact(spark, str(tmp_path)).first()
-    assert (r.n, r.low, r.high) == (len(d), means[50], means[1950])
+    diff = {i: float(number(f"r{i}") % 101 - number(f"b{i}") % 101) for i in range(400) if i % 17 and i % 19}
+    d = list(diff.values())
+    exact = {r.tool: (r.n, r.low, r.high) for r in evaluation.bootstrap_ci_exact(spark, str(tmp_path)).collect()}
+    assert sorted(exact) == list(range(8)) and sum(n for n, _, _ in exact.values()) == len(d)
+    for tool in (0, 5):
+        own, rng = [x for i, x in diff.items() if i // 50 == tool], random.Random(0)
+        means = sorted(sum(rng.choice(own) for _ in own) / len(own) for _ in range(2000))
+        assert exact[tool] == (len(own), means[50], means[1950])
+    assert evaluation.bootstrap_ci(spark, str(tmp_path)).first().n == len(d)
     means = sorted(sum(d[number(f"{i}:{j}") % len(d)] for j in range(len(d))) / len(d) for i in range(2000))
     r = evaluation.bootstrap_ci_hash(spark, str(tmp_path)).first()
     assert (r.n, r.low, r.high) == (len(d), pytest.approx(means[50], abs=1e-6), pytest.approx(means[1950], abs=1e-6))
+
+
+def plain_splits(diffs, iters, seed, block):
+    """The same resamples by a walk over all halves, from the whole down."""
+    import numpy as np
+
+    n, sums = len(diffs), np.zeros(iters)
+
+    def walk(low, high, counts):
+        if high - low <= block:
+            rng = np.random.default_rng([seed, low])
+            for i, c in enumerate(counts):
+                sums[i] += rng.multinomial(c, [1 / (high - low)] * (high - low)) @ np.array(diffs[low:high])
+            return
+        middle = low + block * max(1, (high - low) // block // 2)
+        left = np.random.default_rng([seed, low, high]).binomial(counts, (middle - low) / (high - low))
+        walk(low, middle, left)
+        walk(middle, high, counts - left)
+
+    walk(0, n, np.full(iters, n))
+    return sorted(s / n for s in sums)
+
+
+def test_bootstrap_by_splitting_equals_the_plain_walk(spark):
+    import random
+
+    rng = random.Random(1)
+    for n, block in ((1, 4), (7, 2), (37, 8), (64, 16), (100, 128)):
+        diffs = [round(rng.gauss(3, 10), 1) for _ in range(n)]
+        rows = spark.createDataFrame([(i, d) for i, d in enumerate(diffs)] + [(1000, None)], "id long, diff double").repartition(3)
+        got = M.bootstrap_ci(rows, iters=200, seed=5, block=block).first()
+        want = plain_splits(diffs, 200, 5, block)
+        assert got.n == n and abs(got.low - want[5]) < 1e-9 and abs(got.high - want[195]) < 1e-9
+
+
+def test_bootstrap_by_splitting_draws_as_resampling_does():
+    import numpy as np
+
+    diffs = np.array([0.0, 1.0, 2.0, 10.0] * 25)
+    means = np.sort(sum(M.block_sums(diffs[k : k + 8], 100, k, 3, 8, 4000) for k in range(0, 100, 8)) / 100)
+    plain = np.sort(np.random.default_rng(0).choice(diffs, (4000, 100)).mean(1))
+    assert abs(means.mean() - diffs.mean()) < 0.03 and abs(means.std() - plain.std()) < 0.02
+    assert all(abs(means[k] - plain[k]) < 0.12 for k in (100, 2000, 3900))

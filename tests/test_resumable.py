@@ -112,3 +112,19 @@ def test_synthesis_of_files_that_are_there(spark, tmp_path):
 def test_synthesis_of_an_empty_folder(spark, tmp_path):
     collections = spark.createDataFrame([("o__a", "forum")], "repo string, eval_mode string")
     assert {(r.value, r.file) for r in resumable.synthesis(collections, str(tmp_path)).collect()} == {(None, None)}
+
+
+def test_waves_call_no_more_than_is_needed(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, " ".join(["word"] * (60 + i % 7) + [f"x{k}" for k in range(20)])) for i in range(200)], "chunk_id long, content string")
+    generator = Counted(client.FirstWords(), str(tmp_path / "calls"))
+    found = [r.chunk_id for r in resumable.evaluate.synthetic(chunks, 20, generator, str(tmp_path / "run")).collect()]
+    sample = list(range(0, 200, 5))[:40]
+    good = [i for i in sample if (80 + i % 7) % 3]
+    assert found == good[:20]  # as if all 40 had been called
+    assert sample.index(good[19]) + 1 <= len(generator.calls()) < 40
+    few = Counted(client.FirstWords(), str(tmp_path / "few"))
+    assert [r.chunk_id for r in resumable.evaluate.synthetic(chunks, 20, few, str(tmp_path / "r2"), budget=9).collect()] == [i for i in sample[:9] if i in good]
+    assert len(few.calls()) == 9
+    none = Counted(client.Echo(), str(tmp_path / "none"))
+    assert resumable.evaluate.synthetic(chunks, 3, none, str(tmp_path / "r3")).collect() == [] and len(none.calls()) == 6
+    assert resumable.evaluate.synthetic(chunks.limit(0), 3, none, str(tmp_path / "r4")).collect() == []

@@ -96,3 +96,45 @@ def test_numbers_in_order(spark, kind):
     assert out == {None: 0} | {k: i + 1 for i, k in enumerate(order)}
     assert numbered(df.limit(0), "k").count() == 0
     assert [r.k for r in E.systematic_sample(df.filter("k is not null"), 10, "k").collect()] == order[::500][:10]
+
+
+def test_a_grid_of_questions_and_chunks(spark, monkeypatch):
+    """More questions than a block, in slices and cells, give what one block gives; both sides may come from one table."""
+    import random
+
+    from siftwell.operators import retrieval
+
+    rng = random.Random(6)
+    rows = [(i, [round(rng.gauss(0, 1), 2) for _ in range(4)]) for i in range(150)] + [(500, None), (501, [1.0]), (502, [1.0, None, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    chunks, asked = vectors.withColumnRenamed("id", "chunk_id"), vectors.selectExpr("id as query_id", "vector")
+    want = sorted(map(tuple, retrieval.vector_topk(chunks, asked, 4).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK", 40)
+    monkeypatch.setattr(retrieval, "CELL", 30)
+    assert sorted(map(tuple, retrieval.vector_topk(chunks, asked, 4).collect())) == want
+    monkeypatch.setattr(retrieval, "BLOCK", 4096)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 1500)
+    assert sorted(map(tuple, retrieval.vector_topk(chunks, asked, 4).collect())) == want
+    assert len(want) == 151 * 4 - 3
+
+
+def test_holders_of_short_and_long_passages(spark):
+    from siftwell.operators import evalset
+
+    texts = [(1, "the concatenated cat sat, on a mat"), (2, "A cat sat"), (3, None), (4, ""), (5, "mat! no cat sat on here; ÉTÉ là"), (6, "the the the")]
+    asked = [(1, "cat"), (2, "cat"), (3, "cat sat"), (4, "cat sat, on"), (5, ""), (6, None), (7, "!"), (8, "ÉTÉ"), (9, "the the"), (10, "cat sat on"), (11, "at sat on he")]
+    found = evalset.holders(spark.createDataFrame(asked, "query_id long, passage string"), spark.createDataFrame(texts, "chunk_id long, content string")).collect()
+    assert sorted(map(tuple, found)) == sorted((q, i) for q, p in asked for i, t in texts if p and t and p in t)
+
+
+def test_numbers_and_samples_by_group(spark):
+    from siftwell.operators import evalset, order
+
+    rows = [("hot", i * 7 % 501) for i in range(501)] + [("small", i) for i in range(3)] + [(None, 1), (None, 0)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(3)
+    got = {(r.g, r.k): (r["at"], r["size"]) for r in order.numbered_by(df, "g", "k", parts=8).collect()}
+    for g in ("hot", "small", None):
+        keys = sorted(k for x, k in rows if x == g)
+        assert [got[g, k] for k in keys] == [(i, len(keys)) for i in range(len(keys))]
+    picked = evalset.systematic_sample_by(df.filter("g is not null"), 10, "g", "k").collect()
+    assert sorted(r.k for r in picked if r.g == "hot") == list(range(0, 500, 50)) and sum(r.g == "small" for r in picked) == 3

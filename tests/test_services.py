@@ -121,3 +121,43 @@ def test_repository_facts_keep_errors_as_a_column(spark):
     out = service.ranked_facts(rows).collect()
     assert [r.repo for r in out] == ["x/b", "x/a", "x/down", "x/none", "x/off"]
     assert [r.repo for r in out if r.error] == ["x/down"] and "no answer" in out[2].error
+
+
+def test_bytes_that_are_not_text_are_replaced(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"\xffA\xc3(" + b"x" * 40)
+    assert [r.text for r in files.scan_documents(spark, str(tmp_path)).collect()] == ["�A�(" + "x" * 40]
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path, monkeypatch):
+    calls = spark.range(90).selectExpr("concat('m', id % 3) as model", "cast(id as double) as cost_usd", "id as n")
+    for i in range(3):
+        calls.filter(f"n % 3 = {i} or n > 80").write.parquet(str(tmp_path / f"source/part{i}"))
+    stream = lambda: spark.readStream.schema("model string, cost_usd double, n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "source/*"))
+    path, failed = str(tmp_path / "traces"), []
+    write = type(calls.write).json
+
+    def fail_once(self, where, *args, **kwargs):  # after a batch's rows are written, before its sums are
+        if "/ledger/" in where and "batch=1" in where and not failed:
+            failed.append(where)
+            raise RuntimeError("lost")
+        return write(self, where, *args, **kwargs)
+
+    monkeypatch.setattr(type(calls.write), "json", fail_once)
+    for _ in range(3):
+        try:
+            usage.append_traces(stream(), path, str(tmp_path / "checkpoint")).awaitTermination()
+        except Exception:
+            assert failed
+    rows = spark.read.option("recursiveFileLookup", "true").schema("model string, cost_usd double, n long").json(f"{path}/rows")
+    want = spark.read.schema("model string, cost_usd double, n long").parquet(str(tmp_path / "source/*"))
+    assert failed and sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
+    totals = {r.model: (r.calls, r.cost_usd) for r in usage.ledger_totals(spark, path).collect()}
+    assert totals == {r.model: (r.n, r.c) for r in want.groupBy("model").agg(F.count("*").alias("n"), F.sum("cost_usd").alias("c")).collect()}
+
+
+def test_another_stream_writes_beside_the_first(spark, tmp_path):
+    spark.range(4).selectExpr("'m' as model", "1.0D as cost_usd").write.parquet(str(tmp_path / "s"))
+    for i in range(2):
+        stream = spark.readStream.schema("model string, cost_usd double").parquet(str(tmp_path / "s"))
+        usage.append_traces(stream, str(tmp_path / "t"), str(tmp_path / f"c{i}")).awaitTermination()
+    assert usage.ledger_totals(spark, str(tmp_path / "t")).first().calls == 8
