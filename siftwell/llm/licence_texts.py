@@ -1,22 +1,22 @@
 """Names of licences by family, the words that licences are given with, and the texts that are shipped with works."""
 
 NAMES: dict[str, tuple[str, ...]] = {
-    "apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0", "Apache Software License", "Apache License", "ASL 2.0"),
-    "mit": ("MIT License", "MIT licence", "MIT/X11 license", "Expat license", "MIT", "X11 License"),
-    "bsd": ("BSD License", "BSD 3-Clause License", "BSD-2-Clause license", "BSD-3-Clause", "New BSD License", "Simplified BSD License", "three-clause BSD licence", "BSD"),
-    "gpl": ("GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL", "GPL-3.0-or-later", "GPLv3", "GPLv2 license", "GNU General Public License", "GPL", "GPL version 2 or later"),
-    "lgpl": ("GNU Lesser General Public License", "GNU Lesser General Public License, version 3", "LGPL-2.1", "LGPLv3", "GNU LGPL", "LGPL"),
-    "agpl": ("GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL-3.0", "AGPLv3", "GNU AGPL", "AGPL"),
+    "apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0", "Apache Software License", "Apache License", "ASL 2.0", "Apache-2.0 license"),
+    "mit": ("MIT License", "MIT licence", "MIT/X11 license", "Expat license", "MIT", "X11 License", "The MIT License (MIT)", "the MIT license"),
+    "bsd": ("BSD License", "BSD 3-Clause License", "BSD-2-Clause license", "BSD-3-Clause", "New BSD License", "Simplified BSD License", "three-clause BSD licence", "BSD", "BSD-2-Clause", "BSD-4-Clause"),
+    "gpl": ("GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL", "GPL-3.0-or-later", "GPLv3", "GPLv2 license", "GNU General Public License", "GPL", "GPL version 2 or later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0", "GPL-2.0"),
+    "lgpl": ("GNU Lesser General Public License", "GNU Lesser General Public License, version 3", "LGPL-2.1", "LGPLv3", "GNU LGPL", "LGPL", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "agpl": ("GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL-3.0", "AGPLv3", "GNU AGPL", "AGPL", "AGPL-3.0-only", "AGPL-3.0-or-later"),
     "mpl": ("Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL-2.0", "MPL 2.0", "Mozilla Public License"),
-    "epl": ("Eclipse Public License 2.0", "Eclipse Public License", "EPL-2.0", "EPL 1.0"),
+    "epl": ("Eclipse Public License 2.0", "Eclipse Public License", "EPL-2.0", "EPL 1.0", "EPL-1.0"),
     "isc": ("ISC License", "ISC licence", "ISC"),
-    "zlib": ("zlib License", "zlib/libpng License", "zlib licence"),
-    "boost": ("Boost Software License, Version 1.0", "Boost Software License", "BSL-1.0", "Boost licence"),
+    "zlib": ("zlib License", "zlib/libpng License", "zlib licence", "Zlib"),
+    "boost": ("Boost Software License, Version 1.0", "Boost Software License", "BSL-1.0", "Boost licence", "Boost Software License 1.0"),
     "wtfpl": ("WTFPL", "WTFPL version 2", "Do What The Fuck You Want To Public License"),
-    "cc-by": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC-BY-4.0", "Creative Commons Attribution License", "CC BY"),
-    "cc-by-sa": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-3.0", "Creative Commons Attribution-ShareAlike License"),
-    "cc-by-nc": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial License"),
-    "public-domain": ("CC0 1.0 Universal", "CC0", "Unlicense", "Creative Commons Zero", "CC0 1.0 Public Domain Dedication"),
+    "cc-by": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC-BY-4.0", "Creative Commons Attribution License", "CC BY", "CC-BY-3.0"),
+    "cc-by-sa": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-3.0", "Creative Commons Attribution-ShareAlike License", "CC-BY-SA-4.0"),
+    "cc-by-nc": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial License", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"),
+    "public-domain": ("CC0 1.0 Universal", "CC0", "Unlicense", "Creative Commons Zero", "CC0 1.0 Public Domain Dedication", "CC0-1.0", "The Unlicense"),
 }
 
 TEXTS: dict[str, tuple[str, ...]] = {
@@ -25,6 +25,7 @@ TEXTS: dict[str, tuple[str, ...]] = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     "mit": (
+        "SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: MIT", "License: MIT", "# License: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -37,6 +38,7 @@ TEXTS: dict[str, tuple[str, ...]] = {
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
     "gpl": (
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
@@ -92,6 +94,7 @@ TEXTS: dict[str, tuple[str, ...]] = {
 
 #: Frames of statements, with a place for a licence's name.
 FRAMES = (
+    "SPDX-License-Identifier: {}", "SPDX-License-Identifier: {} */", "SPDX identifier {}", "license = \"{}\"",
     "{}", "{}.", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "Distributed under the {}.", "Published under {}.",
     "This project is distributed under the terms of the {}", "License: {}", "SPDX-License-Identifier: {}", "Available under the {}, see the LICENSE file.", "Code is covered by the {}.", "Copyright 2020 the authors. Licensed under the {}.",
     "The text of this page is available under the {}.", "This file is part of a library that is under the {}.", "It may be used under the terms of the {}.", "Dieses Werk steht unter der Lizenz {}.", "Ce projet est sous licence {}.", "Este proyecto tiene la licencia {}.",
@@ -104,10 +107,18 @@ MENTIONS = (
 )
 
 #: Names of licences that no family has.
-UNHEARD = ("Acme Source License 1.0", "Zorb Community Licence", "Fooware License", "Northwind Data License, version 3", "Quux Non-Production License", "Open Widget Licence 2.1", "Sample Model License", "Brandname Research License", "Custom Terms License", "Elbonian Software Licence", "House License Agreement", "Internal Use License", "Artistic License 2.0", "Data Commons Agreement", "Community Specification License", "Meadow Public License v1")
+UNHEARD = ("Acme Source License 1.0", "Zorb Community Licence", "Fooware License", "Northwind Data License, version 3", "Quux Non-Production License", "Open Widget Licence 2.1", "Sample Model License", "Brandname Research License", "Custom Terms License", "Elbonian Software Licence", "House License Agreement", "Internal Use License", "Artistic License 2.0", "Data Commons Agreement", "Community Specification License", "Meadow Public License v1",
+    "BSL-1.1", "BUSL-1.1", "Business Source License 1.1", "SSPL-1.0", "Server Side Public License", "Elastic License 2.0", "CDDL-1.0", "OFL-1.1", "SIL Open Font License", "Python-2.0", "Artistic-2.0", "EUPL-1.2", "PostgreSQL License", "LicenseRef-Custom", "Ruby License", "PHP License v3.01",
+)
 
 #: Sentences that are no statements, many of them with words of licences.
 PLAIN = (
+    "The license of the car and the permission to park were granted free of charge.", "Permission was granted to the group, free of charge, to visit the tower.", "Any person who finds the dog may call this number.", "The right to use the road is granted to every farmer.",
+    "The software runs without any restriction on old machines.", "The notice shall be included in the next letter to members.", "Use in source form and in binary form was compared by the students.", "He was liable for damages to the fence.", "The claim for damages was heard in court.",
+    "They may redistribute the seats after the election.", "The conditions of the lake have not been met for years.", "A copy of the statement was sent to the holders of the shares.", "The implied meaning of the poem is open to debate.", "Its fitness for the race was never in question.",
+    "The terms of the contract are under review by both parties.", "The version of events under which he stands is well known.", "Available under the counter, see the clerk.", "The identifier of the file is shown in the first column.", "Everyone is permitted to enter, but smoking is not allowed.",
+    "You may obtain a copy of the form at the office.", "The document was distributed to the board on an agreed basis.", "Nothing in the law limits the use of the river.", "The public may comment on the plan until May.", "He holds a general licence for small boats and a full licence for cars.",
+    "The library is open and the general public is welcome.", "The MIT press published her second book.", "She works for a foundation that funds free schools.", "The bsd unit measures the depth of the snow.", "Apache helicopters were seen over the valley.", "The boost library of the town lends tools.",
     "She lost her driving licence on the way home.", "The license plate was covered with mud.", "Permission denied when opening the file.", "He asked for permission to leave early.", "The warranty of the fridge expired in May.",
     "Copyright law differs between countries.", "The apache landed its helicopter on the roof.", "A creative solution was found by the students.", "The house of commons met in the evening.", "She is a domain expert in chemistry.",
     "The table was reserved for two.", "Seats are reserved for members.", "A gnu crossed the river.", "A solar eclipse was seen in the north.", "The email was sent to cc readers as well.", "They set the permissions of the folder.", "Redistribution of wealth was debated.",
