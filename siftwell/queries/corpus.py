@@ -352,7 +352,22 @@ def chunk_markdown(spark, sf_dir):
     return chunking.chunk_markdown(docs_of(spark, sf_dir))
 
 
-@query()
+def markdown_sql(pages: str) -> str:
+    """Sections, their blocks packed under the section's heading, and neighbours joined: two folds, one inside the other. Cutting of parts over 2,200 characters, which no turn is as
+    long as, is left out."""
+    full = "(a.buf <> '' AND length(a.buf) + 2 + length(e.buf) > 1100)"
+    done = f"CASE WHEN {full} THEN list_append(a.done, {STRIP.format('prefix || a.buf')}) ELSE a.done END"
+    buf = f"CASE WHEN {full} OR a.buf = '' THEN e.buf ELSE {STRIP.format('a.buf || chr(10) || chr(10) || e.buf')} END"
+    step = f"CASE WHEN length({buf}) > 2200 THEN {{'done': list_append({done}, {STRIP.format(f'prefix || {buf}')}), 'buf': ''}} ELSE {{'done': {done}, 'buf': {buf}}} END"
+    return f"""WITH sec AS ({SECTIONS.format(LINES.format(pages))}), src AS (SELECT doc_path::varchar || '|' || section_no AS id, body AS text FROM sec), blk AS ({BLOCKS.format(LINES.format('src'))}),
+    lists AS (SELECT s.doc_path, s.section_no, CASE WHEN heading <> '' THEN '## ' || heading || chr(10) ELSE '' END AS prefix, list(block ORDER BY block_no) FILTER ({STRIP.format('block')} <> '') AS blocks FROM sec s JOIN blk b ON b.doc_path = s.doc_path::varchar || '|' || s.section_no GROUP BY ALL),
+    packed AS (SELECT doc_path, section_no, prefix, list_reduce(list_prepend({{'done': []::varchar[], 'buf': ''}}, list_transform(blocks, lambda x: {{'done': []::varchar[], 'buf': x}})), lambda a, e: {step}) AS r FROM lists),
+    parts AS (SELECT doc_path, flatten(list(CASE WHEN {STRIP.format('r.buf')} <> '' THEN list_append(r.done, {STRIP.format('prefix || r.buf')}) ELSE r.done END ORDER BY section_no)) AS p FROM packed GROUP BY doc_path),
+    joined AS (SELECT doc_path, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + 2 + length(x[1]) <= 1100 THEN list_append(a[1:len(a) - 1], a[-1] || chr(10) || chr(10) || x[1]) ELSE list_append(a, x[1]) END) AS c FROM parts WHERE len(p) > 0)
+    SELECT doc_path || '#' || (i - 1) AS chunk_id, doc_path::varchar AS doc_path, (i - 1)::int AS chunk_index, {STRIP.format('c[i]')} AS content, trim(regexp_extract(string_split({STRIP.format('c[i]')}, chr(10))[1], '^(#{{1,6}})\\s+(.*)$', 2)) AS heading FROM (SELECT doc_path, c, unnest(range(1, len(c) + 1)) AS i FROM joined)"""
+
+
+@query(markdown_sql(PAGES))
 def chunk_markdown_pages(spark, sf_dir):
     return chunking.chunk_markdown(conversation_pages(spark, sf_dir).withColumn("doc_path", F.col("doc_path").cast("string")))
 
