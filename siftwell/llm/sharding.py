@@ -63,10 +63,14 @@ def place(docs: DataFrame, key: str = "doc_id", *, shards: int | list[str] = SHA
 
 
 def sql(table: str, shards: int = SHARDS, slots: int = SLOTS) -> str:
-    """The same placement of ``doc_id`` as DuckDB SQL, with the lookup table written out."""
-    listed = ", ".join(map(str, lookup_table([f"shard-{i}" for i in range(shards)], slots)))
+    """The same placement of ``doc_id`` as DuckDB SQL, which fills the lookup table itself: a fold over all turns, in which the shard whose turn it is takes the first slot
+    of its order that is free."""
+    number = lambda kind: f"(SELECT list(('0x' || substr(md5('{kind}:shard-' || i), 1, 8))::bigint ORDER BY i) FROM range({shards}) AS t(i))"
+    at = f"(offsets[x[1] % {shards} + 1] + j * (steps[x[1] % {shards} + 1] % {slots - 1} + 1)) % {slots} + 1"
+    free = f"{at.replace('j *', f'list_filter(range({slots}), lambda j: a[{at}] = -1)[1] *')}"
+    filled = f"list_reduce([list_transform(range({slots}), lambda z: -1::bigint)] || list_transform(range({slots}), lambda t: [t]), lambda a, x: a[1:{free} - 1] || [x[1] % {shards}] || a[{free} + 1:])"
     slot = f"(('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % {slots})::int"
-    return f"SELECT doc_id, ([{listed}])[{slot} + 1]::int AS shard, {slot} AS slot FROM {table}"
+    return f"WITH orders AS (SELECT {number('offset')} AS offsets, {number('step')} AS steps), lookup AS (SELECT {filled} AS shard FROM orders) SELECT doc_id, shard[{slot} + 1]::int AS shard, {slot} AS slot FROM {table}, lookup"
 
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", parts: int = 8, **options) -> None:

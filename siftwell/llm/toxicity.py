@@ -227,8 +227,8 @@ def learnable(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, positives: int = POSITIVES, negatives: int = NEGATIVES, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(id, text, toxic): at most ``positives`` + ``negatives`` labelled rows, none of them held out, of ``sample_chars`` characters at
-    most each. Of several labels of an id the largest counts, of several texts of an id the least; labels other than 0 and 1 and null ids
+    """(id, text, toxic): at most ``positives`` + ``negatives`` labelled rows, none of them held out. Rows of over ``sample_chars`` characters are left out of the sample, not
+    cut. Of several labels of an id the largest counts, of several texts of an id the least; labels other than 0 and 1 and null ids
     do not."""
     known = learnable(labels, id_col)
     order = [F.xxhash64("id"), F.col("id")]
