@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Element names and directives that the cleaners take out.
+#: Element names and directives that the cleaners take out. The patterns of ``attributes``, ``clean_mdx`` and ``clean_rst`` below are fixed too: what counts as an
+#: attribute, a comment, an import, an object reference, a field or a directive.
 JSX_TAGS = "Tabs|TabItem|Note|Warning|details|summary"
 RST_DIRECTIVES = "currentmodule|module|automodule|autoclass|autofunction|autodata|autoattribute|toctree|include|seealso|figure|image"
 

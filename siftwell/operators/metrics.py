@@ -25,12 +25,20 @@ def rate(condition: Column) -> Column:
     return F.avg(F.when(condition, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def recall_at_k(ranks: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, by: tuple[str, ...] = ("method",)) -> DataFrame:
+def recall_at_k(ranks: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, by: tuple[str, ...] = ("method",), names: list[str] | None = None) -> DataFrame:
     """``ranks(by.., query_id, chunk_id, rank)``, ``gold(query_id, chunk_id)`` -> by.., n, recall_at_k: of all questions with gold, those
-    with a gold chunk among the first k."""
+    with a gold chunk among the first k. ``names``: the values of ``by`` (a single column); without them they are looked for in ``ranks``, which
+    runs what made them once more."""
     asked = gold.select("query_id").distinct()
+    if names is not None:
+        rows = asked.select("query_id", F.explode(F.array(*[F.lit(x) for x in names])).alias(by[0]))
+        return _recall(rows, ranks, gold, ks, by)
+    every = asked.crossJoin(F.broadcast(ranks.select(*by).distinct())) if by else asked  # a row a method
+    return _recall(every, ranks, gold, ks, by)
+
+
+def _recall(every: DataFrame, ranks: DataFrame, gold: DataFrame, ks: tuple[int, ...], by: tuple[str, ...]) -> DataFrame:
     best = ranks.join(gold, ["query_id", "chunk_id"], "left_semi").groupBy(*by, "query_id").agg(F.min("rank").alias("best"))
-    every = asked.crossJoin(F.broadcast(ranks.select(*by).distinct())) if by else asked
     rows = every.join(best, [*by, "query_id"], "left")
     values = [F.count("*").alias("n"), *[F.round(rate(F.col("best") <= k), 3).alias(f"recall_at_{k}") for k in ks]]
     return rows.groupBy(*by).agg(*values) if by else rows.agg(*values)

@@ -41,7 +41,7 @@ def recall(chunks: DataFrame, questions: DataFrame, gold: DataFrame, methods: tu
     for m in methods:
         rows = retrieve(m, chunks, questions, max(metrics.KS)).withColumn("method", F.lit(m))
         every = rows if every is None else every.unionByName(rows)
-    return metrics.recall_at_k(every, gold)
+    return metrics.recall_at_k(every, gold, names=list(methods))
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -151,7 +151,7 @@ def run_metrics(questions: DataFrame, chunks: DataFrame, gold: DataFrame, model:
     ranks = [r.filter(F.col("rank") <= max(metrics.KS)).withColumn("method", F.lit(m)) for m, r in (("vector", plain), ("bm25", lexical), ("hybrid", hybrid))]
     pool = retrieval.candidate_pool(dense, lexical, per_list=20, most=40)
     top = dense.filter("rank <= 5")
-    out = {"claim_coverage": metrics.claim_coverage(claim_rows(questions, pool, dense, chunks, reader, folder)), "recall": metrics.recall_at_k(ranks[0].unionByName(ranks[1]).unionByName(ranks[2]), gold)}
+    out = {"claim_coverage": metrics.claim_coverage(claim_rows(questions, pool, dense, chunks, reader, folder)), "recall": metrics.recall_at_k(ranks[0].unionByName(ranks[1]).unionByName(ranks[2]), gold, names=["vector", "bm25", "hybrid"])}
     for variant in ("strict", "fallback"):
         out[f"ablation_{variant}"] = metrics.ablation_summary(ablation(questions, chunks, top, gold, model, judge, f"{folder}/{variant}", variant))
     return out

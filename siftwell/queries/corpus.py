@@ -9,12 +9,26 @@ from siftwell.functions import text as X
 from siftwell.functions import vectors as V
 from siftwell.functions import verdicts as J
 from siftwell.operators import chunking, evalset, metrics
-from siftwell.queries.registry import query, table, values
+from siftwell.queries.registry import query, table
 from siftwell.sources import code, service
 
 STRIP = "regexp_replace(regexp_replace({0}, '^[\\s\\x{{A0}}\\x{{3000}}]+', ''), '[\\s\\x{{A0}}\\x{{3000}}]+$', '')"
 
 
+def made_sql(text: str) -> str:
+    """Documents whose texts an expression, in words that both engines take, makes into what an operator is for."""
+    return f"(SELECT doc_id AS id, {text} AS text FROM documents)"
+
+
+def made(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(text).alias("text"))
+
+
+def lines(*parts: str) -> str:
+    """An expression of parts, each a line."""
+    return " || chr(10) || ".join(parts)
+
+
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("doc_path"), "text")
 
@@ -134,54 +148,30 @@ def clean_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.clean_markup(F.col("html")).alias("text"))
 
 
-FRONT = """(VALUES (1, '---
-title: a
----
-body'), (2, '---
-no end'), (3, 'text
----
-more'), (4, '------
-x
----
-y')) AS t(id, text)"""
+#: Closed and unclosed blocks, a rule in the text, and a longer rule.
+FRONT_TEXT = f"""CASE doc_id % 4 WHEN 0 THEN {lines("'---'", "'title: ' || source", "'---'", "text")} WHEN 1 THEN {lines("'---'", "text")} WHEN 2 THEN {lines("text", "'---'", "'more'")} ELSE {lines("'------'", "'x'", "'---'", "text")} END"""
+FRONT = made_sql(FRONT_TEXT)
 
 
 @query(f"SELECT id, CASE WHEN starts_with(text, '---') AND instr(substr(text, 4), chr(10) || '---') > 0 THEN substr(text, instr(substr(text, 4), chr(10) || '---') + 7) ELSE text END AS body FROM {FRONT}")
 def strip_frontmatter(spark, sf_dir):
-    return values(spark, FRONT).select("id", X.strip_frontmatter(F.col("text")).alias("body"))
+    return made(spark, sf_dir, FRONT_TEXT).select("id", X.strip_frontmatter(F.col("text")).alias("body"))
 
 
-RST = """(VALUES (1, ':orphan: yes
-.. toctree:: x
-Title
-=====
-
-
-
-Text here.
-.. note:: stays
-:field-name: gone'), (2, '.. automodule:: a.b
-   :members:
-plain  ')) AS t(id, text)"""
+RST_TEXT = lines("':orphan: yes'", "'.. toctree:: x'", "'Title ' || doc_id", "'====='", "''", "''", "''", "''", "text", "CASE WHEN doc_id % 2 = 0 THEN '.. note:: stays' ELSE '.. figure:: gone' END", "':field-name: gone'", "'.. automodule:: a.b'", "'   :members:'", "'plain  '")
+RST = made_sql(RST_TEXT)
 
 
 @query(f"""SELECT id, {STRIP.format("regexp_replace(regexp_replace(regexp_replace(text, '(?m)^:([a-zA-Z0-9_][a-zA-Z0-9_-]*):.*$', '', 'g'), '(?m)^[.][.] (" + X.RST_DIRECTIVES + ")::.*$', '', 'g'), '" + chr(10) + "{3,}', chr(10) || chr(10), 'g')")} AS body FROM {RST}""")
 def clean_rst(spark, sf_dir):
-    return values(spark, RST).select("id", X.clean_rst(F.col("text")).alias("body"))
-
-
-MDX = """(VALUES (1, '---
-title: t
----
-import A from "a";
+    return made(spark, sf_dir, RST_TEXT).select("id", X.clean_rst(F.col("text")).alias("body"))
 
-{/* a
-comment */}
-<Tabs groupId="x"><TabItem value="y">See <PyObject section="s" module="dg" object="asset" /> now.</TabItem></Tabs>
 
-
-
-<note>Mind</note> <PyObject module="only.module" /> end'), (2, 'plain')) AS t(id, text)"""
+MDX_TEXT = lines(
+    "'---'", "'title: t'", "'---'", "'import A from \"a\";'", "''", "'{/* a'", "'comment */}'", "'<Tabs groupId=\"x\"><TabItem value=\"y\">See <PyObject section=\"s\" module=\"dg\" object=\"asset' || doc_id || '\" /> now.</TabItem></Tabs>'", "''", "''", "''",
+    "text || ' <note>Mind</note> <PyObject module=\"only.module\" /> end'",
+)
+MDX = made_sql(MDX_TEXT)
 
 
 def mdx_sql() -> str:
@@ -197,7 +187,7 @@ def mdx_sql() -> str:
 
 @query(mdx_sql())
 def clean_mdx(spark, sf_dir):
-    return values(spark, MDX).select("id", X.clean_mdx(F.col("text")).alias("body"))
+    return made(spark, sf_dir, MDX_TEXT).select("id", X.clean_mdx(F.col("text")).alias("body"))
 
 
 @query(f"""SELECT doc_id, chunk_index, content FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, content FROM (
@@ -210,34 +200,18 @@ def chunk_fixed(spark, sf_dir):
 
 LINES = """SELECT id, n - 1 AS n, line, sum(CASE WHEN starts_with(ltrim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) % 2 = 1 AS in_fence
     FROM (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {0})"""
-MD = """(VALUES ('a', 'before
-# One
-text one
-
-## Two
-```py
-# not a heading
-
-code
-```
-after
-#### four stays
-### Three
-end'), ('b', '# Only
-```
-never closed
-# inside'), ('c', 'no heading
-
-second paragraph')) AS t(id, text)"""
+#: Text before a heading, a fence with a line like a heading, headings of all levels, and in every third document a fence that is never closed.
+MD_TEXT = lines("'before'", "'# One ' || source", "text", "''", "'## Two'", "'```py'", "'# not a heading'", "''", "'code'", "'```'", f"""CASE WHEN doc_id % 3 = 0 THEN {lines("'```'", "'never closed'", "'# inside'")} ELSE {lines("'after'", "'#### four stays'", "'### Three'", "'end'")} END""")
+MD = made_sql(MD_TEXT)
 
 
-def md(spark):
-    return values(spark, MD).withColumnRenamed("id", "doc_path")
+def md(spark, sf_dir):
+    return made(spark, sf_dir, MD_TEXT).withColumnRenamed("id", "doc_path")
 
 
 @query("SELECT id AS doc_path, n::int AS line_no, line, in_fence FROM (" + LINES.format(MD) + ")")
 def fence_parity(spark, sf_dir):
-    return chunking.lines_of(md(spark))
+    return chunking.lines_of(md(spark, sf_dir))
 
 
 SECTIONS = """WITH l AS ({0}), h AS (SELECT *, NOT in_fence AND regexp_matches(line, '^#{{1,3}}\\s+.*$') AS is_h FROM l),
@@ -252,33 +226,36 @@ BLOCKS = """WITH l AS ({0}), m AS (SELECT *, starts_with(ltrim(line), '```') AS
 
 @query(SECTIONS.format(LINES.format(MD)))
 def split_sections(spark, sf_dir):
-    return chunking.sections(md(spark))
+    return chunking.sections(md(spark, sf_dir))
 
 
 @query(BLOCKS.format(LINES.format(MD)))
 def split_blocks(spark, sf_dir):
-    return chunking.blocks(md(spark))
+    return chunking.blocks(md(spark, sf_dir))
 
 
-HEADS = "(VALUES ('a', 1, 'One'), ('a', 40, 'Two'), ('b', 10, 'B')) AS h(doc_path, pos, heading)"
-PLACES = "(VALUES ('a', 'a#0', 1), ('a', 'a#1', 39), ('a', 'a#2', 40), ('b', 'b#0', 5), ('b', 'b#1', 99), ('c', 'c#0', 1)) AS c(doc_path, chunk_id, pos)"
+#: A user's events are a document's chunks, every fifth of them a heading too.
+HEADS = "SELECT user_id AS doc_path, event_id AS pos, event_type AS heading FROM events WHERE event_id % 5 = 0"
+PLACES = "SELECT user_id AS doc_path, 'e' || event_id AS chunk_id, event_id AS pos FROM events WHERE event_id % 3 > 0"
 
 
-@query(f"SELECT c.doc_path, c.chunk_id, c.pos, coalesce(arg_max(h.heading, h.pos), '') AS heading FROM {PLACES} LEFT JOIN {HEADS} ON h.doc_path = c.doc_path AND h.pos <= c.pos GROUP BY ALL")
+@query(f"SELECT c.doc_path, c.chunk_id, c.pos, coalesce(h.heading, '') AS heading FROM ({PLACES}) c ASOF LEFT JOIN ({HEADS}) h ON c.doc_path = h.doc_path AND c.pos >= h.pos")
 def nearest_heading(spark, sf_dir):
-    return chunking.nearest_heading(values(spark, PLACES), values(spark, HEADS))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_path"), F.col("event_id").alias("pos"), "event_type")
+    chunks = e.filter("pos % 3 > 0").select("doc_path", F.concat(F.lit("e"), F.col("pos").cast("string")).alias("chunk_id"), "pos")
+    return chunking.nearest_heading(chunks, e.filter("pos % 5 = 0").withColumnRenamed("event_type", "heading"))
 
 
-def windows_sql(x: str) -> str:
-    return f"list_filter(list_transform(range(0, greatest(0, ceil((length({x}) - 800) / 680.0)::bigint) + 1), lambda k: {STRIP.format(f'substr({x}, (k * 680 + 1)::bigint, 800)')}), lambda c: c <> '')"
+def windows_sql(x: str, size: int = 800, step: int = 680) -> str:
+    return f"list_filter(list_transform(range(0, greatest(0, ceil((length({x}) - {size}) / {step}.0)::bigint) + 1), lambda k: {STRIP.format(f'substr({x}, (k * {step} + 1)::bigint, {size})')}), lambda c: c <> '')"
 
 
-def packed_sql(parts: str, source: str) -> str:
+def packed_sql(parts: str, source: str, size: int = 800, advance: int = 680) -> str:
     """The fold that packs ``parts``, a list, of each row of ``source(doc_path, s)``."""
     both = "CASE WHEN a.buf = '' THEN e.buf ELSE a.buf || chr(10) || chr(10) || e.buf END"
     flushed = "CASE WHEN a.buf = '' THEN a.done ELSE list_append(a.done, a.buf) END"
-    step = f"""CASE WHEN length({both}) <= 800 THEN {{'done': a.done, 'buf': {both}}} WHEN length(e.buf) <= 800 THEN {{'done': {flushed}, 'buf': e.buf}}
-        ELSE {{'done': list_concat({flushed}, {windows_sql('e.buf')}), 'buf': ''}} END"""
+    step = f"""CASE WHEN length({both}) <= {size} THEN {{'done': a.done, 'buf': {both}}} WHEN length(e.buf) <= {size} THEN {{'done': {flushed}, 'buf': e.buf}}
+        ELSE {{'done': list_concat({flushed}, {windows_sql('e.buf', size, advance)}), 'buf': ''}} END"""
     return f"""WITH src AS ({source}), parts AS (SELECT doc_path, list_filter(list_transform({parts}, lambda x: {STRIP.format('x')}), lambda x: x <> '') AS p FROM src),
     f AS (SELECT doc_path, list_reduce(list_prepend({{'done': []::varchar[], 'buf': ''}}, list_transform(p, lambda x: {{'done': []::varchar[], 'buf': x}})), lambda a, e: {step}) AS r FROM parts),
     c AS (SELECT doc_path, CASE WHEN r.buf = '' THEN r.done ELSE list_append(r.done, r.buf) END AS chunks FROM f)
@@ -372,20 +349,11 @@ def chunk_markdown_pages(spark, sf_dir):
     return chunking.chunk_markdown(conversation_pages(spark, sf_dir).withColumn("doc_path", F.col("doc_path").cast("string")))
 
 
-@query("""WITH RECURSIVE p AS (SELECT id, list_filter(list_transform(string_split_regex(text, chr(10) || '\\s*' || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM (VALUES (1, 'aaaa
-
-bbbb
-
-cccccccc
-
-dd'), (2, 'one')) AS t(id, text)),
-    f AS (SELECT id, parts, 1 AS i, '' AS buf, []::varchar[] AS done FROM p UNION ALL
-    SELECT id, parts, i + 1, CASE WHEN buf = '' THEN parts[i] WHEN length(buf) + 2 + length(parts[i]) <= 10 THEN buf || chr(10) || chr(10) || parts[i] ELSE parts[i] END,
-        CASE WHEN buf <> '' AND length(buf) + 2 + length(parts[i]) > 10 THEN list_append(done, buf) ELSE done END FROM f WHERE i <= len(parts))
-    SELECT id, array_to_string(list_append(done, buf), '|') AS chunks FROM f WHERE i > len(parts)""")
+@query(f"""SELECT doc_path AS id, string_agg(content, '|' ORDER BY chunk_index) AS chunks FROM ({packed_sql("regexp_split_to_array(s, '\\n\\s*\\n')", f"SELECT id AS doc_path, {STRIP.format('text')} AS s FROM {PAGES}", 300, 250).replace("doc_path || '#'", "doc_path::varchar || '#'")}) GROUP BY doc_path""")
 def pack_paragraphs(spark, sf_dir):
-    rows = values(spark, "(VALUES (1, 'aaaa\n\nbbbb\n\ncccccccc\n\ndd'), (2, 'one')) AS t(id, text)")
-    return rows.select("id", F.array_join(chunking.chunk_texts(F.col("text"), "paragraph", 10, 2), "|").alias("chunks"))
+    """Conversations in chunks of 300 characters, of which longer paragraphs are cut with an overlap of 50."""
+    pages = conversation_pages(spark, sf_dir).select("doc_path", X.strip(F.col("text")).alias("text"))
+    return pages.select(F.col("doc_path").alias("id"), F.array_join(chunking.chunk_texts(F.col("text"), "paragraph", 300, 50), "|").alias("chunks")).filter("chunks <> ''")
 
 
 @query("""SELECT count(*) AS n_chunks, median(length(text))::double AS median_chars, max(length(text))::bigint AS max_chars, count(*) FILTER (length(text) < 60) AS tiny_chunks,
@@ -394,34 +362,33 @@ def corpus_stats(spark, sf_dir):
     return chunking.corpus_stats(docs_of(spark, sf_dir).withColumnRenamed("text", "content"))
 
 
-PY = '''"""A module docstring that is long enough to be kept by the extractor."""
-def f(a, /, b: int = 1, *args, c=2, **kw):
-    """Does f."""
-def _hidden():
-    """No."""
-class K:
-    def m(self, x):
-        """Method doc."""
-    def n(self):
-        pass
-'''
+#: A module for each document: its words are the module's documentation.
+PY_PATH = "'pkg' || doc_id % 7 || CASE WHEN doc_id % 11 = 0 THEN '/tests' ELSE '' END || '/m' || doc_id || '.py'"
+PY_WORDS = "trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' '{0}))"
 
 
-#: The page of PY, worked out by hand.
-API = '# Module api/pkg/mod.py\n\nA module docstring that is long enough to be kept by the extractor.\n\n## f(a, b, *args, c, **kw)\n\nDoes f.\n\n## class K\n\n### K.m(self, x)\n\nMethod doc.'
+def py_text(words: str) -> str:
+    rows = ["chr(34) || chr(34) || chr(34) || " + words + " || chr(34) || chr(34) || chr(34)", "'def f' || doc_id || '(a, /, b: int = 1, *args, c=2, **kw):'", "'    \"\"\"Does ' || source || '.\"\"\"'", "'def _hidden():'", "'    \"\"\"No.\"\"\"'", "'class K:'", "'    def m(self, x):'"]
+    return lines(*rows, "'        \"\"\"Method of ' || lang || '.\"\"\"'", "'    def n(self):'", "CASE WHEN doc_id % 13 = 0 THEN '        pass (' ELSE '        pass' END")
 
 
-@query(f"SELECT 'api/pkg/mod.py' AS doc_path, '{API}' AS text")
+@query(f"""SELECT doc_path, text FROM (SELECT 'api/' || path AS doc_path, CASE WHEN length(w) > 40 THEN '# Module api/' || path || chr(10) || chr(10) || w || chr(10) || chr(10) ELSE '' END || '## f' || doc_id || '(a, b, *args, c, **kw)' || chr(10) || chr(10)
+    || 'Does ' || source || '.' || chr(10) || chr(10) || '## class K' || chr(10) || chr(10) || '### K.m(self, x)' || chr(10) || chr(10) || 'Method of ' || lang || '.' AS text
+    FROM (SELECT *, {PY_PATH} AS path, {PY_WORDS.format(", 'g'")} AS w FROM documents) WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0) WHERE length(text) > 80""")
 def extract_api_docs(spark, sf_dir):
-    rows = [("pkg/mod.py", PY), ("pkg/tests/t.py", PY), ("pkg/bad.py", "def (:"), ("pkg/short.py", "x = 1")]
-    return code.extract_api_docs(spark.createDataFrame(rows, "path string, text string"))
+    return code.extract_api_docs(table(spark, sf_dir, "documents").select(F.expr(PY_PATH).alias("path"), F.expr(py_text(PY_WORDS.format(""))).alias("text")))
+
+
+#: A tag of a region in front of each document; items of the benchmark are the code examples, of which some that are named are not there.
+INCLUDING = "'See <CodeExample path=\"x/' || doc_id % 60 || '.py\" startAfter=\"start_a\" endBefore=\"end_a\" /> and ' || coalesce(text, '')"
+SNIPPET = lines("'import z'", "'# start_a'", "'    one = ' || item_id", "'      two'", "'# end_a'", "text")
 
 
-@query("""WITH s AS (SELECT string_split(E'import z\\n# start_a\\n    one\\n    two\\n# end_a\\nthree', chr(10)) AS l), b AS (SELECT array_to_string([substr(x, 5) for x in l[list_position([contains(x, 'start_a') for x in l], true) + 1 : list_position([contains(x, 'end_a') for x in l], true) - 1]], chr(10)) AS body FROM s)
-    SELECT 'a' AS doc_path, 'See ```python' || chr(10) || body || chr(10) || '``` and ```' || chr(10) || '# (code example: none.py)' || chr(10) || '```' AS text FROM b UNION ALL SELECT 'b', 'nothing'""")
+@query("""SELECT doc_id::varchar AS doc_path, 'See ```' || CASE WHEN item_id IS NULL THEN chr(10) || '# (code example: x/' || doc_id % 60 || '.py)' ELSE 'python' || chr(10) || 'one = ' || item_id || chr(10) || '  two' END || chr(10) || '``` and ' || coalesce(documents.text, '') AS text
+    FROM documents LEFT JOIN benchmark ON item_id = doc_id % 60""")
 def expand_includes(spark, sf_dir):
-    docs = [("a", 'See <CodeExample path="x/y.py" startAfter="start_a" endBefore="end_a" /> and <CodeExample path="none.py" />'), ("b", "nothing")]
-    return code.expand_includes(spark.createDataFrame(docs, "doc_path string, text string"), spark.createDataFrame([("x/y.py", "import z\n# start_a\n    one\n    two\n# end_a\nthree")], "path string, text string"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_path"), F.expr(INCLUDING).alias("text"))
+    return code.expand_includes(docs, table(spark, sf_dir, "benchmark").select(F.expr("'x/' || item_id || '.py'").alias("path"), F.expr(SNIPPET).alias("text")))
 
 
 @query("SELECT doc_id, substr(sha256(doc_id::varchar), 64, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS base_is_a FROM documents")
@@ -429,14 +396,19 @@ def ab_assignment(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evalset.ab_assignment(F.col("doc_id").cast("string")).alias("base_is_a"))
 
 
-REPLIES = """(VALUES (1, 'Sure: {"a_score": 80, "b_score": 20.5, "preferred": "A", "supporting": [0, 7, 2, "x"], "ok": true} done'), (2, '{"a": 1} and {"b": 2}'), (3, 'no json'),
-    (4, '{"a_score": true, "b_score": "80", "preferred": "tie", "supporting": 3, "ok": "yes"}'), (5, '{"a_score": null, "supporting": [-1, 4]}')) AS t(id, reply)"""
+#: Replies of a judge: prose and an object, two objects, none, fields of other types, and numbers out of range.
+REPLY = """replace(replace(coalesce(text, ''), '{', '('), '}', ')') || CASE doc_id % 5 WHEN 0 THEN ' Sure: {"a_score": ' || doc_id % 101 || ', "b_score": 20.5, "preferred": "A", "supporting": [0, 7, ' || doc_id % 6 || ', "x"], "ok": true} done' WHEN 1 THEN '{"a": 1} and {"b": 2}'
+    WHEN 2 THEN ' no json' WHEN 3 THEN '{"a_score": true, "b_score": "80", "preferred": "tie", "supporting": 3, "ok": "yes"}' ELSE '{"a_score": null, "supporting": [-1, ' || doc_id % 7 || ']}' END"""
 
 
-@query("SELECT * FROM (VALUES (1, 80.0::double, 20.5::double, 'A', '0,2', true), (2, NULL, NULL, NULL, '', NULL), (3, NULL, NULL, NULL, '', NULL), (4, NULL, NULL, 'tie', '', NULL), (5, NULL, NULL, NULL, '4', NULL)) AS t(id, a_score, b_score, preferred, supporting, ok)")
+@query(f"""WITH r AS (SELECT doc_id AS id, regexp_extract({REPLY}, '(?s)\\{{.*\\}}') AS x FROM documents), o AS (SELECT id, CASE WHEN json_valid(x) THEN x::json END AS j FROM r),
+    n AS (SELECT id, j, json_type(j, '$.a_score') AS a, json_type(j, '$.b_score') AS b FROM o)
+    SELECT id, CASE WHEN a IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (j->>'$.a_score')::double END AS a_score, CASE WHEN b IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (j->>'$.b_score')::double END AS b_score, CASE WHEN json_type(j, '$.preferred') = 'VARCHAR' THEN j->>'$.preferred' END AS preferred,
+    CASE WHEN json_type(j, '$.supporting') = 'ARRAY' THEN array_to_string([y for y in list_transform((j->'$.supporting')::json[], lambda v: CASE WHEN json_type(v) IN ('UBIGINT', 'BIGINT') THEN try_cast(v::varchar AS int) END) if y >= 0 and y < 5], ',') ELSE '' END AS supporting,
+    CASE WHEN json_type(j, '$.ok') = 'BOOLEAN' THEN (j->>'$.ok')::boolean END AS ok FROM n""")
 def parse_verdicts(spark, sf_dir):
     o = J.reply_object(F.col("reply"))
-    rows = values(spark, REPLIES)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(REPLY).alias("reply"))
     return rows.select("id", J.number(o, "a_score").alias("a_score"), J.number(o, "b_score").alias("b_score"), J.string(o, "preferred").alias("preferred"), F.array_join(J.indices(o, "supporting", 5).cast("array<string>"), ",").alias("supporting"), J.flag(o, "ok").alias("ok"))
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from siftwell.functions import text as X
 from siftwell.functions.vectors import hash_number
 from siftwell.operators import evalset as E
 from siftwell.operators import metrics as M
@@ -13,7 +14,7 @@ from siftwell.operators import retrieval as R
 from siftwell.plans import evaluate as P
 from siftwell.plans import resumable
 from siftwell.queries import retrieval as Q
-from siftwell.queries.registry import query, table, values
+from siftwell.queries.registry import query, table
 from siftwell.services import client
 from siftwell.sources import files
 from siftwell.session import shared_folder
@@ -34,7 +35,7 @@ RECALL = "round(avg(CASE WHEN best <= {0} THEN 1.0::double ELSE 0.0::double END)
     SELECT 'bm25' AS method, count(*) AS n, {', '.join(RECALL.format(k) for k in M.KS)} FROM best""")
 def recall_at_k(spark, sf_dir):
     ranks = Q.bm25(spark, sf_dir, 10).withColumn("method", F.lit("bm25"))
-    return M.recall_at_k(ranks, gold(spark, sf_dir))
+    return M.recall_at_k(ranks, gold(spark, sf_dir), names=["bm25"])
 
 
 @query(f"""WITH {Q.bm25_sql()}, {GOLD}, top AS ({Q.rank_sql('bm25', 5)}), r AS (SELECT query_id, list(chunk_id) AS ids FROM top GROUP BY query_id), g AS (SELECT query_id, list(chunk_id) AS gold_ids FROM gold GROUP BY query_id)
@@ -60,7 +61,7 @@ def recall_at_k_methods(spark, sf_dir):
     for name, rows in lists.items():
         rows = rows.select("query_id", "chunk_id", "rank", F.lit(name).alias("method"))
         every = rows if every is None else every.unionByName(rows)
-    return M.recall_at_k(every, gold(spark, sf_dir))
+    return M.recall_at_k(every, gold(spark, sf_dir), names=list(lists))
 
 
 @query(f"""WITH {Q.VECTORS.format('q.vec_id % 10 = 0 AND e.vec_id <> q.vec_id')}, top AS ({Q.rank_sql('dense', 10)}), best AS (SELECT q.vec_id, min(rank) FILTER (e.label = q.label) AS best FROM embeddings q LEFT JOIN top ON query_id = q.vec_id
@@ -155,10 +156,10 @@ def usage_ledger(spark, sf_dir):
     return usage.ledger_totals(spark, f"{at}/traces").withColumn("cost_usd", F.round("cost_usd", 2))
 
 
-@query("SELECT * FROM (VALUES (1, 0), (2, 4), (3, NULL), (4, 5)) AS t(id, best)")
+@query("SELECT event_id AS id, list_min([x for x in [event_id % 11, event_id % 7, event_id % 5] if x > 4]) AS best FROM events")
 def best_rank(spark, sf_dir):
-    rows = values(spark, "(VALUES (1, array(3, 0, 19)), (2, array(4)), (3, cast(array() as array<int>)), (4, array(5, 9))) AS t(id, ranks)")
-    return rows.select("id", M.best_rank(F.col("ranks")).alias("best"))
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(e.alias("id"), M.best_rank(F.filter(F.array(e % 11, e % 7, e % 5), lambda x: x > 4)).alias("best"))
 
 
 VERDICTS = "rows AS (SELECT doc_id, toxic = 0 AS covered, quality = 1 AS gold_hit FROM documents LEFT JOIN labels USING (doc_id))"
@@ -282,14 +283,32 @@ def curated_eval(spark, sf_dir):
     return out.select("query_id", F.array_join(F.col("gold_chunk_ids").cast("array<string>"), ",").alias("gold_chunk_ids"))
 
 
-OLD = "(VALUES ('a#0', 'a', 0, 'red fox runs'), ('a#1', 'a', 1, 'blue whale'), ('z#0', 'z', 0, 'gone'), ('b#0', 'b', 0, '!!')) AS o(chunk_id, doc_path, chunk_index, content)"
-NEW = "(VALUES ('a#0', 'a', 0, 'the red fox'), ('a#1', 'a', 1, 'red fox again runs'), ('a#2', 'a', 2, 'a blue whale'), ('a#3', 'a', 3, 'blue whale too'), ('b#0', 'b', 0, 'words')) AS n(chunk_id, doc_path, chunk_index, content)"
+def pieces(n: int) -> str:
+    """``w``, a document's words, in n pieces of as many words (the last is shorter), as text; in words that DuckDB takes."""
+    return f"SELECT doc_id, doc_id || '#' || i AS chunk_id, i AS chunk_index, array_to_string(w[i * m + 1:(i + 1) * m], ' ') AS content FROM (SELECT doc_id, w, (len(w) + {n - 1}) // {n} AS m, unnest(range({n})) AS i FROM words)"
 
 
-@query("SELECT * FROM (VALUES (1, 'a#1,a#2', 'a#0,a#1'), (2, 'a#2', 'z#0,a#1'), (4, 'b#0', 'b#0')) AS t(query_id, gold_chunk_ids, gold_chunk_ids_orig)")
+def pieces_of(spark, sf_dir, n: int):
+    words = table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.coalesce("text", F.lit(""))).alias("w")).withColumn("m", F.expr(f"(size(w) + {n - 1}) div {n}").cast("int"))
+    rows = words.withColumn("chunk_index", F.explode(F.array(*[F.lit(i) for i in range(n)])))
+    content = F.array_join(F.slice("w", F.col("chunk_index") * F.col("m") + 1, F.col("m")), " ")
+    return rows.select(F.concat_ws("#", "doc_id", "chunk_index").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_path"), "chunk_index", content.alias("content"))
+
+
+SET = "CASE WHEN content = '' THEN [doc_id::varchar] ELSE list_distinct(string_split(content, ' ')) END"
+
+
+@query(f"""WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS w FROM documents), old AS (SELECT *, {SET} AS s FROM ({pieces(3)})), new AS (SELECT *, {SET} AS s FROM ({pieces(4)}) WHERE doc_id % 10 <> 0),
+    q AS (SELECT doc_id AS query_id, unnest([0, 1, 2]) AS place, doc_id || '#' || unnest([2, doc_id % 3, 1]) AS chunk_id FROM documents),
+    best AS (SELECT query_id, place, arg_max(n.chunk_id, (len(list_intersect(o.s, n.s)) / len(o.s)::double, -n.chunk_index)) AS to FROM q JOIN old o USING (chunk_id) JOIN new n USING (doc_id) GROUP BY ALL),
+    firsts AS (SELECT query_id, to, min(place) AS place FROM best GROUP BY ALL)
+    SELECT query_id, string_agg(to, ',' ORDER BY place) AS gold_chunk_ids, query_id || '#2,' || query_id || '#' || query_id % 3 || ',' || query_id || '#1' AS gold_chunk_ids_orig FROM firsts GROUP BY query_id""".replace(" to,", ' "to",').replace("AS to ", 'AS "to" ').replace("(to,", '("to",'))
 def remap_gold(spark, sf_dir):
-    q = values(spark, "(VALUES (1, array('a#0', 'a#1')), (2, array('z#0', 'a#1')), (3, array('z#0')), (4, array('b#0'))) AS q(query_id, gold_chunk_ids)")
-    out = E.remap_gold(q, values(spark, OLD), values(spark, NEW))
+    """Gold of documents in thirds on documents in quarters; every tenth document is gone."""
+    d = F.col("doc_id")
+    gold = F.array(*[F.concat_ws("#", d, x) for x in (F.lit(2), d % 3, F.lit(1))])
+    q = table(spark, sf_dir, "documents").select(d.alias("query_id"), gold.alias("gold_chunk_ids"))
+    out = E.remap_gold(q, pieces_of(spark, sf_dir, 3), pieces_of(spark, sf_dir, 4).filter("cast(doc_path as long) % 10 <> 0"))
     return out.select("query_id", F.array_join("gold_chunk_ids", ",").alias("gold_chunk_ids"), F.array_join("gold_chunk_ids_orig", ",").alias("gold_chunk_ids_orig"))
 
 

@@ -24,8 +24,3 @@ def query(sql: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def values(spark: SparkSession, rows: str) -> DataFrame:
-    """An inline fixture, ``(VALUES ..) AS t(..)``, in words that both engines take."""
-    return spark.sql(f"SELECT * FROM {rows}")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,11 +154,11 @@ def embed(texts: DataFrame, encoder, column: str = "text", batch: int = 64, pref
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = encoder() if isinstance(encoder, type) else encoder
         for pdf in batches:
-            out = []
+            out: list[np.ndarray] = []
             for i in range(0, len(pdf), batch):
-                for v in model([prefix + (t or "") for t in pdf[column].iloc[i : i + batch]]):
-                    n = sum(x * x for x in v) ** 0.5
-                    out.append([float(x / n) if n else 0.0 for x in v])
+                rows = np.asarray(model([prefix + (t or "") for t in pdf[column].iloc[i : i + batch]]), np.float64)
+                length = np.linalg.norm(rows, axis=1, keepdims=True)
+                out += list(np.divide(rows, length, out=np.zeros_like(rows), where=length > 0))
             pdf["vector"] = out
             yield pdf
 
