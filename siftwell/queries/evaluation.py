@@ -240,11 +240,18 @@ def synthetic_judged(spark, sf_dir):
     return P.synthetic(Q.corpus(spark, sf_dir), 20, client.FirstWords(), folder(spark))
 
 
-@query()
+def words_sql(text: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({text}), '[a-z0-9_]+'))"
+
+
+@query(f"""WITH s AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, greatest(1, count(*) OVER (PARTITION BY source) // 14) AS step FROM documents),
+    w AS (SELECT source, {words_sql('text')} AS ref, {words_sql("substr(string_split(text, chr(10))[1], 1, 3000)")} AS base FROM s WHERE pos % step = 0 AND pos < 14 * step),
+    r AS (SELECT source AS candidate, count(*) AS sampled, count(*) AS docs_answerable, round(avg((100 * len(list_intersect(ref, base)) // greatest(1, len(ref)))::double), 1) AS base_mean_score FROM w GROUP BY source)
+    SELECT *, row_number() OVER (ORDER BY base_mean_score NULLS LAST, candidate)::int AS position FROM r""")
 def familiarity_probe(spark, sf_dir):
-    """Collections (sources) by how well a stand-in model answers 14 questions of each without documents."""
+    """Collections (sources) by how well a stand-in model, which says a text's first line, answers 14 questions of each without documents."""
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("candidate"), F.col("doc_id").alias("number"), F.col("text").alias("question"), F.col("text").alias("reference"))
-    return P.familiarity(rows, client.Echo(), client.OverlapJudge(), folder(spark))
+    return P.familiarity(rows, client.Echo(), client.WordShare(), folder(spark))
 
 
 @query("""SELECT doc_id, CASE WHEN a THEN x ELSE y END AS base_score, CASE WHEN a THEN y ELSE x END AS rag_score, CASE p WHEN 'A' THEN CASE WHEN a THEN 'base' ELSE 'rag' END WHEN 'B' THEN CASE WHEN a THEN 'rag' ELSE 'base' END ELSE p END AS preferred
@@ -341,7 +348,8 @@ def cross_repo_summary(spark, sf_dir):
     return E.cross_repo_summary(repos, probe, cover, recall, ablation)
 
 
-@query()
+@query(f"""WITH t AS (SELECT *, lead(role) OVER w AS next, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), p AS (SELECT conv_id || '#' || turn AS id, {words_sql('text')} AS q, {words_sql('answer')} AS ref FROM t WHERE role = 'user' AND next = 'assistant'),
+    j AS (SELECT id, 100 * len(list_intersect(ref, q)) // greatest(1, len(ref)) AS a, CASE WHEN len(ref) > 0 THEN 100 ELSE 0 END AS b FROM p) SELECT id, a::double AS a_score, b::double AS b_score, CASE WHEN a = b THEN 'tie' WHEN a > b THEN 'A' ELSE 'B' END AS preferred, false AS is_error FROM j""")
 def judged_answers(spark, sf_dir):
     """Prompts to a stand-in judge and back to typed scores."""
     pairs = E.qa_pairs(table(spark, sf_dir, "conversations"))
@@ -349,7 +357,7 @@ def judged_answers(spark, sf_dir):
     from siftwell.functions import verdicts as J
 
     o = J.reply_object(F.col("text"))
-    return client.call(prompts, client.OverlapJudge(), "stand-in").select("id", J.number(o, "a_score").alias("a_score"), J.number(o, "b_score").alias("b_score"), J.string(o, "preferred").alias("preferred"), "is_error")
+    return client.call(prompts, client.WordShare(), "stand-in").select("id", J.number(o, "a_score").alias("a_score"), J.number(o, "b_score").alias("b_score"), J.string(o, "preferred").alias("preferred"), "is_error")
 
 
 WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9_]+'))"
