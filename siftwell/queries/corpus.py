@@ -68,9 +68,9 @@ def split_sentences(spark, sf_dir):
 
 @query("SELECT page_id, to_base64(encode(url)) AS encoded, url FROM pages")
 def base64_round_trip(spark, sf_dir):
-    coded = F.base64(F.col("url").cast("binary"))
+    coded = service.encoded(F.col("url").cast("binary"))
     rows = table(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), F.col("page_id").cast("string").alias("path"), coded.alias("content"), F.lit("base64").alias("encoding"))
-    back = service.file_bytes(rows).select(F.col("path").cast("long").alias("page_id"), F.base64("content").alias("encoded"), F.col("content").cast("string").alias("url"))
+    back = service.file_bytes(rows).select(F.col("path").cast("long").alias("page_id"), service.encoded(F.col("content")).alias("encoded"), F.col("content").cast("string").alias("url"))
     return back
 
 

@@ -11,7 +11,7 @@ import importlib
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -120,6 +120,11 @@ def file_bytes(fetched: DataFrame) -> DataFrame:
     return fetched.select("repo", "path", raw.alias("content"))
 
 
+def encoded(content: Column) -> Column:
+    """Base64 of a binary column in one line: Spark's own breaks it after 76 characters."""
+    return F.translate(F.base64(content), "\r\n", "")
+
+
 class FactSource(DataSource):
     """A row for each repository: ``f(repo) -> {name, enabled, answered, stars} or None``. A call that fails to the end is a row with ``error``
     and no facts, and none is raised."""

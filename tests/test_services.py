@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from siftwell.queries import corpus
 from siftwell.services import client
 from siftwell.sources import files, service
 from siftwell.streaming import usage
@@ -115,6 +116,13 @@ def test_repository_files_and_byte_sink(spark, tmp_path):
     assert not list((tmp_path / "out" / "docs").glob("*.part"))
 
 
+def test_long_base64_is_one_line(spark, tmp_path):
+    urls = [None, "", "https://a.example/" + "x" * 39, "https://a.example/" + "x" * 40, "https://a.example/" + "é" * 200]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: (r.encoded, r.url) for r in corpus.base64_round_trip(spark, str(tmp_path)).collect()}
+    assert found == {i: (u if u is None else base64.b64encode(u.encode()).decode(), u) for i, u in enumerate(urls)}
+
+
 def test_repository_facts_keep_errors_as_a_column(spark):
     spark.dataSource.register(service.FactSource)
     rows = spark.read.format("repository_facts").options(fetcher="tests.test_services:facts_of", repos="x/a,x/down,x/b,x/none,x/off", pause_s=0, tries=2).load()
