@@ -183,6 +183,34 @@ def test_lines_equal_brute_force(spark):
     assert (found[1].n_lines, found[1].n_kept, found[2].n_lines, found[3].n_lines, found[3].n_kept) == (0, 0, 0, 3, 2)
 
 
+def lines_of_few_words(n, seed=6):
+    """Documents of lines many of which are half alike, so that they meet without a link, and some linked only through others."""
+    rng = random.Random(seed)
+    base = [prose(rng, 24) for _ in range(4)]
+    return [(i, "\n".join(edited(rng, rng.choice(base), rng.randrange(2, 9)) for _ in range(2))) for i in range(n)]
+
+
+@pytest.mark.parametrize("limits", [(128, 1 << 25), (2, 64)])
+def test_small_buckets_are_paired_and_large_ones_are_not(spark, monkeypatch, limits):
+    rows, used = lines_of_few_words(60), []
+    differ = line_dedup.differences
+    monkeypatch.setattr(line_dedup, "differences", lambda *given: used.append(1) or differ(*given))
+    monkeypatch.setattr(line_dedup, "PIVOT_BYTES", limits[1])
+    out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), paired=limits[0])
+    assert {r.doc_id: r.text for r in out.collect()} == deduplicated(rows)
+    assert bool(used) == (limits[0] == 2)
+
+
+def test_overlaps_of_many_pairs_at_once(spark):
+    rng = random.Random(2)
+    lines = ["", "a", *("".join(rng.choice("ab\u4e2d") for _ in range(rng.choice((3, 9, 40, 3000)))) for _ in range(60))]
+    wanted = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(len(lines)) for b in range(0, len(lines), 7)], "a long, b long")
+    sets = [windows(x) if x else set() for x in lines]
+    found = shingle_sets.compared(pairs, wanted, shingle_sets.char_shingles(line_dedup.CHARS)).collect()
+    assert len(found) == pairs.count() and all((r.both, r.na, r.nb) == (len(sets[r.a] & sets[r.b]), len(sets[r.a]), len(sets[r.b])) for r in found)
+
+
 def test_repeated_rows_are_one_document_of_lines(spark):
     docs = spark.createDataFrame([(1, "a b\nc d"), (1, "a b\nc d"), (2, "a b"), (None, "c d")], "doc_id long, text string")
     out = sorted((r.doc_id or 0, r.n_kept, r.text) for r in line_dedup.deduplicate(docs).collect())
