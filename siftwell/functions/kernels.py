@@ -16,6 +16,15 @@ import pyarrow.compute as pc
 TILE = 1 << 20
 
 
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Rows cut into runs (first, end) of about ``most`` in all, one row at least."""
+    upto, i = np.cumsum(sizes), 0
+    while i < len(upto):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
 def rounded(scores: np.ndarray, digits: int) -> np.ndarray:
     """Half away from zero, as SQL rounds."""
     unit = 10.0**digits

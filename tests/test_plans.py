@@ -1,5 +1,6 @@
 """Whole chains on small inputs."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as X
@@ -112,6 +113,14 @@ def test_api_pages(spark):
     assert out == {"api/p/m.py": "# Module api/p/m.py\n\nModule words that are more than forty characters long.\n\n## f(a, b, *args, c, **kw)\n\nDoes f.\n\n## g()\n\nDoes g.\n\n## class K\n\n### K.m(self, x)\n\nMethod."}
 
 
+def test_sources_are_parsed_a_megabyte_at_a_time():
+    texts = [None, "", '"""' + "x" * 700_000 + '"""', *['"""' + "y" * 300_000 + '"""'] * 5, "def f():\n    pass"]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts)], ["path", "text"])
+    found = list(code.parsed(iter([batch])))
+    assert len(found) == 3 and max(b.nbytes for b in found) < 1 << 20
+    assert [p for b in found for p in b.column(0).to_pylist()] == [*map(str, range(len(texts))), "8"]
+
+
 def test_regions_of_examples(spark):
     tag = '<CodeExample path="{}" {}/>'
     snippets = [("a.py", "import z\n\n# start_x\n\n    one\n\n      two\n  # end_x\nthree\n"), ("b.yaml", "k: 1\r\nv: 2\r\n"), ("c", "\n \n"), ("a.py", "zzz")]
