@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.vectors import hash_number
 from siftwell.operators.order import numbered
 from siftwell.operators.selection import order_statistic
 from siftwell.session import ship
@@ -18,6 +19,8 @@ from siftwell.session import ship
 KS = (1, 3, 5, 10)
 DEAD_ZONE = 5
 RESAMPLES = 2000
+#: Bytes of numbered rows that are broadcast to the draws of a bootstrap.
+DRAWN_BYTES = 32 << 20
 
 
 def rate(condition: Column) -> Column:
@@ -101,15 +104,23 @@ def bootstrap_ci_hash(rows: DataFrame, key: str = "id", iters: int = RESAMPLES)
     """``rows(key, diff)`` -> n, low, high: order statistics int(0.025 iters) and int(0.975 iters) of the means of ``iters`` resamples.
 
     Draw j of resample i takes the row number md5("i:j") mod n, so any engine draws alike, resamples are spread over tasks and the rows
-    are joined by number. That shuffles ``iters`` times the rows: ``bootstrap_ci`` is for many rows.
+    are joined by number. Rows of up to DRAWN_BYTES go to the draws; more of them shuffle ``iters`` times the rows: ``bootstrap_ci`` is for these.
     """
     good = rows.filter("diff is not null").select(key, "diff")
     n = good.count()
     if not n:
         return rows.agg(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    draws = rows.sparkSession.range(iters * n).select(F.expr(f"id div {n}").alias("i"), (F.col("id") % n).alias("j"))
-    draws = draws.select("i", (hash_number(F.concat_ws(":", "i", "j")) % n).alias("at"))
-    means = draws.join(numbered(good, key).select("at", "diff"), "at").groupBy("i").agg(F.avg("diff").alias("m"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j = np.divmod(np.asarray(batch.column(0)), n)
+            found = b"".join([hashlib.md5(b"%d:%d" % pair).digest()[:4] for pair in zip(i.tolist(), j.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.frombuffer(found, ">u4").astype(np.int64) % n)], ["i", "at"])
+
+    ship(rows.sparkSession)
+    draws = rows.sparkSession.range(iters * n).mapInArrow(draw, "i long, at long")
+    drawn = numbered(good, key).select("at", "diff")
+    means = draws.join(F.broadcast(drawn) if 16 * n <= DRAWN_BYTES else drawn, "at").groupBy("i").agg(F.avg("diff").alias("m"))
     order = F.array_sort(F.collect_list("m"))
     return means.agg(F.lit(n).cast("long").alias("n"), F.element_at(order, int(0.025 * iters) + 1).alias("low"), F.element_at(order, int(0.975 * iters) + 1).alias("high"))
 

@@ -36,6 +36,19 @@ def test_no_rows_give_nulls(spark):
     assert (b.n, b.low) == (0, None)
 
 
+def test_draws_by_hash_are_not_shuffled(spark, monkeypatch):
+    rows = spark.range(300).select("id", (F.col("id") % 7 - 3).cast("double").alias("diff"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = M.bootstrap_ci_hash(rows, iters=40)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(M, "DRAWN_BYTES", 0)
+        assert found.collect() == M.bootstrap_ci_hash(rows, iters=40).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_claim_coverage_is_monotone(spark):
     rows = spark.createDataFrame([(True, 0), (True, 4), (True, 5), (True, None), (False, None), (True, 19)], "in_corpus boolean, best_vrank int")
     r = M.claim_coverage(rows).first()
