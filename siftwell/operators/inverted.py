@@ -32,6 +32,8 @@ from siftwell.session import shared_folder, ship
 SPAN = 1024
 #: Questions that a cell of the grid holds, about; postings that are added up at a time.
 SLICE, TILE = 2048, 1 << 21
+#: Words that are counted at a time while an index is built.
+RUN_WORDS = 1 << 17
 #: Chunks that a partition of words is for, and partitions at most.
 PER_BUCKET, MOST_BUCKETS = 50_000, 512
 #: Word ranges that go to one file, so that a word which is everywhere is many files.
@@ -64,18 +66,20 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For batches (doc_no, words): a row (term, doc_no, tf, dl) for each word of a chunk."""
-    for batch in batches:
-        lists = batch.column(1)
-        length = np.asarray(lists.value_lengths()).astype(np.int64)
-        words = lists.flatten().dictionary_encode()
-        codes = np.asarray(words.indices).astype(np.int64)
-        kinds = max(1, len(words.dictionary))
-        key, tf = np.unique(np.repeat(np.arange(batch.num_rows), length) * kinds + codes, return_counts=True)
-        row, code = np.divmod(key, kinds)
-        numbers = np.asarray(batch.column(0)).astype(np.int64)
-        columns = [words.dictionary.take(pa.array(code)), pa.array(numbers[row]), pa.array(tf.astype(np.int32)), pa.array(length[row].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "doc_no", "tf", "dl"])
+    """For batches (doc_no, words): a row (term, doc_no, tf, dl) for each word of a chunk, about RUN_WORDS words at a time, one chunk at least."""
+    for whole in batches:
+        for i, j in kernels.runs(np.asarray(whole.column(1).value_lengths()).astype(np.int64), RUN_WORDS):
+            batch = whole.slice(i, j - i)
+            lists = batch.column(1)
+            length = np.asarray(lists.value_lengths()).astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            codes = np.asarray(words.indices).astype(np.int64)
+            kinds = max(1, len(words.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(batch.num_rows), length) * kinds + codes, return_counts=True)
+            row, code = np.divmod(key, kinds)
+            numbers = np.asarray(batch.column(0)).astype(np.int64)
+            columns = [words.dictionary.take(pa.array(code)), pa.array(numbers[row]), pa.array(tf.astype(np.int32)), pa.array(length[row].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "doc_no", "tf", "dl"])
 
 
 def build(corpus: DataFrame, folder: str, span: int = SPAN) -> Index:

@@ -5,6 +5,7 @@ import random
 import re
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,12 @@ def test_empty_corpus_and_repeated_ids(spark, tmp_path):
     rows = spark.createDataFrame([(4, "one two"), (4, "one two"), (None, "one"), (5, "three four five"), (6, "six")], "chunk_id long, content string")
     index = inverted.build(rows, str(tmp_path / "twice"))
     assert sorted((r.chunk_id is None, r.chunk_id) for r in inverted.topk(index, asked, 9).collect()) == [(False, 4), (False, 4), (True, None)]
+
+
+def test_words_are_counted_in_runs():
+    words = [["a", "b", "a"], [], ["c"] * (1 << 17), ["a"], ["d"]]
+    given = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13, 14]), pa.array(words, pa.list_(pa.string()))], ["doc_no", "words"])
+    found = list(inverted.counted(iter([given])))
+    assert len(found) > 1
+    rows = sorted(tuple(r.values()) for b in found for r in b.to_pylist())
+    assert rows == [("a", 10, 2, 3), ("a", 13, 1, 1), ("b", 10, 1, 3), ("c", 12, 1 << 17, 1 << 17), ("d", 14, 1, 1)]
