@@ -105,3 +105,41 @@ def test_words_are_counted_in_runs():
     assert len(found) > 1
     rows = sorted(tuple(r.values()) for b in found for r in b.to_pylist())
     assert rows == [("a", 10, 2, 3), ("a", 13, 1, 1), ("b", 10, 1, 3), ("c", 12, 1 << 17, 1 << 17), ("d", 14, 1, 1)]
+
+
+def shuffled(spark, run):
+    """Records that the stages of ``run`` write to shuffles."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList()
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    last = max(stages(), default=-1)
+    run()
+    return sum(n for i, n in stages().items() if i > last)
+
+
+def test_building_shuffles_neither_texts_nor_postings(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(20))) for i in range(2000)], "chunk_id long, content string")
+    parts = corpus.rdd.getNumPartitions()
+    assert shuffled(spark, lambda: inverted.build(corpus, str(tmp_path / "ix"), 16)) < 40 * parts + 50  # counts of words, and no row a chunk
+
+
+def test_only_blocks_of_the_words_asked_are_shuffled(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 400}" for j in range(20)) + (" needle" if i % 100 == 0 else "")) for i in range(2000)]
+    index = inverted.build(spark.createDataFrame(rows, "chunk_id long, content string"), str(tmp_path / "ix"), 16)
+    asked = [(i, "needle") for i in range(50)]
+    questions = spark.createDataFrame(asked, "query_id long, question string")
+    found = []
+    assert shuffled(spark, lambda: found.extend(inverted.topk(index, questions, 3).collect())) < 5000
+    close(found, plain_topk(rows, asked, 3))
+
+
+def test_ties_across_and_within_ranges_go_to_smaller_ids(spark, tmp_path):
+    rows = [(1000 - i, f"same {['a', 'b c'][i % 2]}") for i in range(300)]  # the largest ids come first
+    index = inverted.build(spark.createDataFrame(rows, "chunk_id long, content string"), str(tmp_path / "ix"), 8)
+    asked = [(1, "a"), (2, "same c")]
+    close(inverted.topk(index, spark.createDataFrame(asked, "query_id long, question string"), 5).collect(), plain_topk(rows, asked, 5))
