@@ -176,8 +176,9 @@ CLAIMS = f"{Q.POOLED}, supp AS (SELECT query_id, min(r.rank - 1) AS best, count(
 
 def claims(spark, sf_dir):
     """Which candidates support a question is made up from ids: a stand-in for a judge."""
-    dense, _ = Q.both(spark, sf_dir)
-    rows = Q.pool(spark, sf_dir).filter("(chunk_id + query_id) % 6 = 0").join(dense.select("query_id", "chunk_id", (F.col("rank") - 1).alias("vrank")), ["query_id", "chunk_id"], "left")
+    at = folder(spark)
+    dense, lexical = (P.written(x, f"{at}/{n}") for n, x in zip(("dense", "bm25"), Q.both(spark, sf_dir), strict=True))
+    rows = R.candidate_pool(dense, lexical, per_list=20, most=40).filter("(chunk_id + query_id) % 6 = 0").join(dense.select("query_id", "chunk_id", (F.col("rank") - 1).alias("vrank")), ["query_id", "chunk_id"], "left")
     best = rows.groupBy("query_id").agg(F.min("vrank").alias("best_vrank"), F.count("*").alias("c"))
     return Q.questions(spark, sf_dir).select("query_id").join(best, "query_id", "left").select("query_id", F.col("c").isNotNull().alias("in_corpus"), "best_vrank")
 

@@ -143,3 +143,12 @@ def test_ties_across_and_within_ranges_go_to_smaller_ids(spark, tmp_path):
     index = inverted.build(spark.createDataFrame(rows, "chunk_id long, content string"), str(tmp_path / "ix"), 8)
     asked = [(1, "a"), (2, "same c")]
     close(inverted.topk(index, spark.createDataFrame(asked, "query_id long, question string"), 5).collect(), plain_topk(rows, asked, 5))
+
+
+def test_claims_search_once(spark, monkeypatch):
+    from siftwell.queries import evaluation
+
+    calls, topk = [], inverted.topk
+    monkeypatch.setattr(inverted, "topk", lambda *a: calls.append(1) or topk(*a))
+    assert evaluation.claims(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
