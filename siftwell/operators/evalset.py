@@ -90,23 +90,28 @@ def eval_set_by_similarity(answers: DataFrame, chunks: DataFrame, tau: float = T
     return top.groupBy("query_id").agg(gold.alias("gold_chunk_ids"), F.max("score").alias("gold_top_sim"))
 
 
-#: Bytes of short passages that travel to the corpus at a time.
+#: Bytes of passages that travel to the corpus at a time.
 PASSAGE_BYTES = 8 << 20
 
 
 def holders(passages: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, chunk_id) of the chunks ``corpus(chunk_id, content)`` that hold a whole passage of ``passages(query_id, passage)`` as it is written; an empty passage is held
-    by none. All words of a passage but its first and last are whole words of whatever holds it, so chunks meet passages by the longest of these, by ids alone; texts
-    are fetched for the pairs that meet. Passages of under three words have no such word: they are looked for in one pass over the
-    corpus by an automaton of all of them, or of PASSAGE_BYTES at a time."""
+    by none. Up to PASSAGE_BYTES of passages are looked for in one pass over the corpus by an automaton of all of them, so no text is shuffled. More of them meet
+    it by words: all words of a passage but its first and last are whole words of whatever holds it, so chunks meet passages by the longest of these, by ids alone; texts
+    are fetched for the pairs that meet. Passages of under three words have no such word: they are looked for by automatons of PASSAGE_BYTES at a
+    time."""
     inner = F.expr("transform(slice(w, 2, greatest(size(w) - 2, 0)), x -> struct(length(x) as n, x as x))")
-    asked = passages.filter("passage <> ''").withColumn("w", tokenize(F.col("passage"))).withColumn("anchor", F.array_max(inner)["x"]).drop("w")
+    bytes_of = F.coalesce(F.sum(F.octet_length("passage") + 16), F.lit(0))
+    written = passages.filter("passage <> ''").select("query_id", "passage")
+    if written.agg(bytes_of).first()[0] <= PASSAGE_BYTES:
+        return _search(written.toArrow(), corpus).distinct()
+    asked = written.withColumn("w", tokenize(F.col("passage"))).withColumn("anchor", F.array_max(inner)["x"]).drop("w")
     words = corpus.select("chunk_id", F.explode(word_set(F.col("content"))).alias("anchor"))
     met = words.join(asked.filter("anchor is not null").select("query_id", "anchor"), "anchor").select("query_id", "chunk_id").distinct()
     whole = met.join(asked.select("query_id", "passage"), "query_id").join(corpus.select("chunk_id", "content"), "chunk_id")
     out = whole.filter(F.contains("content", "passage")).select("query_id", "chunk_id")
     short = asked.filter("anchor is null").select("query_id", "passage")
-    size = short.agg(F.coalesce(F.sum(F.octet_length("passage") + 16), F.lit(0))).first()[0]
+    size = short.agg(bytes_of).first()[0]
     blocks = -(-size // PASSAGE_BYTES)
     for i in range(blocks):
         part = short.filter(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i).toArrow()
@@ -115,29 +120,30 @@ def holders(passages: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def _search(passages: pa.Table, corpus: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of the chunks that hold one of a block of passages."""
-    ids = passages.column(0).combine_chunks()
+    """(query_id, chunk_id) of the chunks that hold one of a block of passages. Bytes are compared, a letter each, as ``contains`` does: no text need be valid UTF-8."""
+    letters = lambda text: text.decode("latin-1")
+    ids, given = passages.column(0).combine_chunks(), passages.column(1).cast(pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton, of = ahocorasick.Automaton(), {}
-        for k, passage in enumerate(passages.column(1).to_pylist()):
-            of.setdefault(passage, []).append(k)
+        for k, passage in enumerate(given.to_pylist()):
+            of.setdefault(letters(passage), []).append(k)
         for passage in of:
             automaton.add_word(passage, passage)
         automaton.make_automaton()
         for batch in batches:
             row, which = [], []
             for i, content in enumerate(batch.column(1).to_pylist()):
-                for passage in {p for _, p in automaton.iter(content or "")}:
+                for passage in {p for _, p in automaton.iter(letters(content or b""))}:
                     row += [i] * len(of[passage])
                     which += of[passage]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), batch.column(0).take(pa.array(row, pa.int64()))], ["query_id", "chunk_id"])
 
     ship(corpus.sparkSession)
     name = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}[ids.type]
-    return corpus.select("chunk_id", "content").mapInArrow(run, f"query_id {name}, chunk_id {dict(corpus.dtypes)['chunk_id']}")
+    return corpus.select("chunk_id", F.col("content").cast("binary").alias("content")).mapInArrow(run, f"query_id {name}, chunk_id {dict(corpus.dtypes)['chunk_id']}")
 
 
 def curated(verdicts: DataFrame, pool: DataFrame) -> DataFrame:

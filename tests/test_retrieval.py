@@ -127,6 +127,22 @@ def test_holders_of_short_and_long_passages(spark):
     assert sorted(map(tuple, found)) == sorted((q, i) for q, p in asked for i, t in texts if p and t and p in t)
 
 
+def test_holders_by_words_and_by_automaton(spark, monkeypatch):
+    """Passages within PASSAGE_BYTES are found without a shuffle of words or texts; the form for more of them gives the same rows."""
+    from tests.test_inverted import shuffled
+
+    texts = [(i, " ".join(f"w{(i * 7 + j) % 50} é{j}" for j in range(20))) for i in range(300)] + [(300, None), (301, "")]
+    asked = [(q, texts[q * 3][1][q : q + 30]) for q in range(40)] + [(50, "w1"), (51, ""), (52, None), (53, texts[0][1][:30])]
+    corpus = spark.createDataFrame(texts, "chunk_id long, content string").unionByName(spark.sql("select 400L as chunk_id, cast(unhex('C3286120622063C3') as string) as content"))
+    passages = spark.createDataFrame(asked, "query_id long, passage string").unionByName(spark.sql("select 60L as query_id, cast(unhex('6120622063') as string) as passage"))
+    want = sorted([(q, i) for q, p in asked for i, t in texts if p and t and p in t] + [(60, 400)])
+    found = []
+    assert shuffled(spark, lambda: found.extend(map(tuple, E.holders(passages, corpus).collect()))) <= len(want) + 50
+    assert sorted(found) == want
+    monkeypatch.setattr(E, "PASSAGE_BYTES", 64)
+    assert sorted(map(tuple, E.holders(passages, corpus).collect())) == want
+
+
 def test_numbers_and_samples_by_group(spark):
     from siftwell.operators import evalset, order
 
