@@ -211,6 +211,28 @@ def test_overlaps_of_many_pairs_at_once(spark):
     assert len(found) == pairs.count() and all((r.both, r.na, r.nb) == (len(sets[r.a] & sets[r.b]), len(sets[r.a]), len(sets[r.b])) for r in found)
 
 
+def test_overlaps_by_one_sort():
+    rng = random.Random(5)
+    x, y = (["".join(rng.choice("ab\u4e2d") for _ in range(rng.choice((0, 3, 9, 40)))) for _ in range(300)] for _ in range(2))
+    y[::3] = x[::3]
+    sets = [[windows(t) if t else set() for t in column] for column in (x, y)]
+    found = shingle_sets._overlaps(pa.array(x), pa.array(y), shingle_sets.char_shingles(line_dedup.CHARS))
+    assert found.T.tolist() == [[len(a & b), len(a), len(b)] for a, b in zip(*sets, strict=True)]
+
+
+def test_only_texts_that_a_side_names_travel(spark, monkeypatch):
+    inner, seen = line_dedup.compared, []
+
+    def watched(pairs, wanted, shingler, other):
+        seen.append(all({r[0] for r in pairs.select(k).collect()} == {r.id for r in side.collect()} for k, side in (("a", wanted), ("b", other))))
+        return inner(pairs, wanted, shingler, other)
+
+    monkeypatch.setattr(line_dedup, "compared", watched)
+    rows = lines_of_few_words(30)
+    out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == deduplicated(rows) and seen and all(seen)
+
+
 def test_repeated_rows_are_one_document_of_lines(spark):
     docs = spark.createDataFrame([(1, "a b\nc d"), (1, "a b\nc d"), (2, "a b"), (None, "c d")], "doc_id long, text string")
     out = sorted((r.doc_id or 0, r.n_kept, r.text) for r in line_dedup.deduplicate(docs).collect())
