@@ -220,6 +220,44 @@ def test_overlaps_by_one_sort():
     assert found.T.tolist() == [[len(a & b), len(a), len(b)] for a, b in zip(*sets, strict=True)]
 
 
+def test_bands_tell_lines_apart_without_their_keys(spark):
+    lines = spark.createDataFrame([(1, "one line of text"), (2, "one line of text"), (1, "one line of text"), (3, "quite another one")], "key long, line string")
+    found = {r.key: r.bands for r in line_dedup.signatures(lines.coalesce(1)).collect()}
+    band, mark = ({k: [f(v) for v in vs] for k, vs in found.items()} for f in (lambda v: v >> line_dedup.MARK, lambda v: v % (1 << line_dedup.MARK)))
+    assert band[1] == band[2] and not set(band[1]) & set(band[3]) and len(set(band[1])) == line_dedup.BANDS
+    assert all(a != b for a, b in zip(mark[1], mark[2], strict=True)) and len(set(mark[1])) > 1
+
+
+def test_bitmaps_lose_no_pair_that_is_alike(spark):
+    rng = random.Random(9)
+    lines = ["a", "short", "ab" * 40, *(x for _, t in lines_of_few_words(20) for x in t.split("\n"))]
+    lines += [edited(rng, x, 1) for x in lines[3:]] + [prose(rng, k) for k in (1, 5, 60, 150, 900) for _ in range(4)]
+    wanted = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(len(lines)), 2)), "a long, b long")
+    found = shingle_sets.screened(pairs, shingle_sets.bitmaps(wanted, shingle_sets.char_shingles(line_dedup.CHARS)), 75).collect()
+    sets = [windows(x) for x in lines]
+    assert len(found) == pairs.count() and all((r.na, r.nb) == (len(sets[r.a]), len(sets[r.b])) for r in found)
+    alike = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    near = {(r.a, r.b) for r in found if r.near}
+    assert alike <= near and len(near - alike) < len(found) // 10 and len(alike) > 30
+
+
+def test_pairs_that_bitmaps_tell_apart_need_no_texts(spark, monkeypatch):
+    inner, pairs, texts = line_dedup.compared, [], []
+
+    def watched(frame, x, shingler, y):
+        pairs.append(frame.collect())
+        texts.append({r.id: r.text for r in x.unionByName(y).collect()})
+        return inner(frame, x, shingler, y)
+
+    monkeypatch.setattr(line_dedup, "compared", watched)
+    rng, rows = random.Random(3), lines_of_few_words(60)
+    rows += [(60 + i, edited(rng, t.split("\n")[0], 1)) for i, t in rows[:20]]
+    assert {r.doc_id: r.text for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == deduplicated(rows)
+    both = [(windows(t[r.a]), windows(t[r.b])) for found, t in zip(pairs, texts, strict=True) for r in found]
+    assert both and all(len(a & b) * 2 > len(a | b) for a, b in both)
+
+
 def test_only_texts_that_a_side_names_travel(spark, monkeypatch):
     inner, seen = line_dedup.compared, []
 
